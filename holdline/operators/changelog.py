@@ -141,7 +141,7 @@ def restart_tombstones(
     return stones.filter(before).select(*key, F.col("t_sec").alias("sec"), F.col("t_cs").alias("cs"), *cols)
 
 
-def shutdown_tombstones(dim: DataFrame, now_sec: int, now_cs: int) -> DataFrame:
+def shutdown_tombstones(dim: DataFrame, now_sec: Column | int, now_cs: Column | int) -> DataFrame:
     """A NULL record for every known sensor, one hundredth after ``now``."""
     sec, cs = _next_tick(F.lit(now_sec).cast("bigint"), F.lit(now_cs), 100)
     return dim.select(
@@ -182,7 +182,7 @@ def idle_heartbeats(samples: DataFrame, key: list[str], period: int = 5) -> Data
     return join_on(recs.select(*key), beats, key, "left")
 
 
-def dead_sensors(log: DataFrame, hb: DataFrame, now: int, key: list[str], cols: list[str], period: int = 5) -> DataFrame:
+def dead_sensors(log: DataFrame, hb: DataFrame, now: Column | int, key: list[str], cols: list[str], period: int = 5) -> DataFrame:
     """Sensors whose last record is known while it and the heartbeat (``hb``: key,
     ``sec``) are both more than ``period`` seconds old."""
     last = log.groupBy(*key).agg(
