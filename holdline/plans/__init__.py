@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("basics",)
+_MODULES = ("basics", "histories")
 
 
 def all_queries() -> None:

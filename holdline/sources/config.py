@@ -11,7 +11,8 @@ _SPARK_TYPE = {"INT": "bigint", "FLOAT": "double", "TEXT": "string"}
 
 
 def default_config(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(DEFAULT_CONFIG, CONFIG_SCHEMA)
+    rows = ", ".join(f"('{var}', '{val}', '{kind}')" for var, val, kind in DEFAULT_CONFIG)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t({', '.join(CONFIG_SCHEMA.names)})")
 
 
 def config_value(cfg: DataFrame, name: str, type: str) -> DataFrame:
