@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("basics", "histories")
+_MODULES = ("basics", "histories", "calibrations", "derived")
 
 
 def all_queries() -> None:
