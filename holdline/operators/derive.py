@@ -89,7 +89,7 @@ def light_totals(snap: DataFrame) -> DataFrame:
     )
 
 
-def _held_frames(frames: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+def held_frames(frames: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Frames with the smoothed current ``irms_ema`` and, in every field, the value
     last received. A frame without a current changes nothing in the average."""
     fields = [c for c in ("vrms", "pmean", "furnace_ctrl", "tmp_ctrl_module") if c in frames.columns]
@@ -102,7 +102,7 @@ def _held_frames(frames: DataFrame, key: list[str], order: list[str]) -> DataFra
     return ema_over(h, "irms", "irms_ema", SMOOTHING, "first").rows()
 
 
-def _factor() -> Column:
+def frame_factor() -> Column:
     return F.try_divide(F.col("pmean"), _apparent(F.col("irms_ema")))
 
 
@@ -124,12 +124,12 @@ def fan_flag() -> Column:
 def furnace_alert(frames: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Per frame with a current: is the furnace really burning, and a warning when
     it is commanded on but is not. The frame's own power is used."""
-    held = _held_frames(frames, key, order).withColumn("pf", _factor())
+    held = held_frames(frames, key, order).withColumn("pf", frame_factor())
     return held.withColumns(furnace_flags())
 
 
 def fans_on(frames: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    held = _held_frames(frames, key, order).withColumn("pf", _factor())
+    held = held_frames(frames, key, order).withColumn("pf", frame_factor())
     return held.withColumn("fans", fan_flag())
 
 

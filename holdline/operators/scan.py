@@ -20,9 +20,12 @@ HYSTERESIS_SCALE = 4
 COLLISION_LIMIT = 20
 
 
-def hysteresis_over(h: History, cols: list[str], scale: int = HYSTERESIS_SCALE) -> History:
+def hysteresis_over(
+    h: History, cols: list[str], scale: int = HYSTERESIS_SCALE, directions: bool = False
+) -> History:
     """Add ``<col>_mem`` (value held) and ``<col>_emit`` to non-NULL samples scaled
-    by ``scale``.
+    by ``scale``; with ``directions`` also ``<col>_rise`` and ``<col>_up``, which
+    together with the sample are the whole state.
 
     The held value moves freely in its direction; to turn round, a sample has to
     differ by more than one. That is an interval of width one pushed along by the
@@ -52,6 +55,14 @@ def hysteresis_over(h: History, cols: list[str], scale: int = HYSTERESIS_SCALE)
     h = h.with_columns(
         **{f"{c}_emit": idiv(f"{c}_mem", scale) != idiv(f"__m.{c}", scale) for c in cols}
     )
+    if directions:
+        h = h.with_columns(
+            **{
+                f"{c}_{n}": F.coalesce(F.col(f"__{n}_{c}"), F.lit(False))
+                for n in ("rise", "up")
+                for c in cols
+            }
+        )
     return h.drop("__x", "__l", "__m", *[f"__{n}_{c}" for n in ("rise", "low", "up") for c in cols])
 
 
@@ -59,9 +70,11 @@ def hysteresis(df: DataFrame, key: list[str], order: list[str], col: str, scale:
     return hysteresis_over(History.of(df, key, order), [col], scale).rows()
 
 
-def compound_over(h: History, cols: list[str], scale: int = HYSTERESIS_SCALE) -> History:
+def compound_over(
+    h: History, cols: list[str], scale: int = HYSTERESIS_SCALE, directions: bool = False
+) -> History:
     """All channels through :func:`hysteresis_over`; ``changed`` when any emits."""
-    h = hysteresis_over(h, cols, scale)
+    h = hysteresis_over(h, cols, scale, directions)
     changed = F.lit(False)
     for c in cols:
         changed = changed | F.col(f"{c}_emit")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("basics", "histories", "calibrations", "derived")
+_MODULES = ("basics", "histories", "calibrations", "derived", "streams")
 
 
 def all_queries() -> None:

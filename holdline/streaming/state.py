@@ -1,0 +1,132 @@
+"""Stateful streams that reuse the batch operators.
+
+Every micro-batch is joined to what the batches before left behind: a few rows
+per key that put the operator back where it was. So the batch operator itself
+runs on the stream, its ordered work split over tasks for a hot key as in batch,
+and replaying a log through the stream gives the rows the batch gives.
+
+State, output and late rows are written per batch number under one shared folder.
+A batch that is run again after a failure reads the state of the batch before and
+overwrites its own folders.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from holdline.functions.scalars import join_on
+
+Advance = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
+
+# Sorts before any event time; carried rows get it.
+BEFORE = -1
+
+
+def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = 1000) -> DataFrame:
+    """A parquet folder as a stream; the limit bounds the size of a micro-batch."""
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(path)
+
+
+def _folder(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the finished ``batch=<n>`` folders under ``path``, ascending."""
+    fs, p = _folder(spark, path)
+    if not fs.exists(p):
+        return []
+    found = []
+    for status in fs.listStatus(p):
+        name = status.getPath().getName()
+        done = _folder(spark, f"{path}/{name}/_SUCCESS")
+        if name.startswith("batch=") and done[0].exists(done[1]):
+            found.append(int(name.removeprefix("batch=")))
+    return sorted(found)
+
+
+def _drop_versions(spark: SparkSession, path: str, below: int) -> None:
+    for n in versions(spark, path):
+        if n < below:
+            fs, p = _folder(spark, f"{path}/batch={n}")
+            fs.delete(p, True)
+
+
+def last_by(df: DataFrame, key: list[str], order: list[str], cols: list[str]) -> DataFrame:
+    """The columns of the last row per key."""
+    top = df.groupBy(*key).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("__top"))
+    return top.select(*key, "__top.*")
+
+
+def split_late(rows: DataFrame, marks: DataFrame, key: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows after the last one taken from their key, and the late rest."""
+    names = {c: f"__last_{c}" for c in order}
+    at = join_on(rows, marks.select(*key, *[F.col(c).alias(n) for c, n in names.items()]), key, "left")
+    now, last = F.struct(*order), F.struct(*[F.col(n).alias(c) for c, n in names.items()])
+    late = F.col(names[order[0]]).isNotNull() & (now <= last)
+    return at.filter(~late).drop(*names.values()), at.filter(late).drop(*names.values())
+
+
+def start(
+    stream: DataFrame,
+    path: str,
+    key: list[str],
+    order: list[str],
+    advance: Advance,
+    state_schema: str,
+    **trigger,
+) -> StreamingQuery:
+    """Run ``advance(rows, state) -> (output, new state)`` on every micro-batch.
+
+    ``order`` are BIGINT columns, the first one a time. Rows not after the last
+    one taken from their key are refused and written to ``late``. Output goes to
+    ``<path>/out``, read it with :func:`results`.
+    """
+    spark = stream.sparkSession
+    types = dict(stream.dtypes)
+    marks_schema = ", ".join(f"{c} {types[c]}" for c in [*key, *order])
+
+    def previous(session, name: str, schema: str, n: int) -> DataFrame:
+        old = [v for v in versions(session, f"{path}/{name}") if v < n]
+        if not old:
+            return session.createDataFrame([], schema)
+        return session.read.schema(schema).parquet(f"{path}/{name}/batch={old[-1]}")
+
+    def each(batch: DataFrame, n: int) -> None:
+        session = batch.sparkSession
+        state = previous(session, "state", state_schema, n)
+        marks = previous(session, "marks", marks_schema, n)
+        fresh, late = split_late(batch, marks, key, order)
+        fresh = fresh.persist()
+        try:
+            out, new_state = advance(fresh, state)
+            taken = last_by(fresh.select(*key, *order).unionByName(marks), key, order, order)
+            for name, df in (("late", late), ("out", out), ("state", new_state), ("marks", taken)):
+                df.write.mode("overwrite").parquet(f"{path}/{name}/batch={n}")
+            for name in ("state", "marks"):
+                _drop_versions(session, f"{path}/{name}", n - 1)
+        finally:
+            fresh.unpersist()
+
+    return (
+        stream.writeStream.foreachBatch(each)
+        .option("checkpointLocation", f"{path}/checkpoint")
+        .trigger(**(trigger or {"processingTime": "1 second"}))
+        .start()
+    )
+
+
+def results(spark: SparkSession, path: str, name: str = "out") -> DataFrame:
+    """All rows written so far under ``out`` or ``late``."""
+    parts = [spark.read.parquet(f"{path}/{name}/batch={n}") for n in versions(spark, f"{path}/{name}")]
+    return reduce(DataFrame.unionByName, parts)
