@@ -223,13 +223,15 @@ def asof(log: DataFrame, probes: DataFrame, key: list[str], cols: list[str], ord
     """For every probe the record in force at its time. A tombstone in force gives
     NULLs. ``probe_id`` is unique per key. One pass over log and probes together;
     no range join."""
-    types = {f.name: f.dataType for f in probes.schema.fields}
-    record = log.select(*key, *order, F.lit(0).alias("__kind"),
-                        F.lit(None).cast(types[probe_id]).alias(probe_id),
-                        F.struct(*cols).alias("__rec"))
-    probe = probes.select(*key, *order, F.lit(1).alias("__kind"), probe_id)
-    both = record.unionByName(probe, allowMissingColumns=True)
-    h = History.of(both, key, [*order, "__kind", probe_id]).carry("__held", F.col("__rec"))
+    types = {f.name: f.dataType for f in [*log.schema.fields, *probes.schema.fields]}
+    record = log.select(
+        *key, *order, F.lit(0).alias("__kind"), F.lit(None).cast(types[probe_id]).alias(probe_id), *cols
+    )
+    probe = probes.select(
+        *key, *order, F.lit(1).alias("__kind"), probe_id, *[F.lit(None).cast(types[c]).alias(c) for c in cols]
+    )
+    h = History.of(record.unionByName(probe), key, [*order, "__kind", probe_id])
+    h = h.carry("__held", F.when(F.col("__kind") == 0, F.struct(*cols)))
     found = h.filter(F.col("__kind") == 1).rows()
     return found.select(*key, probe_id, *order, *[F.col(f"__held.{c}").alias(c) for c in cols])
 

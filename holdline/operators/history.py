@@ -21,6 +21,15 @@ from holdline.session import materialize, max_rows
 
 CHUNK = "__chunk"
 
+# Handed-over rows are broadcast up to this many; their number is known.
+BROADCAST_ROWS = 100_000
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast hint for ``rows`` rows at most; beyond the bound the planner
+    chooses, a sort-merge join if need be."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
 
 @dataclass(frozen=True)
 class History:
@@ -31,6 +40,7 @@ class History:
     order: tuple[str, ...]
     chunked: bool = False
     longest: int = 0  # most rows of one window group
+    edges: int = 0  # at most so many chunks, each key's counted
 
     @classmethod
     def of(cls, df: DataFrame, key: list[str], order: list[str]) -> History:
@@ -42,11 +52,11 @@ class History:
         ).first()
         if not keys:
             return cls(df, tuple(key), tuple(order), False, longest or 0)
-        hot = materialize(counts.filter(~small).select(*key))
-        chunks = math.ceil(rows / limit)
+        hot = _small(materialize(counts.filter(~small).select(*key)), keys)
+        chunks = max(math.ceil(rows / limit), 2)
         spread = (
             join_on(df, hot, key, "left_semi")
-            .repartitionByRange(max(chunks, 2), *key, *order)
+            .repartitionByRange(chunks, *key, *order)
             .withColumn(CHUNK, F.spark_partition_id() + 1)
         )
         # Written once: partition numbers must not change between the reads below.
@@ -54,7 +64,7 @@ class History:
         sizes = spread.groupBy(*key, CHUNK).agg(F.count(F.lit(1)).alias("__n"))
         longest = max(longest or 0, sizes.agg(F.max("__n")).first()[0] or 0)
         rest = join_on(df, hot, key, "left_anti").withColumn(CHUNK, F.lit(0))
-        return cls(rest.unionByName(spread), tuple(key), tuple(order), True, longest)
+        return cls(rest.unionByName(spread), tuple(key), tuple(order), True, longest, chunks + keys)
 
     # -- plumbing -----------------------------------------------------------
 
@@ -79,8 +89,12 @@ class History:
         """
         edges = self.df.filter(F.col(CHUNK) > 0).groupBy(*self.part).agg(summary.alias("__edge"))
         entry = edges.select(*self.part, over_chunks(F.col("__edge")).alias(name))
-        # One row per chunk. Written, or each further step would plan this one twice.
-        return join_on(self.df, materialize(entry), self.part, "left")
+        return self.join_entry(self.df, entry)
+
+    def join_entry(self, df: DataFrame, entry: DataFrame) -> DataFrame:
+        """Left join of one row per chunk. That side is written first, or every
+        further step would plan all the steps before it twice."""
+        return join_on(df, _small(materialize(entry), self.edges), self.part, "left")
 
     def _chunks(self):
         return Window.partitionBy(*self.key).orderBy(CHUNK)

@@ -8,11 +8,12 @@ doubled. No Python runs per row, and a hot key stays spread (see History).
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from holdline.functions.scalars import clamp, idiv, join_on
+from holdline.functions.scalars import clamp, idiv
 from holdline.operators.history import CHUNK, History
 from holdline.session import materialize
 
@@ -150,7 +151,7 @@ def uniquify(
         ends = _compose_prefixes(ends, over, most).select(
             *h.part, F.lag("__f.lo").over(over).alias("__in")
         )
-        rows = join_on(rows, materialize(ends), h.part, "left")
+        rows = h.join_entry(rows, ends)
         slot = F.when(F.col("__in").isNull(), slot).otherwise(
             clamp(F.col("__in") + F.col("__f.n"), F.col("__f.lo"), F.col("__f.hi"))
         )
@@ -202,25 +203,31 @@ def ema_over(h: History, col: str, out: str, alpha: float, seed: str = "zero") -
                 whole.rowsBetween(Window.unboundedPreceding, 0)))
         df = h.df.drop("__c", "__e")
     else:
+        # The ends of earlier blocks join the block as rows before its first one.
         keys = [*h.key, "__b"]
-        w = Window.partitionBy(*keys).orderBy("__r").rowsBetween(Window.unboundedPreceding, 0)
-        rows = materialize(h.df)
-        ends = rows.groupBy(*keys).agg((F.sum(weighted) * F.lit(alpha ** (size - 1))).alias("__c"))
-        reach = F.explode(F.sequence(F.lit(0), F.lit(_TERMS - 1)))
-        sent = ends.withColumn("__k", reach).select(
-            *h.key, (F.col("__b") + F.col("__k") + 1).alias("__b"),
-            (F.col("__c") * F.pow(F.lit(decay), F.col("__k"))).alias("__v"),
-        )
-        entry = sent.groupBy(*keys).agg(F.sum("__v").alias("__enter"))
-        df = join_on(rows.withColumn("__s", F.sum(weighted).over(w)), entry, keys, "left")
+        rows = materialize(h.with_columns(__w=weighted).df)
+        ends = rows.groupBy(*keys).agg((F.sum("__w") * F.lit(alpha ** (size - 1))).alias("__c"))
         if seed == "first":
-            starts = rows.filter(F.col("__i") == 1).select(*h.key, F.col(col).cast("double").alias("__x0"))
-            df = join_on(df, starts, list(h.key), "left")
+            start = rows.filter(F.col("__i") == 1)
+            ends = ends.unionByName(
+                start.select(*h.key, F.lit(-1).cast("bigint").alias("__b"), F.col(col).cast("double").alias("__c"))
+            )
+        sent = ends.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(_TERMS - 1)))).select(
+            *h.key,
+            (F.col("__b") + F.col("__k") + 1).alias("__b"),
+            F.lit(-1).cast("bigint").alias("__r"),
+            (F.col("__c") * F.pow(F.lit(decay), F.col("__k")) * a).alias("__w"),
+        )
+        w = Window.partitionBy(*keys).orderBy("__r").rowsBetween(Window.unboundedPreceding, 0)
+        both = rows.unionByName(sent, allowMissingColumns=True).withColumn("__s", F.sum("__w").over(w))
+        df = both.filter(F.col("__r") >= 0).withColumn(out, F.pow(a, F.col("__r")) * F.col("__s"))
+        df = df.drop("__i", "__b", "__r", "__s", "__w")
+        return replace(h, df=df)
     y = F.pow(a, F.col("__r")) * (F.col("__s") + a * F.coalesce(F.col("__enter"), F.lit(0.0)))
     if seed == "first":
         y = y + F.col("__x0") * F.pow(a, F.col("__i"))
     df = df.withColumn(out, y).drop("__i", "__b", "__r", "__s", "__enter", "__x0")
-    return History(df, h.key, h.order, h.chunked, h.longest)
+    return replace(h, df=df)
 
 
 def ema(df: DataFrame, key: list[str], order: list[str], col: str, alpha: float, seed: str = "zero",
