@@ -63,6 +63,23 @@ def crc8_word(high: Column | str, low: Column | str) -> Column:
     return F.get(table, first.bitwiseXOR(col(low).cast("int")))
 
 
+# Checksum of a 1-wire device: the same polynomial, low bit first, register zero.
+CRC1W_POLYNOMIAL = 0x8C
+
+
+def _crc1w_step(value: int) -> int:
+    for _ in range(8):
+        value = (value >> 1) ^ (CRC1W_POLYNOMIAL if value & 1 else 0)
+    return value
+
+
+def crc1w(data: list[Column | str]) -> Column:
+    """Checksum of a row of 1-wire bytes."""
+    table = F.array(*[F.lit(_crc1w_step(i)) for i in range(256)])
+    array = F.array(*[col(b).cast("int") for b in data])
+    return F.aggregate(array, F.lit(0), lambda crc, b: F.get(table, crc.bitwiseXOR(b)))
+
+
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Equi join that also matches NULL keys; keeps the left key columns."""
     renamed = right

@@ -63,6 +63,17 @@ def local_text(sec: Column | str, tz: str = "UTC") -> Column:
     return wall_clock(sec, tz).cast("string")
 
 
+# Fixed value: the client's clock, seven hours behind UTC all year.
+CLIENT_OFFSET_S = -7 * 3600
+
+
+def client_text(sec: Column | str) -> Column:
+    """The client's time: month and day unpadded, three blanks, then the time."""
+    wall = wall_clock(col(sec) + CLIENT_OFFSET_S)
+    day = F.concat_ws("-", *[part(wall).cast("string") for part in (F.year, F.month, F.dayofmonth)])
+    return F.concat(day, F.lit("   "), F.substring(wall.cast("string"), 12, 8))
+
+
 def local_day(sec: Column | str, tz: str = "UTC") -> Column:
     return wall_clock(sec, tz).cast("date")
 

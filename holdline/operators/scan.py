@@ -91,6 +91,26 @@ def compound_record(
     return h.drop("changed", *[f"{c}_{n}" for c in cols for n in ("mem", "emit")]).rows()
 
 
+def record_log(
+    good: DataFrame, bad: DataFrame, key: list[str], order: list[str], cols: list[str],
+    scale: int = HYSTERESIS_SCALE,
+) -> DataFrame:
+    """The change log of good samples and failed readings (``bad`` needs key and
+    order only). A failure writes a tombstone unless one holds or nothing was
+    logged yet; it does not touch the hysteresis. The first good sample after a
+    tombstone is logged even when no channel emits."""
+    held = compound_over(History.of(good, key, order), cols, scale).rows()
+    held = held.select(*key, *order, F.lit(True).alias("__ok"), "changed",
+                       *[idiv(f"{c}_mem", scale).alias(c) for c in cols])
+    failed = bad.select(*key, *order, F.lit(False).alias("__ok"), F.lit(False).alias("changed"),
+                        *[F.lit(None).cast("bigint").alias(c) for c in cols])
+    h = History.of(held.unionByName(failed), key, order)
+    h = h.previous("__was_ok", F.col("__ok")).running_max("__logged", F.col("changed"), inclusive=False)
+    logged = F.coalesce("__logged", F.lit(False))
+    turned = logged & (F.col("__ok") != F.col("__was_ok"))
+    return h.filter(F.col("changed") | turned).rows().select(*key, *order, *cols)
+
+
 def after_warmup(df: DataFrame, key: list[str], session: str, n: int, order: list[str]) -> DataFrame:
     """Rows past the first ``n`` of each session."""
     h = History.of(df, [*key, session], order).number("__place")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from holdline.functions.scalars import idiv
-from holdline.functions.times import event_us, split_event_time
+from holdline.functions.times import client_text, event_us, split_event_time
 from holdline.operators import changelog, latest, views
 from holdline.plans.registry import query, sql
 from holdline.plans.tables import LABELS, Tables
@@ -263,6 +263,27 @@ def s11(t: Tables):
     )
 
 
+@query(
+    "s11_client_time",
+    sql("SELECT event_id, strftime(make_timestamp((sec - 25200) * 1000000), '%Y-%-m-%-d   %H:%M:%S') AS shown FROM ev"),
+)
+def s11_client(t: Tables):
+    return t.events().select("event_id", client_text("sec").alias("shown"))
+
+
+@query(
+    "s6_topic_name",
+    sql(
+        """SELECT event_id, 'sensors/28-' || lpad(lower(to_hex(event_id * 7919 + 281000000000000)), 12, '0') || '/data' AS topic FROM ev"""
+    ),
+)
+def s6_topic(t: Tables):
+    serial = F.col("event_id") * 7919 + 281_000_000_000_000
+    low_first = [F.shiftright(serial, 8 * i).bitwiseAND(F.lit(255)) for i in range(6)]
+    addr = [F.lit(0x28).cast("bigint"), *low_first, F.lit(0)]
+    return t.events().select("event_id", messages.sensor_topic(addr, "/data").alias("topic"))
+
+
 # -- views ---------------------------------------------------------------------
 
 

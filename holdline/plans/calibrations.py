@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from holdline.functions.scalars import crc8_word, idiv
+from holdline.functions.scalars import crc1w, crc8_word, idiv
 from holdline.operators import calibrate, scan
 from holdline.plans.basics import rounded
 from holdline.plans.histories import ema_walk, hysteresis_walk
@@ -12,12 +12,29 @@ from holdline.plans.registry import query, sql
 from holdline.plans.tables import Tables
 
 
+def _crc1w_sql(data: list[str]) -> str:
+    """1-wire checksum bit by bit, not by table."""
+    step = "CASE WHEN a & 1 > 0 THEN xor(a >> 1, 140) ELSE a >> 1 END"
+    crc = "0::BIGINT"
+    for byte in data:
+        crc = f"list_reduce([xor({crc}, {byte}), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: {step})"
+    return crc
+
+
+_PAD = ["w % 256", "w // 256", "u", "u", "r", "255", "12", "16"]
+
+
 @query(
     "c1_ds18b20_raw",
     sql(
-        """SELECT event_id, CAST((w - (w & CASE k % 4 WHEN 0 THEN 7 WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 0 END)) * 25 // 4 AS INTEGER) AS temp
-        FROM (SELECT event_id, k, CASE WHEN (v * 7) % 65536 >= 32768 THEN (v * 7) % 65536 - 65536 ELSE (v * 7) % 65536 END AS w
-          FROM ev WHERE event_id % 10 <> 0)"""
+        """SELECT event_id, CASE WHEN event_id % 17 <> 0 THEN
+          CAST((x - (x & CASE k % 4 WHEN 0 THEN 7 WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 0 END)) * 25 // 4 AS INTEGER) END AS temp,
+          CASE WHEN event_id % 17 = 0 THEN 'crc' END AS reason, CASE WHEN event_id % 17 <> 0 THEN CAST(b8 AS BIGINT) END AS b8
+        FROM (SELECT *, CASE WHEN w >= 32768 THEN w - 65536 ELSE w END AS x FROM pads)
+        WHERE event_id % 10 <> 0 OR event_id % 17 = 0""",
+        words="""SELECT event_id, k, (v * 7) % 65536 AS w, CASE WHEN event_id % 10 = 0 THEN 75::BIGINT ELSE 255 END AS u,
+          k % 4 * 32 + 31 AS r FROM ev""",
+        pads=f"SELECT *, {_crc1w_sql(_PAD)} AS b8 FROM words",
     ),
 )
 def c1(t: Tables):
@@ -30,8 +47,17 @@ def c1(t: Tables):
         user.alias("b2"),
         user.alias("b3"),
         (F.col("k") % 4 * 32 + 31).alias("b4"),
+        F.lit(255).alias("b5"),
+        F.lit(12).alias("b6"),
+        F.lit(16).alias("b7"),
+    )
+    crc = crc1w([f"b{i}" for i in range(8)]).cast("bigint")
+    broken = F.when(F.col("event_id") % 17 == 0, crc.bitwiseXOR(F.lit(1).cast("bigint"))).otherwise(crc)
+    good, bad = calibrate.ds18b20(raw.withColumn("b8", broken))
+    null = F.lit(None)
+    return good.select("event_id", "temp", null.cast("string").alias("reason"), "b8").unionByName(
+        bad.select("event_id", null.cast("int").alias("temp"), "reason", null.cast("bigint").alias("b8"))
     )
-    return calibrate.ds18b20(raw).select("event_id", "temp")
 
 
 def _crc_sql(high: str, low: str) -> str:
@@ -87,19 +113,26 @@ def _joint_walk(key: str, columns: list[str]) -> dict[str, str]:
 @query(
     "c4_sht31_log",
     sql(
-        """SELECT s.event_id, a.mem // 4 AS temp, b.mem // 4 AS hum FROM samples s
-        JOIN walk_temp a ON a.sensor_key = s.sensor_key AND a.rn = s.rn JOIN walk_hum b ON b.sensor_key = s.sensor_key AND b.rn = s.rn
-        WHERE a.mem // 4 <> a.old // 4 OR b.mem // 4 <> b.old // 4""",
+        """SELECT event_id, temp, hum FROM (SELECT *, lag(ok) OVER w AS was_ok, coalesce(bool_or(changed) OVER
+            (PARTITION BY sensor_key ORDER BY sec, cs, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS logged
+          FROM steps WINDOW w AS (PARTITION BY sensor_key ORDER BY sec, cs, event_id))
+        WHERE changed OR (logged AND ok <> was_ok)""",
         words=_SHT,
-        samples=f"""SELECT sensor_key, event_id, temp, hum, row_number() OVER (PARTITION BY sensor_key ORDER BY sec, cs, event_id) AS rn
-          FROM ({_SHT_GOOD})""",
+        samples=f"""SELECT sensor_key, sec, cs, event_id, temp // 100 AS temp, hum // 50 AS hum,
+          row_number() OVER (PARTITION BY sensor_key ORDER BY sec, cs, event_id) AS rn FROM ({_SHT_GOOD})""",
         **_joint_walk("sensor_key", ["temp", "hum"]),
+        steps="""SELECT s.sensor_key, s.sec, s.cs, s.event_id, true AS ok, a.mem // 4 AS temp, b.mem // 4 AS hum,
+            a.mem // 4 <> a.old // 4 OR b.mem // 4 <> b.old // 4 AS changed FROM samples s
+          JOIN walk_temp a ON a.sensor_key = s.sensor_key AND a.rn = s.rn JOIN walk_hum b ON b.sensor_key = s.sensor_key AND b.rn = s.rn
+          UNION ALL SELECT sensor_key, sec, cs, event_id, false, NULL, NULL, false FROM words WHERE event_id % 10 = 0""",
     ),
 )
 def c4_log(t: Tables):
-    good, _ = calibrate.sht31(_sht_raw(t))
-    log = scan.compound_record(good, ["sensor_key"], ["sec", "cs", "event_id"], ["temp", "hum"])
-    return log.select("event_id", "temp", "hum")
+    good, bad = calibrate.sht31(_sht_raw(t))
+    # Coarser than stored, so that many samples change nothing.
+    good = good.withColumns({"temp": idiv("temp", 100), "hum": idiv("hum", 50)})
+    order = ["sec", "cs", "event_id"]
+    return scan.record_log(good, bad, ["sensor_key"], order, ["temp", "hum"]).select("event_id", "temp", "hum")
 
 
 _GROUPED = """row_number() OVER (PARTITION BY sensor_key, session ORDER BY event_id) AS rn"""
@@ -274,3 +307,26 @@ def c11(t: Tables):
     both = _averages(t).join(rms.withColumnRenamed("burst", "sensor_key"), "sensor_key")
     both = both.withColumn("irms", F.when(F.col("k") % 10 == 0, F.lit(0.0)).otherwise(F.col("rms")))
     return rounded(calibrate.power_factor(both).select("event_id", "apparent", "pf"))
+
+
+@query(
+    "c11_ina260_log",
+    sql(
+        """SELECT s.event_id, a.mem // 4 AS vrms, b.mem // 4 AS irms, c.mem // 4 AS pmean FROM samples s
+        JOIN walk_vrms a ON a.sensor_key = s.sensor_key AND a.rn = s.rn JOIN walk_irms b ON b.sensor_key = s.sensor_key AND b.rn = s.rn
+        JOIN walk_pmean c ON c.sensor_key = s.sensor_key AND c.rn = s.rn
+        WHERE a.mem // 4 <> a.old // 4 OR b.mem // 4 <> b.old // 4 OR c.mem // 4 <> c.old // 4""",
+        averages=_AVERAGES,
+        samples="""SELECT e.sensor_key, e.event_id, CAST(trunc(vrms * 4e0) AS BIGINT) AS vrms, CAST(trunc(k * 0.37e0 * 4e0 * 1e2) AS BIGINT) AS irms,
+          CAST(trunc((p + coalesce(p * 0.6e0 / nullif(vrms, 0), 0)) * 4e0) AS BIGINT) AS pmean,
+          row_number() OVER (PARTITION BY e.sensor_key ORDER BY e.event_id) AS rn
+          FROM averages a JOIN ev e ON e.event_id = a.event_id WHERE k % 10 <> 0""",
+        **_joint_walk("sensor_key", ["vrms", "irms", "pmean"]),
+    ),
+)
+def c11_log(t: Tables):
+    measured = _averages(t).withColumns(
+        {"ok": F.col("k") % 10 != 0, "irms": F.col("k").cast("double") * F.lit(0.37)}
+    )
+    log = scan.compound_record(calibrate.ina260(measured), ["sensor_key"], ["event_id"], ["vrms", "irms", "pmean"])
+    return log.select("event_id", "vrms", "irms", "pmean")

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The topic layout and the payloads of sensor life-cycle messages.
 SERIAL = r"^[0-9a-f]{2}-[0-9a-f]{12}$"
 OFFLINE = "offline"
+TOPIC_FORMAT = "sensors/%02x-%02x%02x%02x%02x%02x%02x"
+
+
+def sensor_topic(addr: list[Column], suffix: str = "") -> Column:
+    """Topic of the device with the eight address bytes ``addr``: family code, then
+    the serial from its high byte down, as the kernel names its folders."""
+    return F.concat(F.format_string(TOPIC_FORMAT, addr[0], *addr[6:0:-1]), F.lit(suffix))
 
 
 def route_messages(df: DataFrame, topic: str, payload: str) -> DataFrame:

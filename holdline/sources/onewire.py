@@ -9,9 +9,10 @@ from holdline.operators.views import valid_temperature
 
 
 def read_w1(spark: SparkSession, path: str) -> DataFrame:
-    """One row per dump file; ``serial_code`` is the name of its folder."""
+    """One row per dump file; ``serial_code`` is the name of its folder. The engine
+    skips files without a byte, so a failed read has to leave at least a newline."""
     df = spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("path"), F.col("value").alias("text")
+        F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")
     )
     return df.withColumn("serial_code", F.element_at(F.split("path", "/"), -2))
 
