@@ -97,7 +97,8 @@ def disappeared(prev: DataFrame, cur: DataFrame, key: list[str]) -> DataFrame:
 
 def clock_guard(df: DataFrame, key: list[str], session: str) -> DataFrame:
     """Rows with ``refused``: the session began before the newest time logged by an
-    earlier session of the same key."""
+    earlier session of the same key. What is in ``df`` counts as logged, rows of
+    refused sessions included."""
     ends = df.groupBy(*key, session).agg(
         F.min(when_key()).alias("__first"), F.max(when_key()).alias("__last")
     )

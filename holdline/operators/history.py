@@ -39,7 +39,6 @@ class History:
     key: tuple[str, ...]
     order: tuple[str, ...]
     chunked: bool = False
-    longest: int = 0  # most rows of one window group
     edges: int = 0  # at most so many chunks, each key's counted
 
     @classmethod
@@ -47,11 +46,9 @@ class History:
         limit = max_rows(df.sparkSession)
         counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
         small = F.col("__n") <= limit
-        keys, rows, longest = counts.agg(
-            F.count_if(~small), F.sum(F.when(~small, F.col("__n"))), F.max(F.when(small, F.col("__n")))
-        ).first()
+        keys, rows = counts.agg(F.count_if(~small), F.sum(F.when(~small, F.col("__n")))).first()
         if not keys:
-            return cls(df, tuple(key), tuple(order), False, longest or 0)
+            return cls(df, tuple(key), tuple(order))
         hot = _small(materialize(counts.filter(~small).select(*key)), keys)
         chunks = max(math.ceil(rows / limit), 2)
         spread = (
@@ -61,10 +58,8 @@ class History:
         )
         # Written once: partition numbers must not change between the reads below.
         spread = materialize(spread)
-        sizes = spread.groupBy(*key, CHUNK).agg(F.count(F.lit(1)).alias("__n"))
-        longest = max(longest or 0, sizes.agg(F.max("__n")).first()[0] or 0)
         rest = join_on(df, hot, key, "left_anti").withColumn(CHUNK, F.lit(0))
-        return cls(rest.unionByName(spread), tuple(key), tuple(order), True, longest, chunks + keys)
+        return cls(rest.unionByName(spread), tuple(key), tuple(order), True, chunks + keys)
 
     # -- plumbing -----------------------------------------------------------
 
@@ -72,11 +67,12 @@ class History:
     def part(self) -> list[str]:
         return [*self.key, CHUNK] if self.chunked else list(self.key)
 
-    def _window(self):
+    def window(self):
+        """The rows of a key, or of one chunk of it, in order."""
         return Window.partitionBy(*self.part).orderBy(*self.order)
 
     def _before(self, inclusive: bool):
-        return self._window().rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        return self.window().rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
 
     def _with(self, df: DataFrame) -> History:
         return replace(self, df=df)
@@ -120,7 +116,7 @@ class History:
 
     def _neighbour(self, name, expr, default, step, pick) -> History:
         box = F.struct(col(expr).alias("v"))
-        near = step(box).over(self._window())
+        near = step(box).over(self.window())
         df = self.df
         if self.chunked:
             df = self._enter("__in", pick(box, self._rank()), lambda e: step(e).over(self._chunks()))
@@ -182,7 +178,7 @@ class History:
 
     def number(self, name: str) -> History:
         """Position of the row within its key, from 1."""
-        place = F.row_number().over(self._window()).cast("bigint")
+        place = F.row_number().over(self.window()).cast("bigint")
         df = self.df
         if self.chunked:
             df = self._enter(

@@ -56,7 +56,7 @@ def pivot_labels(newest: DataFrame, labels: list[str], value: str = "temp") -> D
     return newest.groupBy("site").pivot("label", labels).agg(F.max_by(value, when_key()))
 
 
-# Snapshot columns by family; on the right the name in the wide row.
+# Snapshot columns by family; on the right the name in the wide row.
 SNAPSHOT = {
     "max11201b": {"flux": "tflux"},
     "furnace": {"furnace_ctrl": "furnace_ctrl", "furnace_power": "furnace_power"},

@@ -13,14 +13,93 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from holdline.functions.scalars import clamp, idiv
+from holdline.functions.scalars import clamp, idiv, join_on
 from holdline.operators.history import CHUNK, History
 from holdline.session import materialize
 
+# Samples per stored unit, and slots tried on a time stamp collision.
 HYSTERESIS_SCALE = 4
 COLLISION_LIMIT = 20
 
 
+def _hold(df: DataFrame, window, cols: list[str], start: dict[str, Column], scale: int) -> DataFrame:
+    """Hysteresis along ``window``, from the state ``<col>_x``, ``<col>_rise`` and
+    ``<col>_up`` in ``start``. Adds ``_rise``, ``_up``, ``_mem`` and ``_emit``."""
+    so_far = window.rowsBetween(Window.unboundedPreceding, 0)
+
+    def last_sign(step: Column) -> Column:
+        return F.last(F.when(step != 0, step > 0), ignorenulls=True).over(so_far)
+
+    def each(make) -> dict[str, Column]:
+        return {name: value for c in cols for name, value in make(c).items()}
+
+    low0 = {c: start[f"{c}_x"] - start[f"{c}_rise"].cast("bigint") for c in cols}
+    mem0 = {c: low0[c] + start[f"{c}_up"].cast("bigint") for c in cols}
+    x = F.col
+    df = df.withColumns(each(lambda c: {f"__p_{c}": F.coalesce(F.lag(c).over(window), start[f"{c}_x"])}))
+    df = df.withColumns(each(lambda c: {
+        f"{c}_rise": F.coalesce(last_sign(x(c) - x(f"__p_{c}")), start[f"{c}_rise"])}))
+    df = df.withColumns(each(lambda c: {f"__low_{c}": x(c) - x(f"{c}_rise").cast("bigint")}))
+    df = df.withColumns(each(lambda c: {f"__p_{c}": F.coalesce(F.lag(f"__low_{c}").over(window), low0[c])}))
+    df = df.withColumns(each(lambda c: {
+        f"{c}_up": F.coalesce(last_sign(x(f"__low_{c}") - x(f"__p_{c}")), start[f"{c}_up"])}))
+    df = df.withColumns(each(lambda c: {f"{c}_mem": x(f"__low_{c}") + x(f"{c}_up").cast("bigint")}))
+    df = df.withColumns(each(lambda c: {f"__p_{c}": F.coalesce(F.lag(f"{c}_mem").over(window), mem0[c])}))
+    df = df.withColumns(each(lambda c: {f"{c}_emit": idiv(f"{c}_mem", scale) != idiv(f"__p_{c}", scale)}))
+    return df.drop(*[f"__{n}_{c}" for n in ("p", "low") for c in cols])
+
+
+def state_samples(x: Column, rise: Column, up: Column) -> Column:
+    """Three samples that bring the hysteresis from anywhere into the given state:
+    the first is far enough away to move the held value in the wanted direction."""
+    far = F.when(up, x - 10).otherwise(x + 10)
+    turn = F.when(rise == up, far).otherwise(F.when(up, x + 1).otherwise(x - 1))
+    return F.array(far, turn, x)
+
+
+def _chunk_entries(h: History, cols: list[str], start: dict[str, Column], scale: int) -> DataFrame:
+    """The state with which each chunk of a hot key begins.
+
+    Three samples per chunk have the effect of all its rows: those that set the
+    state it ends in, or, when nothing in it is known to have moved the value (it
+    only steps to and fro by one), its first, its second and its last value.
+    """
+    w, at = h.window(), F.struct(*h.order)
+    rows = h.df.filter(F.col(CHUNK) > 0)
+    for c in cols:
+        rows = rows.withColumn(f"__d_{c}", F.col(c) - F.lag(c).over(w))
+    for c in cols:
+        step = F.col(f"__d_{c}")
+        sign = F.last(F.when(step != 0, step > 0), ignorenulls=True)
+        rows = rows.withColumn(f"__was_{c}", sign.over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    ends = []
+    for c in cols:
+        step, was = F.col(f"__d_{c}"), F.col(f"__was_{c}")
+        rose, turned = F.when(step != 0, step > 0), ((step == 1) & ~was) | ((step == -1) & was)
+        ends += [
+            F.min_by(c, at).alias(f"{c}_first"),
+            F.min_by(c, F.when(step != 0, at)).alias(f"{c}_second"),
+            F.max_by(c, at).alias(f"{c}_last"),
+            F.max_by(rose, F.when(step != 0, at)).alias(f"{c}_rise"),
+            F.max_by(rose, F.when((step != 0) & was.isNotNull() & ~turned, at)).alias(f"{c}_up"),
+        ]
+    ends = rows.groupBy(*h.part).agg(*ends)
+
+    def samples(c: str) -> Column:
+        first, last = F.col(f"{c}_first"), F.col(f"{c}_last")
+        known = state_samples(last, F.col(f"{c}_rise"), F.col(f"{c}_up"))
+        open_ = F.array(first, F.coalesce(F.col(f"{c}_second"), first), last)
+        return F.when(F.col(f"{c}_up").isNull(), open_).otherwise(known)
+
+    few = ends.select(*h.part, F.posexplode(F.arrays_zip(*[samples(c).alias(c) for c in cols])).alias("__n", "__s"))
+    few = materialize(few.select(*h.part, "__n", *[F.col(f"__s.{c}").alias(c) for c in cols]))
+    done = _hold(few, Window.partitionBy(*h.key).orderBy(CHUNK, "__n"), cols, start, scale).filter("__n = 2")
+    before = F.lag(F.struct(*[F.col(c).alias(f"{c}_x") for c in cols],
+                            *[f"{c}_{n}" for c in cols for n in ("rise", "up")]))
+    over = Window.partitionBy(*h.key).orderBy(CHUNK)
+    return done.select(*h.part, before.over(over).alias("__in"))
+
+
 def hysteresis_over(
     h: History, cols: list[str], scale: int = HYSTERESIS_SCALE, directions: bool = False
 ) -> History:
@@ -34,37 +113,18 @@ def hysteresis_over(
     one after a rise, and the direction is that of its last move. It starts at
     zero, going down.
     """
-    zero = F.struct(*[F.lit(0).cast("bigint").alias(c) for c in cols])
     h = h.with_columns(**{c: F.col(c).cast("bigint") for c in cols})
-    h = h.previous("__x", F.struct(*cols), zero)
+    start = {}
     for c in cols:
-        step = F.col(c) - F.col(f"__x.{c}")
-        h = h.carry(f"__rise_{c}", F.when(step != 0, step > 0))
-    low = {c: F.col(c) - F.coalesce(F.col(f"__rise_{c}"), F.lit(False)).cast("bigint") for c in cols}
-    h = h.with_columns(**{f"__low_{c}": low[c] for c in cols})
-    h = h.previous("__l", F.struct(*[F.col(f"__low_{c}").alias(c) for c in cols]), zero)
-    for c in cols:
-        move = F.col(f"__low_{c}") - F.col(f"__l.{c}")
-        h = h.carry(f"__up_{c}", F.when(move != 0, move > 0))
-    h = h.with_columns(
-        **{
-            f"{c}_mem": F.col(f"__low_{c}") + F.coalesce(F.col(f"__up_{c}"), F.lit(False)).cast("bigint")
-            for c in cols
-        }
-    )
-    h = h.previous("__m", F.struct(*[F.col(f"{c}_mem").alias(c) for c in cols]), zero)
-    h = h.with_columns(
-        **{f"{c}_emit": idiv(f"{c}_mem", scale) != idiv(f"__m.{c}", scale) for c in cols}
-    )
-    if directions:
-        h = h.with_columns(
-            **{
-                f"{c}_{n}": F.coalesce(F.col(f"__{n}_{c}"), F.lit(False))
-                for n in ("rise", "up")
-                for c in cols
-            }
-        )
-    return h.drop("__x", "__l", "__m", *[f"__{n}_{c}" for n in ("rise", "low", "up") for c in cols])
+        start |= {f"{c}_x": F.lit(0).cast("bigint"), f"{c}_rise": F.lit(False), f"{c}_up": F.lit(False)}
+    df = h.df
+    if h.chunked:
+        df = h.join_entry(df, _chunk_entries(h, cols, start, scale))
+        start = {n: F.coalesce(F.col(f"__in.{n}"), v) for n, v in start.items()}
+    df = _hold(df, h.window(), cols, start, scale).drop("__in")
+    if not directions:
+        df = df.drop(*[f"{c}_{n}" for c in cols for n in ("rise", "up")])
+    return replace(h, df=df)
 
 
 def hysteresis(df: DataFrame, key: list[str], order: list[str], col: str, scale: int = HYSTERESIS_SCALE) -> DataFrame:
@@ -142,45 +202,76 @@ def _compose_prefixes(df: DataFrame, window, longest: int) -> DataFrame:
     return df.drop("__g")
 
 
-def uniquify(
-    df: DataFrame, key: list[str], tick: str, seq: list[str], limit: int = COLLISION_LIMIT
-) -> DataFrame:
-    """Give each row its own ``slot``: its tick, or the next free one, trying
-    ``limit`` slots in all; rows that find none are left out.
+def _longest(df: DataFrame, part: list[str]) -> int:
+    sizes = df.groupBy(*part).agg(F.count(F.lit(1)).alias("__n"))
+    return sizes.agg(F.max("__n")).first()[0] or 0
+
 
-    Arrivals are taken by tick, then ``seq``. The last slot used moves by
-    "add one, then clamp to the row's range"; such steps compose to "add n, then
-    clamp", so the prefixes are built by doubling.
+def _crowded_slots(rows: DataFrame, key: list[str], order: list[str], limit: int) -> DataFrame:
+    """``slot`` for runs of rows in which some find none; others are dropped.
+
+    The last slot used moves by "add one, then clamp to the row's range"; such
+    steps compose to "add n, then clamp", so all prefixes come from doubling.
     """
-    h = History.of(df, key, [tick, *seq])
-    t = F.col(tick).cast("bigint")
+    h = History.of(rows, key, order)
+    t = F.col("__t")
     step = F.struct(F.lit(1).cast("bigint").alias("n"), t.alias("lo"), (t + (limit - 1)).alias("hi"))
-    w = Window.partitionBy(*h.part).orderBy(*h.order)
-    rows = _compose_prefixes(h.df.withColumn("__f", step), w, h.longest)
+    w = h.window()
+    steps = h.df.withColumn("__f", step)
+    steps = _compose_prefixes(steps, w, _longest(h.df, h.part))
     slot = F.col("__f.lo")  # nothing was used before the first row
     before = F.lag("slot").over(w)
     if h.chunked:
-        rows = materialize(rows)
+        steps = materialize(steps)
         ends = (
-            rows.filter(F.col(CHUNK) > 0)
+            steps.filter(F.col(CHUNK) > 0)
             .groupBy(*h.part)
             .agg(F.max_by("__f", F.struct(*h.order)).alias("__f"))
         )
         over = Window.partitionBy(*key).orderBy(CHUNK)
-        most = ends.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
-        ends = _compose_prefixes(ends, over, most).select(
-            *h.part, F.lag("__f.lo").over(over).alias("__in")
-        )
-        rows = h.join_entry(rows, ends)
+        ends = _compose_prefixes(ends, over, _longest(ends, key))
+        steps = h.join_entry(steps, ends.select(*h.part, F.lag("__f.lo").over(over).alias("__in")))
         slot = F.when(F.col("__in").isNull(), slot).otherwise(
             clamp(F.col("__in") + F.col("__f.n"), F.col("__f.lo"), F.col("__f.hi"))
         )
         before = F.coalesce(before, F.col("__in"))
-    rows = rows.withColumn("slot", slot).withColumn("__before", before)
-    kept = rows.filter(F.col("__before").isNull() | (F.col("slot") > F.col("__before")))
+    steps = steps.withColumn("slot", slot).withColumn("__before", before)
+    kept = steps.filter(F.col("__before").isNull() | (F.col("slot") > F.col("__before")))
     return kept.drop("__f", "__before", "__in", CHUNK)
 
 
+def uniquify(
+    df: DataFrame, key: list[str], tick: str, seq: list[str], limit: int = COLLISION_LIMIT
+) -> DataFrame:
+    """Give each row its own ``slot``: its tick, or the next free one, trying
+    ``limit`` slots in all; rows that find none are left out.
+
+    Arrivals are taken by tick, then ``seq``. Without the limit the slot of row i
+    is i plus the largest (tick - i) so far: a running maximum. That splits the
+    rows into runs, a new one beginning where a tick is still free; a run in which
+    no row is moved too far is settled. Only crowded runs go the longer way.
+    """
+    order = [tick, *seq]
+    h = History.of(df.withColumn("__t", F.col(tick).cast("bigint")), key, order).number("__i")
+    h = h.running_max("__lead", F.col("__t") - F.col("__i"))
+    h = h.with_columns(slot=F.col("__i") + F.col("__lead")).previous("__p", F.col("slot"))
+    fresh = F.coalesce(F.col("__t") > F.col("__p"), F.lit(True)).cast("bigint")
+    rows = h.running_sum("__run", fresh).rows().drop("__i", "__lead", "__p")
+    crowded = rows.filter(F.col("slot") - F.col("__t") >= limit).select(*key, "__run").distinct()
+    if h.chunked:
+        rows = materialize(rows)
+        crowded = materialize(
+            rows.filter(F.col("slot") - F.col("__t") >= limit).select(*key, "__run").distinct()
+        )
+    if crowded.isEmpty():
+        return rows.drop("__t", "__run")
+    runs = [*key, "__run"]
+    settled = join_on(rows, crowded, runs, "left_anti")
+    others = join_on(rows, crowded, runs, "left_semi").drop("slot")
+    kept = _crowded_slots(others, runs, order, limit)
+    return settled.unionByName(kept).drop("__t", "__run")
+
+
 # -- exponential smoothing ------------------------------------------------------
 
 # Terms with a weight below this add nothing to a double.

@@ -98,8 +98,8 @@ _SERIAL = "'28-' || lpad(lower(to_hex(sensor_key)), 12, '0')"
 MESSAGES = f"""SELECT event_id, site, event_us,
   CASE WHEN event_type = 'signup' THEN 'sensors/' || {_SERIAL}
     WHEN event_type = 'click' AND k % 3 = 0 THEN 'sensors/' || CASE WHEN k % 2 = 0 THEN 'vent' ELSE 'swamp_pump' END
-    WHEN event_type = 'click' AND k % 3 = 1 THEN 'act/westmod'
-    WHEN event_type = 'click' THEN 'hb/westmod'
+    WHEN event_type = 'click' AND k % 3 = 1 THEN 'act/node1'
+    WHEN event_type = 'click' THEN 'hb/node1'
     WHEN k = 50 THEN 'sensors/w1/errors' WHEN k = 51 THEN 'sensors/' || {_SERIAL} || '/errors'
     WHEN k = 52 THEN 'status' ELSE 'sensors/' || {_SERIAL} || '/data' END AS topic,
   CASE WHEN event_type = 'signup' THEN 'new'
@@ -118,8 +118,8 @@ def message_rows(ev):
     topic = (
         F.when(kind == "signup", serial)
         .when(click & (k % 3 == 0), F.when(k % 2 == 0, "sensors/vent").otherwise("sensors/swamp_pump"))
-        .when(click & (k % 3 == 1), "act/westmod")
-        .when(click, "hb/westmod")
+        .when(click & (k % 3 == 1), "act/node1")
+        .when(click, "hb/node1")
         .when(k == 50, "sensors/w1/errors")
         .when(k == 51, F.concat(serial, F.lit("/errors")))
         .when(k == 52, "status")

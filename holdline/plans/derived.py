@@ -193,7 +193,7 @@ def g8(t: Tables):
           WHERE coalesce(state, -1) <> was) WHERE state IS NOT NULL""",
         messages=MESSAGES,
         moves="""SELECT site, event_us, 'vent_sys' AS field, CASE payload WHEN 'V' THEN 1 ELSE 0 END AS state
-            FROM messages WHERE topic = 'act/westmod' AND payload IN ('V', 'v')
+            FROM messages WHERE topic = 'act/node1' AND payload IN ('V', 'v')
           UNION ALL SELECT site, event_us, split_part(topic, '/', 2), CAST(payload AS INTEGER)
             FROM messages WHERE topic IN ('sensors/vent', 'sensors/swamp_pump')
           UNION ALL SELECT site, event_us, f, NULL FROM messages, (VALUES ('vent'), ('swamp_pump')) x(f) WHERE topic = 'status'""",

@@ -11,9 +11,9 @@ from holdline.functions.times import when_key
 from holdline.operators.changelog import change_only
 from holdline.operators.derive import SMOOTHING, fan_flag, frame_factor, furnace_flags, held_frames
 from holdline.operators.history import History
-from holdline.operators.scan import compound_over, ema
+from holdline.operators.scan import compound_over, ema, state_samples
 from holdline.sources.messages import route_messages
-from holdline.streaming.state import BEFORE, last_by, start
+from holdline.streaming.state import BEFORE, drop_versions, last_by, start
 
 
 def _ddl(stream: DataFrame, cols: list[str]) -> str:
@@ -54,12 +54,7 @@ def stream_hysteresis(
     fields = [f"{c}_{n}" for c in cols for n in ("x", "rise", "up")]
 
     def samples(c: str) -> Column:
-        # Three samples that bring the channel to its state from anywhere: the
-        # first is far enough away to move the value in the wanted direction.
-        x, rise, up = (F.col(f"{c}_{n}") for n in ("x", "rise", "up"))
-        far = F.when(up, x - 10).otherwise(x + 10)
-        turn = F.when(rise == up, far).otherwise(F.when(up, x + 1).otherwise(x - 1))
-        return F.array(far, turn, x)
+        return state_samples(*[F.col(f"{c}_{n}") for n in ("x", "rise", "up")])
 
     def advance(rows: DataFrame, state: DataFrame):
         cells = F.arrays_zip(*[samples(c).alias(c) for c in cols])
@@ -145,6 +140,7 @@ def stream_snapshot(
 
     def each(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out/batch={n}")
+        drop_versions(batch.sparkSession, f"{path}/out", n - 1)
 
     return (
         newest.writeStream.outputMode("complete")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+# Seconds until a heartbeat is due and until a feed counts as stalled.
 HEARTBEAT_S = 5
 STALL_S = 15
 

@@ -13,7 +13,6 @@ overwrites its own folders.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,7 +54,7 @@ def versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(found)
 
 
-def _drop_versions(spark: SparkSession, path: str, below: int) -> None:
+def drop_versions(spark: SparkSession, path: str, below: int) -> None:
     for n in versions(spark, path):
         if n < below:
             fs, p = _folder(spark, f"{path}/batch={n}")
@@ -114,7 +113,7 @@ def start(
             for name, df in (("late", late), ("out", out), ("state", new_state), ("marks", taken)):
                 df.write.mode("overwrite").parquet(f"{path}/{name}/batch={n}")
             for name in ("state", "marks"):
-                _drop_versions(session, f"{path}/{name}", n - 1)
+                drop_versions(session, f"{path}/{name}", n - 1)
         finally:
             fresh.unpersist()
 
@@ -127,6 +126,9 @@ def start(
 
 
 def results(spark: SparkSession, path: str, name: str = "out") -> DataFrame:
-    """All rows written so far under ``out`` or ``late``."""
-    parts = [spark.read.parquet(f"{path}/{name}/batch={n}") for n in versions(spark, f"{path}/{name}")]
-    return reduce(DataFrame.unionByName, parts)
+    """All rows of finished batches under ``out`` or ``late``."""
+    done = versions(spark, f"{path}/{name}")
+    if not done:
+        raise ValueError(f"no batch has finished under {path}")
+    rows = spark.read.parquet(f"{path}/{name}")
+    return rows.filter(F.col("batch") <= done[-1]).drop("batch")

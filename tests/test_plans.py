@@ -57,4 +57,3 @@ def test_a_hot_key_is_spread(spark):
         spark.conf.unset("holdline.maxRowsPerTask")
     sizes = [r["count"] for r in h.df.groupBy("__chunk").count().collect()]
     assert len(sizes) >= 18 and max(sizes) < 3000
-    assert h.longest == max(sizes)

@@ -74,14 +74,14 @@ def test_broken_frames(spark):
 
 
 @pytest.mark.parametrize("topic,payload,kind,node,value", [
-    ("sensors/28-01142ff394f3/data", "2050", "data", "28-01142ff394f3", 2050),
-    ("sensors/28-01142ff394f3/data", "offline", "data", "28-01142ff394f3", None),
-    ("sensors/28-01142ff394f3/errors", "disappeared", "error", "28-01142ff394f3", None),
-    ("sensors/28-01142ff394f3", "attached", "lifecycle", "28-01142ff394f3", None),
+    ("sensors/28-00000abcdef1/data", "2050", "data", "28-00000abcdef1", 2050),
+    ("sensors/28-00000abcdef1/data", "offline", "data", "28-00000abcdef1", None),
+    ("sensors/28-00000abcdef1/errors", "disappeared", "error", "28-00000abcdef1", None),
+    ("sensors/28-00000abcdef1", "attached", "lifecycle", "28-00000abcdef1", None),
     ("sensors/w1/errors", "list full", "bus_error", None, None),
     ("sensors/vent", "1", "vent", None, 1),
-    ("act/westmod", "V", "act", "westmod", None),
-    ("hb/westmod", "7", "hb", "westmod", 7),
+    ("act/node1", "V", "act", "node1", None),
+    ("hb/node1", "7", "hb", "node1", 7),
     ("sensors", "7", "other", None, None),
 ])
 def test_topics(spark, topic, payload, kind, node, value):
