@@ -404,14 +404,15 @@ def j2(t: Tables):
     "j4_asof",
     sql(
         """SELECT p.sensor_id, p.event_id AS probe_id, l.temp FROM (
-          SELECT event_id, site * 4 + k % 4 AS sensor_id, sec * 1000 + cs100 AS t FROM ev WHERE event_type = 'purchase') p
+          SELECT event_id, site * 4 + (k + 1) % 4 AS sensor_id, sec * 1000 + cs100 AS t FROM ev) p
         ASOF LEFT JOIN (SELECT sensor_id, sec * 1000 + cs AS t, temp FROM ds18b20) l
           ON p.sensor_id = l.sensor_id AND p.t >= l.t"""
     ),
 )
 def j4(t: Tables):
-    probes = t.events().filter("event_type = 'purchase'").select(
-        (F.col("site") * 4 + F.col("k") % 4).alias("sensor_id"),
+    # At every event, the reading then in force at the next thermometer.
+    probes = t.events().select(
+        (F.col("site") * 4 + (F.col("k") + 1) % 4).alias("sensor_id"),
         "sec",
         F.col("cs100").alias("cs"),
         F.col("event_id").alias("probe_id"),

@@ -6,15 +6,16 @@ from pyspark.sql import functions as F
 
 from holdline.functions.scalars import to_fahrenheit
 from holdline.operators import changelog, cost, derive, latest
-from holdline.operators.views import furnace_state
+from holdline.operators.views import furnace_state, labeled
 from holdline.plans.basics import MESSAGES, SNAPSHOT_SQL, message_rows, rounded
 from holdline.plans.histories import ema_walk
 from holdline.plans.registry import query, sql
-from holdline.plans.tables import Tables, family_log
+from holdline.plans.tables import Tables, readings
 from holdline.sources.messages import route_messages
 
-_ASOF = """SELECT b.sensor_key, b.sec, b.pres, l.temp AS fencepost FROM (SELECT *, sec * 1000 + cs AS t FROM bme680) b
-  ASOF LEFT JOIN (SELECT *, sec * 1000 + cs AS t FROM ds18b20 WHERE sensor_id % 4 = 0) l ON b.site = l.site AND b.t >= l.t"""
+_ASOF = """SELECT b.sensor_key, b.sec, b.pres, l.temp AS fencepost FROM (SELECT *, event_us AS t FROM bme680) b ASOF LEFT JOIN (
+  SELECT d.site, event_us AS t, temp FROM ds18b20 JOIN dim d USING (sensor_id) WHERE label = 'fencepost') l
+  ON b.site = l.site AND b.t >= l.t"""
 
 
 @query(
@@ -26,11 +27,11 @@ _ASOF = """SELECT b.sensor_key, b.sec, b.pres, l.temp AS fencepost FROM (SELECT
     ),
 )
 def g1(t: Tables):
-    outdoor = t.log("ds18b20").filter(F.col("sensor_id") % 4 == 0).select(
-        "site", "sec", "cs", F.col("temp").alias("fencepost")
+    outdoor = labeled(t.log("ds18b20"), t.dim()).filter("label = 'fencepost'").select(
+        "site", "event_us", F.col("temp").alias("fencepost")
     )
     air = t.log("bme680").withColumn("probe_id", F.col("event_id"))
-    held = changelog.asof(outdoor, air, ["site"], ["fencepost"]).select("probe_id", "fencepost")
+    held = changelog.asof(outdoor, air, ["site"], ["fencepost"], ["event_us"]).select("probe_id", "fencepost")
     snap = air.join(held, "probe_id").select("sensor_key", "sec", "pres", "fencepost")
     return rounded(derive.sea_level_pressure(snap, t.cfg(), pressure="pres"))
 
@@ -117,14 +118,13 @@ def g9(t: Tables):
 
 # -- alerts -----------------------------------------------------------------------
 
-_FRAMES = """SELECT e.site, e.event_id, e.event_us, e.fam, f.furnace_ctrl, b.temp AS tmp_ctrl_module,
-    i.vrms, i.irms * 2 AS irms, i.pmean
-  FROM ev e LEFT JOIN furnace_state f ON f.sensor_key = e.sensor_key AND f.us = e.us
-    LEFT JOIN bme680 b ON b.sensor_key = e.sensor_key AND b.us = e.us
-    LEFT JOIN ina260 i ON i.sensor_key = e.sensor_key AND i.us = e.us WHERE e.fam IN (2, 3, 7)"""
+_FRAMES = """SELECT e.site, e.event_id, e.event_us, CASE event_type WHEN 'click' THEN 'furnace' WHEN 'signup' THEN 'air'
+    ELSE 'power' END AS src, f.furnace_ctrl, b.temp AS tmp_ctrl_module, i.vrms,
+    CASE WHEN event_type NOT IN ('click', 'signup') THEN i.irms * 2 END AS irms, i.pmean
+  FROM ev e JOIN furnace_state f USING (event_id) JOIN bme680 b USING (event_id) JOIN ina260 i USING (event_id)"""
 _HELD = """SELECT * FROM (SELECT *,
-    last_value(CASE WHEN fam = 2 THEN {'v': furnace_ctrl} END IGNORE NULLS) OVER w AS fc,
-    last_value(CASE WHEN fam = 3 THEN {'v': tmp_ctrl_module} END IGNORE NULLS) OVER w AS tc
+    last_value(CASE WHEN src = 'furnace' THEN {'v': furnace_ctrl} END IGNORE NULLS) OVER w AS fc,
+    last_value(CASE WHEN src = 'air' THEN {'v': tmp_ctrl_module} END IGNORE NULLS) OVER w AS tc
   FROM frames WINDOW w AS (PARTITION BY site ORDER BY event_us, event_id ROWS UNBOUNDED PRECEDING)) WHERE irms IS NOT NULL"""
 _ALERT_CTES = {
     "frames": _FRAMES,
@@ -137,23 +137,24 @@ _ALERT_CTES = {
 
 
 def frame_rows(ev):
-    """Furnace, air and power rows of a site as one stream of partial frames."""
-    furnace = furnace_state(family_log(ev, "furnace")).select("site", "event_id", "event_us", "furnace_ctrl")
-    air = family_log(ev, "bme680").select("site", "event_id", "event_us", F.col("temp").alias("tmp_ctrl_module"))
-    power = family_log(ev, "ina260").select(
-        "site", "event_id", "event_us", "vrms", (F.col("irms") * 2).alias("irms"), "pmean"
-    )
-    rows = furnace.withColumn("src", F.lit("furnace"))
-    for other, name in ((air, "air"), (power, "power")):
-        rows = rows.unionByName(other.withColumn("src", F.lit(name)), allowMissingColumns=True)
-    source = F.col("src")
-    return rows.withColumns(
-        {
-            "has_furnace_ctrl": source == "furnace",
-            "has_tmp_ctrl_module": source == "air",
-            "has_vrms": source == "power",
-            "has_pmean": source == "power",
-        }
+    """Events as partial frames: one brings the furnace, one the air, the rest the
+    power fields."""
+    kind = F.col("event_type")
+    furnace, air = kind == "click", kind == "signup"
+    power = ~furnace & ~air
+    return furnace_state(readings(ev, "furnace", "bme680", "ina260")).select(
+        "site",
+        "event_id",
+        "event_us",
+        "furnace_ctrl",
+        F.col("temp").alias("tmp_ctrl_module"),
+        "vrms",
+        F.when(power, F.col("irms") * 2).alias("irms"),
+        "pmean",
+        furnace.alias("has_furnace_ctrl"),
+        air.alias("has_tmp_ctrl_module"),
+        power.alias("has_vrms"),
+        power.alias("has_pmean"),
     )
 
 

@@ -9,7 +9,7 @@ from holdline.operators import changelog, scan
 from holdline.operators.calibrate import ONLINE_BYTE
 from holdline.plans.basics import rounded
 from holdline.plans.registry import query, sql
-from holdline.plans.tables import DAY_US, Tables
+from holdline.plans.tables import DAY_US, Tables, family_log
 
 
 @query(
@@ -37,53 +37,53 @@ def l1_furnace(t: Tables):
     return changelog.change_only(log, ["sensor_key"], ["q1", "q2"], {"q1": 0, "q2": 0})
 
 
-_SCANS = "SELECT DISTINCT site, sensor_key, sec // 86400 AS day FROM ev WHERE NOT tomb"
+_SCANS = "SELECT DISTINCT site, sensor_id, sec // 86400 AS day FROM ds18b20 WHERE temp IS NOT NULL"
 _SITE_SCANS = """SELECT site, day, lag(day) OVER w AS before, lead(day) OVER w AS after
   FROM (SELECT DISTINCT site, day FROM scans) WINDOW w AS (PARTITION BY site ORDER BY day)"""
 _PRESENCE = """SELECT s.*, c.before, c.after,
-  EXISTS (SELECT 1 FROM scans q WHERE q.site = s.site AND q.sensor_key = s.sensor_key AND q.day = c.before) AS was,
-  EXISTS (SELECT 1 FROM scans q WHERE q.site = s.site AND q.sensor_key = s.sensor_key AND q.day = c.after) AS will
+  EXISTS (SELECT 1 FROM scans q WHERE q.site = s.site AND q.sensor_id = s.sensor_id AND q.day = c.before) AS was,
+  EXISTS (SELECT 1 FROM scans q WHERE q.site = s.site AND q.sensor_id = s.sensor_id AND q.day = c.after) AS will
   FROM scans s JOIN site_scans c ON c.site = s.site AND c.day = s.day"""
 
 
 @query(
     "l2_lifecycle",
     sql(
-        """SELECT site, sensor_key, day, 'appeared' AS event FROM presence WHERE NOT was
-        UNION ALL SELECT site, sensor_key, after, 'disappeared' FROM presence WHERE after IS NOT NULL AND NOT will""",
+        """SELECT site, sensor_id, day, 'appeared' AS event FROM presence WHERE NOT was
+        UNION ALL SELECT site, sensor_id, after, 'disappeared' FROM presence WHERE after IS NOT NULL AND NOT will""",
         scans=_SCANS,
         site_scans=_SITE_SCANS,
         presence=_PRESENCE,
     ),
 )
 def l2(t: Tables):
-    scans = t.events().filter("NOT tomb").select("site", "sensor_key", idiv("sec", 86_400).alias("day"))
-    return changelog.lifecycle(scans, "site", "sensor_key", "day")
+    scans = t.log("ds18b20").filter("temp IS NOT NULL").select("site", "sensor_id", idiv("sec", 86_400).alias("day"))
+    return changelog.lifecycle(scans, "site", "sensor_id", "day")
 
 
 @query(
     "l2_firmware",
     sql(
-        """SELECT site, sensor_key, day, event FROM (SELECT *, CASE a WHEN 0 THEN 'attached' WHEN 75 THEN 'new'
+        """SELECT site, sensor_id, day, event FROM (SELECT *, CASE a WHEN 0 THEN 'attached' WHEN 75 THEN 'new'
           ELSE CASE WHEN NOT was THEN 'reappeared' END END AS event FROM presence) WHERE event IS NOT NULL
-        UNION ALL SELECT site, sensor_key, after, 'offline' FROM presence WHERE after IS NOT NULL AND NOT will""",
-        scans="""SELECT site, sensor_key, sec // 86400 AS day, CASE max(k) % 4 WHEN 0 THEN 0 WHEN 1 THEN 75 ELSE 255 END AS a
+        UNION ALL SELECT site, sensor_id, after, 'offline' FROM presence WHERE after IS NOT NULL AND NOT will""",
+        scans="""SELECT site, site * 4 + k % 4 AS sensor_id, sec // 86400 AS day, CASE max(k // 4) % 4 WHEN 0 THEN 0 WHEN 1 THEN 75 ELSE 255 END AS a
           FROM ev WHERE NOT tomb GROUP BY 1, 2, 3""",
         site_scans=_SITE_SCANS,
         presence=_PRESENCE,
     ),
 )
 def l2_firmware(t: Tables):
-    state = F.max("k") % 4
+    state = F.max(idiv("k", 4)) % 4
     first = F.when(state == 0, 0).when(state == 1, 75).otherwise(ONLINE_BYTE)
     second = F.when(state == 0, 0).when(state == 1, 70).otherwise(ONLINE_BYTE)
     scans = (
         t.events()
         .filter("NOT tomb")
-        .groupBy("site", "sensor_key", idiv("sec", 86_400).alias("day"))
+        .groupBy("site", (F.col("site") * 4 + F.col("k") % 4).alias("sensor_id"), idiv("sec", 86_400).alias("day"))
         .agg(first.alias("a"), second.alias("b"))
     )
-    return changelog.attach_events(scans, "site", "sensor_key", "day", "a", "b")
+    return changelog.attach_events(scans, "site", "sensor_id", "day", "a", "b")
 
 
 # One sample at a time: start at 0, falling; the recurrence the windows replace.
@@ -209,20 +209,19 @@ def l7(t: Tables):
             lag(sec) OVER w AS psec, lag(cs) OVER w AS pcs,
             lag(last) OVER w + 1000 * (lag(session) OVER w % 4) AS hb
           FROM (SELECT e.*, l.temp, l.hum, max(e.sec) OVER (PARTITION BY e.sensor_key, session) AS last
-            FROM sessions e JOIN sht31 l ON l.sensor_key = e.sensor_key AND l.sec = e.sec AND l.cs = e.cs)
+            FROM sessions e JOIN sht31 l USING (event_id))
           WINDOW w AS (PARTITION BY sensor_key ORDER BY sec, cs))
           WHERE psession <> session AND (ptemp IS NOT NULL OR phum IS NOT NULL))
         WHERE s * 128 + c + 1 < sec * 128 + cs"""
     ),
 )
 def l8(t: Tables):
-    sessions = t.sessions().select("event_id", "session")
-    log = t.log("sht31").select("sensor_key", "sec", "cs", "temp", "hum", "event_id").join(sessions, "event_id")
+    log = family_log(t.sessions(), "sht31").select("sensor_key", "sec", "cs", "temp", "hum", "session")
     # The heartbeat standing when a session starts comes from the session before.
     beat = (F.max("sec") + F.col("session") % 4 * 1000).alias("sec")
     heartbeats = log.groupBy("sensor_key", "session").agg(beat)
     heartbeats = heartbeats.withColumn("session", F.col("session") + 1)
-    return changelog.restart_tombstones(log.drop("event_id"), ["sensor_key"], ["temp", "hum"], "session", heartbeats)
+    return changelog.restart_tombstones(log, ["sensor_key"], ["temp", "hum"], "session", heartbeats)
 
 
 @query(
@@ -258,12 +257,12 @@ def l10(t: Tables):
     "l11_dead_sensors",
     sql(
         """SELECT sensor_key, sec, hb_sec FROM (SELECT sensor_key, max(sec) AS sec, arg_max_null(temp, sec * 128 + cs) AS temp
-          FROM bme680 GROUP BY 1) LEFT JOIN (SELECT sensor_key, max(sec) AS hb_sec FROM ev WHERE k % 8 = 0 GROUP BY 1) USING (sensor_key)
+          FROM bme680 GROUP BY 1) LEFT JOIN (SELECT sensor_key, max(sec) AS hb_sec FROM ev WHERE event_type = 'view' GROUP BY 1) USING (sensor_key)
         WHERE temp IS NOT NULL AND (SELECT max(sec) FROM ev) - greatest(sec, coalesce(hb_sec, 0)) > 5"""
     ),
 )
 def l11(t: Tables):
-    beats = t.events().filter(F.col("k") % 8 == 0).groupBy("sensor_key").agg(F.max("sec").alias("sec"))
+    beats = t.events().filter("event_type = 'view'").groupBy("sensor_key").agg(F.max("sec").alias("sec"))
     return changelog.dead_sensors(t.log("bme680"), beats, t.now(), ["sensor_key"], ["temp", "pres", "hum", "gas"])
 
 
@@ -366,9 +365,9 @@ def g12(t: Tables):
     "g13_stall_spans",
     sql(
         """SELECT site, event_us AS start_us, end_us FROM (SELECT *, lead(event_us) OVER
-        (PARTITION BY site ORDER BY event_us, event_id) AS end_us FROM ev) WHERE end_us - event_us > 3600000000"""
+        (PARTITION BY site ORDER BY event_us, event_id) AS end_us FROM ev) WHERE end_us - event_us > 86400000000"""
     ),
 )
 def g13(t: Tables):
     rows = t.events().select("site", "event_us", "event_id")
-    return changelog.stall_spans(rows, ["site"], 3600, ["event_us", "event_id"])
+    return changelog.stall_spans(rows, ["site"], 86_400, ["event_us", "event_id"])

@@ -11,7 +11,7 @@ from holdline.plans.tables import Tables
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-_LOG = "SELECT site, sensor_key, sec, cs, us, event_us, {} FROM ev WHERE fam = {}"
+_LOG = "SELECT site, sensor_key, sec, cs, us, event_us, event_id, {} FROM ev"
 
 
 def _nulled(**channels: str) -> str:
@@ -20,7 +20,7 @@ def _nulled(**channels: str) -> str:
 
 # The driver's tables seen as sensor logs, the same mapping as in Tables.
 _COMMON = {
-    "raw_ev": """SELECT event_id, user_id // 8 AS site, user_id AS sensor_key, user_id % 8 AS fam,
+    "raw_ev": """SELECT event_id, user_id AS site, user_id AS sensor_key,
       epoch_us(ts) AS us, epoch_us(ts) // 1000000 AS sec,
       CAST(((epoch_us(ts) % 1000000) * 1000) >> 23 AS INTEGER) AS cs,
       CAST((epoch_us(ts) % 1000000) // 10000 AS INTEGER) AS cs100,
@@ -28,10 +28,10 @@ _COMMON = {
       event_type = 'error' AS tomb, event_type FROM events""",
     "ev": "SELECT *, sec * 1000000 + (CAST(cs AS BIGINT) << 23) // 1000 AS event_us FROM raw_ev",
     "ds18b20": """SELECT site, site * 4 + k % 4 AS sensor_id, sec, cs100 AS cs,
-      sec * 1000000 + CAST(cs100 AS BIGINT) * 10000 AS event_us, event_id, k,
-      CASE WHEN NOT tomb THEN CAST(v - 5000 AS INTEGER) END AS temp FROM ev WHERE fam = 0""",
-    "max11201b": _LOG.format(_nulled(flux="CAST((v - 5000) // 100 AS INTEGER)"), 1),
-    "furnace": _LOG.format(_nulled(q1="CAST(k % 2 AS INTEGER)", q2="CAST((k // 2) % 2 AS INTEGER)"), 2),
+      sec * 1000000 + CAST(cs100 AS BIGINT) * 10000 AS event_us, event_id, event_type,
+      CASE WHEN NOT tomb THEN CAST(v - 5000 AS INTEGER) END AS temp FROM ev""",
+    "max11201b": _LOG.format(_nulled(flux="CAST((v - 5000) // 100 AS INTEGER)")),
+    "furnace": _LOG.format(_nulled(q1="CAST(k % 2 AS INTEGER)", q2="CAST((k // 2) % 2 AS INTEGER)")),
     "bme680": _LOG.format(
         _nulled(
             temp="CAST(v - 5000 AS INTEGER)",
@@ -39,23 +39,21 @@ _COMMON = {
             hum="CAST(v % 1001 AS INTEGER)",
             gas="CAST(k + 1 AS INTEGER)",
         ),
-        3,
     ),
-    "sht31": _LOG.format(_nulled(temp="CAST(v - 5000 AS INTEGER)", hum="CAST(v % 1001 AS INTEGER)"), 4),
-    "tsl2591": _LOG.format(_nulled(total="v * 1000", ired="k * 10000"), 5),
-    "veml6075": _LOG.format(_nulled(uva="CAST(v AS INTEGER)", uvb="CAST(k * 10 AS INTEGER)"), 6),
+    "sht31": _LOG.format(_nulled(temp="CAST(v - 5000 AS INTEGER)", hum="CAST(v % 1001 AS INTEGER)")),
+    "tsl2591": _LOG.format(_nulled(total="v * 1000", ired="k * 10000")),
+    "veml6075": _LOG.format(_nulled(uva="CAST(v AS INTEGER)", uvb="CAST(k * 10 AS INTEGER)")),
     "ina260": _LOG.format(
         _nulled(
             vrms="CAST(115 + k % 10 AS INTEGER)",
             irms="CAST(CASE WHEN k % 10 = 0 THEN 0 ELSE v % 2000 END AS INTEGER)",
             pmean="CAST(v % 2400 AS INTEGER)",
         ),
-        7,
     ),
     "all_ids": """SELECT DISTINCT sensor_id, site, '28-' || lpad(lower(to_hex(sensor_id)), 12, '0') AS serial_code,
       CASE sensor_id % 4 WHEN 0 THEN 'fencepost' WHEN 1 THEN 'heat_exch_inlet'
         WHEN 2 THEN 'heat_exch_outlet' ELSE 'tank_1' END AS label FROM ds18b20""",
-    "dim": "SELECT * FROM all_ids WHERE site % 10 <> 9",
+    "dim": "SELECT * FROM all_ids WHERE sensor_id IN (SELECT sensor_id FROM ds18b20 WHERE event_type = 'signup')",
     "furnace_state": """SELECT *, CAST(q1 = 0 AND q2 = 0 AS INTEGER) AS furnace_ctrl,
       CAST(q1 = 0 OR q2 = 0 AS INTEGER) AS furnace_power FROM furnace""",
     "sessions": """SELECT *, 1 + CAST(sum(CASE WHEN us - prev_us > 86400000000 THEN 1 ELSE 0 END)

@@ -1,8 +1,9 @@
 """The driver's tables seen as sensor logs.
 
 ``events`` holds no sensor data, so its columns are mapped onto the log schemas:
-a user is a sensor, eight users make a site with one sensor of each family, and
-``error`` events are tombstones.
+a user is a site with one sensor of each family and four thermometers, an event is
+a reading of every chip of its site, and ``error`` events are tombstones. So each
+family's log has a row for every event.
 """
 
 from __future__ import annotations
@@ -33,9 +34,8 @@ def adapt_events(events: DataFrame) -> DataFrame:
     us, user = _micros(F.col("ts")), F.col("user_id")
     df = events.select(
         "event_id",
-        idiv(user, 8).alias("site"),
+        user.alias("site"),
         user.alias("sensor_key"),
-        (user % 8).alias("fam"),
         us.alias("us"),
         F.round(F.col("value") * 100).cast("bigint").alias("v"),
         F.regexp_extract("props", "[0-9]+", 0).cast("bigint").alias("k"),
@@ -66,23 +66,27 @@ def _channels(family: str) -> dict[str, Column]:
     }[family]()
 
 
+def readings(ev: DataFrame, *families: str) -> DataFrame:
+    """Events with the channels of the given families, NULL on tombstones."""
+    cols = {}
+    for family in families:
+        types = dict(FAMILIES[family].channels)
+        for c, e in _channels(family).items():
+            cols[c] = F.when(~F.col("tomb"), e.cast(types[c]))
+    return ev.withColumns(cols)
+
+
 def family_log(ev: DataFrame, family: str) -> DataFrame:
-    """Log rows of one family, with ``site``, ``event_id`` and ``event_us``."""
+    """Log rows of one family, with what else is known of the event."""
     f = FAMILIES[family]
-    fam = list(FAMILIES).index(family)
-    types = dict(f.channels)
-    cols = {
-        c: F.when(~F.col("tomb"), e.cast(types[c])) for c, e in _channels(family).items()
-    }
-    rows = ev.filter(F.col("fam") == fam)
+    rows = readings(ev, family)
     if family == "ds18b20":
         rows = rows.withColumns(
             {"sensor_id": F.col("site") * 4 + F.col("k") % 4, "cs": F.col("cs100")}
         )
         rows = with_event_time(rows, "centi")
-    return rows.select(
-        "site", f.key, "sec", "cs", "event_us", "event_id", "k", *[c.alias(n) for n, c in cols.items()]
-    )
+    more = [c for c in ("event_us", "event_id", "event_type", "session") if c in rows.columns]
+    return rows.select("site", f.key, "sec", "cs", *more, *f.columns)
 
 
 @dataclass(frozen=True)
@@ -109,7 +113,9 @@ class Tables:
         return ids.select("sensor_id", "site", serial.alias("serial_code"), label.alias("label"))
 
     def dim(self) -> DataFrame:
-        return self.sensor_ids().filter(F.col("site") % 10 != 9)
+        """The sensors that signed up; the others are unknown to the dimension."""
+        signed = self.log("ds18b20").filter("event_type = 'signup'").select("sensor_id")
+        return self.sensor_ids().join(signed, "sensor_id", "left_semi")
 
     def cfg(self) -> DataFrame:
         return default_config(self.spark)
