@@ -257,19 +257,21 @@ def uniquify(
     h = h.with_columns(slot=F.col("__i") + F.col("__lead")).previous("__p", F.col("slot"))
     fresh = F.coalesce(F.col("__t") > F.col("__p"), F.lit(True)).cast("bigint")
     rows = h.running_sum("__run", fresh).rows().drop("__i", "__lead", "__p")
-    crowded = rows.filter(F.col("slot") - F.col("__t") >= limit).select(*key, "__run").distinct()
+    runs, late = [*key, "__run"], F.col("slot") - F.col("__t") >= limit
     if h.chunked:
         rows = materialize(rows)
-        crowded = materialize(
-            rows.filter(F.col("slot") - F.col("__t") >= limit).select(*key, "__run").distinct()
-        )
-    if crowded.isEmpty():
-        return rows.drop("__t", "__run")
-    runs = [*key, "__run"]
-    settled = join_on(rows, crowded, runs, "left_anti")
-    others = join_on(rows, crowded, runs, "left_semi").drop("slot")
-    kept = _crowded_slots(others, runs, order, limit)
-    return settled.unionByName(kept).drop("__t", "__run")
+        crowded = materialize(rows.filter(late).select(*runs).distinct())
+        settled = join_on(rows, crowded, runs, "left_anti")
+        others = join_on(rows, crowded, runs, "left_semi")
+    else:
+        # On the partitioning at hand: a run lies within its key.
+        rows = rows.withColumn("__late", F.max(late).over(Window.partitionBy(*runs)))
+        settled = rows.filter(~F.col("__late")).drop("__late")
+        others = rows.filter("__late").drop("__late")
+    others = materialize(others.drop("slot"))
+    if not others.isEmpty():
+        settled = settled.unionByName(_crowded_slots(others, runs, order, limit))
+    return settled.drop("__t", "__run")
 
 
 # -- exponential smoothing ------------------------------------------------------
