@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -10,7 +11,10 @@ from holdline.session import MAX_ROWS_CONF, local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    s = local_session(8, **{"spark.sql.shuffle.partitions": "4"})
+    # On a few rows, compiling the stages takes longer than running them.
+    s = local_session(
+        8, **{"spark.sql.shuffle.partitions": "4", "spark.sql.codegen.wholeStage": os.environ.get("TEST_CODEGEN", "false")}
+    )
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 
 import duckdb
 
@@ -36,3 +37,19 @@ def sql_rows(con, sql):
     columns = sorted(out.columns)
     places = [out.columns.index(c) for c in columns]
     return columns, _rows([tuple(r[i] for i in places) for r in out.fetchall()])
+
+
+def plan_lines(df):
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return [x for x in re.sub(r"[:+\-|*]", " ", text).splitlines() if x.strip()]
+
+
+def check_batch_plan(df, gathers=False):
+    """No Python, no cross join, and no rows gathered in one task."""
+    plan = plan_lines(df)
+    text = "\n".join(plan)
+    assert not re.search(r"Python|MapInPandas|MapInArrow|FlatMapGroups|ArrowEval", text)
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+    for above, line in zip(plan, plan[1:]):
+        if "Exchange SinglePartition" in line:
+            assert "Aggregate" in above or gathers, above

@@ -1,35 +1,10 @@
-"""Physical plans: no Python in batch work, no rows gathered in one task."""
+"""Physical plans of the core steps; those of the queries are in test_queries."""
 
-import re
-
-import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as driver
 from holdline.operators import changelog, latest, scan
 from holdline.operators.history import History
-from oracle import SF_DIR
-
-BATCH = sorted(n for n in driver.queries() if not n.startswith("x"))
-
-
-def lines(df):
-    text = df._jdf.queryExecution().executedPlan().toString()
-    return [x for x in re.sub(r"[:+\-|*]", " ", text).splitlines() if x.strip()]
-
-
-@pytest.mark.parametrize("name", BATCH)
-def test_batch_plans(spark, name):
-    plan = lines(driver.queries()[name](spark, SF_DIR))
-    text = "\n".join(plan)
-    assert not re.search(r"Python|MapInPandas|MapInArrow|FlatMapGroups|ArrowEval", text)
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    for above, line in zip(plan, plan[1:]):
-        if "Exchange SinglePartition" in line:
-            # Only one partial result per task may meet in a single one; numbering
-            # new sensors is the exception, bounded by the split limit.
-            assert "Aggregate" in above or name == "s3_new_sensors", above
-
+from oracle import plan_lines as lines
 
 def test_latest_combines_before_the_shuffle(spark):
     log = spark.createDataFrame([(1, 1, 1, 1)], "k int, sec long, cs int, temp int")

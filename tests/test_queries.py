@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as driver
 from holdline.session import MAX_ROWS_CONF
-from oracle import SF_DIR, connect, spark_rows, sql_rows
+from oracle import SF_DIR, check_batch_plan, connect, spark_rows, sql_rows
 
 QUERIES, ORACLES = driver.queries(), driver.oracle_sql()
 
@@ -28,7 +28,12 @@ def test_every_query_has_sql():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    assert spark_rows(QUERIES[name](spark, SF_DIR)) == sql_rows(con, ORACLES[name])
+    df = QUERIES[name](spark, SF_DIR)
+    if not name.startswith("x"):
+        # Only one partial result per task may meet in a single one; numbering new
+        # sensors is the exception, bounded by the split limit.
+        check_batch_plan(df, gathers=name == "s3_new_sensors")
+    assert spark_rows(df) == sql_rows(con, ORACLES[name])
 
 
 @pytest.mark.parametrize("name", SPLIT)
