@@ -129,14 +129,8 @@ def stream_route(stream: DataFrame, topic: str, payload: str) -> DataFrame:
     return route_messages(stream, topic, payload)
 
 
-def stream_snapshot(
-    stream: DataFrame, path: str, key: list[str], cols: list[str], **trigger
-) -> StreamingQuery:
-    """The newest row per key, rewritten as a whole at every trigger under
-    ``<path>/out/batch=<n>``; read the last version. A running aggregate: combined
-    map-side, its state kept by the engine."""
-    names = ["sec", "cs", *cols]
-    newest = stream.groupBy(*key).agg(*[F.max_by(c, when_key()).alias(c) for c in names])
+def _rewritten(newest: DataFrame, path: str, trigger: dict) -> StreamingQuery:
+    """Write a running aggregate as a whole at every trigger, keeping two versions."""
 
     def each(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out/batch={n}")
@@ -149,3 +143,19 @@ def stream_snapshot(
         .trigger(**(trigger or {"processingTime": "250 milliseconds"}))
         .start()
     )
+
+
+def stream_snapshot(
+    stream: DataFrame, path: str, key: list[str], cols: list[str], **trigger
+) -> StreamingQuery:
+    """The newest row per key under ``<path>/out/batch=<n>``; read the last version.
+    A running aggregate: combined map-side, its state kept by the engine."""
+    names = ["sec", "cs", *cols]
+    newest = stream.groupBy(*key).agg(*[F.max_by(c, when_key()).alias(c) for c in names])
+    return _rewritten(newest, path, trigger)
+
+
+def stream_heartbeats(stream: DataFrame, path: str, **trigger) -> StreamingQuery:
+    """The heartbeat table ``(sensor_name, sec)``, last write by ``seq`` winning."""
+    newest = stream.groupBy("sensor_name").agg(F.max_by("sec", "seq").alias("sec"))
+    return _rewritten(newest, path, trigger)

@@ -92,6 +92,17 @@ def test_snapshot(spark, tmp_path):
     assert got == [(1, 6, None), (2, 5, 20)]
 
 
+def test_heartbeat_table(spark, tmp_path):
+    source, job = str(tmp_path / "in"), str(tmp_path / "job")
+    schema = "sensor_name string, sec long, seq long"
+    for part in ([("a", 9, 1), ("b", 1, 2)], [("a", 7, 3)]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(source)
+        live.stream_heartbeats(read_stream(spark, source, schema), job, **NOW).awaitTermination()
+    last = versions(spark, f"{job}/out")[-1]
+    got = sorted(map(tuple, spark.read.parquet(f"{job}/out/batch={last}").collect()))
+    assert got == [("a", 7), ("b", 1)]
+
+
 def test_timers_over_several_runs(spark, tmp_path):
     rng = random.Random(6)
     data, secs = [], {k: 0 for k in range(6)}

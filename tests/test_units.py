@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from holdline.functions import scalars, times
+from holdline.model import FAMILIES
 from holdline.operators import calibrate, changelog, derive, latest, scan, views
 from holdline.sources import config
 
@@ -125,6 +126,18 @@ def test_empty_logs_have_a_time(spark):
     assert latest.last_log_times([empty]).count() == 0
 
 
+def test_a_missing_family_empties_only_the_strict_snapshot(spark):
+    logs = {}
+    for f in FAMILIES.values():
+        cols = ", ".join(f"{n} {t.simpleString()}" for n, t in f.channels)
+        rows = [(s, 10 + s, 0, *[1] * len(f.channels)) for s in (1, 2) if (s, f.name) != (2, "sht31")]
+        logs[f.name] = spark.createDataFrame(rows, f"site long, sec long, cs int, {cols}")
+    cfg = config.default_config(spark)
+    loose = {r.site: r.hum_out for r in latest.last_logs(logs, cfg).collect()}
+    assert loose == {1: 1, 2: None}
+    assert [r.site for r in latest.last_logs(logs, cfg, strict=True).collect()] == [1]
+
+
 def test_missing_outdoor_temperature_gives_no_pressure(spark):
     snap = spark.createDataFrame([(8400, None), (8400, 2000)], "plocal int, fencepost int")
     got = [r.psea for r in derive.sea_level_pressure(snap, config.default_config(spark)).collect()]
