@@ -76,15 +76,22 @@ def _advance(key, frames: Iterator[pd.DataFrame], state: GroupState):
     )
 
 
+def _thin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per sensor and second of each Arrow batch, before the shuffle."""
+    for frame in frames:
+        yield frame.groupby(["sensor_key", "sec"], as_index=False)["recorded"].any()
+
+
 def stream_liveness(samples: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """Events ``heartbeat`` (at a sample), ``dead`` and ``stalled`` (at the last
     sample before more than 5 and 15 seconds of silence).
 
     ``samples`` has ``sensor_key``, ``sec`` and ``recorded``.
     """
-    timed = samples.select(
-        "sensor_key", "sec", "recorded", F.timestamp_seconds("sec").alias("at")
-    ).withWatermark("at", delay)
+    thin = samples.select(
+        F.col("sensor_key").cast("bigint"), F.col("sec").cast("bigint"), F.coalesce("recorded", F.lit(False)).alias("recorded")
+    ).mapInPandas(_thin, "sensor_key bigint, sec bigint, recorded boolean")
+    timed = thin.withColumn("at", F.timestamp_seconds("sec")).withWatermark("at", delay)
     return timed.groupBy("sensor_key").applyInPandasWithState(
         _advance, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
