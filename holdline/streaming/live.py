@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from holdline.functions.scalars import idiv, join_on
 from holdline.functions.times import when_key
 from holdline.operators.changelog import change_only
-from holdline.operators.derive import SMOOTHING, fan_flag, frame_factor, furnace_flags, held_frames
+from holdline.operators.derive import fan_flag, frame_factor, furnace_flags, held_frames
 from holdline.operators.history import History
 from holdline.operators.scan import compound_over, ema, state_samples
 from holdline.sources.messages import route_messages
