@@ -3,10 +3,12 @@
 import pytest
 
 import __spark_entry__ as driver
+from holdline.plans import registry
 from holdline.session import MAX_ROWS_CONF
 from oracle import SF_DIR, check_batch_plan, connect, spark_rows, sql_rows
 
-QUERIES, ORACLES = driver.queries(), driver.oracle_sql()
+driver.queries()  # registers them
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 
 # One per operator with its own way over chunks.
 SPLIT = (
