@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator, Mapping
+from pathlib import Path
+from zipfile import ZipFile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +23,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_sent_to: set[str] = set()
+
+
+def send_package(spark: SparkSession) -> None:
+    """Let the executors' Python import this package, wherever they start."""
+    sc = spark.sparkContext
+    if sc.applicationId in _sent_to:
+        return
+    package = Path(__file__).resolve().parents[1]
+    file = Path(tempfile.mkdtemp(prefix="holdline-")) / "holdline.zip"
+    with ZipFile(file, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    sc.addPyFile(str(file))
+    _sent_to.add(sc.applicationId)
+
+
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """``df``, with its session's Arrow batches kept small, for long texts."""
+    """``df``, with its session's Arrow batches kept small, for long texts, and its
+    executors able to run this package."""
+    send_package(df.sparkSession)
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

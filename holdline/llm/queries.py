@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from holdline.llm import common, token_blocks, token_counts
+from holdline.llm import common, jaccard, token_blocks, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,3 +31,8 @@ def op8_token_blocks(spark, sf_dir):
     folder = common.new_folder(spark, "token-blocks")
     token_blocks.write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), folder)
     return token_blocks.read_documents(spark, folder)
+
+
+@_query
+def op10_jaccard_join(spark, sf_dir):
+    return jaccard.similar_documents(common.table(spark, sf_dir, "documents"))
