@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from holdline.llm import common, jaccard, token_blocks, token_counts
+from holdline.llm import common, jaccard, quality, token_blocks, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +36,9 @@ def op8_token_blocks(spark, sf_dir):
 @_query
 def op10_jaccard_join(spark, sf_dir):
     return jaccard.similar_documents(common.table(spark, sf_dir, "documents"))
+
+
+@_query
+def op5_quality(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents")
+    return quality.classified(docs, quality.fit(docs, common.table(spark, sf_dir, "labels")))
