@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from holdline.llm import common, jaccard, quality, token_blocks, token_counts
+from holdline.llm import common, decontaminate, jaccard, mixing, quality, token_blocks, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,6 +17,19 @@ def _query(fn):
     QUERIES[fn.__name__] = fn
     return fn
 
+# Wanted shares of the sources in a mixture as large as what goes in.
+MIX_WEIGHTS = {f"src{i}": 2.0 if i < 5 else 1.0 for i in range(20)}
+MIX_FACTOR, MIX_SEED = 1.0, 2024
+
+
+@_query
+def op2_mixing(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents")
+    return mixing.mixed(docs, MIX_WEIGHTS, MIX_FACTOR, MIX_SEED)
+
+
+ORACLES["op2_mixing"] = mixing.mixed_sql(MIX_WEIGHTS, MIX_FACTOR, MIX_SEED, "doc_id, text, lang, source, n_chars")
+
 
 @_query
 def op4_token_counts(spark, sf_dir):
@@ -42,3 +55,9 @@ def op10_jaccard_join(spark, sf_dir):
 def op5_quality(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents")
     return quality.classified(docs, quality.fit(docs, common.table(spark, sf_dir, "labels")))
+
+
+@_query
+def op6_decontaminate(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents")
+    return decontaminate.matches(docs, common.table(spark, sf_dir, "benchmark"))

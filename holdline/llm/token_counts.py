@@ -72,7 +72,9 @@ def count_tokens(
     counted.withColumn("tokenizer", F.lit(version)).write.mode("append").parquet(cache_dir)
 
     rows = keyed.select(id_col, "content", F.octet_length("text").cast("long").alias("n_bytes"))
-    counts = stored_counts(spark, cache_dir, version)
+    # Written first, so that nothing but a shuffle stands below the join, which Spark can
+    # then split where a third of all rows have one text.
+    counts = common.written(stored_counts(spark, cache_dir, version), "counts")
     return rows.join(counts, "content").select(
         id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
