@@ -259,3 +259,14 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.col("n").alias("n_shingles"),
         F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"),
     )
+
+
+def without_near_copies(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The rows of ``docs``, with all their columns, less all but one of each group that
+    links connect: the row with the smallest doc_id stays, once if it is repeated. Rows
+    with a null id all stay.
+    """
+    found = similar_documents(docs.select("doc_id", "text"), percent=percent)
+    first = found.filter("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
