@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from holdline.llm import common, decontaminate, jaccard, mixing, quality, token_blocks, token_counts
+from holdline.llm import common, decontaminate, html_text, jaccard, mixing, quality, token_blocks, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +22,11 @@ MIX_WEIGHTS = {f"src{i}": 2.0 if i < 5 else 1.0 for i in range(20)}
 MIX_FACTOR, MIX_SEED = 1.0, 2024
 
 
+@_query
+def op1_html_text(spark, sf_dir):
+    return html_text.extract(common.table(spark, sf_dir, "pages"))
+
+
 @_query
 def op2_mixing(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents")
