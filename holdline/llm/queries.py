@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from holdline.llm import common, decontaminate, html_text, jaccard, mixing, quality, token_blocks, token_counts
+from holdline.llm import common, decontaminate, html_text, jaccard, mixing, quality, token_blocks, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +66,18 @@ def op5_quality(spark, sf_dir):
 def op6_decontaminate(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents")
     return decontaminate.matches(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op9_warc(spark, sf_dir):
+    return warc.page_summary(spark, common.table(spark, sf_dir, "pages"), common.new_folder(spark, "warc"))
+
+
+ORACLES["op9_warc"] = """
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+  CASE WHEN n >= 100 AND page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id <> keeper THEN keeper END AS refers_to
+FROM (SELECT *, min(page_id) OVER (PARTITION BY digest) AS keeper
+  FROM (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n,
+    sha256(coalesce(html, '')) AS digest FROM pages))
+"""
