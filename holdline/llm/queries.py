@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from holdline.llm import common, decontaminate, html_text, jaccard, mixing, quality, token_blocks, token_counts, warc
+from holdline.llm import common, decontaminate, html_text, jaccard, mixing, pseudonyms, quality, token_blocks, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,6 +68,15 @@ def op6_decontaminate(spark, sf_dir):
     return decontaminate.matches(docs, common.table(spark, sf_dir, "benchmark"))
 
 
+# A demonstration key; a job brings its own secret.
+PSEUDONYM_KEY = b"demonstration only"
+
+
+@_query
+def op7_pseudonyms(spark, sf_dir):
+    return pseudonyms.pseudonymized(common.table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
 @_query
 def op9_warc(spark, sf_dir):
     return warc.page_summary(spark, common.table(spark, sf_dir, "pages"), common.new_folder(spark, "warc"))
