@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from holdline.llm import common, decontaminate, html_text, jaccard, mixing, pseudonyms, quality, token_blocks, token_counts, warc
+from holdline.llm import common, decontaminate, html_text, jaccard, mixing, pivots, pseudonyms, quality, token_blocks, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,11 @@ def op2_mixing(spark, sf_dir):
 ORACLES["op2_mixing"] = mixing.mixed_sql(MIX_WEIGHTS, MIX_FACTOR, MIX_SEED, "doc_id, text, lang, source, n_chars")
 
 
+@_query
+def op3_embedding_near_dedup(spark, sf_dir):
+    return pivots.near_duplicates(common.table(spark, sf_dir, "embeddings"))
+
+
 @_query
 def op4_token_counts(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents")
