@@ -208,12 +208,16 @@ def intervals(
     )
 
 
-def gaps(log: DataFrame, key: list[str], cols: list[str], threshold_us: int) -> DataFrame:
+def gaps(
+    log: DataFrame, key: list[str], cols: list[str], threshold_us: int, now_us: Column | int
+) -> DataFrame:
     """Spans in which a sensor is ``unknown`` (a tombstone holds) or ``silent``
-    (known, but without a row for longer than the threshold)."""
+    (known, but without a row for longer than the threshold). A span that lasts at
+    ``now_us`` has no end."""
+    now = now_us if isinstance(now_us, Column) else F.lit(now_us).cast("bigint")
     h = History.of(log, key, ["event_us"]).following("end_us", F.col("event_us"))
     kind = F.when(~is_known(cols), "unknown").when(
-        F.col("end_us") - F.col("event_us") > threshold_us, "silent"
+        F.coalesce("end_us", now) - F.col("event_us") > threshold_us, "silent"
     )
     rows = h.rows().select(*key, F.col("event_us").alias("start_us"), "end_us", kind.alias("kind"))
     return rows.filter(F.col("kind").isNotNull())
@@ -248,7 +252,8 @@ def last_known(log: DataFrame, key: list[str], cols: list[str], order: list[str]
     ).rows()
 
 
-# Fields that other derived fields depend on; always passed on.
+# Fields that other derived fields depend on, whatever the case of their
+# names; always passed on.
 DEPENDED_ON = ("vrms", "irms", "pmean", "vis_ir", "ired", "uva", "uvb")
 
 
@@ -258,12 +263,16 @@ def field_updates(
     """Long rows ``(key, field, value)`` that change their field, or belong to
     ``always``."""
     h = History.of(df, [*key, "field"], order).previous("__prev", F.col("value"))
-    keep = ~F.col("value").eqNullSafe(F.col("__prev")) | F.col("field").isin(*always)
+    keep = ~F.col("value").eqNullSafe(F.col("__prev")) | F.lower("field").isin(*[f.lower() for f in always])
     return h.filter(keep).drop("__prev").rows()
 
 
-def stall_spans(df: DataFrame, key: list[str], seconds: int = 15, order: list[str] | None = None) -> DataFrame:
-    """Spans between arrivals (``event_us``) more than ``seconds`` apart."""
+def stall_spans(
+    df: DataFrame, key: list[str], now_us: Column | int, seconds: int = 15, order: list[str] | None = None
+) -> DataFrame:
+    """Spans between arrivals (``event_us``) more than ``seconds`` apart. A stall that
+    lasts at ``now_us`` has no end."""
+    now = now_us if isinstance(now_us, Column) else F.lit(now_us).cast("bigint")
     h = History.of(df, key, order or ["event_us"]).following("end_us", F.col("event_us"))
-    rows = h.filter(F.col("end_us") - F.col("event_us") > seconds * 1_000_000).rows()
+    rows = h.filter(F.coalesce("end_us", now) - F.col("event_us") > seconds * 1_000_000).rows()
     return rows.select(*key, F.col("event_us").alias("start_us"), "end_us")

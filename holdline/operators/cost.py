@@ -21,6 +21,11 @@ BTU_PER_THERM = 100_000.0
 WS_PER_KWH = 3_600_000.0
 
 
+def _known(horizon_us: Column | int | None) -> None:
+    if horizon_us is None:
+        raise ValueError("a horizon is needed: without it the newest interval has no length")
+
+
 def by_day(spans: DataFrame, tz: str = "UTC") -> DataFrame:
     """Cut ``[start_us, end_us)`` at local midnights: ``day`` and the clipped span.
     The number of pieces is the number of days a span touches."""
@@ -34,9 +39,11 @@ def by_day(spans: DataFrame, tz: str = "UTC") -> DataFrame:
     return days.withColumns({"start_us": F.greatest("start_us", lo), "end_us": F.least("end_us", hi)})
 
 
-def furnace_runtime(log: DataFrame, key: list[str], cfg: DataFrame, horizon_us: int | None, tz: str = "UTC") -> DataFrame:
+def furnace_runtime(log: DataFrame, key: list[str], cfg: DataFrame, horizon_us: int, tz: str = "UTC") -> DataFrame:
     """Burning seconds per key and day. A run is a maximal time with the control
-    on; its first seconds, the ignition delay, do not burn."""
+    on; its first seconds, the ignition delay, do not burn. The last one lasts until
+    ``horizon_us``."""
+    _known(horizon_us)
     state = furnace_state(log)
     h = History.of(state, key, ["event_us"]).previous("__was", F.struct("furnace_ctrl"))
     turned = F.col("__was").isNull() | ~F.col("furnace_ctrl").eqNullSafe(F.col("__was.furnace_ctrl"))
@@ -60,9 +67,11 @@ def gas_cost(runtime: DataFrame, cfg: DataFrame) -> DataFrame:
     )
 
 
-def electric_cost(log: DataFrame, key: list[str], cfg: DataFrame, horizon_us: int | None, tz: str = "UTC") -> DataFrame:
+def electric_cost(log: DataFrame, key: list[str], cfg: DataFrame, horizon_us: int, tz: str = "UTC") -> DataFrame:
     """``kwh``, ``cost``, ``known_s`` and ``unknown_s`` per key and day: power held
-    over its interval; time under a tombstone counts as unknown, not as zero."""
+    over its interval, the last until ``horizon_us``; time under a tombstone counts as
+    unknown, not as zero."""
+    _known(horizon_us)
     h = History.of(log, key, ["event_us"]).following("end_us", F.col("event_us"))
     spans = h.rows().select(
         *key,
@@ -80,9 +89,11 @@ def electric_cost(log: DataFrame, key: list[str], cfg: DataFrame, horizon_us: in
     return out.withColumn("cost", F.col("kwh") * setting(cfg, "electricity_cost", "FLOAT"))
 
 
-def time_weighted(log: DataFrame, key: list[str], col: str, bucket_s: int, horizon_us: Column | int | None) -> DataFrame:
+def time_weighted(log: DataFrame, key: list[str], col: str, bucket_s: int, horizon_us: Column | int) -> DataFrame:
     """Time-weighted mean, minimum, maximum and share of known time per key and
-    bucket (``bucket`` is its start in epoch seconds)."""
+    bucket (``bucket`` is its start in epoch seconds); the last value holds until
+    ``horizon_us``."""
+    _known(horizon_us)
     spans = intervals(log, key, [col], horizon_us).filter(F.col("end_us") > F.col("start_us"))
     width = bucket_s * US
     first = idiv("start_us", width)

@@ -103,9 +103,10 @@ def _chunk_entries(h: History, cols: list[str], start: dict[str, Column], scale:
 def hysteresis_over(
     h: History, cols: list[str], scale: int = HYSTERESIS_SCALE, directions: bool = False
 ) -> History:
-    """Add ``<col>_mem`` (value held) and ``<col>_emit`` to non-NULL samples scaled
-    by ``scale``; with ``directions`` also ``<col>_rise`` and ``<col>_up``, which
-    together with the sample are the whole state.
+    """Add ``<col>_mem`` (value held) and ``<col>_emit`` to samples scaled by
+    ``scale``; with ``directions`` also ``<col>_rise`` and ``<col>_up``, which
+    together with the last known sample, then in ``<col>``, are the whole state. A
+    NULL is no sample: it leaves the state as it was and emits nothing.
 
     The held value moves freely in its direction; to turn round, a sample has to
     differ by more than one. That is an interval of width one pushed along by the
@@ -113,9 +114,12 @@ def hysteresis_over(
     one after a rise, and the direction is that of its last move. It starts at
     zero, going down.
     """
-    h = h.with_columns(**{c: F.col(c).cast("bigint") for c in cols})
+    h = h.with_columns(**{f"__raw_{c}": F.col(c).cast("bigint") for c in cols})
     start = {}
     for c in cols:
+        # A sample repeated changes nothing, nor does the zero it starts from.
+        h = h.carry(c, F.col(f"__raw_{c}"))
+        h = h.with_columns(**{c: F.coalesce(F.col(c), F.lit(0).cast("bigint"))})
         start |= {f"{c}_x": F.lit(0).cast("bigint"), f"{c}_rise": F.lit(False), f"{c}_up": F.lit(False)}
     df = h.df
     if h.chunked:
@@ -123,8 +127,9 @@ def hysteresis_over(
         start = {n: F.coalesce(F.col(f"__in.{n}"), v) for n, v in start.items()}
     df = _hold(df, h.window(), cols, start, scale).drop("__in")
     if not directions:
+        df = df.withColumns({c: F.col(f"__raw_{c}") for c in cols})
         df = df.drop(*[f"{c}_{n}" for c in cols for n in ("rise", "up")])
-    return replace(h, df=df)
+    return replace(h, df=df.drop(*[f"__raw_{c}" for c in cols]))
 
 
 def hysteresis(df: DataFrame, key: list[str], order: list[str], col: str, scale: int = HYSTERESIS_SCALE) -> DataFrame:
@@ -276,70 +281,66 @@ def uniquify(
 
 # -- exponential smoothing ------------------------------------------------------
 
-# Terms with a weight below this add nothing to a double.
-_NEGLIGIBLE = 1e-20
-_TERMS = 5
-
+# What a row's weight falls to over one block.
+_BLOCK_WEIGHT = 1e-4
 
 def ema_over(h: History, col: str, out: str, alpha: float, seed: str = "zero") -> History:
     """Add ``out``: ``y = alpha * y + (1 - alpha) * x`` over non-NULL samples,
     starting from zero or (``seed="first"``) from the first sample.
 
     Rows are numbered and cut into blocks of B, with alpha ** B = 1e-4. Inside a
-    block the sum is a running sum of x / alpha ** r, which cannot overflow.
-    Into a block come the ends of the five blocks before it; what is older has a
-    weight below 1e-20 and vanishes in a double.
+    block the sum is a running sum of x / alpha ** r, which cannot overflow. Each
+    block is a step "times alpha ** B, plus c"; the steps are composed by doubling, so
+    every earlier row counts. Small and hot keys compute the same sums in the same
+    order.
     """
     if not 0 < alpha < 1:
         raise ValueError("alpha must lie between 0 and 1")
     if seed not in ("zero", "first"):
         raise ValueError("seed must be 'zero' or 'first'")
-    size = max(1, math.ceil(math.log(_NEGLIGIBLE) / _TERMS / math.log(alpha)))
+    size = max(1, math.ceil(math.log(_BLOCK_WEIGHT) / math.log(alpha)))
     decay = alpha**size
     h = h.number("__i")
     h = h.with_columns(__b=idiv(F.col("__i") - 1, size), __r=(F.col("__i") - 1) % size)
     a = F.lit(alpha)
     weighted = F.col(col).cast("double") * F.lit(1 - alpha) * F.pow(a, -F.col("__r"))
+    h = h.with_columns(__w=weighted)
+    if h.chunked:  # a block may lie in two chunks
+        h = replace(h, df=materialize(h.df))
+    block = Window.partitionBy(*h.key, "__b").orderBy("__r").rowsBetween(Window.unboundedPreceding, 0)
+    h = h.with_columns(__s=F.sum("__w").over(block))
+    end = F.when(F.col("__r") == size - 1, F.col("__s") * F.lit(alpha ** (size - 1)))
     if not h.chunked:
         # Small keys: everything on the window already sorted.
-        w = Window.partitionBy(*h.key, "__b").orderBy(*h.order).rowsBetween(Window.unboundedPreceding, 0)
-        h = h.with_columns(__s=F.sum(weighted).over(w))
-        end = F.when(F.col("__r") == size - 1, F.col("__s") * F.lit(alpha ** (size - 1)))
-        h = h.with_columns(__c=end)
         whole = Window.partitionBy(*h.key).orderBy(*h.order)
-        ends = F.col("__c")
-        for k in range(1, _TERMS):
-            ends = ends + F.coalesce(F.lag("__c", k * size).over(whole), F.lit(0.0)) * F.lit(decay**k)
-        h = h.with_columns(__e=ends).carry("__enter", F.col("__e"), inclusive=False)
+        df = h.df.withColumn("__c", end)
+        factor, blocks = decay, 1
+        while factor > 0:
+            before = F.coalesce(F.lag("__c", blocks * size).over(whole), F.lit(0.0))
+            df = df.withColumn("__c", F.col("__c") + before * F.lit(factor))
+            blocks, factor = 2 * blocks, factor * factor
+        h = replace(h, df=df).carry("__enter", F.col("__c"), inclusive=False)
+        df = h.df
         if seed == "first":
-            h = h.with_columns(__x0=F.first(F.col(col).cast("double")).over(
-                whole.rowsBetween(Window.unboundedPreceding, 0)))
-        df = h.df.drop("__c", "__e")
+            first = F.first(F.col(col).cast("double")).over(whole.rowsBetween(Window.unboundedPreceding, 0))
+            df = df.withColumn("__x0", first)
     else:
-        # The ends of earlier blocks join the block as rows before its first one.
-        keys = [*h.key, "__b"]
-        rows = materialize(h.with_columns(__w=weighted).df)
-        ends = rows.groupBy(*keys).agg((F.sum("__w") * F.lit(alpha ** (size - 1))).alias("__c"))
+        ends = h.df.select(*h.key, "__b", end.alias("__c")).filter(F.col("__c").isNotNull())
+        over = Window.partitionBy(*h.key).orderBy("__b")
+        factor, blocks = decay, 1
+        while factor > 0:
+            before = F.coalesce(F.lag("__c", blocks).over(over), F.lit(0.0))
+            ends = ends.withColumn("__c", F.col("__c") + before * F.lit(factor))
+            blocks, factor = 2 * blocks, factor * factor
+        ends = ends.select(*h.key, (F.col("__b") + 1).alias("__b"), F.col("__c").alias("__enter"))
+        df = join_on(h.df, ends, [*h.key, "__b"], "left")
         if seed == "first":
-            start = rows.filter(F.col("__i") == 1)
-            ends = ends.unionByName(
-                start.select(*h.key, F.lit(-1).cast("bigint").alias("__b"), F.col(col).cast("double").alias("__c"))
-            )
-        sent = ends.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(_TERMS - 1)))).select(
-            *h.key,
-            (F.col("__b") + F.col("__k") + 1).alias("__b"),
-            F.lit(-1).cast("bigint").alias("__r"),
-            (F.col("__c") * F.pow(F.lit(decay), F.col("__k")) * a).alias("__w"),
-        )
-        w = Window.partitionBy(*keys).orderBy("__r").rowsBetween(Window.unboundedPreceding, 0)
-        both = rows.unionByName(sent, allowMissingColumns=True).withColumn("__s", F.sum("__w").over(w))
-        df = both.filter(F.col("__r") >= 0).withColumn(out, F.pow(a, F.col("__r")) * F.col("__s"))
-        df = df.drop("__i", "__b", "__r", "__s", "__w")
-        return replace(h, df=df)
+            start = h.df.filter(F.col("__i") == 1).select(*h.key, F.col(col).cast("double").alias("__x0"))
+            df = join_on(df, start, list(h.key), "left")
     y = F.pow(a, F.col("__r")) * (F.col("__s") + a * F.coalesce(F.col("__enter"), F.lit(0.0)))
     if seed == "first":
         y = y + F.col("__x0") * F.pow(a, F.col("__i"))
-    df = df.withColumn(out, y).drop("__i", "__b", "__r", "__s", "__enter", "__x0")
+    df = df.withColumn(out, y).drop("__i", "__b", "__r", "__w", "__s", "__c", "__enter", "__x0")
     return replace(h, df=df)
 
 

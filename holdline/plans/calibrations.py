@@ -27,11 +27,11 @@ _PAD = ["w % 256", "w // 256", "u", "u", "r", "255", "12", "16"]
 @query(
     "c1_ds18b20_raw",
     sql(
-        """SELECT event_id, CASE WHEN event_id % 17 <> 0 THEN
+        """SELECT event_id, CASE WHEN event_id % 17 <> 0 AND event_id % 10 <> 0 THEN
           CAST((x - (x & CASE k % 4 WHEN 0 THEN 7 WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 0 END)) * 25 // 4 AS INTEGER) END AS temp,
-          CASE WHEN event_id % 17 = 0 THEN 'crc' END AS reason, CASE WHEN event_id % 17 <> 0 THEN CAST(b8 AS BIGINT) END AS b8
-        FROM (SELECT *, CASE WHEN w >= 32768 THEN w - 65536 ELSE w END AS x FROM pads)
-        WHERE event_id % 10 <> 0 OR event_id % 17 = 0""",
+          CASE WHEN event_id % 17 = 0 THEN 'crc' WHEN event_id % 10 = 0 THEN 'offline' END AS reason,
+          CASE WHEN event_id % 17 <> 0 AND event_id % 10 <> 0 THEN CAST(b8 AS BIGINT) END AS b8
+        FROM (SELECT *, CASE WHEN w >= 32768 THEN w - 65536 ELSE w END AS x FROM pads)""",
         words="""SELECT event_id, k, (v * 7) % 65536 AS w, CASE WHEN event_id % 10 = 0 THEN 75::BIGINT ELSE 255 END AS u,
           k % 4 * 32 + 31 AS r FROM ev""",
         pads=f"SELECT *, {_crc1w_sql(_PAD)} AS b8 FROM words",
@@ -168,20 +168,19 @@ def c5(t: Tables):
 
 _LIGHT = f"""SELECT event_id, ch, g, least(65535, (v % 3000 + ch * k) * CASE g WHEN 0 THEN 1 WHEN 1 THEN 24 WHEN 2 THEN 400 ELSE 9500 END
   + CASE WHEN k % 20 = 0 THEN 40000 ELSE 0 END) AS n FROM ev, (VALUES (0), (1)) c(ch), (VALUES (0), (1), (2), (3)) q(g)"""
+# Literals, so that a wrong constant of the operator would show.
 _GAIN = {
-    ch: "CASE g%d " % ch + " ".join(f"WHEN {i} THEN {f!r}e0" for i, f in enumerate(calibrate.LIGHT_GAIN[ch])) + " END"
-    for ch in (0, 1)
+    0: "CASE g0 WHEN 0 THEN 400e0 WHEN 1 THEN 400e0 / 24.5e0 WHEN 2 THEN 1e0 ELSE 400e0 / 9200e0 END",
+    1: "CASE g1 WHEN 0 THEN 400e0 WHEN 1 THEN 400e0 / 24.5e0 WHEN 2 THEN 1e0 ELSE 400e0 / 9900e0 END",
 }
-_IRED = 1.0 / calibrate.LIGHT_C1_IRED
-_SHARE = (1 / _IRED) / ((1 / _IRED) + (1 / (1.0 / calibrate.LIGHT_C1_WHITE)))
 
 
 @query(
     "c6_tsl2591_autorange",
     sql(
         f"""SELECT event_id, CAST(trunc(t * 4e0 * 1e6) AS BIGINT) AS total, CAST(trunc(i * 4e0 * 1e6) AS BIGINT) AS ired,
-          round(t - i, 6) AS white FROM (SELECT event_id, CAST(n0 AS DOUBLE) * {_GAIN[0]} * {1 / 264.1!r}e0 / 1e2 AS t,
-            CAST(n1 AS DOUBLE) * {_GAIN[1]} * {_IRED!r}e0 * {_SHARE!r}e0 / 1e2 AS i
+          round(t - i, 6) AS white FROM (SELECT event_id, CAST(n0 AS DOUBLE) * {_GAIN[0]} / 264.1e0 / 1e2 AS t,
+            CAST(n1 AS DOUBLE) * {_GAIN[1]} * (154.1e0 / (154.1e0 + 34.9e0)) / 154.1e0 / 1e2 AS i
           FROM (SELECT p.event_id, p.g AS g0, p.n AS n0, q.g AS g1, q.n AS n1 FROM pick p JOIN pick q
             ON p.event_id = q.event_id WHERE p.ch = 0 AND q.ch = 1))""",
         light=_LIGHT,

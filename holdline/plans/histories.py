@@ -92,18 +92,21 @@ def hysteresis_walk(samples: str, key: str, x: str) -> str:
     first = f"CASE WHEN {x} < 0 OR {x} > 1 THEN {x} ELSE 0 END"
     moved = f"((w.up AND s.{x} > w.mem) OR (NOT w.up AND s.{x} < w.mem))"
     turned = f"((w.up AND s.{x} < w.mem - 1) OR (NOT w.up AND s.{x} > w.mem + 1))"
-    return f"""SELECT {key}, rn, {first} AS mem, {x} > 1 AS up, 0::BIGINT AS old FROM {samples} WHERE rn = 1
+    return f"""SELECT {key}, rn, {first} AS mem, coalesce({x} > 1, false) AS up, 0::BIGINT AS old FROM {samples} WHERE rn = 1
       UNION ALL SELECT s.{key}, s.rn, CASE WHEN {moved} OR {turned} THEN s.{x} ELSE w.mem END,
         CASE WHEN {turned} THEN NOT w.up ELSE w.up END, w.mem
       FROM {samples} s JOIN %s w ON s.{key} = w.{key} AND s.rn = w.rn + 1"""
 
 
-_SAMPLES = """SELECT sensor_key, event_id, (v - 5000) // 50 AS x, k // 4 AS y,
+# Single channels are unknown now and then.
+_SAMPLES = """SELECT sensor_key, event_id, CASE WHEN k % 11 <> 0 THEN (v - 5000) // 50 END AS x,
+  CASE WHEN k % 7 <> 0 THEN k // 4 END AS y,
   row_number() OVER (PARTITION BY sensor_key ORDER BY sec, cs, event_id) AS rn FROM ev"""
 
 
 def _samples(t: Tables):
-    x, y = idiv(F.col("v") - 5000, 50), idiv("k", 4)
+    x = F.when(F.col("k") % 11 != 0, idiv(F.col("v") - 5000, 50))
+    y = F.when(F.col("k") % 7 != 0, idiv("k", 4))
     return t.events().select("sensor_key", "sec", "cs", "event_id", x.alias("x"), y.alias("y"))
 
 
@@ -281,12 +284,13 @@ def l12(t: Tables):
     "l13_gaps",
     sql(
         """SELECT sensor_id, event_us AS start_us, end_us, kind FROM (SELECT *, CASE WHEN temp IS NULL THEN 'unknown'
-          WHEN end_us - event_us > 86400000000 THEN 'silent' END AS kind FROM (SELECT *, lead(event_us) OVER
+          WHEN coalesce(end_us, (SELECT max(sec) FROM ev) * 1000000) - event_us > 86400000000 THEN 'silent' END AS kind
+          FROM (SELECT *, lead(event_us) OVER
           (PARTITION BY sensor_id ORDER BY event_us) AS end_us FROM ds18b20)) WHERE kind IS NOT NULL"""
     ),
 )
 def l13(t: Tables):
-    return changelog.gaps(t.log("ds18b20"), ["sensor_id"], ["temp"], DAY_US)
+    return changelog.gaps(t.log("ds18b20"), ["sensor_id"], ["temp"], DAY_US, t.now() * 1_000_000)
 
 
 _EMA = """SELECT event_id, round(y, 6) AS ema FROM walk JOIN samples USING (sensor_key, rn)"""
@@ -337,7 +341,7 @@ def g11(t: Tables):
 
 
 _FIELDS = """SELECT sensor_key, sec, cs, field, value FROM (
-  SELECT sensor_key, sec, cs, 'vrms' AS field, CAST(vrms AS BIGINT) AS value FROM ina260
+  SELECT sensor_key, sec, cs, 'Vrms' AS field, CAST(vrms AS BIGINT) AS value FROM ina260
   UNION ALL SELECT sensor_key, sec, cs, 'load', pmean // 600 FROM ina260
   UNION ALL SELECT sensor_key, sec, cs, 'steady', vrms // 121 FROM ina260)"""
 
@@ -347,13 +351,13 @@ _FIELDS = """SELECT sensor_key, sec, cs, field, value FROM (
     sql(
         """SELECT sensor_key, sec, cs, field, value FROM (SELECT *, lag(value) OVER
         (PARTITION BY sensor_key, field ORDER BY sec, cs) AS p FROM fields)
-        WHERE value IS DISTINCT FROM p OR field = 'vrms'""",
+        WHERE value IS DISTINCT FROM p OR field = 'Vrms'""",
         fields=_FIELDS,
     ),
 )
 def g12(t: Tables):
     cells = F.array(
-        F.struct(F.lit("vrms").alias("field"), F.col("vrms").cast("bigint").alias("value")),
+        F.struct(F.lit("Vrms").alias("field"), F.col("vrms").cast("bigint").alias("value")),
         F.struct(F.lit("load").alias("field"), idiv("pmean", 600).alias("value")),
         F.struct(F.lit("steady").alias("field"), idiv("vrms", 121).alias("value")),
     )
@@ -365,9 +369,10 @@ def g12(t: Tables):
     "g13_stall_spans",
     sql(
         """SELECT site, event_us AS start_us, end_us FROM (SELECT *, lead(event_us) OVER
-        (PARTITION BY site ORDER BY event_us, event_id) AS end_us FROM ev) WHERE end_us - event_us > 86400000000"""
+        (PARTITION BY site ORDER BY event_us, event_id) AS end_us FROM ev)
+        WHERE coalesce(end_us, (SELECT max(sec) FROM ev) * 1000000) - event_us > 86400000000"""
     ),
 )
 def g13(t: Tables):
     rows = t.events().select("site", "event_us", "event_id")
-    return changelog.stall_spans(rows, ["site"], 86_400, ["event_us", "event_id"])
+    return changelog.stall_spans(rows, ["site"], t.now() * 1_000_000, 86_400, ["event_us", "event_id"])

@@ -101,7 +101,8 @@ def x1_changes(t: Tables):
     ),
 )
 def x1_hysteresis(t: Tables):
-    x, y = idiv(F.col("v") - 5000, 500), idiv("k", 25)
+    x = F.when(F.col("k") % 11 != 0, idiv(F.col("v") - 5000, 500))
+    y = F.when(F.col("k") % 7 != 0, idiv("k", 25))
     rows = t.events().select(*KEY, *ORDER, x.alias("x"), y.alias("y"))
     job = replay(
         t, rows, by_time(), lambda s, p: live.stream_hysteresis(s, p, KEY, ORDER, ["x", "y"], **NOW)
