@@ -44,7 +44,7 @@ def _element(name: str, inner: str, more: str = "") -> str:
 
 
 def _prose(n: int) -> str:
-    return "".join(f"<p>{'word ' * 30}</p>" for _ in range(n))
+    return "".join(f"<p>{'word ' * 15}<a>word</a> <a>word</a>{' word' * 15}</p>" for _ in range(n))
 
 
 def labelled_pages() -> list[str]:

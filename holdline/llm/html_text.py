@@ -225,10 +225,11 @@ def main_text(html: str | None, weights: Weights) -> str:
         total += max(o, 0.0) * (b.text.count(" ") + 1)
         if total > best:
             best, region = total, (first, i + 1)
-    # All of the innermost element that holds the region, short ends included.
+    # All of the innermost element that holds the region, short ends included; of one
+    # block, the element around it.
     first, last = region
     ends = [b.path for b in found[first:last]]
-    common_path = commonprefix(ends)[: len(ends[0])] if ends else []
+    common_path = commonprefix(ends) if len(ends) > 1 else ends[0][:-1] if ends else ()
     if len(common_path) > 1:
         inside = [b.path[: len(common_path)] == common_path for b in found]
         first, last = inside.index(True), len(inside) - inside[::-1].index(True)
