@@ -134,10 +134,12 @@ def x3(t: Tables):
 @query(
     "x4_stream_liveness",
     sql(
-        """SELECT sensor_key, 'heartbeat' AS event, sec FROM walk WHERE beat
-        UNION ALL SELECT sensor_key, 'dead', sec FROM samples WHERE next - sec > 5 OR (next IS NULL AND sec + 6 < top)
-        UNION ALL SELECT sensor_key, 'stalled', sec FROM samples WHERE next - sec > 15 OR (next IS NULL AND top - sec > 15)""",
-        samples="""SELECT *, row_number() OVER w AS rn, lead(sec) OVER w AS next, max(sec) OVER () AS top FROM (
+        """SELECT sensor_key, 'heartbeat' AS event, sec FROM walk JOIN samples USING (sensor_key, rn, sec)
+          WHERE beat AND sec <= mark
+        UNION ALL SELECT sensor_key, 'dead', sec FROM samples WHERE least(coalesce(next, mark), mark) - sec > 5
+        UNION ALL SELECT sensor_key, 'stalled', sec FROM samples WHERE least(coalesce(next, mark), mark) - sec > 15""",
+        # The last second can still get samples, so time has come as far as the one before.
+        samples="""SELECT *, row_number() OVER w AS rn, lead(sec) OVER w AS next, max(sec) OVER () - 1 AS mark FROM (
           SELECT sensor_key, sec // 3600 AS sec, bool_or(k % 16 = 0) AS recorded FROM ev GROUP BY 1, 2)
           WINDOW w AS (PARTITION BY sensor_key ORDER BY sec)""",
         walk="""SELECT sensor_key, rn, sec, sec AS h, false AS beat FROM samples WHERE rn = 1

@@ -18,7 +18,8 @@ HEARTBEAT_S = 5
 STALL_S = 15
 
 _OUT = "sensor_key bigint, event string, sec bigint"
-_STATE = "beat bigint, last bigint, warned int"
+# ``open`` holds the seconds that may still get samples, as "sec:recorded" words.
+_STATE = "beat bigint, last bigint, warned int, open string"
 
 
 def step(seconds: list[tuple[int, bool]], beat: int | None, last: int | None, warned: int):
@@ -47,33 +48,45 @@ def silence(now: int, last: int | None, warned: int) -> list[tuple[str, int]]:
     return [(name, last) for name, limit in due[warned:] if now - last > limit]
 
 
-def _advance(key, frames: Iterator[pd.DataFrame], state: GroupState):
-    beat, last, warned = state.get if state.exists else (None, None, 0)
-    beat = None if beat is None or beat < 0 else beat
-    events: list[tuple[str, int]] = []
-    if state.hasTimedOut:
-        due = silence(state.getCurrentWatermarkMs() // 1000, last, warned)
-        events, warned = due, warned + len(due)
-    else:
+def _advance(lateness: int):
+    def run(key, frames: Iterator[pd.DataFrame], state: GroupState):
+        beat, last, warned, words = state.get if state.exists else (-1, -1, 0, "")
+        beat, last = (None if x < 0 else x for x in (beat, last))
         # One entry per second, whatever the sample rate: bounded by the clock.
-        seconds: dict[int, bool] = {}
-        for frame in frames:
-            for sec, recorded in frame.groupby("sec")["recorded"].any().items():
-                seconds[int(sec)] = seconds.get(int(sec), False) or bool(recorded)
-        later = sorted((s, r) for s, r in seconds.items() if last is None or s > last)
-        events, beat, last, warned = step(later, beat, last, warned)
-    if last is not None:
-        state.update((beat if beat is not None else -1, last, warned))
-        if warned < 2:
-            limit = (HEARTBEAT_S, STALL_S)[warned]
-            state.setTimeoutTimestamp(max((last + limit + 1) * 1000, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame(
-        {
-            "sensor_key": pd.Series([key[0]] * len(events), dtype="int64"),
-            "event": pd.Series([e for e, _ in events], dtype="object"),
-            "sec": pd.Series([s for _, s in events], dtype="int64"),
-        }
-    )
+        open_ = {int(s): r == "1" for s, r in (w.split(":") for w in words.split())}
+        now = state.getCurrentWatermarkMs() // 1000
+        if state.hasTimedOut:
+            ended = now
+        else:
+            for frame in frames:
+                for sec, recorded in frame.groupby("sec")["recorded"].any().items():
+                    if last is None or sec > last:
+                        open_[int(sec)] = open_.get(int(sec), False) or bool(recorded)
+            # What comes later is newer than this, or behind the watermark.
+            ended = max(open_, default=now) - lateness
+        done = sorted(s for s in open_ if s <= ended)
+        events, beat, last, warned = step([(s, open_.pop(s)) for s in done], beat, last, warned)
+        if state.hasTimedOut:
+            due = silence(now, last, warned)
+            events, warned = events + due, warned + len(due)
+        if open_ or last is not None:
+            words = " ".join(f"{s}:{int(r)}" for s, r in sorted(open_.items()))
+            state.update((-1 if beat is None else beat, -1 if last is None else last, warned, words))
+            # When the watermark reaches the end of a second, or of the allowed silence.
+            ends = [s * 1000 - 1 for s in open_]
+            if last is not None and warned < 2:
+                ends.append((last + (HEARTBEAT_S, STALL_S)[warned]) * 1000 + 999)
+            if ends:
+                state.setTimeoutTimestamp(max(min(ends), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(
+            {
+                "sensor_key": pd.Series([key[0]] * len(events), dtype="int64"),
+                "event": pd.Series([e for e, _ in events], dtype="object"),
+                "sec": pd.Series([s for _, s in events], dtype="int64"),
+            }
+        )
+
+    return run
 
 
 def _thin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -82,16 +95,21 @@ def _thin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.groupby(["sensor_key", "sec"], as_index=False)["recorded"].any()
 
 
-def stream_liveness(samples: DataFrame, delay: str = "0 seconds") -> DataFrame:
+def stream_liveness(samples: DataFrame, lateness: int = 1) -> DataFrame:
     """Events ``heartbeat`` (at a sample), ``dead`` and ``stalled`` (at the last
     sample before more than 5 and 15 seconds of silence).
 
-    ``samples`` has ``sensor_key``, ``sec`` and ``recorded``.
+    ``samples`` has ``sensor_key``, ``sec`` and ``recorded``. Samples may come up to
+    ``lateness`` seconds (one at least) after newer ones: a second counts when no sample
+    of it can come any more, so events do not depend on where micro-batches end. Older
+    samples are behind the watermark and left out by the engine.
     """
+    if lateness < 1:
+        raise ValueError("a second can end within a micro-batch: lateness is 1 at least")
     thin = samples.select(
         F.col("sensor_key").cast("bigint"), F.col("sec").cast("bigint"), F.coalesce("recorded", F.lit(False)).alias("recorded")
     ).mapInPandas(_thin, "sensor_key bigint, sec bigint, recorded boolean")
-    timed = thin.withColumn("at", F.timestamp_seconds("sec")).withWatermark("at", delay)
+    timed = thin.withColumn("at", F.timestamp_seconds("sec")).withWatermark("at", f"{lateness} seconds")
     return timed.groupBy("sensor_key").applyInPandasWithState(
-        _advance, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout
+        _advance(lateness), _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout
     )

@@ -114,10 +114,10 @@ def test_timers_over_several_runs(spark, tmp_path):
     data = [r for r in data if r[1] <= min(secs.values())] + [(9, 10_000, True)]
     schema = "sensor_key long, sec long, recorded boolean"
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    cut = len(data) // 2
-    while data[cut][1] == data[cut - 1][1]:
-        cut += 1
-    for part in (data[:cut], data[cut:]):
+    # Cuts within a second, one of them between its record and its other samples.
+    cuts = [i for i in range(1, len(data)) if data[i][1] == data[i - 1][1]]
+    cuts = sorted({cuts[len(cuts) // 4], cuts[len(cuts) // 2], cuts[-len(cuts) // 4]})
+    for part in (data[a:b] for a, b in zip([0, *cuts], [*cuts, len(data)])):
         spark.createDataFrame(part, schema).write.mode("append").parquet(source)
         events = liveness.stream_liveness(read_stream(spark, source, schema))
         events.writeStream.format("parquet").option("path", out).option(
@@ -134,6 +134,24 @@ def test_timers_over_several_runs(spark, tmp_path):
     assert got == sorted(want)
 
 
+def test_a_second_split_by_a_micro_batch(spark, tmp_path):
+    """The record of a second that comes a batch later still counts for it."""
+    data = [(1, 100, True), (1, 110, False), (2, 110, False), (1, 110, True), (1, 116, False), (2, 112, True), (3, 500, False)]
+    schema = "sensor_key long, sec long, recorded boolean"
+    results_of = []
+    for name, cuts in (("one", []), ("two", [3]), ("each", [1, 2, 3, 4, 5, 6])):
+        source, out = str(tmp_path / name), str(tmp_path / f"{name}-out")
+        for a, b in zip([0, *cuts], [*cuts, len(data)]):
+            spark.createDataFrame(data[a:b], schema).write.mode("append").parquet(source)
+            # Sensor 2 lags four seconds behind sensor 1.
+            events = liveness.stream_liveness(read_stream(spark, source, schema), lateness=6)
+            events.writeStream.format("parquet").option("path", out).option(
+                "checkpointLocation", str(tmp_path / f"{name}-cp")).trigger(**NOW).start().awaitTermination()
+        results_of.append(sorted(map(tuple, spark.read.parquet(out).collect())))
+    assert results_of[0] == results_of[1] == results_of[2]
+    assert [e for e in results_of[0] if e[1] == "heartbeat"] == [(1, "heartbeat", 116)]
+
+
 def test_routing_is_stateless(spark):
     stream = spark.readStream.format("rate").load().select(
         F.lit("hb/x").alias("topic"), F.col("value").cast("string").alias("payload"))
