@@ -9,16 +9,22 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 
-# Pieces a worker remembers; then it forgets them all. Only speed depends on it.
-MEMORY = 400_000
+# Pieces a worker remembers; beyond it, those not met since half as many others go. Only
+# speed depends on it. Longer pieces are not remembered.
+MEMORY, LONGEST = 600_000, 48
+# Pieces encoded as one text.
+_TOGETHER = 1000
 
 # A space inside or at the end of a longer run of white space belongs to that run.
 _RUN = re.compile(r"\s \s|\s \Z")
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+_PLAIN = re.compile(r" ?\S+")
 # Special tokens begin so; the library looks for them in the whole text.
 _SPECIAL = "<|"
 
@@ -32,22 +38,68 @@ def load(path: str):
 
 
 class Memo:
-    """Values of pieces, computed by ``of(encodings)`` for those not yet known."""
-
-    def __init__(self, path: str, of: Callable):
-        self.tokenizer, self.of, self.known = load(path), of, {}
+    """Values of pieces, made of their ids by ``of`` and put together with ``+``.
+
+    New pieces are encoded together, with a separator between them that is a token of
+    its own and that none of them holds. A comma or stop after a letter is a token
+    apart in both tokenizers, so the word before it is looked up without it.
+    """
+
+    def __init__(self, path: str, separator: str, of: Callable, fold: bool):
+        self.tokenizer, self.separator, self.of, self.fold = load(path), separator, of, fold
+        self.mark = separator.strip(" ")
+        (self.mark_id,) = self._ids(separator)
+        self.known, self.old = {}, {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(found.ids, "<u4")
+
+    def _parts(self, piece: str) -> tuple[str, ...]:
+        if self.fold and piece.isascii():
+            piece = piece.lower()
+        # A letter that becomes a mark when the tokenizer normalises it joins the stop.
+        if len(piece) > 1 and piece[-1] in ".," and unicodedata.normalize("NFC", piece[-2]).lower().isalpha():
+            return piece[:-1], piece[-1]
+        return (piece,)
+
+    def _encode(self, pieces: list[str]) -> dict:
+        out = {}
+        plain = [p for p in pieces if _PLAIN.fullmatch(p) and self.mark not in p and _SPECIAL not in p]
+        for i in range(0, len(plain), _TOGETHER):
+            some = plain[i : i + _TOGETHER]
+            ids = self._ids(self.separator.join(some))
+            ends = np.append(np.nonzero(ids == self.mark_id)[0], len(ids))
+            if len(ends) == len(some):
+                starts = np.append(0, ends[:-1] + 1)
+                out.update((p, self.of(ids[a:b])) for p, a, b in zip(some, starts, ends))
+        out.update((p, self.of(self._ids(p))) for p in pieces if p not in out)
+        return out
+
+    def _learn(self, pieces: set[str]) -> None:
+        known, old = self.known, self.old
+        known.update((p, old[p]) for p in pieces if p in old)
+        parts = {p: self._parts(p) for p in pieces if p not in known}
+        wanted = {x for xs in parts.values() for x in xs if x not in known}
+        known.update((x, old[x]) for x in wanted if x in old)
+        known.update(self._encode([x for x in wanted if x not in known]))
+        for p, (x, *more) in parts.items():
+            known[p] = known[x] + known[more[0]] if more else known[x]
 
     def values(self, texts: list[list[str]]) -> list[list]:
         """The value of every piece of every text."""
-        if len(self.known) > MEMORY:
-            self.known.clear()
+        if len(self.known) > MEMORY // 2:
+            self.known, self.old = {}, self.known
         known = self.known
-        fresh = list({p for text in texts for p in text if p not in known})
-        for i in range(0, len(fresh), 20_000):
-            some = fresh[i : i + 20_000]
-            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            known.update(zip(some, map(self.of, found)))
-        return [[known[p] for p in text] for text in texts]
+        fresh = set().union(*texts).difference(known)
+        if fresh:
+            self._learn(fresh)
+        out = [list(map(known.__getitem__, text)) for text in texts]
+        for p in fresh:
+            if len(p) > LONGEST:
+                for x in {p, *self._parts(p)}:
+                    known.pop(x, None)
+        return out
 
 
 def leading_space_pieces(text: str) -> list[str]:
@@ -62,17 +114,19 @@ def bare_pieces(text: str) -> list[str]:
     """Pieces for a tokenizer that drops white space."""
     if _SPECIAL in text:
         return [text]
-    return [x.decode() for x in text.encode().split()]
+    if _SEPARATORS.search(text):  # white space to Python alone
+        return [x.decode() for x in text.encode().split()]
+    return text.split()
 
 
 @lru_cache(maxsize=4)
 def counter(path: str) -> Memo:
-    return Memo(path, len)
+    return Memo(path, "\n", len, fold=False)
 
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Memo:
-    return Memo(path, lambda e: np.array(e.ids, "<u4").tobytes())
+    return Memo(path, " | ", np.ndarray.tobytes, fold=True)
 
 
 def count_all(path: str, texts: list[str]) -> list[int]:
