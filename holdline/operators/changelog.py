@@ -224,21 +224,25 @@ def gaps(
 
 
 def asof(log: DataFrame, probes: DataFrame, key: list[str], cols: list[str], order: list[str] = ORDER,
-         probe_id: str = "probe_id") -> DataFrame:
-    """For every probe the record in force at its time. A tombstone in force gives
-    NULLs. ``probe_id`` is unique per key. One pass over log and probes together;
-    no range join."""
+         probe_id: str = "probe_id", keep: list[str] = []) -> DataFrame:
+    """For every probe the record in force at its time, and the probe's own columns
+    ``keep``. A tombstone in force gives NULLs. ``probe_id`` is unique per key. One pass
+    over log and probes together; no range join."""
     types = {f.name: f.dataType for f in [*log.schema.fields, *probes.schema.fields]}
+    own = probes.schema
     record = log.select(
-        *key, *order, F.lit(0).alias("__kind"), F.lit(None).cast(types[probe_id]).alias(probe_id), *cols
+        *key, *order, F.lit(0).alias("__kind"), F.lit(None).cast(types[probe_id]).alias(probe_id), *cols,
+        *[F.lit(None).cast(own[c].dataType).alias(f"__keep_{c}") for c in keep],
     )
     probe = probes.select(
-        *key, *order, F.lit(1).alias("__kind"), probe_id, *[F.lit(None).cast(types[c]).alias(c) for c in cols]
+        *key, *order, F.lit(1).alias("__kind"), probe_id, *[F.lit(None).cast(types[c]).alias(c) for c in cols],
+        *[F.col(c).alias(f"__keep_{c}") for c in keep],
     )
     h = History.of(record.unionByName(probe), key, [*order, "__kind", probe_id])
     h = h.carry("__held", F.when(F.col("__kind") == 0, F.struct(*cols)))
     found = h.filter(F.col("__kind") == 1).rows()
-    return found.select(*key, probe_id, *order, *[F.col(f"__held.{c}").alias(c) for c in cols])
+    kept = [F.col(f"__keep_{c}").alias(c) for c in keep]
+    return found.select(*key, probe_id, *order, *[F.col(f"__held.{c}").alias(c) for c in cols], *kept)
 
 
 def last_known(log: DataFrame, key: list[str], cols: list[str], order: list[str] = ORDER) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from holdline.functions.scalars import idiv
 from holdline.functions.times import when_key
 from holdline.operators.views import furnace_state
 from holdline.sources.config import setting
@@ -20,7 +21,12 @@ def latest(log: DataFrame, key: list[str], cols: list[str]) -> DataFrame:
 
 
 def _newest(log: DataFrame) -> DataFrame:
-    return log.agg(F.max(F.struct(*_WHEN)).alias("t")).filter("t IS NOT NULL").select("t.*")
+    return _times(log.agg(F.max(when_key()).alias("t")).filter("t IS NOT NULL"))
+
+
+def _times(df: DataFrame) -> DataFrame:
+    """``(sec, cs)`` of a time key ``t``."""
+    return df.select(idiv("t", 128).alias("sec"), (F.col("t") % 128).cast("int").alias("cs"))
 
 
 def last_log_times(logs: list[DataFrame]) -> DataFrame:
@@ -30,8 +36,8 @@ def last_log_times(logs: list[DataFrame]) -> DataFrame:
 
 def last_log_time(logs: list[DataFrame]) -> DataFrame:
     """The newest ``(sec, cs)`` of all logs: one row, zeros when all are empty."""
-    top = last_log_times(logs).agg(F.max(F.struct(*_WHEN)).alias("t"))
-    return top.select(*[F.coalesce(F.col(f"t.{c}"), F.lit(0)).alias(c) for c in _WHEN])
+    top = last_log_times(logs).agg(F.max(when_key()).alias("t"))
+    return _times(top.select(F.coalesce("t", F.lit(0).cast("bigint")).alias("t")))
 
 
 def last_log_sec(logs: list[DataFrame]) -> DataFrame:

@@ -31,8 +31,9 @@ def g1(t: Tables):
         "site", "event_us", F.col("temp").alias("fencepost")
     )
     air = t.log("bme680").withColumn("probe_id", F.col("event_id"))
-    held = changelog.asof(outdoor, air, ["site"], ["fencepost"], ["event_us"]).select("probe_id", "fencepost")
-    snap = air.join(held, "probe_id").select("sensor_key", "sec", "pres", "fencepost")
+    own = ["sensor_key", "sec", "pres"]
+    snap = changelog.asof(outdoor, air, ["site"], ["fencepost"], ["event_us"], keep=own)
+    snap = snap.select("sensor_key", "sec", "pres", "fencepost")
     return rounded(derive.sea_level_pressure(snap, t.cfg(), pressure="pres"))
 
 

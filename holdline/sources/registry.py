@@ -2,27 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from holdline.operators.history import History
+from holdline.functions.scalars import join_on
+from holdline.session import materialize
 
 
 def upsert_sensors(dim: DataFrame, seen: DataFrame) -> DataFrame:
     """``dim`` plus one row per unknown ``serial_code`` in ``seen``. New ids follow
-    the largest one in serial order; the label starts as the serial."""
+    the largest one in serial order; the label starts as the serial. Serials are dealt
+    out by range and numbered in their ranges; only a count per range meets in one task."""
     new = (
         seen.select("site", "serial_code")
         .groupBy("serial_code")
         .agg(F.min("site").alias("site"))
         .join(dim.select("serial_code"), "serial_code", "left_anti")
-        .withColumn("__all", F.lit(0))
+        .repartitionByRange("serial_code")
+        .withColumn("__range", F.spark_partition_id())
     )
+    new = materialize(new)  # the ranges must not change between the reads below
     top = dim.agg(F.coalesce(F.max("sensor_id"), F.lit(0))).scalar()
-    numbered = History.of(new, ["__all"], ["serial_code"]).number("__n").rows()
+    counts = new.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")
+    numbered = join_on(new, counts.select("__range", before.alias("__before")), ["__range"], "inner")
+    place = F.row_number().over(Window.partitionBy("__range").orderBy("serial_code"))
     return dim.unionByName(
         numbered.select(
-            (top + F.col("__n")).alias("sensor_id"),
+            (top + F.col("__before") + place).alias("sensor_id"),
             "site",
             "serial_code",
             F.col("serial_code").alias("label"),
@@ -34,8 +41,9 @@ def upsert_heartbeats(hb: DataFrame, new: DataFrame) -> DataFrame:
     """Last write wins: ``new(sensor_name, sec, seq)`` over ``hb(sensor_name, sec)``."""
     old = hb.select("sensor_name", "sec", F.lit(None).cast("bigint").alias("seq"))
     both = old.unionByName(new.select("sensor_name", "sec", F.col("seq").cast("bigint")))
-    # A struct sorts its NULLs first, so stored rows lose against any new one.
-    return both.groupBy("sensor_name").agg(F.max_by("sec", F.struct("seq")).alias("sec"))
+    # Stored rows lose against any new one.
+    seq = F.coalesce("seq", F.lit(-(1 << 63)))
+    return both.groupBy("sensor_name").agg(F.max_by("sec", seq).alias("sec"))
 
 
 def dimension_violations(dim: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from holdline.operators import scan
 from holdline.operators.history import History
+from holdline.session import MAX_ROWS_CONF
 
 
 def held(xs):
@@ -135,3 +136,37 @@ def test_history_steps(spark, split):
         assert r.m == (max(past) if past else None)
         assert r.s == sum(some)
         assert r.n == r.i + 1
+
+
+def test_hysteresis_without_samples(spark, split):
+    """A NULL leaves the held value as it was, at the start and across chunks."""
+    data = series(60, 8, lambda r, k: None if r.random() < 0.4 else r.randint(-9, 9))
+    got = scan.hysteresis(frame(spark, data), ["k"], ["i"], "x").collect()
+    want = {k: held([x for x in xs if x is not None]) for k, xs in data.items()}
+    assert len(got) == sum(map(len, data.values()))
+    for r in got:
+        known = sum(x is not None for x in data[r.k][: r.i + 1])
+        mem, emit = want[r.k][known - 1] if known else (0, False)
+        assert (r.x, r.x_mem, r.x_emit) == (data[r.k][r.i], mem, emit and data[r.k][r.i] is not None)
+
+
+@pytest.mark.parametrize("seed", ["zero", "first"])
+@pytest.mark.parametrize("alpha", [0.02, 0.8, 0.98])
+def test_smoothing_has_the_same_bits_for_hot_keys(spark, seed, alpha):
+    rng = random.Random(9)
+    rows = [(k, i, rng.uniform(-1e6, 1e6)) for k in range(3) for i in range(1500 if k == 1 else 40)]
+    df = spark.createDataFrame(rows, "k int, i int, x double")
+    results = []
+    for limit in (None, "100"):
+        if limit:
+            spark.conf.set(MAX_ROWS_CONF, limit)
+        try:
+            results.append(sorted(map(tuple, scan.ema(df, ["k"], ["i"], "x", alpha, seed).select("k", "i", "ema").collect())))
+        finally:
+            spark.conf.unset(MAX_ROWS_CONF)
+    assert results[0] == results[1]
+    y, want = {}, []
+    for k, i, x in rows:
+        y[k] = alpha * y.get(k, x if seed == "first" else 0.0) + (1 - alpha) * x
+        want.append(y[k])
+    assert all(abs(a[2] - b) <= 1e-9 * max(1, abs(b)) + 1e-6 for a, b in zip(results[0], want))
