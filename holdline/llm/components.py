@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,3 +47,14 @@ def components(edges: DataFrame) -> DataFrame:
         edges = common.written(_small_star(_large_star(edges)), "edges")
     roots = edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
+
+
+def block_roots(links: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The smallest id that each row reaches by ``links`` among the rows of a block."""
+    labels = ids.copy()
+    while True:
+        least = np.where(links, labels[None, :], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max)
+        least = np.minimum(labels, least)
+        if (least == labels).all():
+            return labels
+        labels = least

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdline.llm import common
-from holdline.llm.components import components
+from holdline.llm.components import block_roots, components
 
 THRESHOLD = 0.93
 # Pivots: the square root of the number of vectors, within these bounds; of a dimension
@@ -213,17 +213,6 @@ def _placed(shared):
     return run
 
 
-def _roots(links: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The smallest id that each row reaches by ``links`` within a block."""
-    labels = ids.copy()
-    while True:
-        least = np.where(links, labels[None, :], np.iinfo(np.int64).max).min(axis=1)
-        least = np.minimum(labels, least)
-        if (least == labels).all():
-            return labels
-        labels = least
-
-
 def _compared(threshold: float):
     """Compare two blocks of a list, or one with itself. Rows: id, copies, vector, named,
     side (0: the first block, 1: the second, 2: both), pivot (-1: members of a core with
@@ -249,7 +238,7 @@ def _compared(threshold: float):
         np.fill_diagonal(whole, False)
         counts = whole @ copies
         found = np.nonzero(counts)[0]
-        roots = _roots(whole, ids)
+        roots = block_roots(whole, ids)
         return pa.table([ids[found], counts[found], roots[found]], schema=_FOUND)
 
     return run
