@@ -1,12 +1,14 @@
 """Token ids of whole texts through remembered pieces.
 
-Both tokenizers split a text at white space before they merge, so the ids of a text
-are those of its pieces in order. A worker encodes each piece once and remembers it;
-texts in which a cut at a space could change the result are encoded whole.
+Byte-level tokenizers, and those that drop white space, split a text at white space
+before they merge, so the ids of a text are those of its pieces in order. A worker
+encodes each piece once and remembers it; texts in which a cut at a space could change
+the result are encoded whole, as are all texts of tokenizers with other rules.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -119,22 +121,52 @@ def bare_pieces(text: str) -> list[str]:
     return text.split()
 
 
+# The rules of the two kinds whose texts can be cut.
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+_WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORD_RULES = ["NFC", "Replace", "Lowercase"]
+
+
 @lru_cache(maxsize=4)
-def counter(path: str) -> Memo:
-    return Memo(path, "\n", len, fold=False)
+def kind(path: str) -> str:
+    """How texts can be cut for a tokenizer: ``spaced``, ``bare`` or ``whole``."""
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    normal, cut = rules.get("normalizer"), rules.get("pre_tokenizer") or {}
+    if rules.get("truncation") or rules.get("padding"):
+        return "whole"
+    if not all(t["content"].startswith(_SPECIAL) for t in rules.get("added_tokens", [])):
+        return "whole"
+    if normal is None and all(cut.get(k) == v for k, v in _BYTE_LEVEL.items()):
+        return "spaced"
+    first = (cut.get("pretokenizers") or [{}])[0]
+    if (
+        [n["type"] for n in (normal or {}).get("normalizers", [])] == _WORD_RULES
+        and (first.get("pattern") or {}).get("Regex") == _WORD_PATTERN
+        and (first.get("behavior"), first.get("invert")) == ("Removed", True)
+    ):
+        return "bare"
+    return "whole"
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Memo:
-    return Memo(path, " | ", np.ndarray.tobytes, fold=True)
+def _memo(path: str, of: Callable) -> Memo:
+    return Memo(path, "\n", of, fold=False) if kind(path) == "spaced" else Memo(path, " | ", of, fold=True)
+
+
+def _values(path: str, of: Callable, texts: list[str]) -> list[list]:
+    """The values of each text's pieces."""
+    if kind(path) == "whole":
+        found = load(path).encode_batch_fast(texts, add_special_tokens=False)
+        return [[of(np.array(e.ids, "<u4"))] for e in found]
+    cut = leading_space_pieces if kind(path) == "spaced" else bare_pieces
+    return _memo(path, of).values([cut(t) for t in texts])
 
 
 def count_all(path: str, texts: list[str]) -> list[int]:
-    pieces = [leading_space_pieces(t) for t in texts]
-    return [sum(v) for v in counter(path).values(pieces)]
+    return [sum(v) for v in _values(path, len, texts)]
 
 
 def ids_all(path: str, texts: list[str]) -> list[bytes]:
     """The ids of each text, 32 bits each, little-endian."""
-    pieces = [bare_pieces(t) for t in texts]
-    return [b"".join(v) for v in encoder(path).values(pieces)]
+    return [b"".join(v) for v in _values(path, np.ndarray.tobytes, texts)]

@@ -83,7 +83,7 @@ def test_op7(spark, sf_dir, texts):
     mail = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\b\d{1,3}(?:\.\d{1,3}){3}\b|\+1 \(\d+\) [\d-]+|\b\d{16}\b|AKIA\w+")
     found = 0
     for i, text in texts.items():
-        values = mail.findall(text or "")
+        values = [v for v in mail.findall(text or "") if not v.isdigit() or pseudonyms.luhn_digit(v[:-1]) == v[-1]]
         found += len(values)
         assert not any(v.rstrip(".") in (rows[i]["text"] or "") for v in values)
         if not values and not re.search(r"\d", text or ""):

@@ -27,6 +27,22 @@ def test_pieces_give_what_whole_texts_give():
     texts = ["".join(rng.choice(PARTS) for _ in range(rng.randrange(14))) for _ in range(8000)]
     assert pieces.count_all(BYTES, texts) == [len(x) // 4 for x in whole(BYTES, texts)]
     assert pieces.ids_all(WORDS, texts) == whole(WORDS, texts)
+    # Each with the other's purpose.
+    assert pieces.ids_all(BYTES, texts) == whole(BYTES, texts)
+    assert pieces.count_all(WORDS, texts) == [len(x) // 4 for x in whole(WORDS, texts)]
+
+
+def test_other_rules_are_encoded_whole(tmp_path):
+    from tokenizers import normalizers
+
+    changed = Tokenizer.from_file(BYTES)
+    changed.normalizer = normalizers.Strip()
+    path = str(tmp_path / "changed.json")
+    changed.save(path)
+    assert [pieces.kind(p) for p in (BYTES, WORDS, path)] == ["spaced", "bare", "whole"]
+    texts = ["  a b  ", "", " c d"]
+    assert pieces.ids_all(path, texts) == whole(path, texts)
+    assert pieces.count_all(path, texts) == [len(x) // 4 for x in whole(path, texts)]
 
 
 def test_forgetting_changes_nothing(monkeypatch):
