@@ -87,16 +87,19 @@ def mixed(
     without a weighted source, gives no rows.
     """
     docs = docs.drop("copy", "position")
-    kept = docs.columns
     # The few sources' rates; as many rows as there are weights.
     given = F.broadcast(rates(docs, weights, factor, source_col))
-    rows = docs.join(given, F.col(source_col) == F.col("mix_source"))
+    # The row in a place of its own, so its columns may have any name.
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    rows = rows.join(given, F.col("row").getField(source_col) == F.col("mix_source"))
+    own_id = F.col("row").getField("doc_id")
     whole = F.floor(F.greatest(F.col("mix_rate") - LARGEST_DRAW, F.lit(0.0)))
-    drawn = poisson(F.col("mix_rate") - whole, uniform(seed, F.col("doc_id")))
+    drawn = poisson(F.col("mix_rate") - whole, uniform(seed, own_id))
     rows = rows.withColumn("mix_copies", whole.cast("bigint") + drawn).filter("mix_copies > 0")
-    rows = rows.select(*kept, F.explode(F.expr("sequence(0L, mix_copies - 1)")).alias("copy"))
-    rows = rows.withColumn("position", uniform(seed + 1, F.col("doc_id"), F.col("copy")))
-    return rows.repartitionByRange("position").sortWithinPartitions("position", "doc_id", "copy")
+    rows = rows.select("row", F.explode(F.expr("sequence(0L, mix_copies - 1)")).alias("copy"))
+    rows = rows.withColumn("position", uniform(seed + 1, own_id, F.col("copy")))
+    rows = rows.repartitionByRange("position").sortWithinPartitions("position", own_id, "copy")
+    return rows.select("row.*", "copy", "position")
 
 
 def mixed_sql(weights: Mapping[str, float], factor: float, seed: int, columns: str, docs: str = "documents") -> str:

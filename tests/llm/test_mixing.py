@@ -64,7 +64,7 @@ def test_counts_are_poisson(spark, rate):
 
 def test_odd_rows(spark):
     rows = [(1, None, "a", 9), (None, "xx", "a", 9), (2, "", "b", 9), (2, "", "b", 9), (3, "y", None, 9), (4, "z" * 100_000, "c", 9)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_factor int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_rate int")
     out = mixing.mixed(docs, {"a": 1, "b": 1, "c": 1}, 5.0, 2)
     assert out.columns == [*docs.columns, "copy", "position"]
     got = out.collect()
