@@ -14,11 +14,16 @@ common tokens have u + v + 1 gaps, so in one gap neither set has a token: a pair
 neighbours in both. It lies in the first 2u + v + 2 <= 2(1 - t)n + 2 tokens of x.
 
 Sets that are equal are one node, the smallest id. In each list the other members are
-compared with its first one only (the best such pair of each member first), and the
-links found make components. Members of one list that are then still in different
-components are compared too, unless their distances to the first one differ by over
-1 - t: Jaccard distance is a metric, so such a pair cannot link. So a large group of
-near copies costs a number of comparisons in proportion to its size.
+compared with its first one only, and the links found make components. Members of one
+list that are then still in different components are compared too, unless their
+distances to the first one differ by over 1 - t: Jaccard distance is a metric, so such
+a pair cannot link. So a large group of near copies costs a number of comparisons in
+proportion to its size.
+
+A pair is first compared by counts of tokens per bucket, half a byte to a byte a token:
+the sum of the smaller counts is at least the number of common tokens, so pairs that
+fail cannot link. Only those that pass are compared by their sets, which are made from
+the texts of the documents concerned.
 """
 
 from __future__ import annotations
@@ -53,7 +58,19 @@ _SCAN = pa.schema(
     ]
 )
 _SCAN_DDL = "id long, n long, content binary, chunk int, counts binary"
-_KEYS = pa.schema([("id", pa.int64()), ("rare", pa.list_(pa.int64())), ("pairs", pa.list_(pa.int64()))])
+# Bits and keys of the filter that picks the documents whose sets are made; of a fixed
+# size too, as documents that pass it by chance are dropped by a join afterwards.
+_FILTER_BITS, _FILTER_KEYS = 26, 2
+
+_KEYS = pa.schema(
+    [
+        ("id", pa.int64()),
+        ("rare", pa.list_(pa.int64())),
+        ("pairs", pa.list_(pa.int64())),
+        ("buckets", pa.binary()),
+    ]
+)
+_BOUNDS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("most", pa.float64()), ("may_link", pa.bool_())])
 _SETS = pa.schema([("id", pa.int64()), ("tokens", pa.binary())])
 _DISTANCES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("distance", pa.float64()), ("linked", pa.bool_())])
 
@@ -120,20 +137,87 @@ def index_keys(tokens: np.ndarray, counts: np.ndarray, frequent: float, percent:
     return tokens[:rare], (pairs ^ (pairs >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
 
 
+def buckets(tokens: np.ndarray) -> bytes:
+    """How many tokens fall in each of a power of two of equal ranges, at least 16 and
+    more than half the number of tokens."""
+    bits = max(4, (len(tokens) // 2).bit_length())
+    while True:
+        counts = np.bincount((tokens >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        if counts.max() < 256:
+            return counts.astype(np.uint8).tobytes()
+        bits += 1
+
+
+def most_similar(x: bytes, y: bytes, percent: int) -> tuple[float, bool]:
+    """A bound on the Jaccard index of two sets, and whether it allows a link."""
+    x, y = (np.frombuffer(z, np.uint8).astype(np.int64) for z in (x, y))
+    size = min(len(x), len(y))
+    x, y = (z.reshape(size, -1).sum(axis=1) for z in (x, y))
+    same = int(np.minimum(x, y).sum())
+    union = int(x.sum() + y.sum()) - same
+    return same / max(union, 1), same > 0 and 100 * same >= percent * union
+
+
 def _keys(shared, frequent: float, percent: int):
     def run(batches):
         counts = shared.value
         for ids, texts in common.columns_of(batches, "id", "text"):
-            keys = [index_keys(shingle_set(t), counts, frequent, percent) for t in texts]
+            sets = [shingle_set(t) for t in texts]
+            keys = [index_keys(x, counts, frequent, percent) for x in sets]
             rare, pairs = ([k[i].view(np.int64) for k in keys] for i in (0, 1))
-            yield common.batch({"id": ids, "rare": rare, "pairs": pairs}, _KEYS)
+            cols = {"id": ids, "rare": rare, "pairs": pairs, "buckets": [buckets(x) for x in sets]}
+            yield common.batch(cols, _KEYS)
 
     return run
 
 
-def _sets(batches):
-    for ids, texts in common.columns_of(batches, "id", "text"):
-        yield common.batch({"id": ids, "tokens": [shingle_set(t).tobytes() for t in texts]}, _SETS)
+def _bound(percent: int):
+    def run(batches):
+        for a, b, left, right in common.columns_of(batches, "a", "b", "left", "right"):
+            found = [most_similar(x, y, percent) for x, y in zip(left, right)]
+            cols = {"a": a, "b": b, "most": [f[0] for f in found], "may_link": [f[1] for f in found]}
+            yield common.batch(cols, _BOUNDS)
+
+    return run
+
+
+def _places(ids: np.ndarray) -> np.ndarray:
+    """The bits of the filter for each id, one row per key."""
+    x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    shift = [np.uint64(64 - _FILTER_BITS - 6 * k) for k in range(_FILTER_KEYS)]
+    return np.stack([(x >> k) & np.uint64((1 << _FILTER_BITS) - 1) for k in shift]).astype(np.int64)
+
+
+def _marked(batches):
+    """The filter's bytes that a partition's ids set."""
+    mine = np.zeros(1 << (_FILTER_BITS - 3), np.uint8)
+    for (ids,) in common.columns_of(batches, "id"):
+        for places in _places(np.array(ids, np.int64)):
+            np.bitwise_or.at(mine, places >> 3, np.uint8(1) << (places & 7).astype(np.uint8))
+    at = np.nonzero(mine)[0]
+    schema = pa.schema([("at", pa.int32()), ("bits", pa.int32())])
+    yield common.batch({"at": at, "bits": mine[at]}, schema)
+
+
+def _filter(ids: DataFrame) -> np.ndarray:
+    """A filter that all of ``ids`` pass: 8 MB at any scale."""
+    parts = common.bounded_batches(ids).mapInArrow(_marked, "at int, bits int")
+    out = np.zeros(1 << (_FILTER_BITS - 3), np.uint8)
+    found = parts.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out[found["at"].to_numpy()] = found["bits"].to_numpy()
+    return out
+
+
+def _sets(shared):
+    def run(batches):
+        for ids, texts in common.columns_of(batches, "id", "text"):
+            places = _places(np.array(ids, np.int64))
+            wanted = ((shared.value[places >> 3] >> (places & 7).astype(np.uint8)) & 1).all(axis=0)
+            rows = [(i, shingle_set(t).tobytes()) for i, t, w in zip(ids, texts, wanted) if w]
+            yield common.batch({"id": [r[0] for r in rows], "tokens": [r[1] for r in rows]}, _SETS)
+
+    return run
 
 
 def _compare(percent: int):
@@ -165,62 +249,86 @@ def _lists(keys: DataFrame) -> DataFrame:
     return rare.unionByName(pairs)
 
 
-class _Comparison:
-    """Exact comparison of pairs, with the sets of all that are in some list."""
+def _both(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
+    left = values.select(F.col("id").alias("a"), F.col(column).alias("left"))
+    right = values.select(F.col("id").alias("b"), F.col(column).alias("right"))
+    return common.bounded_batches(pairs.select("a", "b").join(left, "a").join(right, "b"))
+
+
+def _bounds(pairs: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
+    """(a, b, most, may_link) for each pair, from the counts per bucket."""
+    rows = _both(pairs, keys, "buckets")
+    return common.written(rows.mapInArrow(_bound(percent), "a long, b long, most double, may_link boolean"), "bounds")
+
 
-    def __init__(self, docs: DataFrame, lists: DataFrame, percent: int):
-        ids = lists.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        texts = docs.join(ids, "id", "left_semi")
-        sets = common.bounded_batches(texts).mapInArrow(_sets, "id long, tokens binary")
-        self.sets, self.percent = common.written(sets, "shingle-sets"), percent
+def _token_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, tokens) of the documents in some pair; the texts stay where they are."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = common.written(ids, "compared")
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(ids))
+    sets = docs.filter("id IS NOT NULL").mapInArrow(_sets(shared), "id long, tokens binary")
+    return common.written(sets.join(ids, "id", "left_semi"), "shingle-sets")
 
-    def distances(self, pairs: DataFrame) -> DataFrame:
-        left = self.sets.select(F.col("id").alias("a"), F.col("tokens").alias("left"))
-        right = self.sets.select(F.col("id").alias("b"), F.col("tokens").alias("right"))
-        rows = common.bounded_batches(pairs.select("a", "b").join(left, "a").join(right, "b"))
-        ddl = "a long, b long, distance double, linked boolean"
-        return common.written(rows.mapInArrow(_compare(self.percent), ddl), "distances")
 
+def _distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, distance, linked) for each pair, exactly."""
+    rows = _both(pairs, sets, "tokens")
+    ddl = "a long, b long, distance double, linked boolean"
+    return common.written(rows.mapInArrow(_compare(percent), ddl), "distances")
 
-def _labelled(lists: DataFrame, found: DataFrame, *sides: str) -> DataFrame:
-    """``lists`` with the component of each side as ``<side>_component``."""
+
+def _labelled(rows: DataFrame, found: DataFrame, *sides: str) -> DataFrame:
+    """``rows`` with the component of each side as ``<side>_component``."""
     for side in sides:
         label = found.select(F.col("id").alias(side), F.col("component").alias(f"{side}_component"))
-        lists = lists.join(label, side, "left")
-        lists = lists.withColumn(f"{side}_component", F.coalesce(f"{side}_component", side))
-    return lists
+        rows = rows.join(label, side, "left")
+        rows = rows.withColumn(f"{side}_component", F.coalesce(f"{side}_component", side))
+    return rows
 
 
-def _links(docs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
-    """(id, component) of the nodes in some list."""
-    compare = _Comparison(docs, lists, percent)
+def _apart(rows: DataFrame, found: DataFrame) -> DataFrame:
+    return _labelled(rows, found, "a", "b").filter("a_component <> b_component")
 
-    # The first member with which each member shares most lists.
-    shared = lists.groupBy("b", "a").count()
-    best = shared.groupBy("b").agg(F.max_by("a", F.col("count")).alias("a"))
-    known = compare.distances(best)
-    found = components(known.filter("linked").select("a", "b"))
 
-    # Lists whose members are not all in one component.
-    apart = _labelled(lists, found, "a", "b").filter("a_component <> b_component")
-    mixed = common.written(lists.join(apart.select("key").distinct(), "key", "left_semi"), "mixed-lists")
-    if mixed.isEmpty():
-        return found
-    more = mixed.select("a", "b").distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-    known = known.unionByName(compare.distances(more))
-    found = components(known.filter("linked").select("a", "b"))
-
-    members = mixed.join(known.select("a", "b", "distance"), ["a", "b"])
-    members = _labelled(members.select("key", "b", "distance"), found, "b")
-    x = members.select("key", F.col("b").alias("a"), F.col("distance").alias("p"), F.col("b_component").alias("c"))
-    y = members.select("key", "b", F.col("distance").alias("q"), F.col("b_component").alias("d"))
-    near = F.abs(F.col("p") - F.col("q")) <= 1 - percent / 100 + 1e-9
-    rest = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & near)
-    rest = common.written(rest.select("a", "b").distinct(), "pairs")
+def _linked(known: DataFrame) -> DataFrame:
+    return components(known.filter("linked").select("a", "b"))
+
+
+def _links(docs: DataFrame, keys: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """(id, component) of the nodes that some link ties."""
+    bounds = _bounds(lists.select("a", "b").distinct(), keys, percent)
+    pairs = bounds.filter("may_link")
+    sets = _token_sets(docs, pairs)
+
+    # Of each member its most promising pair, then the pairs between components.
+    best = pairs.groupBy("b").agg(F.max_by("a", "most").alias("a"))
+    known = _distances(best, sets, percent)
+    found = _linked(known)
+    more = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+    more = common.written(_apart(more, found).select("a", "b"), "pairs")
+    if not more.isEmpty():
+        known = known.unionByName(_distances(more, sets, percent))
+        found = _linked(known)
+
+    # Members of lists that are not all in one component, by the range in which their
+    # distance to the first member is.
+    mixed = lists.join(_apart(lists, found).select("key").distinct(), "key", "left_semi")
+    exact = known.groupBy("a", "b").agg(F.min("distance").alias("low"), F.max("distance").alias("high"))
+    ranges = bounds.groupBy("a", "b").agg(F.max("most").alias("most")).join(exact, ["a", "b"], "left")
+    ranges = ranges.select(
+        "a", "b", F.coalesce("low", 1 - F.col("most")).alias("low"), F.coalesce("high", F.lit(1.0)).alias("high")
+    )
+    members = _labelled(mixed.join(ranges, ["a", "b"]).drop("a"), found, "b")
+    members = common.written(members, "members")
+    x, y = (members.select("key", *[F.col(c).alias(c + side) for c in ("b", "low", "high", "b_component")]) for side in "xy")
+    slack = 1 - percent / 100 + 1e-9
+    near = (F.col("lowx") - F.col("highy") <= slack) & (F.col("lowy") - F.col("highx") <= slack)
+    rest = x.join(y, "key").filter((F.col("bx") < F.col("by")) & (F.col("b_componentx") != F.col("b_componenty")) & near)
+    rest = rest.select(F.col("bx").alias("a"), F.col("by").alias("b")).distinct()
+    rest = _bounds(rest.join(bounds.select("a", "b"), ["a", "b"], "left_anti"), keys, percent).filter("may_link")
     if rest.isEmpty():
         return found
-    known = known.unionByName(compare.distances(rest))
-    return components(known.filter("linked").select("a", "b"))
+    return _linked(known.unionByName(_distances(rest, _token_sets(docs, rest), percent)))
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -244,12 +352,12 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     mean = counts.mean()
     shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.int64))
     frequent = mean + FREQUENT + DEVIATIONS * mean**0.5
-    keys = docs.filter("id IS NOT NULL").mapInArrow(
-        _keys(shared, frequent, percent), "id long, rare array<long>, pairs array<long>"
-    )
-    keys = common.written(keys.join(nodes.select("id"), "id", "left_semi"), "shingle-keys")
-    lists = common.written(_lists(keys), "shingle-lists")
-    found = _links(docs, lists, percent)
+    ddl = "id long, rare array<long>, pairs array<long>, buckets binary"
+    keys = docs.filter("id IS NOT NULL").mapInArrow(_keys(shared, frequent, percent), ddl)
+    keys = common.written(keys, "shingle-keys")
+    # The first member of a list is a node, as copies are in the same lists.
+    lists = _lists(keys).join(nodes.select(F.col("id").alias("b")), "b", "left_semi")
+    found = _links(docs, keys, common.written(lists, "shingle-lists"), percent)
 
     named = nodes.join(found, "id", "left").select(
         "content", F.coalesce("component", "id").alias("component_id")
