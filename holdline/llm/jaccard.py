@@ -6,19 +6,25 @@ short prefix. Rare tokens are indexed alone. Frequent ones would make long lists
 where a prefix reaches them it is extended and pairs of neighbouring frequent tokens
 are indexed instead.
 
-Why neighbours are enough: let x and y have n and m tokens with a Jaccard index of at
-least t >= 3/4. Their first common token lies in the first n - ceil(tn) + 1 of x and
-likewise of y. If it is rare, it is indexed alone in both. Otherwise all their common
-tokens are frequent. With u tokens of x and v of y not in common, the first u + v + 2
-common tokens have u + v + 1 gaps, so in one gap neither set has a token: a pair of
-neighbours in both. It lies in the first 2u + v + 2 <= 2(1 - t)n + 2 tokens of x.
+Why neighbours are enough: let x and y have n <= m tokens and a Jaccard index of at
+least t >= 3/4. They share at least 2tn/(1+t) and at least tm tokens, so their first
+common one lies in the first n - 2tn/(1+t) + 1 of x and the first m - tm + 1 of y. If
+it is rare, it is indexed alone in both. Otherwise all their common tokens are frequent.
+With u tokens of x and v of y not in common, the first u + v + 2 common tokens have
+u + v + 1 gaps, so in one gap neither set has a token: a pair of neighbours in both. It
+lies in the first 2u + v + 2 tokens of x, at most 3n(1-t)/(1+t) + 2, and in the first
+u + 2v + 2 of y, at most 2(1-t)m + 2. So keys have a role: those of the shorter prefix
+find larger sets, the others are only found.
 
 Sets that are equal are one node, the smallest id. In each list the other members are
-compared with its first one only, and the links found make components. Members of one
-list that are then still in different components are compared too, unless their
-distances to the first one differ by over 1 - t: Jaccard distance is a metric, so such
-a pair cannot link. So a large group of near copies costs a number of comparisons in
-proportion to its size.
+compared with its first one only, and the links found make components. Then members of
+one list that are still in different components are compared too. In lists of a rare
+token, which are short, these are pairs, less those whose distances to the first member
+differ by over 1 - t (Jaccard distance is a metric, so they cannot link). The lists of
+frequent pairs that have the same first member are one group, which may be large: its
+members that are not in the first one's component are compared with all, block by block,
+and what leaves a task is an edge per member, never a row per pair. So a group of near
+copies that link costs comparisons in proportion to its size.
 
 A pair is first compared by counts of tokens per bucket, half a byte to a byte a token:
 the sum of the smaller counts is at least the number of common tokens, so pairs that
@@ -37,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdline.llm import common
-from holdline.llm.components import components
+from holdline.llm.components import block_roots, components
 from holdline.llm.shingles import shingle_set
 
 # Counters of the frequency sketch, of a fixed size at any scale: the order of tokens
@@ -65,11 +71,18 @@ _FILTER_BITS, _FILTER_KEYS = 26, 2
 _KEYS = pa.schema(
     [
         ("id", pa.int64()),
+        ("n", pa.int64()),
         ("rare", pa.list_(pa.int64())),
+        ("rare_short", pa.int32()),
         ("pairs", pa.list_(pa.int64())),
+        ("pairs_short", pa.int32()),
         ("buckets", pa.binary()),
     ]
 )
+_KEYS_DDL = "id long, n long, rare array<long>, rare_short int, pairs array<long>, pairs_short int, buckets binary"
+# Members of a group that are compared with as many others in one task.
+_BLOCK_ROWS = 256
+_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _BOUNDS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("most", pa.float64()), ("may_link", pa.bool_())])
 _SETS = pa.schema([("id", pa.int64()), ("tokens", pa.binary())])
 _DISTANCES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("distance", pa.float64()), ("linked", pa.bool_())])
@@ -124,17 +137,22 @@ def _sketch(scan: DataFrame) -> np.ndarray:
 
 
 def index_keys(tokens: np.ndarray, counts: np.ndarray, frequent: float, percent: int):
-    """The rare tokens and the pairs of frequent ones under which a set is indexed."""
+    """(rare tokens, how many of them find larger sets, pairs of frequent ones, how many
+    of them do): the keys under which a set is indexed."""
     n = len(tokens)
     seen = counts[_counters(tokens)]
     order = np.lexsort((tokens, seen))
     tokens, rare = tokens[order], int((seen <= frequent).sum())
-    first = n - -(-percent * n // 100) + 1
-    if rare >= first:
-        return tokens[:first], tokens[:0]
+    found = n - -(-percent * n // 100) + 1
+    finds = n - -(-2 * percent * n // (100 + percent)) + 1
+    alone = tokens[: min(found, rare)]
+    if rare >= found:
+        return alone, min(finds, rare), tokens[:0], 0
     reach = tokens[rare : 2 * (100 - percent) * n // 100 + 2]
     pairs = (reach[:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ reach[1:]
-    return tokens[:rare], (pairs ^ (pairs >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    pairs = (pairs ^ (pairs >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    short = 3 * (100 - percent) * n // (100 + percent) + 2 - rare - 1 if rare < finds else 0
+    return alone, min(finds, rare), pairs, max(0, min(short, len(pairs)))
 
 
 def buckets(tokens: np.ndarray) -> bytes:
@@ -164,8 +182,10 @@ def _keys(shared, frequent: float, percent: int):
         for ids, texts in common.columns_of(batches, "id", "text"):
             sets = [shingle_set(t) for t in texts]
             keys = [index_keys(x, counts, frequent, percent) for x in sets]
-            rare, pairs = ([k[i].view(np.int64) for k in keys] for i in (0, 1))
-            cols = {"id": ids, "rare": rare, "pairs": pairs, "buckets": [buckets(x) for x in sets]}
+            cols = {"id": ids, "n": [len(x) for x in sets], "buckets": [buckets(x) for x in sets]}
+            for at, name in enumerate(("rare", "pairs")):
+                cols[name] = [k[2 * at].view(np.int64) for k in keys]
+                cols[f"{name}_short"] = [k[2 * at + 1] for k in keys]
             yield common.batch(cols, _KEYS)
 
     return run
@@ -237,16 +257,34 @@ def _compare(percent: int):
     return run
 
 
-def _lists(keys: DataFrame) -> DataFrame:
-    """(key, a, b): every member b of a list with its first member a."""
-    rare = keys.select(F.explode("rare").alias("key"), "id")
-    first = F.first("id").over(Window.partitionBy("key").orderBy("id"))
-    rare = rare.select("key", first.alias("a"), F.col("id").alias("b")).filter("a <> b")
-    # Lists of pairs can be long, so their first members come from a partial aggregate.
-    pairs = keys.select(F.explode("pairs").alias("key"), "id")
-    firsts = pairs.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z")
-    pairs = pairs.join(firsts.drop("z"), "key").select("key", "a", F.col("id").alias("b")).filter("a <> b")
-    return rare.unionByName(pairs)
+def _postings(keys: DataFrame, name: str) -> DataFrame:
+    """(key, id, finds) of one class of keys."""
+    rows = keys.select("id", f"{name}_short", F.posexplode(name).alias("at", "key"))
+    return rows.select("key", "id", (F.col("at") < F.col(f"{name}_short")).alias("finds"))
+
+
+def _rare_lists(keys: DataFrame) -> DataFrame:
+    """(key, a, b, finds): every member b of a list with its first member a, the
+    smallest that finds. Lists in which none does hold no pair."""
+    first = Window.partitionBy("key").orderBy(F.desc("finds"), "id")
+    rows = _postings(keys, "rare").select(
+        "key",
+        F.first("id").over(first).alias("a"),
+        F.first("finds").over(first).alias("first_finds"),
+        F.col("id").alias("b"),
+        "finds",
+    )
+    return rows.filter("first_finds AND a <> b").drop("first_finds")
+
+
+def _pair_groups(keys: DataFrame) -> DataFrame:
+    """(a, b): every member b of some list of a frequent pair with its first member a.
+    These lists can be long, so their first members come from a partial aggregate."""
+    rows = _postings(keys, "pairs")
+    firsts = rows.groupBy("key").agg(F.min(F.when(F.col("finds"), F.col("id"))).alias("a"), F.count("*").alias("size"))
+    firsts = common.written(firsts.filter("a IS NOT NULL AND size > 1").drop("size"), "list-heads")
+    rows = rows.join(firsts, "key").select("a", F.col("id").alias("b"))
+    return rows.filter("a <> b").distinct()
 
 
 def _both(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
@@ -294,9 +332,80 @@ def _linked(known: DataFrame) -> DataFrame:
     return components(known.filter("linked").select("a", "b"))
 
 
-def _links(docs: DataFrame, keys: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+def _block_links(percent: int):
+    """Edges that tie what links among the rows of two blocks: id, inside (whether it is
+    in the first member's component, all of which is tied already), tokens."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.select(["id", "inside", "tokens"]).to_pydict()
+        ids, inside = np.array(rows["id"], np.int64), np.array(rows["inside"], bool)
+        sets = [np.frombuffer(t, "<u8") for t in rows["tokens"]]
+        sizes = np.array([len(x) for x in sets])
+        places = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        starts = np.cumsum(sizes) - sizes
+        links, mine = np.zeros((len(ids), len(ids)), bool), np.zeros(int(places.max(initial=0)) + 1, bool)
+        for i in np.nonzero(~inside & (sizes > 0))[0]:
+            own = places[starts[i] : starts[i] + sizes[i]]
+            mine[own] = True
+            upto = np.concatenate([[0], np.cumsum(mine[places])])
+            same = upto[starts + sizes] - upto[starts]
+            mine[own] = False
+            links[i] = (same > 0) & (100 * same >= percent * (sizes + sizes[i] - same))
+        links |= links.T
+        roots = block_roots(links, ids)
+        tied = roots != ids
+        return pa.table([ids[tied], roots[tied]], schema=_EDGES)
+
+    return run
+
+
+def _group_links(docs: DataFrame, groups: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Edges among members of groups that are not all in one component yet."""
+    mixed = _apart(groups, found).select("a").distinct()
+    members = groups.join(mixed, "a", "left_semi").unionByName(mixed.select("a", F.col("a").alias("b")))
+    members = _labelled(members, found, "a", "b").select(
+        "a", F.col("b").alias("id"), (F.col("a_component") == F.col("b_component")).alias("inside")
+    )
+    members = common.written(members, "group-members")
+    sets = _token_sets(docs, members.select("a", F.col("id").alias("b")))
+
+    def blocks(inside: bool):
+        return F.ceil(F.count_if(F.col("inside") == inside) / _BLOCK_ROWS)
+
+    sizes = members.groupBy("a").agg(blocks(False).alias("outer"), blocks(True).alias("inner"))
+    rows = members.join(common.written(sizes, "group-sizes"), "a")
+    # Blocks of the outer members come first; a block of inner ones meets only those.
+    hashed = F.xxhash64("id")
+    own = F.when(F.col("inside"), F.col("outer") + F.pmod(hashed, F.col("inner"))).otherwise(F.pmod(hashed, F.col("outer")))
+    last = F.when(F.col("inside"), F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    rows = rows.select("a", "id", "inside", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"))
+    rows = common.bounded_batches(rows.join(sets, "id"))
+    edges = rows.groupBy("a", "first", "second").applyInArrow(_block_links(percent), "a long, b long")
+    return common.written(edges.distinct(), "group-edges")
+
+
+def _list_pairs(lists: DataFrame, keys: DataFrame, ranges: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of members of one list, neither its first, that are in different
+    components and that sizes, roles and distances to the first member let link."""
+    mixed = lists.join(_apart(lists, found).select("key").distinct(), "key", "left_semi")
+    members = _labelled(mixed.join(ranges, ["a", "b"]).drop("a"), found, "b")
+    members = common.written(members.join(keys.select(F.col("id").alias("b"), "n"), "b"), "members")
+    columns = ("b", "n", "finds", "low", "high", "b_component")
+    x, y = (members.select("key", *[F.col(c).alias(c + side) for c in columns]) for side in "xy")
+    slack = 1 - percent / 100 + 1e-9
+    near = (F.col("lowx") - F.col("highy") <= slack) & (F.col("lowy") - F.col("highx") <= slack)
+    sizes = F.col("findsx") & (F.col("nx") <= F.col("ny")) & (100 * F.col("nx") >= percent * F.col("ny"))
+    once = (F.col("nx") < F.col("ny")) | (F.col("bx") < F.col("by")) | ~F.col("findsy")
+    apart = (F.col("bx") != F.col("by")) & (F.col("b_componentx") != F.col("b_componenty"))
+    rest = x.join(y, "key").filter(apart & sizes & once & near)
+    return rest.select(F.least("bx", "by").alias("a"), F.greatest("bx", "by").alias("b")).distinct()
+
+
+def _links(docs: DataFrame, keys: DataFrame, lists: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """(id, component) of the nodes that some link ties."""
-    bounds = _bounds(lists.select("a", "b").distinct(), keys, percent)
+    firsts = lists.select("a", "b").unionByName(groups).distinct()
+    bounds = _bounds(firsts, keys, percent)
     pairs = bounds.filter("may_link")
     sets = _token_sets(docs, pairs)
 
@@ -310,25 +419,23 @@ def _links(docs: DataFrame, keys: DataFrame, lists: DataFrame, percent: int) ->
         known = known.unionByName(_distances(more, sets, percent))
         found = _linked(known)
 
-    # Members of lists that are not all in one component, by the range in which their
-    # distance to the first member is.
-    mixed = lists.join(_apart(lists, found).select("key").distinct(), "key", "left_semi")
+    tied = known.filter("linked").select("a", "b")
+    if not _apart(groups, found).isEmpty():
+        tied = tied.unionByName(_group_links(docs, groups, found, percent))
+        found = components(tied)
+
+    # The range in which the distance of a member to the first one is.
     exact = known.groupBy("a", "b").agg(F.min("distance").alias("low"), F.max("distance").alias("high"))
     ranges = bounds.groupBy("a", "b").agg(F.max("most").alias("most")).join(exact, ["a", "b"], "left")
     ranges = ranges.select(
         "a", "b", F.coalesce("low", 1 - F.col("most")).alias("low"), F.coalesce("high", F.lit(1.0)).alias("high")
     )
-    members = _labelled(mixed.join(ranges, ["a", "b"]).drop("a"), found, "b")
-    members = common.written(members, "members")
-    x, y = (members.select("key", *[F.col(c).alias(c + side) for c in ("b", "low", "high", "b_component")]) for side in "xy")
-    slack = 1 - percent / 100 + 1e-9
-    near = (F.col("lowx") - F.col("highy") <= slack) & (F.col("lowy") - F.col("highx") <= slack)
-    rest = x.join(y, "key").filter((F.col("bx") < F.col("by")) & (F.col("b_componentx") != F.col("b_componenty")) & near)
-    rest = rest.select(F.col("bx").alias("a"), F.col("by").alias("b")).distinct()
+    rest = _list_pairs(lists, keys, ranges, found, percent)
     rest = _bounds(rest.join(bounds.select("a", "b"), ["a", "b"], "left_anti"), keys, percent).filter("may_link")
     if rest.isEmpty():
         return found
-    return _linked(known.unionByName(_distances(rest, _token_sets(docs, rest), percent)))
+    last = _distances(rest, _token_sets(docs, rest), percent).filter("linked").select("a", "b")
+    return components(tied.unionByName(last))
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -352,12 +459,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     mean = counts.mean()
     shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.int64))
     frequent = mean + FREQUENT + DEVIATIONS * mean**0.5
-    ddl = "id long, rare array<long>, pairs array<long>, buckets binary"
-    keys = docs.filter("id IS NOT NULL").mapInArrow(_keys(shared, frequent, percent), ddl)
+    keys = docs.filter("id IS NOT NULL").mapInArrow(_keys(shared, frequent, percent), _KEYS_DDL)
     keys = common.written(keys, "shingle-keys")
     # The first member of a list is a node, as copies are in the same lists.
-    lists = _lists(keys).join(nodes.select(F.col("id").alias("b")), "b", "left_semi")
-    found = _links(docs, keys, common.written(lists, "shingle-lists"), percent)
+    own = nodes.select(F.col("id").alias("b"))
+    lists = common.written(_rare_lists(keys).join(own, "b", "left_semi"), "shingle-lists")
+    groups = common.written(_pair_groups(keys).join(own, "b", "left_semi"), "pair-groups")
+    found = _links(docs, keys, lists, groups, percent)
 
     named = nodes.join(found, "id", "left").select(
         "content", F.coalesce("component", "id").alias("component_id")
