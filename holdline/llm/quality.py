@@ -25,6 +25,9 @@ from holdline.llm import common
 SAMPLE_TEXTS, SAMPLE_BYTES = 3000, 12 << 20
 DICTIONARY_BYTES = 112 << 10
 CHUNK, LEVEL = 1024, 3
+# Bytes of no evidence added to each text, so that a few words decide little; and what
+# two empty frames take.
+PRIOR_BYTES, FRAME_BYTES = 100, 16
 THRESHOLD = 0.3
 
 
@@ -66,11 +69,12 @@ def _compressors(dictionaries) -> list:
 
 
 def features(dictionaries, text: bytes) -> tuple[float, float]:
-    """(difference, size) per byte; an empty text has a difference and a size of 0."""
+    """(difference, size) per byte, the difference drawn towards 0 for short texts; an
+    empty text has a difference and a size of 0."""
     if not text:
         return 0.0, 0.0
     bad, good = (sum(len(c.compress(x)) for x in _chunks(text)) for c in _compressors(dictionaries))
-    return 10 * (bad - good) / len(text), (bad + good) / len(text)
+    return 10 * (bad - good) / (len(text) + PRIOR_BYTES), (bad + good - FRAME_BYTES) / len(text)
 
 
 def _probability(weights, x) -> np.ndarray:
