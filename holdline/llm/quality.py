@@ -3,8 +3,8 @@
 Two zstandard dictionaries are trained, on texts labelled good and on texts labelled
 bad. A text is compressed with each, in chunks so that a long text does not become its
 own dictionary. How much smaller it gets with the good one, per byte, together with
-how small it gets at all (repetition makes both sizes small), is turned into a
-probability by logistic regression on labelled texts that trained no dictionary.
+how small it gets without any (which tells repetition), is turned into a probability
+by logistic regression on labelled texts that trained no dictionary.
 """
 
 from __future__ import annotations
@@ -25,9 +25,8 @@ from holdline.llm import common
 SAMPLE_TEXTS, SAMPLE_BYTES = 3000, 12 << 20
 DICTIONARY_BYTES = 112 << 10
 CHUNK, LEVEL = 1024, 3
-# Bytes of no evidence added to each text, so that a few words decide little; and what
-# two empty frames take.
-PRIOR_BYTES, FRAME_BYTES = 100, 16
+# Bytes of no evidence added to each text, so that a few words decide little.
+PRIOR_BYTES = 50
 THRESHOLD = 0.3
 
 
@@ -52,29 +51,33 @@ def _dictionary(texts: list[bytes]) -> tuple[bytes, bool]:
         return b"".join(parts)[-DICTIONARY_BYTES:], False
 
 
+def _compressor(known: zstandard.ZstdCompressionDict | None) -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(
+        level=LEVEL, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False
+    )
+
+
 @lru_cache(maxsize=4)
 def _compressors(dictionaries) -> list:
+    """One for each dictionary, and one without."""
     out = []
     for data, trained in dictionaries:
         kind = zstandard.DICT_TYPE_FULLDICT if trained else zstandard.DICT_TYPE_RAWCONTENT
         known = zstandard.ZstdCompressionDict(data, dict_type=kind) if data else None
         if known:
             known.precompute_compress(level=LEVEL)
-        out.append(
-            zstandard.ZstdCompressor(
-                level=LEVEL, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False
-            )
-        )
-    return out
+        out.append(_compressor(known))
+    return [*out, _compressor(None)]
 
 
 def features(dictionaries, text: bytes) -> tuple[float, float]:
-    """(difference, size) per byte, the difference drawn towards 0 for short texts; an
-    empty text has a difference and a size of 0."""
+    """(difference, size) per byte: the difference drawn towards 0 for short texts, the
+    size without a dictionary, 1 at most. An empty text has 0 and 1."""
     if not text:
-        return 0.0, 0.0
-    bad, good = (sum(len(c.compress(x)) for x in _chunks(text)) for c in _compressors(dictionaries))
-    return 10 * (bad - good) / (len(text) + PRIOR_BYTES), (bad + good - FRAME_BYTES) / len(text)
+        return 0.0, 1.0
+    chunks = _chunks(text)
+    bad, good, plain = (sum(len(c.compress(x)) for x in chunks) for c in _compressors(dictionaries))
+    return 10 * (bad - good) / (len(text) + PRIOR_BYTES), min(1.0, plain / len(text))
 
 
 def _probability(weights, x) -> np.ndarray:
