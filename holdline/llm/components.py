@@ -14,7 +14,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
     larger = both.filter("b > a").join(least, "a")
-    return larger.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return larger.select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -27,9 +27,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def _is_settled(edges: DataFrame) -> bool:
     """Whether every node has one edge, to a node that has none upwards."""
-    forked = edges.groupBy("a").count().filter("count > 1").select("a")
-    chained = edges.select(F.col("b").alias("a")).join(edges.select("a"), "a", "left_semi")
-    return forked.unionByName(chained).isEmpty()
+    ends = edges.select(F.explode(F.array(
+        F.struct(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+        F.struct(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")),
+    )).alias("end")).select("end.*")
+    ends = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.filter("up > 1 OR (up = 1 AND down = 1)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -35,6 +35,7 @@ the texts of the documents concerned.
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -328,10 +329,6 @@ def _apart(rows: DataFrame, found: DataFrame) -> DataFrame:
     return _labelled(rows, found, "a", "b").filter("a_component <> b_component")
 
 
-def _linked(known: DataFrame) -> DataFrame:
-    return components(known.filter("linked").select("a", "b"))
-
-
 def _block_links(percent: int):
     """Edges that tie what links among the rows of two blocks: id, inside (whether it is
     in the first member's component, all of which is tied already), tokens."""
@@ -407,22 +404,13 @@ def _links(docs: DataFrame, keys: DataFrame, lists: DataFrame, groups: DataFrame
     firsts = lists.select("a", "b").unionByName(groups).distinct()
     bounds = _bounds(firsts, keys, percent)
     pairs = bounds.filter("may_link")
-    sets = _token_sets(docs, pairs)
-
-    # Of each member its most promising pair, then the pairs between components.
-    best = pairs.groupBy("b").agg(F.max_by("a", "most").alias("a"))
-    known = _distances(best, sets, percent)
-    found = _linked(known)
-    more = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-    more = common.written(_apart(more, found).select("a", "b"), "pairs")
-    if not more.isEmpty():
-        known = known.unionByName(_distances(more, sets, percent))
-        found = _linked(known)
-
+    known = _distances(pairs, _token_sets(docs, pairs), percent)
     tied = known.filter("linked").select("a", "b")
+    found = components(tied)
+
+    more = []
     if not _apart(groups, found).isEmpty():
-        tied = tied.unionByName(_group_links(docs, groups, found, percent))
-        found = components(tied)
+        more.append(_group_links(docs, groups, found, percent))
 
     # The range in which the distance of a member to the first one is.
     exact = known.groupBy("a", "b").agg(F.min("distance").alias("low"), F.max("distance").alias("high"))
@@ -432,10 +420,10 @@ def _links(docs: DataFrame, keys: DataFrame, lists: DataFrame, groups: DataFrame
     )
     rest = _list_pairs(lists, keys, ranges, found, percent)
     rest = _bounds(rest.join(bounds.select("a", "b"), ["a", "b"], "left_anti"), keys, percent).filter("may_link")
-    if rest.isEmpty():
-        return found
-    last = _distances(rest, _token_sets(docs, rest), percent).filter("linked").select("a", "b")
-    return components(tied.unionByName(last))
+    if not rest.isEmpty():
+        last = _distances(rest, _token_sets(docs, rest), percent)
+        more.append(last.filter("linked").select("a", "b"))
+    return components(reduce(DataFrame.unionByName, more, tied)) if more else found
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -462,9 +450,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     keys = docs.filter("id IS NOT NULL").mapInArrow(_keys(shared, frequent, percent), _KEYS_DDL)
     keys = common.written(keys, "shingle-keys")
     # The first member of a list is a node, as copies are in the same lists.
-    own = nodes.select(F.col("id").alias("b"))
-    lists = common.written(_rare_lists(keys).join(own, "b", "left_semi"), "shingle-lists")
-    groups = common.written(_pair_groups(keys).join(own, "b", "left_semi"), "pair-groups")
+    lists = _rare_lists(keys).join(nodes.select(F.col("id").alias("b")), "b", "left_semi")
+    lists = common.written(lists, "shingle-lists")
+    # Few sets reach frequent tokens, so their copies go before the lists are made.
+    paired = keys.filter(F.size("pairs") > 0).join(nodes.select("id"), "id", "left_semi")
+    groups = common.written(_pair_groups(paired), "pair-groups")
     found = _links(docs, keys, lists, groups, percent)
 
     named = nodes.join(found, "id", "left").select(
