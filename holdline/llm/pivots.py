@@ -1,10 +1,11 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
 Every vector is described by its nearest reference points (pivots), in order. Inverted
-lists by label and pivot hold the vectors that name a pivot; two vectors of a list are
-compared if they share enough pivots, in the list of the first pivot they share, and
-link if the cosine, in double precision, reaches the threshold. Pivots are a bounded
-sample; every vector is indexed.
+lists by label and pivot hold the vectors that name a pivot; two vectors are compared
+in the list of the first pivot they share, and link if the cosine, in double precision,
+reaches the threshold. Pivots are a bounded sample, no two of them close: members of a
+group that link although they lie on different sides of its centre would else name
+different ones of the group's many pivots. Every vector is indexed.
 
 Equal vectors of a label are one node. A dense group would fill a list, so dense cells
 of the index get a centre each. All vectors within half the linking angle of a centre
@@ -34,8 +35,8 @@ THRESHOLD = 0.93
 # Pivots: the square root of the number of vectors, within these bounds; of a dimension
 # that the sample has fewer of, fixed directions are added up to the lower one.
 LEAST_PIVOTS, MOST_PIVOTS = 64, 4096
-# Pivots that describe a vector, and how many two vectors must share.
-NAMED, SHARED = 8, 2
+# Pivots that describe a vector, and the least angle of two pivots in linking angles.
+NAMED, APART = 8, 1.5
 # Vectors of a cell that make it dense, cells that get a centre, and the angle (radians)
 # under which two centres are one.
 DENSE, MOST_CENTRES, SAME_CENTRE = 64, 1024, 0.05
@@ -73,6 +74,18 @@ def _prepared(batches):
         yield common.batch({f.name: list(c) for f, c in zip(_ROWS, zip(*rows))} if rows else {f.name: [] for f in _ROWS}, _ROWS)
 
 
+def apart(vectors: list[bytes], threshold: float) -> list[bytes]:
+    """Those of unit ``vectors`` that are not close to an earlier one that stays."""
+    x = np.stack([np.frombuffer(v) for v in vectors])
+    limit = math.cos(min(math.pi, APART * math.acos(threshold)))
+    free, out = np.ones(len(x), bool), []
+    for i, vector in enumerate(vectors):
+        if free[i]:
+            out.append(vector)
+            free &= x @ x[i] <= limit
+    return out
+
+
 def directions(dim: int, n: int) -> np.ndarray:
     x = np.random.default_rng(dim).standard_normal((n, dim))
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -227,11 +240,14 @@ def _compared(threshold: float):
         a, b = (np.nonzero(side != other)[0] for other in (1, 0))
         links = x[a] @ x[b].T >= threshold
         if pivot >= 0:
+            # Pairs with an earlier pivot in common are compared in its list.
             named = np.array(rows["named"])
-            has = np.zeros((len(x), int(named.max()) + 1), np.float32)
-            np.put_along_axis(has, named, 1, axis=1)
-            links &= has[a] @ has[b].T >= SHARED
-            links &= has[a, :pivot] @ has[b, :pivot].T == 0
+            earlier = named < pivot
+            values, places = np.unique(np.where(earlier, named, -1), return_inverse=True)
+            has = np.zeros((len(x), len(values)), np.float32)
+            np.put_along_axis(has, places.reshape(named.shape), 1, axis=1)
+            has[:, values < 0] = 0
+            links &= has[a] @ has[b].T == 0
         whole = np.zeros((len(x), len(x)), bool)
         whole[np.ix_(a, b)] = links
         whole |= whole.T
@@ -328,7 +344,7 @@ def near_duplicates(
     sample = defaultdict(list)
     for row in own.orderBy(F.xxhash64("content"), "id").limit(wanted).select("dim", "vector").collect():
         sample[row["dim"]].append(bytes(row["vector"]))
-    pivots = spark.sparkContext.broadcast(_Pivots(dict(sample)))
+    pivots = spark.sparkContext.broadcast(_Pivots({dim: apart(of, threshold) for dim, of in sample.items()}))
     indexed = own.select("id", "label", "dim", "copies", "vector").mapInArrow(
         _indexed(pivots), f"{_NODES_DDL}, named array<int>, cell long"
     )

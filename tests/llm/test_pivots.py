@@ -87,6 +87,20 @@ def test_cores_count_what_pairs_would():
     assert all(border[i] == [0] for i in outside[reach])
 
 
+def test_diffuse_hot_group_with_many_pivots(spark, monkeypatch):
+    """A third of all vectors around one centre that lies further off than half the
+    linking angle, so that no core takes them, and as many pivots as a large table has."""
+    monkeypatch.setattr(pivots, "LEAST_PIVOTS", 1000)
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((3000, 64))
+    x[:1000] = pivots.directions(64, 1) + 0.24 / 8 * x[:1000]
+    rows = [(i, [float(c) for c in v], 0) for i, v in enumerate(x)]
+    got, want = run(spark, rows), sorted(brute(rows), key=str)
+    found, all_links = sum(r[1] for r in got), sum(r[1] for r in want)
+    assert found >= 0.9 * all_links and all_links > 100_000
+    assert all(g[1] <= w[1] for g, w in zip(got, want))
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     v = [1.0, 2.0, 3.0]
