@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from holdline.llm import common, decontaminate, jaccard, mixing, quality, token_blocks
-from holdline.llm.queries import MIX_FACTOR, MIX_SEED, MIX_WEIGHTS
+from holdline.llm.queries import MIX_DEFAULT, MIX_FACTOR, MIX_SEED, MIX_WEIGHTS
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated so that the sources have their target shares, shuffled."""
-    return mixing.mixed(docs, MIX_WEIGHTS, MIX_FACTOR, MIX_SEED).select(docs.columns)
+    return mixing.mixed(docs, MIX_WEIGHTS, MIX_FACTOR, MIX_SEED, default=MIX_DEFAULT).select(docs.columns)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

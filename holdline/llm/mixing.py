@@ -49,20 +49,28 @@ def poisson(rate: Column, u: Column) -> Column:
     return F.aggregate(terms, start, step, lambda s: s["n"])
 
 
-def rates(docs: DataFrame, weights: Mapping[str, float], factor: float = 1.0, source_col: str = "source") -> DataFrame:
+def rates(
+    docs: DataFrame,
+    weights: Mapping[str, float],
+    factor: float = 1.0,
+    source_col: str = "source",
+    default: float = 0.0,
+) -> DataFrame:
     """(mix_source, mix_rate): copies wanted of each row on average.
 
     ``factor`` is the size wanted, in characters of the present total. Weights are
     divided by the sum of those of the sources that are there with some text. Sources
-    without a weight, null ones included, get a rate of 0.
+    that ``weights`` does not name, the null one included, have the weight ``default``;
+    a weight of 0 leaves a source out.
     """
     spark = docs.sparkSession
     size = F.length(F.coalesce(F.col("text"), F.lit(""))).cast("bigint")
     sizes = docs.groupBy(F.col(source_col).alias("mix_source")).agg(F.sum(size).alias("size"))
     sizes = common.written(sizes, "source-sizes")  # read three times below
-    given = [(str(k), float(v)) for k, v in weights.items() if v > 0]
+    given = [(str(k), float(v)) for k, v in weights.items()]
     wanted = spark.createDataFrame(given, "mix_source string, weight double")
-    rows = sizes.filter("size > 0").join(F.broadcast(wanted), "mix_source")
+    rows = sizes.filter("size > 0").join(F.broadcast(wanted), "mix_source", "left")
+    rows = rows.withColumn("weight", F.coalesce("weight", F.lit(float(default)))).filter("weight > 0")
     total = sizes.agg(F.sum("size").alias("total"))
     share = rows.agg(F.sum("weight").alias("weights"))
     rate = F.lit(factor) * F.col("weight") / F.col("weights") * F.col("total") / F.col("size")
@@ -77,6 +85,7 @@ def mixed(
     factor: float = 1.0,
     seed: int = 0,
     source_col: str = "source",
+    default: float = 0.0,
 ) -> DataFrame:
     """The rows of ``docs`` as often as drawn, with ``copy`` (from 0) and ``position``,
     the number they are sorted by all over.
@@ -87,11 +96,11 @@ def mixed(
     without a weighted source, gives no rows.
     """
     docs = docs.drop("copy", "position")
-    # The few sources' rates; as many rows as there are weights.
-    given = F.broadcast(rates(docs, weights, factor, source_col))
+    # As many rows as there are sources with a weight; the planner sees their size.
+    given = common.written(rates(docs, weights, factor, source_col, default), "source-rates")
     # The row in a place of its own, so its columns may have any name.
     rows = docs.select(F.struct(*docs.columns).alias("row"))
-    rows = rows.join(given, F.col("row").getField(source_col) == F.col("mix_source"))
+    rows = rows.join(given, F.col("row").getField(source_col).eqNullSafe(F.col("mix_source")))
     own_id = F.col("row").getField("doc_id")
     whole = F.floor(F.greatest(F.col("mix_rate") - LARGEST_DRAW, F.lit(0.0)))
     drawn = poisson(F.col("mix_rate") - whole, uniform(seed, own_id))

@@ -17,8 +17,10 @@ def _query(fn):
     QUERIES[fn.__name__] = fn
     return fn
 
-# Wanted shares of the sources in a mixture as large as what goes in.
+# Wanted shares of the sources in a mixture as large as what goes in; those of sources
+# without a name here, and of documents without a source, are MIX_DEFAULT.
 MIX_WEIGHTS = {f"src{i}": 2.0 if i < 5 else 1.0 for i in range(20)}
+MIX_DEFAULT = 1.0
 MIX_FACTOR, MIX_SEED = 1.0, 2024
 
 
@@ -30,7 +32,7 @@ def op1_html_text(spark, sf_dir):
 @_query
 def op2_mixing(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents")
-    return mixing.mixed(docs, MIX_WEIGHTS, MIX_FACTOR, MIX_SEED)
+    return mixing.mixed(docs, MIX_WEIGHTS, MIX_FACTOR, MIX_SEED, default=MIX_DEFAULT)
 
 
 ORACLES["op2_mixing"] = mixing.mixed_sql(MIX_WEIGHTS, MIX_FACTOR, MIX_SEED, "doc_id, text, lang, source, n_chars")

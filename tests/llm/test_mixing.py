@@ -76,6 +76,18 @@ def test_odd_rows(spark):
     assert mixing.mixed(clash, {"a": 1}, 9.0).schema["position"].dataType.simpleString() == "double"
 
 
+def test_sources_without_a_name_have_the_default_weight(spark, tmp_path):
+    names = ["src0", "src7", "another", None]
+    docs = spark.createDataFrame([(i, "abcd", names[i % 4]) for i in range(8000)], "doc_id long, text string, source string")
+    docs.coalesce(4).write.parquet(str(tmp_path / "documents.parquet"))
+    got = Counter(r["source"] for r in queries.op2_mixing(spark, str(tmp_path)).select("source").collect())
+    want = {"src0": 3200, "src7": 1600, "another": 1600, None: 1600}
+    assert set(got) == set(want) and all(abs(got[s] - n) < 5 * math.sqrt(n) for s, n in want.items())
+    # A weight of 0 leaves a source out.
+    rows = mixing.mixed(docs, {"src0": 1, "another": 0}, default=0.5).select("source").distinct().collect()
+    assert {r["source"] for r in rows} == {"src0", "src7", None}
+
+
 def test_tables_are_read_whole(spark, sf_dir):
     sources = {r["source"] for r in common.table(spark, sf_dir, "documents").select("source").distinct().collect()}
     assert sources <= set(queries.MIX_WEIGHTS)
