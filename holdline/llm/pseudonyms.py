@@ -48,6 +48,19 @@ _PATTERNS = {
     "secret": r"(?<!\w)[0-9a-f]{32,64}(?!\w)",
 }
 _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _PATTERNS.items()))
+# Kinds with spaces inside and no fixed length; a match may hold words that follow.
+_OPEN = ("iban", "abroad")
+# Characters of an IBAN by country, as registered.
+_IBAN_SIZES = {
+    c: int(n)
+    for c, n in re.findall(
+        r"([A-Z]{2})(\d\d)",
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 "
+        "FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 "
+        "LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 "
+        "ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20",
+    )
+}
 _POSSIBLE = re.compile(r"[0-9@]|AKIA|password=")
 
 
@@ -273,7 +286,7 @@ def replaced(text: str, key: bytes) -> tuple[str, int]:
         return text, 0
     out, n, at, look = [], 0, 0, 0
     while m := _ANY.search(text, look):
-        new = pseudonym(m.lastgroup if m.lastgroup in _KINDS else _kind(m), m[0], key)
+        new, m = _checked(m.lastgroup if m.lastgroup in _KINDS else _kind(m), text, m, key)
         if new is None:  # it may still begin, or hold, something of another kind
             new, m = _other(text, m, key)
         if new is None:
@@ -292,10 +305,27 @@ def _kind(m: re.Match) -> str:
 _EACH = {k: re.compile(p) for k, p in _PATTERNS.items()}
 
 
+def _checked(kind: str, text: str, m: re.Match, key: bytes) -> tuple[str | None, re.Match]:
+    """What replaces the match, or the longest part of it up to a space that passes the
+    checks; of an IBAN first the part that is as long as its country's."""
+    parts = [m]
+    if kind in _OPEN:
+        ends = [i for i in range(m.end() - 1, m.start(), -1) if text[i] == " "]
+        parts += [p for end in ends if (p := _EACH[kind].fullmatch(text, m.start(), end))]
+        if kind == "iban":
+            size = _IBAN_SIZES.get(m[0][:2])
+            parts.sort(key=lambda p: len(p[0].replace(" ", "")) != size)
+    for part in parts:
+        if (new := pseudonym(kind, part[0], key)) is not None:
+            return new, part
+    return None, m
+
+
 def _other(text: str, m: re.Match, key: bytes) -> tuple[str | None, re.Match]:
     for kind, pattern in _EACH.items():
         if other := pattern.match(text, m.start()):
-            if (new := pseudonym(kind, other[0], key)) is not None:
+            new, other = _checked(kind, text, other, key)
+            if new is not None:
                 return new, other
     return None, m
 

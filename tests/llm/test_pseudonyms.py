@@ -35,6 +35,20 @@ KEPT = [
 ]
 
 
+@pytest.mark.parametrize(
+    "text, after",
+    [
+        ("ES9121000418450200051332", "EUR"), ("AT611904300234573201", "BIC"), ("ES91 2100 0418 4502 0005 1332", "EUR"),
+        ("AT61 1904 3002 3457 3201", "2024 AND BIC"), ("SE45 5000 0000 0583 9825 7466", "EUROS"), ("CZ6508000000192000145399", "A"),
+        ("NO93 8601 1117 947", "B"), ("DE89 3704 0044 0532 0130 00", "IBAN"), ("+420 123 456 789", "2024"),
+    ],
+)
+def test_words_that_follow_a_number_are_not_part_of_it(text, after):
+    alone, _ = new(text)
+    assert alone != text and len(alone) == len(text)
+    assert new(f"see {text} {after}, and") == (f"see {alone} {after}, and", 1)
+
+
 @pytest.mark.parametrize("text", CHANGED)
 def test_changed_within_the_format(text):
     out, n = new(f"see {text}, and")
