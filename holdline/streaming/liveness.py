@@ -54,15 +54,19 @@ def _advance(lateness: int):
         beat, last = (None if x < 0 else x for x in (beat, last))
         # One entry per second, whatever the sample rate: bounded by the clock.
         open_ = {int(s): r == "1" for s, r in (w.split(":") for w in words.split())}
+        late = {}
         now = state.getCurrentWatermarkMs() // 1000
         if state.hasTimedOut:
             ended = now
         else:
             for frame in frames:
+                # Rows of the clock have no second and fall out here.
                 for sec, recorded in frame.groupby("sec")["recorded"].any().items():
                     if last is None or sec > last:
                         open_[int(sec)] = open_.get(int(sec), False) or bool(recorded)
-            # What comes later is newer than this, or behind the watermark.
+                    else:
+                        late[int(sec)] = late.get(int(sec), False) or bool(recorded)
+            # What comes later is newer than this, or late.
             ended = max(open_, default=now) - lateness
         done = sorted(s for s in open_ if s <= ended)
         events, beat, last, warned = step([(s, open_.pop(s)) for s in done], beat, last, warned)
@@ -78,6 +82,7 @@ def _advance(lateness: int):
                 ends.append((last + (HEARTBEAT_S, STALL_S)[warned]) * 1000 + 999)
             if ends:
                 state.setTimeoutTimestamp(max(min(ends), state.getCurrentWatermarkMs() + 1))
+        events += [("late_record" if r else "late", s) for s, r in sorted(late.items())]
         yield pd.DataFrame(
             {
                 "sensor_key": pd.Series([key[0]] * len(events), dtype="int64"),
@@ -90,26 +95,33 @@ def _advance(lateness: int):
 
 
 def _thin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per sensor and second of each Arrow batch, before the shuffle."""
+    """One row per sensor and second of each Arrow batch, before the shuffle, and one
+    for the clock: the newest second. Only that one has a time for the engine, which
+    discards rows behind the watermark of all sensors, but none without a time."""
     for frame in frames:
-        yield frame.groupby(["sensor_key", "sec"], as_index=False)["recorded"].any()
+        rows = frame.groupby(["sensor_key", "sec"], as_index=False)["recorded"].any()
+        rows = rows.astype({"sensor_key": "Int64", "sec": "Int64"}).assign(clock=pd.array([pd.NA] * len(rows), "Int64"))
+        newest = rows.nlargest(1, "sec").assign(clock=lambda r: r["sec"], sec=pd.array([pd.NA] * min(1, len(rows)), "Int64"))
+        yield pd.concat([rows, newest])
 
 
 def stream_liveness(samples: DataFrame, lateness: int = 1) -> DataFrame:
     """Events ``heartbeat`` (at a sample), ``dead`` and ``stalled`` (at the last
-    sample before more than 5 and 15 seconds of silence).
+    sample before more than 5 and 15 seconds of silence), and ``late`` or ``late_record``
+    for each second of samples that came when a second as new of their sensor had counted.
 
     ``samples`` has ``sensor_key``, ``sec`` and ``recorded``. Samples may come up to
     ``lateness`` seconds (one at least) after newer ones: a second counts when no sample
-    of it can come any more, so events do not depend on where micro-batches end. Older
-    samples are behind the watermark and left out by the engine.
+    of it can come any more, so events do not depend on where micro-batches end. Samples
+    further behind other sensors count as long as they are newer than what has counted of
+    their own; a silence that the clock of all sensors has already told stays told.
     """
     if lateness < 1:
         raise ValueError("a second can end within a micro-batch: lateness is 1 at least")
     thin = samples.select(
         F.col("sensor_key").cast("bigint"), F.col("sec").cast("bigint"), F.coalesce("recorded", F.lit(False)).alias("recorded")
-    ).mapInPandas(_thin, "sensor_key bigint, sec bigint, recorded boolean")
-    timed = thin.withColumn("at", F.timestamp_seconds("sec")).withWatermark("at", f"{lateness} seconds")
+    ).mapInPandas(_thin, "sensor_key bigint, sec bigint, recorded boolean, clock bigint")
+    timed = thin.withColumn("at", F.timestamp_seconds("clock")).withWatermark("at", f"{lateness} seconds")
     return timed.groupBy("sensor_key").applyInPandasWithState(
         _advance(lateness), _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout
     )

@@ -152,6 +152,29 @@ def test_a_second_split_by_a_micro_batch(spark, tmp_path):
     assert [e for e in results_of[0] if e[1] == "heartbeat"] == [(1, "heartbeat", 116)]
 
 
+def test_a_sensor_behind_the_others_keeps_its_samples(spark, tmp_path):
+    """Rows older than the newest of another sensor count; those older than what has
+    counted of their own are given as late."""
+    ahead = [(1, s, True) for s in (490, 495, 500)]
+    behind = [(2, 100, True), (2, 104, False), (2, 110, False), (2, 130, False)]
+    data = ahead + behind + [(3, 600, True)] + [(1, 480, True), (1, 481, False), (3, 700, True)]
+    schema = "sensor_key long, sec long, recorded boolean"
+    results_of = []
+    for name, cuts in (("one", [8]), ("two", [3, 8]), ("each", [3, 4, 5, 6, 7, 8])):
+        source, out = str(tmp_path / name), str(tmp_path / f"{name}-out")
+        for a, b in zip([0, *cuts], [*cuts, len(data)]):
+            spark.createDataFrame(data[a:b], schema).write.mode("append").parquet(source)
+            events = liveness.stream_liveness(read_stream(spark, source, schema))
+            events.writeStream.format("parquet").option("path", out).option(
+                "checkpointLocation", str(tmp_path / f"{name}-cp")).trigger(**NOW).start().awaitTermination()
+        results_of.append(sorted(map(tuple, spark.read.parquet(out).collect())))
+    assert results_of[0] == results_of[1] == results_of[2]
+    of = {k: sorted((e, s) for key, e, s in results_of[0] if key == k) for k in (1, 2)}
+    assert of[1] == [("dead", 500), ("late", 481), ("late_record", 480), ("stalled", 500)]
+    silent = [(e, s) for e, ends in (("dead", (104, 110, 130)), ("stalled", (110, 130))) for s in ends]
+    assert of[2] == sorted([*silent, ("heartbeat", 110), ("heartbeat", 130)])
+
+
 def test_routing_is_stateless(spark):
     stream = spark.readStream.format("rate").load().select(
         F.lit("hb/x").alias("topic"), F.col("value").cast("string").alias("payload"))
