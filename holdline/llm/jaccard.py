@@ -40,7 +40,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdline.llm import common
@@ -439,6 +439,38 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     if not 75 <= percent <= 100:
         raise ValueError("the index is exact for 75 to 100 hundredths")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    found = _similar_texts(docs, percent) if _ids_repeat(docs) else _similar(docs, percent)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _ids_repeat(docs: DataFrame) -> bool:
+    """Whether an id names different texts."""
+    content = F.xxhash64("text")
+    texts = docs.filter("id IS NOT NULL").groupBy("id").agg(F.min(content).alias("x"), F.max(content).alias("y"))
+    return not texts.filter("x <> y").isEmpty()
+
+
+def _own(identity: str = "id") -> Column:
+    """A number for each text of each id."""
+    return F.when(F.col(identity).isNotNull(), F.xxhash64(F.col(identity).cast("long"), F.col("text").cast("binary")))
+
+
+def _similar_texts(docs: DataFrame, percent: int) -> DataFrame:
+    """``_similar`` of a table whose ids may name different texts, each a node by itself:
+    its columns, ``own`` and ``keeper``, the ``own`` of the component's smallest row."""
+    numbered = docs.withColumns({"own": _own(), "given": F.col("id")})
+    found = common.written(_similar(numbered.select(F.col("own").alias("id"), "text"), percent), "text-components")
+    names = numbered.filter("own IS NOT NULL").select("own", "given").distinct()
+    found = found.withColumnRenamed("id", "own").join(common.written(names, "text-names"), "own", "left")
+    least = found.filter("own IS NOT NULL").groupBy("component_id").agg(F.min(F.struct("given", "own")).alias("least"))
+    found = found.join(common.written(least, "text-keepers"), "component_id", "left")
+    return found.select(
+        F.col("given").alias("id"), "n", F.col("least.given").alias("component_id"), "own", F.col("least.own").alias("keeper")
+    )
+
+
+def _similar(docs: DataFrame, percent: int) -> DataFrame:
+    """(id, n, component_id) for each row; an id names one text."""
     scan = common.written(common.bounded_batches(docs).mapInArrow(_scan, _SCAN_DDL), "shingle-scan")
     rows = scan.filter("chunk IS NULL").select("id", "n", "content")
     nodes = rows.filter("id IS NOT NULL AND content IS NOT NULL").groupBy("content").agg(F.min("id").alias("id"))
@@ -461,8 +493,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         "content", F.coalesce("component", "id").alias("component_id")
     )
     return rows.join(named, "content", "left").select(
-        F.col("id").alias(id_col),
-        F.col("n").alias("n_shingles"),
+        "id",
+        "n",
         F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"),
     )
 
@@ -472,6 +504,11 @@ def without_near_copies(docs: DataFrame, percent: int = 75) -> DataFrame:
     links connect: the row with the smallest doc_id stays, once if it is repeated. Rows
     with a null id all stay.
     """
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
+    if _ids_repeat(rows):
+        first = _similar_texts(rows, percent).filter("own = keeper").select(F.col("own").alias("__own")).distinct()
+        kept = docs.withColumn("__own", _own("doc_id")).join(first, "__own", "left_semi").dropDuplicates(["doc_id", "text"])
+        return kept.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
     found = similar_documents(docs.select("doc_id", "text"), percent=percent)
     first = found.filter("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])

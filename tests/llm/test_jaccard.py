@@ -101,6 +101,19 @@ def test_odd_rows(spark):
     assert sorted(ids, key=str) == sorted([1, 2, 3, 4, 6, None, 8, 10, 12, 13], key=str)
 
 
+def test_texts_of_a_repeated_id_are_nodes_of_their_own(spark):
+    near, clean, other, blank = (" ".join(f"{c}{i}" for i in range(40)) for c in "abcd")
+    rows = [(5, near), (7, near + " z"), (7, clean), (8, clean + " z"), (9, other), (9, other + " z"), (9, other), (10, " "), (10, blank), (None, near)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in jaccard.similar_documents(docs).collect()), key=str)
+    want = [(5, 36, 5), (7, 37, 5), (7, 36, 7), (8, 37, 7), (9, 36, 9), (9, 37, 9), (9, 36, 9), (10, 0, 10), (10, 36, 10), (None, 36, None)]
+    assert got == sorted(want, key=str)
+    kept = sorted((tuple(r) for r in jaccard.without_near_copies(docs).collect()), key=str)
+    one = [r for r in kept if r[0] == 9]
+    assert len(one) == 1 and one[0] in rows
+    assert [r for r in kept if r[0] != 9] == sorted([(5, near), (7, clean), (10, " "), (10, blank), (None, near)], key=str)
+
+
 def test_refused_thresholds(spark):
     with pytest.raises(ValueError):
         jaccard.similar_documents(spark.createDataFrame([], "doc_id long, text string"), percent=60)
