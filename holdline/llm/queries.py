@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from holdline.llm import common, decontaminate, html_text, jaccard, mixing, pivots, pseudonyms, quality, token_blocks, token_counts, warc
+from holdline.llm import chat, common, decontaminate, html_text, jaccard, mixing, pivots, pseudonyms, quality, token_blocks, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +98,48 @@ FROM (SELECT *, min(page_id) OVER (PARTITION BY digest) AS keeper
   FROM (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n,
     sha256(coalesce(html, '')) AS digest FROM pages))
 """
+
+
+# A conversation that says control strings, beside those of the table.
+CONTROL_STRINGS = """SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text
+FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"""
+
+
+@_query
+def op12_chat_format(spark, sf_dir):
+    table = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    written = common.written(chat.formatted(table.unionByName(spark.sql(CONTROL_STRINGS))), "chat")
+    read = written.select("conv_id", chat.text_of().alias("formatted"), chat.loss_text().alias("loss"))
+    read = read.withColumn("turns", chat.turns_of(F.col("formatted")))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(told, 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
+# Read from the table, not from the formatted text; its length is counted from what the
+# template adds to each turn.
+ORACLES["op12_chat_format"] = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+placed AS (SELECT *, lag(role) OVER w IS NOT DISTINCT FROM role AS goes_on, lead(role) OVER w IS NOT DISTINCT FROM role AS more,
+    row_number() OVER w AS i,
+    length(regexp_replace(text, '([\[<])(\\*/?(?:INST\]|ROLE\]|IS\]|SEP\]|s>))', '\1\\\2', 'g')) AS n,
+    length(regexp_replace(role, '([\[<])(\\*/?(?:INST\]|ROLE\]|IS\]|SEP\]|s>))', '\1\\\2', 'g')) AS m
+  FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum(n
+    + CASE WHEN goes_on THEN 0 WHEN role = 'user' THEN 7 WHEN role = 'assistant' THEN 0 ELSE 13 + m END
+    + CASE WHEN more THEN 5 WHEN role = 'user' THEN 8 WHEN role = 'assistant' THEN 4 ELSE 8 END) AS BIGINT) AS formatted_chars
+FROM placed GROUP BY conv_id
+"""
