@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdline.llm import chat, common, decontaminate, html_text, jaccard, mixing, pivots, pseudonyms, quality, token_blocks, token_counts, warc
+from holdline.llm import chat, common, decontaminate, html_text, jaccard, mixing, pivots, pseudonyms, quality, token_blocks, token_counts, vector_codes, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -143,3 +143,51 @@ SELECT conv_id, count(*) AS n_turns,
     + CASE WHEN more THEN 5 WHEN role = 'user' THEN 8 WHEN role = 'assistant' THEN 4 ELSE 8 END) AS BIGINT) AS formatted_chars
 FROM placed GROUP BY conv_id
 """
+
+
+@_query
+def op11_vector_codes(spark, sf_dir):
+    codes, books = vector_codes.compressed(common.table(spark, sf_dir, "embeddings"))
+    return codes.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+# Every part against every entry; the least of 64 * distance + index is the nearest entry,
+# the lowest of equals.
+_VECTOR_PARTS = """
+kept AS (SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+parts AS (SELECT vec_id, p, x[4 * p + 1] AS a, x[4 * p + 2] AS b, x[4 * p + 3] AS c, x[4 * p + 4] AS d
+  FROM kept, range(16) AS t(p)),
+book0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k, a, b, c, d
+  FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 64))"""
+
+
+def _nearest_sql(n: int) -> str:
+    return f"""near{n} AS (SELECT vec_id, p, min(64 * ((s.a - e.a) * (s.a - e.a) + (s.b - e.b) * (s.b - e.b)
+    + (s.c - e.c) * (s.c - e.c) + (s.d - e.d) * (s.d - e.d)) + k) AS m
+  FROM parts s JOIN book{n} e USING (p) GROUP BY vec_id, p)"""
+
+
+def _means_sql(n: int) -> str:
+    mean = lambda x: f"CASE WHEN count(s.p) = 0 THEN any_value(e.{x}) ELSE CAST(floor(sum(s.{x}) / count(s.p)) AS BIGINT) END AS {x}"
+    return f"""book{n + 1} AS (SELECT e.p, e.k, {", ".join(map(mean, "abcd"))}
+  FROM book{n} e LEFT JOIN (SELECT parts.*, m % 64 AS k FROM parts JOIN near{n} USING (vec_id, p)) s
+    ON s.p = e.p AND s.k = e.k GROUP BY e.p, e.k)"""
+
+
+ORACLES["op11_vector_codes"] = f"""
+WITH {_VECTOR_PARTS},
+{_nearest_sql(0)}, {_means_sql(0)}, {_nearest_sql(1)}, {_means_sql(1)}, {_nearest_sql(2)},
+codes AS (SELECT vec_id, string_agg(printf('%02x', m % 64), '' ORDER BY p) AS code, CAST(sum(m // 64) AS BIGINT) AS error
+  FROM near2 GROUP BY vec_id),
+books AS (SELECT sha256(string_agg(concat_ws(',', a, b, c, d), ',' ORDER BY p, k)) AS codebooks_sha256 FROM book2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM codes JOIN kept USING (vec_id), books
+"""
+
+
+@_query
+def op13_whitening(spark, sf_dir):
+    rows = whitening.components(common.table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").cast("long"))
