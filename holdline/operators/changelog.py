@@ -5,12 +5,13 @@ from __future__ import annotations
 import operator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdline.functions.scalars import differs, join_on
 from holdline.functions.times import TICKS_PER_SECOND, when_key
 from holdline.operators.history import History
+from holdline.session import materialize
 
 ORDER = ["sec", "cs"]
 DAY = 86_400
@@ -59,6 +60,35 @@ def lifecycle(scans: DataFrame, site: str, key: str, scan: str) -> DataFrame:
     return events.select(site, key, "e.*")
 
 
+def presence_log(
+    readings: DataFrame, scans: DataFrame, site: str, key: str, scan: str, cols: list[str], order: list[str] = ORDER
+) -> DataFrame:
+    """The change log of a scanned bus, tombstones included.
+
+    ``readings`` has a row for every sensor that answered in a scan, with ``cols`` and the
+    time it was read; ``scans`` one for every finished scan of a site, with its time, also
+    of one that nothing answered in. A reading is logged when it differs from the one
+    before, or when the sensor was missing from the scan before; a sensor missing from a
+    scan for the first time gets a row of NULLs at the end of that scan.
+    """
+    clock = History.of(scans.select(site, scan, *order), [site], [scan])
+    clock = clock.previous("__before", F.col(scan)).following("__after", F.struct(scan, *order)).rows()
+    clock = clock.select(site, scan, "__before", "__after")
+    at = join_on(readings.select(site, key, scan, *order, *cols), clock, [site, scan], "inner")
+    h = History.of(at, [site, key], [scan]).previous("__was", F.struct(scan, *cols)).following("__will", F.col(scan))
+    came = F.col("__was").isNull() | ~F.col(f"__was.{scan}").eqNullSafe(F.col("__before"))
+    changed = differs([F.col(c) for c in cols], [F.col(f"__was.{c}") for c in cols])
+    gone = F.col("__after").isNotNull() & ~F.col("__will").eqNullSafe(F.col(f"__after.{scan}"))
+    types = dict(readings.dtypes)
+    value = F.struct(*order, *cols)
+    stone = F.struct(
+        *[F.col(f"__after.{c}").cast(types[c]).alias(c) for c in order],
+        *[F.lit(None).cast(types[c]).alias(c) for c in cols],
+    )
+    both = F.array_compact(F.array(F.when(came | changed, value), F.when(gone, stone)))
+    return h.rows().select(site, key, F.inline(both))
+
+
 # Fixed values of the two user bytes in a sensor's scratchpad.
 ONLINE_BYTE, RESET_BYTE = 0xFF, 0x00
 
@@ -95,16 +125,65 @@ def disappeared(prev: DataFrame, cur: DataFrame, key: list[str]) -> DataFrame:
     return join_on(prev.select(*key).distinct(), cur.select(*key), key, "left_anti")
 
 
+def _successors(rows: DataFrame, part: list[str], longest: int) -> DataFrame:
+    """Add ``__next``: the place of the first later row of ``part`` whose ``__first`` is
+    not before this row's ``__last``, NULL if there is none. ``__at`` numbers the rows of a
+    part from 1; ``longest`` is the largest part.
+
+    Maxima of ``__first`` over 1, 2, 4, ... rows come from doubling; from the longest
+    stretch down, those in which no row qualifies are jumped over.
+    """
+    w = Window.partitionBy(*part).orderBy("__at")
+    reach, tops = 1, ["__m0"]
+    rows = rows.withColumn("__m0", F.col("__first"))
+    while 2 * reach < longest:
+        new = f"__m{len(tops)}"
+        rows = rows.withColumn(new, F.greatest(F.col(tops[-1]), F.lead(tops[-1], reach).over(w)))
+        tops, reach = [*tops, new], 2 * reach
+    rows = materialize(rows)
+    found = rows.select(*part, "__at", "__last", (F.col("__at") + 1).alias("__next"))
+    for k in range(len(tops) - 1, -1, -1):
+        there = rows.select(*part, F.col("__at").alias("__next"), F.col(tops[k]).alias("__top"))
+        found = join_on(found, there, [*part, "__next"], "left")
+        skip = F.coalesce(F.col("__top") < F.col("__last"), F.lit(False))
+        found = found.withColumn("__next", F.when(skip, F.col("__next") + (1 << k)).otherwise(F.col("__next")))
+        found = found.drop("__top")
+    return found.select(*part, "__at", "__next")
+
+
 def clock_guard(df: DataFrame, key: list[str], session: str) -> DataFrame:
-    """Rows with ``refused``: the session began before the newest time logged by an
-    earlier session of the same key. What is in ``df`` counts as logged, rows of
-    refused sessions included."""
+    """Rows with ``refused``: the session began before the newest time that an accepted
+    session of the same key had logged. A refused session logs nothing, so it refuses none.
+
+    A session that begins after all earlier ones ended is accepted in any case. Between
+    two of these, each accepted session has a successor: the next one that begins at or
+    after its end. Following the successors, twice as far every time, gives all of them.
+    Only sessions that a wrong clock involves take part in that, one small row each.
+    """
     ends = df.groupBy(*key, session).agg(
         F.min(when_key()).alias("__first"), F.max(when_key()).alias("__last")
     )
     h = History.of(ends, key, [session]).running_max("__top", F.col("__last"), inclusive=False)
-    flag = F.coalesce(F.col("__first") < F.col("__top"), F.lit(False))
-    flags = h.rows().select(*key, session, flag.alias("refused"))
+    sure = F.col("__top").isNull() | (F.col("__first") >= F.col("__top"))
+    h = h.with_columns(__sure=sure).running_sum("__stretch", F.col("__sure").cast("bigint"))
+    part = [*key, "__stretch"]
+    rows = materialize(h.rows().withColumn("__at", F.row_number().over(Window.partitionBy(*part).orderBy(session))))
+    longest = rows.agg(F.max("__at")).first()[0] or 0
+    accepted = rows.filter("__at = 1").select(*part, "__at")
+    if longest > 1:
+        doubtful = join_on(rows, rows.filter("__at = 2").select(*part), part, "left_semi")
+        step = materialize(_successors(doubtful, part, longest))
+        reach = 1
+        while reach < longest:
+            onward = step.filter(F.col("__next").isNotNull())
+            more = join_on(accepted, onward, [*part, "__at"], "inner").select(*part, F.col("__next").alias("__at"))
+            accepted = accepted.unionByName(more).distinct()
+            far = onward.select(*part, F.col("__at").alias("__next"), F.col("__next").alias("__then"))
+            step = join_on(step, far, [*part, "__next"], "left").select(*part, "__at", F.col("__then").alias("__next"))
+            reach *= 2
+            accepted, step = materialize(accepted), materialize(step)
+    rows = join_on(rows, accepted.withColumn("__taken", F.lit(True)), [*part, "__at"], "left")
+    flags = rows.select(*key, session, F.col("__taken").isNull().alias("refused"))
     return join_on(df, flags, [*key, session], "inner")
 
 

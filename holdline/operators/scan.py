@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdline.functions.scalars import clamp, idiv, join_on
+from holdline.functions.times import TICKS_PER_SECOND
 from holdline.operators.history import CHUNK, History
 from holdline.session import materialize
 
@@ -157,23 +158,18 @@ def compound_record(
 
 
 def record_log(
-    good: DataFrame, bad: DataFrame, key: list[str], order: list[str], cols: list[str],
-    scale: int = HYSTERESIS_SCALE,
+    judged: DataFrame, key: list[str], order: list[str], cols: list[str], scale: int = HYSTERESIS_SCALE
 ) -> DataFrame:
-    """The change log of good samples and failed readings (``bad`` needs key and
-    order only). A failure writes a tombstone unless one holds or nothing was
-    logged yet; it does not touch the hysteresis. The first good sample after a
-    tombstone is logged even when no channel emits."""
-    held = compound_over(History.of(good, key, order), cols, scale).rows()
-    held = held.select(*key, *order, F.lit(True).alias("__ok"), "changed",
-                       *[idiv(f"{c}_mem", scale).alias(c) for c in cols])
-    failed = bad.select(*key, *order, F.lit(False).alias("__ok"), F.lit(False).alias("changed"),
-                        *[F.lit(None).cast("bigint").alias(c) for c in cols])
-    h = History.of(held.unionByName(failed), key, order)
+    """The change log of samples and failed readings, which have a ``reason`` and no
+    channels. A failure writes a tombstone unless one holds or nothing was logged yet; it
+    does not touch the hysteresis. The first good sample after a tombstone is logged even
+    when no channel emits."""
+    ok = F.col("reason").isNull()
+    h = compound_over(History.of(judged, key, order).with_columns(__ok=ok), cols, scale)
     h = h.previous("__was_ok", F.col("__ok")).running_max("__logged", F.col("changed"), inclusive=False)
-    logged = F.coalesce("__logged", F.lit(False))
-    turned = logged & (F.col("__ok") != F.col("__was_ok"))
-    return h.filter(F.col("changed") | turned).rows().select(*key, *order, *cols)
+    turned = F.coalesce("__logged", F.lit(False)) & (F.col("__ok") != F.col("__was_ok"))
+    rows = h.filter(F.col("changed") | turned).rows()
+    return rows.select(*key, *order, *[F.when(F.col("__ok"), idiv(f"{c}_mem", scale)).alias(c) for c in cols])
 
 
 def after_warmup(df: DataFrame, key: list[str], session: str, n: int, order: list[str]) -> DataFrame:
@@ -213,7 +209,7 @@ def _longest(df: DataFrame, part: list[str]) -> int:
 
 
 def _crowded_slots(rows: DataFrame, key: list[str], order: list[str], limit: int) -> DataFrame:
-    """``slot`` for runs of rows in which some find none; others are dropped.
+    """``slot`` for runs of rows in which some find none, NULL for those.
 
     The last slot used moves by "add one, then clamp to the row's range"; such
     steps compose to "add n, then clamp", so all prefixes come from doubling.
@@ -241,15 +237,16 @@ def _crowded_slots(rows: DataFrame, key: list[str], order: list[str], limit: int
         )
         before = F.coalesce(before, F.col("__in"))
     steps = steps.withColumn("slot", slot).withColumn("__before", before)
-    kept = steps.filter(F.col("__before").isNull() | (F.col("slot") > F.col("__before")))
-    return kept.drop("__f", "__before", "__in", CHUNK)
+    kept = F.col("__before").isNull() | (F.col("slot") > F.col("__before"))
+    return steps.withColumn("slot", F.when(kept, F.col("slot"))).drop("__f", "__before", "__in", CHUNK)
 
 
 def uniquify(
-    df: DataFrame, key: list[str], tick: str, seq: list[str], limit: int = COLLISION_LIMIT
+    df: DataFrame, key: list[str], tick: str, seq: list[str], limit: int = COLLISION_LIMIT, dropped: bool = False
 ) -> DataFrame:
     """Give each row its own ``slot``: its tick, or the next free one, trying
-    ``limit`` slots in all; rows that find none are left out.
+    ``limit`` slots in all; rows that find none are left out, or with ``dropped`` kept
+    without a slot.
 
     Arrivals are taken by tick, then ``seq``. Without the limit the slot of row i
     is i plus the largest (tick - i) so far: a running maximum. That splits the
@@ -276,7 +273,21 @@ def uniquify(
     others = materialize(others.drop("slot"))
     if not others.isEmpty():
         settled = settled.unionByName(_crowded_slots(others, runs, order, limit))
-    return settled.drop("__t", "__run")
+    settled = settled.drop("__t", "__run")
+    return settled if dropped else settled.filter(F.col("slot").isNotNull())
+
+
+def uniquify_stamps(
+    df: DataFrame, key: list[str], seq: list[str], limit: int = COLLISION_LIMIT, per_second: int = TICKS_PER_SECOND
+) -> DataFrame:
+    """Rows with ``sec`` and ``cs`` (of ``per_second`` a second) moved to the next free
+    stamp, over the end of a second if need be. A row that finds none in ``limit`` tries
+    keeps its stamp and is ``dropped``; the log takes the others."""
+    rows = df.withColumn("__tick", F.col("sec").cast("bigint") * per_second + F.col("cs"))
+    rows = uniquify(rows, key, "__tick", seq, limit, dropped=True)
+    at = F.coalesce("slot", "__tick")
+    stamp = {"sec": idiv(at, per_second), "cs": (at % per_second).cast("int"), "dropped": F.col("slot").isNull()}
+    return rows.withColumns(stamp).drop("__tick", "slot")
 
 
 # -- exponential smoothing ------------------------------------------------------

@@ -100,10 +100,10 @@ def formatted(log: DataFrame, family: str, tz: str = "UTC") -> DataFrame:
     )
 
 
-def valid_temperature(df: DataFrame, milli: str, crc_ok: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Split into usable readings, with ``temp`` in hundredths, and rejected ones
-    with a ``reason``. The power-on value cannot be told from a real 85 degrees,
-    so it is rejected."""
+def valid_temperature(df: DataFrame, milli: str, crc_ok: Column | None = None) -> DataFrame:
+    """Add ``temp`` in hundredths, and ``reason`` to rows that are not usable, whose
+    ``temp`` is NULL. The power-on value cannot be told from a real 85 degrees, so it is
+    rejected."""
     m = F.col(milli)
     reason = (
         F.when(~F.coalesce(crc_ok, F.lit(False)) if crc_ok is not None else F.lit(False), "crc")
@@ -111,9 +111,7 @@ def valid_temperature(df: DataFrame, milli: str, crc_ok: Column | None = None) -
         .when(m == POWER_ON_MILLI, "power_on")
         .when((m < MIN_MILLI) | (m > MAX_MILLI), "range")
     )
-    marked = df.withColumn("reason", reason)
-    good = marked.filter(F.col("reason").isNull()).withColumn("temp", milli_to_centi(m)).drop("reason")
-    return good, marked.filter(F.col("reason").isNotNull())
+    return df.withColumns({"temp": F.when(reason.isNull(), milli_to_centi(m)), "reason": reason})
 
 
 def labeled(log: DataFrame, dim: DataFrame) -> DataFrame:

@@ -76,9 +76,9 @@ def s4(t: Tables):
     "s5_w1_text",
     sql(
         """SELECT event_id, CASE WHEN reason IS NULL THEN CAST(floor(milli / 10.0::DOUBLE) AS INTEGER) END AS temp, reason
-        FROM (SELECT event_id, milli, CASE WHEN v % 10 = 0 THEN 'crc' WHEN milli IS NULL THEN 'unreadable'
+        FROM (SELECT event_id, milli, CASE WHEN k = 77 THEN 'empty' WHEN v % 10 = 0 THEN 'crc' WHEN milli IS NULL THEN 'unreadable'
           WHEN milli = 85000 THEN 'power_on' WHEN milli < -55000 OR milli > 125000 THEN 'range' END AS reason
-          FROM (SELECT event_id, v, CASE WHEN k = 99 THEN NULL WHEN k = 85 THEN 85000 ELSE v * 7 - 60003 END AS milli FROM ev))"""
+          FROM (SELECT event_id, v, k, CASE WHEN k = 99 THEN NULL WHEN k = 85 THEN 85000 ELSE v * 7 - 60003 END AS milli FROM ev))"""
     ),
 )
 def s5(t: Tables):
@@ -87,11 +87,8 @@ def s5(t: Tables):
     milli = F.when(k == 85, F.lit("85000")).otherwise((v * 7 - 60_003).cast("string"))
     second = F.when(k == 99, F.lit("50 05 4b 46 7f")).otherwise(F.concat(F.lit("50 05 4b 46 7f t="), milli))
     text = F.concat(F.lit("50 05 4b 46 7f : crc=1c "), crc, F.lit("\n"), second, F.lit("\n"))
-    good, bad = onewire.parse_w1(t.events().select("event_id", text.alias("text")), "text")
-    null = F.lit(None)
-    return good.select("event_id", "temp", null.cast("string").alias("reason")).unionByName(
-        bad.select("event_id", null.cast("int").alias("temp"), "reason")
-    )
+    text = F.when(k != 77, text)
+    return onewire.parse_w1(t.events().select("event_id", text.alias("text")), "text").select("event_id", "temp", "reason")
 
 
 _SERIAL = "'28-' || lpad(lower(to_hex(sensor_key)), 12, '0')"
@@ -372,10 +369,8 @@ def v3(t: Tables):
 )
 def v11(t: Tables):
     milli = F.when(F.col("k") == 85, F.lit(85_000)).otherwise(F.col("v") * 9 - 60_001)
-    good, bad = views.valid_temperature(t.events().select("event_id", milli.alias("milli")), "milli")
-    return good.select("event_id", "temp", F.lit(None).cast("string").alias("reason")).unionByName(
-        bad.select("event_id", F.lit(None).cast("int").alias("temp"), "reason")
-    )
+    rows = t.events().select("event_id", milli.alias("milli"))
+    return views.valid_temperature(rows, "milli").select("event_id", "temp", "reason")
 
 
 # -- joins and latest rows --------------------------------------------------------

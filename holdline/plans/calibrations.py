@@ -53,11 +53,8 @@ def c1(t: Tables):
     )
     crc = crc1w([f"b{i}" for i in range(8)]).cast("bigint")
     broken = F.when(F.col("event_id") % 17 == 0, crc.bitwiseXOR(F.lit(1).cast("bigint"))).otherwise(crc)
-    good, bad = calibrate.ds18b20(raw.withColumn("b8", broken))
-    null = F.lit(None)
-    return good.select("event_id", "temp", null.cast("string").alias("reason"), "b8").unionByName(
-        bad.select("event_id", null.cast("int").alias("temp"), "reason", null.cast("bigint").alias("b8"))
-    )
+    got = calibrate.ds18b20(raw.withColumn("b8", broken))
+    return got.select("event_id", "temp", "reason", F.when(F.col("reason").isNull(), F.col("b8")).alias("b8"))
 
 
 def _crc_sql(high: str, low: str) -> str:
@@ -70,40 +67,36 @@ def _crc_sql(high: str, low: str) -> str:
     return byte(f"xor({byte(f'xor(255::BIGINT, {high})')}, {low})")
 
 
-_SHT = """SELECT event_id, sensor_key, sec, cs, (v * 7) % 65536 AS tw, (v * 13 + k) % 65536 AS hw FROM ev"""
-_SHT_GOOD = """SELECT *, tw * 175 * 400 // 65535 - 18000 AS temp, hw * 4000 // 65535 AS hum FROM words WHERE event_id % 10 <> 0"""
+_SHT = """SELECT event_id, sensor_key, sec, cs, (v * 7) % 65536 AS tw, (v * 13 + k) % 65536 AS hw,
+  event_id % 10 = 0 OR event_id % 13 = 0 OR event_id % 19 = 0 AS bad FROM ev"""
+_SHT_GOOD = """SELECT *, tw * 175 * 400 // 65535 - 18000 AS temp, hw * 4000 // 65535 AS hum FROM words WHERE NOT bad"""
 
 
-def _sht_raw(t: Tables):
-    ev = t.events()
+def _sht_raw(ev):
+    """Words with a wrong checksum, without a checksum, or without a byte now and then."""
     tw, hw = (F.col("v") * 7) % 65536, (F.col("v") * 13 + F.col("k")) % 65536
+    high = F.when(F.col("event_id") % 19 != 0, idiv(hw, 256))
     raw = ev.select(
         "event_id", "sensor_key", "sec", "cs",
         idiv(tw, 256).alias("b0"), (tw % 256).alias("b1"),
-        idiv(hw, 256).alias("b3"), (hw % 256).alias("b4"),
+        high.alias("b3"), (hw % 256).alias("b4"),
     )
     good = crc8_word("b0", "b1")
     broken = F.when(F.col("event_id") % 10 == 0, good.bitwiseXOR(F.lit(1))).otherwise(good)
-    return raw.withColumns({"b2": broken, "b5": crc8_word("b3", "b4")})
+    return raw.withColumns({"b2": F.when(F.col("event_id") % 13 != 0, broken), "b5": crc8_word("b3", "b4")})
 
 
 @query(
     "c4_sht31_raw",
     sql(
-        f"""SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN tw * 175 * 400 // 65535 - 18000 END AS temp,
-          CASE WHEN event_id % 10 <> 0 THEN hw * 4000 // 65535 END AS hum, CASE WHEN event_id % 10 = 0 THEN 'crc' END AS reason,
-          CAST({_crc_sql("hw // 256", "hw % 256")} AS INTEGER) AS b5 FROM words""",
+        f"""SELECT event_id, CASE WHEN NOT bad THEN tw * 175 * 400 // 65535 - 18000 END AS temp,
+          CASE WHEN NOT bad THEN hw * 4000 // 65535 END AS hum, CASE WHEN bad THEN 'crc' END AS reason,
+          CASE WHEN event_id % 19 <> 0 THEN CAST({_crc_sql("hw // 256", "hw % 256")} AS INTEGER) END AS b5 FROM words""",
         words=_SHT,
     ),
 )
 def c4(t: Tables):
-    good, bad = calibrate.sht31(_sht_raw(t))
-    null = F.lit(None)
-    return good.select("event_id", "temp", "hum", null.cast("string").alias("reason"), "b5").unionByName(
-        bad.select(
-            "event_id", null.cast("bigint").alias("temp"), null.cast("bigint").alias("hum"), "reason", "b5"
-        )
-    )
+    return calibrate.sht31(_sht_raw(t.events())).select("event_id", "temp", "hum", "reason", "b5")
 
 
 def _joint_walk(key: str, columns: list[str]) -> dict[str, str]:
@@ -124,15 +117,15 @@ def _joint_walk(key: str, columns: list[str]) -> dict[str, str]:
         steps="""SELECT s.sensor_key, s.sec, s.cs, s.event_id, true AS ok, a.mem // 4 AS temp, b.mem // 4 AS hum,
             a.mem // 4 <> a.old // 4 OR b.mem // 4 <> b.old // 4 AS changed FROM samples s
           JOIN walk_temp a ON a.sensor_key = s.sensor_key AND a.rn = s.rn JOIN walk_hum b ON b.sensor_key = s.sensor_key AND b.rn = s.rn
-          UNION ALL SELECT sensor_key, sec, cs, event_id, false, NULL, NULL, false FROM words WHERE event_id % 10 = 0""",
+          UNION ALL SELECT sensor_key, sec, cs, event_id, false, NULL, NULL, false FROM words WHERE bad""",
     ),
 )
 def c4_log(t: Tables):
-    good, bad = calibrate.sht31(_sht_raw(t))
+    rows = calibrate.sht31(_sht_raw(t.events()))
     # Coarser than stored, so that many samples change nothing.
-    good = good.withColumns({"temp": idiv("temp", 100), "hum": idiv("hum", 50)})
+    rows = rows.withColumns({"temp": idiv("temp", 100), "hum": idiv("hum", 50)})
     order = ["sec", "cs", "event_id"]
-    return scan.record_log(good, bad, ["sensor_key"], order, ["temp", "hum"]).select("event_id", "temp", "hum")
+    return scan.record_log(rows, ["sensor_key"], order, ["temp", "hum"]).select("event_id", "temp", "hum")
 
 
 _GROUPED = """row_number() OVER (PARTITION BY sensor_key, session ORDER BY event_id) AS rn"""

@@ -61,6 +61,44 @@ def l2(t: Tables):
     return changelog.lifecycle(scans, "site", "sensor_id", "day")
 
 
+# A bus is scanned once a day on which its site had any event, and read as it stands then.
+BUS_READINGS = """SELECT site, sensor_id, sec // 86400 AS day, max(sec) AS sec, arg_max(cs, sec * 128 + cs) AS cs,
+  arg_max(temp, sec * 128 + cs) // 2000 AS temp FROM ds18b20 WHERE temp IS NOT NULL GROUP BY 1, 2, 3"""
+BUS_SCANS = "SELECT DISTINCT site, sec // 86400 AS day, sec // 86400 * 86400 + 86399 AS sec, 99 AS cs FROM ev"
+PRESENCE_LOG = sql(
+    """SELECT sensor_id, sec, cs, temp FROM walk WHERE emit""",
+    readings=BUS_READINGS,
+    scans=BUS_SCANS,
+    # Every sensor of a site in every scan of it, answering or not.
+    looks="""SELECT i.sensor_id, s.day, r.temp, r.sensor_id IS NOT NULL AS live, coalesce(r.sec, s.sec) AS sec,
+      coalesce(r.cs, s.cs) AS cs, row_number() OVER (PARTITION BY i.sensor_id ORDER BY s.day) AS rn
+      FROM (SELECT DISTINCT site, sensor_id FROM readings) i JOIN scans s ON s.site = i.site
+      LEFT JOIN readings r ON r.sensor_id = i.sensor_id AND r.day = s.day""",
+    # ``temp`` is the reading remembered: none before the first, and none while missing.
+    walk="""SELECT sensor_id, rn, sec, cs, temp, live AS emit FROM looks WHERE rn = 1
+      UNION ALL SELECT k.sensor_id, k.rn, k.sec, k.cs, k.temp, k.temp IS DISTINCT FROM w.temp
+      FROM looks k JOIN walk w ON k.sensor_id = w.sensor_id AND k.rn = w.rn + 1""",
+)
+
+
+def bus(t: Tables):
+    """Readings and scans of every site's bus."""
+    log, day = t.log("ds18b20"), idiv("sec", 86_400).alias("day")
+    last = [F.max_by(c, F.col("sec") * 128 + F.col("cs")).alias(c) for c in ("sec", "cs", "temp")]
+    readings = log.filter("temp IS NOT NULL").groupBy("site", "sensor_id", day).agg(*last)
+    readings = readings.withColumn("temp", idiv("temp", 2000))
+    scans = log.select("site", day).distinct()
+    end = {"sec": F.col("day") * 86_400 + 86_399, "cs": F.lit(99)}
+    return readings, scans.withColumns(end)
+
+
+@query("l2_presence_log", PRESENCE_LOG)
+def l2_presence_log(t: Tables):
+    readings, scans = bus(t)
+    log = changelog.presence_log(readings, scans, "site", "sensor_id", "day", ["temp"])
+    return log.select("sensor_id", "sec", "cs", "temp")
+
+
 @query(
     "l2_firmware",
     sql(
@@ -183,21 +221,48 @@ def l6_drops(t: Tables):
     return _collisions(t, 2)
 
 
+# Two ticks before the end of a second, so that rows move over it.
+_STAMPS = """SELECT sensor_key, event_id, sec // 86400 * 86400 AS sec, 118 AS cs FROM ev"""
+
+
+@query(
+    "l6_stamps",
+    sql(
+        """SELECT a.event_id, CASE WHEN kept THEN s // 120 ELSE a.sec END AS sec,
+          CAST(CASE WHEN kept THEN s % 120 ELSE a.cs END AS INTEGER) AS cs, NOT kept AS dropped
+        FROM walk w JOIN arrivals a USING (sensor_key, rn)""",
+        arrivals=f"""SELECT *, sec * 120 + cs AS tick, row_number() OVER (PARTITION BY sensor_key ORDER BY sec, cs, event_id) AS rn
+          FROM ({_STAMPS})""",
+        walk="""SELECT sensor_key, rn, tick AS s, true AS kept FROM arrivals WHERE rn = 1
+          UNION ALL SELECT a.sensor_key, a.rn, least(greatest(w.s + 1, a.tick), a.tick + 2),
+            least(greatest(w.s + 1, a.tick), a.tick + 2) > w.s
+          FROM arrivals a JOIN walk w ON a.sensor_key = w.sensor_key AND a.rn = w.rn + 1""",
+    ),
+)
+def l6_stamps(t: Tables):
+    day = (idiv("sec", 86_400) * 86_400).alias("sec")
+    rows = t.events().select("sensor_key", "event_id", day, F.lit(118).alias("cs"))
+    return scan.uniquify_stamps(rows, ["sensor_key"], ["event_id"], 3).select("event_id", "sec", "cs", "dropped")
+
+
 @query(
     "l7_clock_guard",
     sql(
-        """SELECT r.event_id, r.session, g.refused FROM rows_ r JOIN (
-          SELECT sensor_key, session, coalesce(first < max(last) OVER (PARTITION BY sensor_key ORDER BY session
-            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS refused
-          FROM (SELECT sensor_key, session, min(t) AS first, max(t) AS last FROM rows_ GROUP BY 1, 2)) g
-        ON g.sensor_key = r.sensor_key AND g.session = r.session""",
+        """SELECT r.event_id, r.session, w.refused FROM rows_ r JOIN ends e USING (sensor_key, session)
+        JOIN walk w ON w.sensor_key = e.sensor_key AND w.rn = e.rn""",
         rows_="""SELECT event_id, sensor_key, session,
-          (sec - CASE WHEN session % 5 = 3 THEN 259200 ELSE 0 END) * 128 + cs AS t FROM sessions""",
+          (sec - CASE session % 5 WHEN 3 THEN 259200 WHEN 1 THEN -432000 ELSE 0 END) * 128 + cs AS t FROM sessions""",
+        ends="""SELECT sensor_key, session, min(t) AS first, max(t) AS last,
+          row_number() OVER (PARTITION BY sensor_key ORDER BY session) AS rn FROM rows_ GROUP BY 1, 2""",
+        # ``top`` is the last time logged; a refused session ends before it logs.
+        walk="""SELECT sensor_key, rn, last AS top, false AS refused FROM ends WHERE rn = 1
+          UNION ALL SELECT e.sensor_key, e.rn, CASE WHEN e.first < w.top THEN w.top ELSE e.last END, e.first < w.top
+          FROM ends e JOIN walk w ON e.sensor_key = w.sensor_key AND e.rn = w.rn + 1""",
     ),
 )
 def l7(t: Tables):
-    # Every fifth session runs with a clock three days behind.
-    slow = F.when(F.col("session") % 5 == 3, 259_200).otherwise(0)
+    # Some sessions run with a clock three days behind, others with one five days ahead.
+    slow = F.when(F.col("session") % 5 == 3, 259_200).when(F.col("session") % 5 == 1, -432_000).otherwise(0)
     rows = t.sessions().select("event_id", "sensor_key", "session", (F.col("sec") - slow).alias("sec"), "cs")
     return changelog.clock_guard(rows, ["sensor_key"], "session").select("event_id", "session", "refused")
 

@@ -16,12 +16,13 @@ from holdline.functions.scalars import idiv
 from holdline.plans.basics import MESSAGES, ROUTED, message_rows, rounded
 from holdline.plans.calibrations import _joint_walk
 from holdline.plans.derived import _ALERT_CTES, FRAME_ORDER, frame_rows
-from holdline.plans.histories import _EMA, _EMA_SAMPLES, _SAMPLES, ema_walk
+from holdline.plans.histories import _EMA, _EMA_SAMPLES, _SAMPLES, PRESENCE_LOG, bus, ema_walk
 from holdline.plans.registry import query, sql
 from holdline.plans.tables import Tables, adapt_events, family_log
 from holdline.session import shared_dir
 from holdline.streaming import live, liveness
-from holdline.streaming.state import read_stream, results, versions
+from holdline.streaming.keyed import read_stream
+from holdline.streaming.snapshots import versions
 
 FIRST_SEC = 1_704_067_200  # 2024-01-01, the start of the data
 WAVES = 3
@@ -39,15 +40,25 @@ def by_time() -> Column:
     return F.least(F.lit(WAVES - 1), F.greatest(F.lit(0), days))
 
 
-def replay(t: Tables, rows: DataFrame, wave: Column, launch: Callable) -> str:
-    """Feed ``rows`` wave by wave to the job ``launch(stream, path)``; the job's
-    folder is returned."""
+def replay(t: Tables, rows: DataFrame, wave: Column, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Feed ``rows`` wave by wave to the stream that ``make`` makes of them, one run of
+    the job per wave; what it has written in the end is returned."""
     folder = _folder(t)
-    staged = rows.withColumn("__wave", wave)
+    rows.withColumn("wave", wave).write.partitionBy("wave").parquet(f"{folder}/in")
     for n in range(WAVES):
-        staged.filter(F.col("__wave") == n).drop("__wave").write.mode("append").parquet(f"{folder}/in")
-        launch(read_stream(t.spark, f"{folder}/in", rows.schema, None), f"{folder}/job").awaitTermination()
-    return f"{folder}/job"
+        # The job knows the files of the waves before by its checkpoint.
+        waves = ",".join(map(str, range(n + 1)))
+        source = read_stream(t.spark, f"{folder}/in/wave={{{waves}}}/*.parquet", rows.schema, None)
+        out = make(source)
+        job = (
+            out.writeStream.format("parquet")
+            .option("path", f"{folder}/out")
+            .option("checkpointLocation", f"{folder}/checkpoint")
+            .trigger(**NOW)
+            .start()
+        )
+        job.awaitTermination()
+    return t.spark.read.schema(out.schema).parquet(f"{folder}/out")
 
 
 def _event_stream(t: Tables) -> DataFrame:
@@ -81,13 +92,9 @@ def _run(t: Tables, stream: DataFrame) -> DataFrame:
 )
 def x1_changes(t: Tables):
     log = t.log("furnace").select(*KEY, *ORDER, "q1", "q2")
-    job = replay(
-        t,
-        log,
-        by_time(),
-        lambda s, p: live.stream_changes(s, p, KEY, ORDER, ["q1", "q2"], {"q1": 0, "q2": 0}, **NOW),
-    )
-    return results(t.spark, job).select("sensor_key", "event_id", "q1", "q2")
+    start = {"q1": 0, "q2": 0}
+    out = replay(t, log, by_time(), lambda s: live.stream_changes(s, KEY, ORDER, ["q1", "q2"], start))
+    return out.filter("NOT late").select("sensor_key", "event_id", "q1", "q2")
 
 
 @query(
@@ -104,10 +111,8 @@ def x1_hysteresis(t: Tables):
     x = F.when(F.col("k") % 11 != 0, idiv(F.col("v") - 5000, 500))
     y = F.when(F.col("k") % 7 != 0, idiv("k", 25))
     rows = t.events().select(*KEY, *ORDER, x.alias("x"), y.alias("y"))
-    job = replay(
-        t, rows, by_time(), lambda s, p: live.stream_hysteresis(s, p, KEY, ORDER, ["x", "y"], **NOW)
-    )
-    return results(t.spark, job).select("event_id", "x", "y")
+    out = replay(t, rows, by_time(), lambda s: live.stream_hysteresis(s, KEY, ORDER, ["x", "y"]))
+    return out.filter("NOT late").select("event_id", "x", "y")
 
 
 @query(
@@ -159,8 +164,8 @@ def x4(t: Tables):
 def _stream_ema(t: Tables, alpha: float, seed: str):
     x = F.when(~F.col("tomb"), F.col("v") - 5000)
     rows = t.events().select(*KEY, *ORDER, x.alias("x"))
-    job = replay(t, rows, by_time(), lambda s, p: live.stream_ema(s, p, KEY, ORDER, "x", alpha, seed, **NOW))
-    return rounded(results(t.spark, job).select("event_id", "ema"))
+    out = replay(t, rows, by_time(), lambda s: live.stream_ema(s, KEY, ORDER, "x", alpha, seed))
+    return rounded(out.filter("NOT late").select("event_id", "ema"))
 
 
 @query(
@@ -189,24 +194,48 @@ def x5_first(t: Tables):
     ),
 )
 def x6(t: Tables):
-    job = replay(
-        t, frame_rows(t.events()), by_time(), lambda s, p: live.stream_alerts(s, p, ["site"], FRAME_ORDER, **NOW)
-    )
-    return rounded(results(t.spark, job).select("event_id", "irms_ema", "furnace_actual", "warning", "fans"))
+    out = replay(t, frame_rows(t.events()), by_time(), lambda s: live.stream_alerts(s, ["site"], FRAME_ORDER))
+    return rounded(out.filter("NOT late").select("event_id", "irms_ema", "furnace_actual", "warning", "fans"))
+
+
+# Rows may come ten days late.
+_LATENESS = 864_000_000_000
 
 
 @query(
     "x7_stream_late",
     sql(
-        """SELECT event_id, coalesce(us <= max(us) OVER (PARTITION BY sensor_key ORDER BY k % 3
-          RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM ev"""
+        f"""SELECT event_id, late, CASE WHEN NOT late THEN row_number() OVER (PARTITION BY sensor_key, late
+          ORDER BY event_us, event_id) END AS place
+        FROM (SELECT *, coalesce(event_us <= before - {_LATENESS}, false) AS late FROM clocks)
+        WHERE late OR event_us <= newest - {_LATENESS}""",
+        # The clock of a sensor when a wave begins, and in the end.
+        clocks="""SELECT event_id, sensor_key, event_us, max(event_us) OVER (PARTITION BY sensor_key) AS newest,
+          max(event_us) OVER (PARTITION BY sensor_key ORDER BY k % 3 RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+          FROM ev""",
     ),
 )
 def x7(t: Tables):
     # Waves by payload, not by time: most rows of the later ones are out of order.
-    rows = t.events().select(*KEY, *ORDER, (F.col("k") % 3).alias("wave"))
-    job = replay(t, rows, F.col("wave"), lambda s, p: live.stream_ordered(s, p, KEY, ORDER, **NOW))
-    taken, late = results(t.spark, job), results(t.spark, job, "late")
-    return taken.select("event_id", F.lit(False).alias("late")).unionByName(
-        late.select("event_id", F.lit(True).alias("late"))
+    rows = t.events().select(*KEY, *ORDER)
+    wave = F.regexp_extract("props", "[0-9]+", 0).cast("bigint") % 3
+    waves = t.read("events").select("event_id", wave.alias("__wave"))
+    out = replay(
+        t, rows.join(waves, "event_id").select(*KEY, *ORDER, "__wave"), F.col("__wave"),
+        lambda s: live.stream_ordered(s.drop("__wave"), KEY, ORDER, _LATENESS),
+    )
+    return out.select("event_id", "late", "place")
+
+
+@query("x4_stream_presence", PRESENCE_LOG)
+def x4_presence(t: Tables):
+    readings, scans = bus(t)
+    ends = scans.withColumns({"sensor_id": F.lit(None).cast("bigint"), "temp": F.lit(None).cast("bigint")})
+    rows = readings.unionByName(ends.select(readings.columns))
+    rows = rows.withColumns({c: F.col(c).cast("bigint") for c in rows.columns})
+    ten_days = idiv(F.col("day") - FIRST_SEC // 86_400, 10)
+    out = replay(
+        t, rows, F.least(F.lit(WAVES - 1), F.greatest(F.lit(0), ten_days)),
+        lambda s: live.stream_presence(s, "site", "sensor_id", "day", ["sec", "cs"], "temp"),
     )
+    return out.select("sensor_id", "sec", F.col("cs").cast("int").alias("cs"), "temp")

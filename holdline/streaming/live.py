@@ -1,127 +1,152 @@
-"""The live operators: change filter, hysteresis, smoothing, alerts, snapshots."""
+"""The live operators: change filter, hysteresis, smoothing, alerts, presence, snapshots.
+
+Each takes a stream and returns one. State lies with the engine (see ``keyed``), so a job
+writes the result to any sink with a checkpoint, and replaying a log through the stream
+gives the rows that the batch operator gives.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from holdline.functions.scalars import idiv, join_on
 from holdline.functions.times import when_key
-from holdline.operators.changelog import change_only
-from holdline.operators.derive import fan_flag, frame_factor, furnace_flags, held_frames
-from holdline.operators.history import History
-from holdline.operators.scan import compound_over, ema, state_samples
+from holdline.operators.derive import SMOOTHING, fan_flag, frame_factor, furnace_flags
 from holdline.sources.messages import route_messages
-from holdline.streaming.state import BEFORE, drop_versions, last_by, start
+from holdline.streaming.keyed import ddl, ordered, reordered
+from holdline.streaming.snapshots import drop_versions
 
 
-def _ddl(stream: DataFrame, cols: list[str]) -> str:
-    types = dict(stream.dtypes)
-    return ", ".join(f"{c} {types[c]}" for c in cols)
+def stream_changes(
+    stream: DataFrame, key: list[str], order: list[str], cols: list[str], initial: dict[str, object] | None = None
+) -> DataFrame:
+    """Rows in which a channel differs from the row before; before the first row the
+    channels are ``initial``, by default unknown."""
+    start = tuple((initial or {}).get(c) for c in cols)
 
+    def step(values: tuple, held: tuple):
+        return (values if values != held else None), values
 
-def _carried(state: DataFrame, order: list[str], place: Column | None = None) -> DataFrame:
-    """State rows placed before every event; ``place`` orders several of a key."""
-    at = {c: F.lit(BEFORE).cast("bigint") for c in order}
-    if place is not None:
-        at[order[-1]] = place.cast("bigint")
-    return state.withColumns({**at, "__old": F.lit(True)})
+    return ordered(stream, key, order, cols, step, start, ddl(stream, cols))
 
 
-def _joined(rows: DataFrame, carried: DataFrame) -> DataFrame:
-    return rows.withColumn("__old", F.lit(False)).unionByName(carried, allowMissingColumns=True)
+def hold(x: int | None, mem: int, up: bool) -> tuple[int, bool]:
+    """One sample of the hysteresis: the value held and its direction."""
+    if x is None:
+        return mem, up
+    if x > mem if up else x < mem:
+        return x, up
+    if x < mem - 1 if up else x > mem + 1:
+        return x, not up
+    return mem, up
 
 
-def stream_changes(
-    stream: DataFrame, path: str, key: list[str], order: list[str], cols: list[str],
-    initial: dict[str, object] | None = None, **trigger
-) -> StreamingQuery:
-    """Rows in which a channel differs from the row before."""
+def stream_hysteresis(stream: DataFrame, key: list[str], order: list[str], cols: list[str], scale: int = 4) -> DataFrame:
+    """Log records: all held values whenever one channel emits."""
 
-    def advance(rows: DataFrame, state: DataFrame):
-        both = _joined(rows, _carried(state, order))
-        out = change_only(both, key, cols, initial, order).filter(~F.col("__old")).drop("__old")
-        return out, last_by(both, key, order, cols)
+    def step(values: tuple, held: tuple):
+        new = [hold(x, *held[2 * i : 2 * i + 2]) for i, x in enumerate(values)]
+        stored = tuple(math.trunc(mem / scale) for mem, _ in new)
+        changed = any(v != math.trunc(held[2 * i] / scale) for i, v in enumerate(stored))
+        return (stored if changed else None), tuple(x for pair in new for x in pair)
 
-    return start(stream, path, key, order, advance, _ddl(stream, [*key, *cols]), **trigger)
+    state = ", ".join(f"`{c}_mem` bigint, `{c}_up` boolean" for c in cols)
+    rows = stream.withColumns({c: F.col(c).cast("bigint") for c in cols})
+    return ordered(rows, key, order, cols, step, (0, False) * len(cols), state)
 
 
-def stream_hysteresis(
-    stream: DataFrame, path: str, key: list[str], order: list[str], cols: list[str], scale: int = 4, **trigger
-) -> StreamingQuery:
-    """Log records: all held values whenever one channel emits."""
-    fields = [f"{c}_{n}" for c in cols for n in ("x", "rise", "up")]
-
-    def samples(c: str) -> Column:
-        return state_samples(*[F.col(f"{c}_{n}") for n in ("x", "rise", "up")])
-
-    def advance(rows: DataFrame, state: DataFrame):
-        cells = F.arrays_zip(*[samples(c).alias(c) for c in cols])
-        replay = state.select(*key, F.posexplode(cells).alias("__n", "__cell")).select(
-            *key, "__n", *[F.col(f"__cell.{c}").alias(c) for c in cols]
-        )
-        carried = _carried(replay, order, F.col("__n") - 3).drop("__n")
-        plain = rows.withColumns({c: F.col(c).cast("bigint") for c in cols})
-        h = compound_over(History.of(_joined(plain, carried), key, order), cols, scale, directions=True)
-        done = h.rows()
-        kept = {c: idiv(f"{c}_mem", scale) for c in cols}
-        out = done.filter(F.col("changed") & ~F.col("__old")).withColumns(kept).select(*rows.columns)
-        now = done.withColumnsRenamed({c: f"{c}_x" for c in cols})
-        return out, last_by(now, key, order, fields)
-
-    types = _ddl(stream, key)
-    channel = ", ".join(f"{c}_x bigint, {c}_rise boolean, {c}_up boolean" for c in cols)
-    return start(stream, path, key, order, advance, f"{types}, {channel}", **trigger)
+def stream_ema(
+    stream: DataFrame, key: list[str], order: list[str], col: str, alpha: float, seed: str = "zero"
+) -> DataFrame:
+    """Smoothed samples in ``ema``; rows without a sample are left out."""
+    if seed not in ("zero", "first"):
+        raise ValueError("seed must be 'zero' or 'first'")
 
+    def step(values: tuple, held: tuple):
+        (x,), (y,) = values, held
+        y = x if y is None else alpha * y + (1 - alpha) * x
+        return (x, y), (y,)
 
-def stream_ema(
-    stream: DataFrame, path: str, key: list[str], order: list[str], col: str, alpha: float,
-    seed: str = "zero", **trigger
-) -> StreamingQuery:
-    """Smoothed samples in ``ema``."""
-
-    def advance(rows: DataFrame, state: DataFrame):
-        rows = rows.filter(F.col(col).isNotNull()).withColumn(col, F.col(col).cast("double"))
-        # Continuing from y is the same as having started with a sample y.
-        begin = state.withColumnRenamed("ema", col)
-        if seed == "zero":
-            unseen = join_on(rows.select(*key).distinct(), state, key, "left_anti")
-            begin = begin.unionByName(unseen.withColumn(col, F.lit(0.0)))
-        both = ema(_joined(rows, _carried(begin, order)), key, order, col, alpha, "first")
-        out = both.filter(~F.col("__old")).drop("__old")
-        return out, last_by(both, key, order, ["ema"])
-
-    return start(stream, path, key, order, advance, f"{_ddl(stream, key)}, ema double", **trigger)
-
-
-def stream_alerts(stream: DataFrame, path: str, key: list[str], order: list[str], **trigger) -> StreamingQuery:
-    """Furnace and fan flags for every frame that brings a current."""
-    fields = ["vrms", "pmean", "furnace_ctrl", "tmp_ctrl_module"]
-
-    def advance(rows: DataFrame, state: DataFrame):
-        rows = rows.withColumn("irms", F.col("irms").cast("double"))
-        has = {f"has_{c}": F.lit(True) for c in fields}
-        carried = _carried(state.withColumnRenamed("irms_ema", "irms").withColumns(has), order)
-        both = _joined(rows, carried)
-        done = held_frames(both, key, order).withColumn("pf", frame_factor())
-        done = done.withColumns({**furnace_flags(), "fans": fan_flag()})
-        out = done.filter(~F.col("__old")).drop("__old")
-        at = F.struct(*order)
-        held = both.groupBy(*key).agg(
-            *[F.max_by(F.struct(F.col(c).alias("v")), F.when(F.col(f"has_{c}"), at)).alias(c) for c in fields]
-        )
-        held = held.select(*key, *[F.col(f"{c}.v").alias(c) for c in fields])
-        smooth = last_by(done, key, order, ["irms_ema"])
-        return out, join_on(held, smooth, key, "left")
-
-    schema = f"{_ddl(stream, [*key, *fields])}, irms_ema double"
-    return start(stream, path, key, order, advance, schema, **trigger)
-
-
-def stream_ordered(stream: DataFrame, path: str, key: list[str], order: list[str], **trigger) -> StreamingQuery:
-    """Only refuse the past: rows in order to ``out``, older ones to ``late``."""
-    return start(stream, path, key, order, lambda rows, state: (rows, state), _ddl(stream, key), **trigger)
+    rows = stream.filter(F.col(col).isNotNull()).withColumn(col, F.col(col).cast("double"))
+    start = (0.0 if seed == "zero" else None,)
+    return ordered(rows, key, order, [col], step, start, "ema double", f"`{col}` double, ema double")
+
+
+_FIELDS = ["vrms", "pmean", "furnace_ctrl", "tmp_ctrl_module"]
+
+
+def stream_alerts(stream: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Furnace and fan flags for every frame that brings a current. What is kept of a site
+    is the value last received of each field, and the smoothed current."""
+
+    def step(values: tuple, held: tuple):
+        irms, fields, brought = values[0], values[1:5], values[5:]
+        now = tuple(new if has else old for new, has, old in zip(fields, brought, held))
+        smooth = held[4]
+        if irms is None:
+            return None, (*now, smooth)
+        smooth = irms if smooth is None else SMOOTHING * smooth + (1 - SMOOTHING) * irms
+        return (irms, *now, smooth), (*now, smooth)
+
+    rows = stream.withColumn("irms", F.col("irms").cast("double"))
+    cols = ["irms", *_FIELDS, *[f"has_{c}" for c in _FIELDS]]
+    state = f"{ddl(stream, _FIELDS)}, irms_ema double"
+    out = f"irms double, {ddl(stream, _FIELDS)}, irms_ema double"
+    done = ordered(rows, key, order, cols, step, (None,) * 5, state, out).withColumn("pf", frame_factor())
+    return done.withColumns({**furnace_flags(), "fans": fan_flag()})
+
+
+def stream_ordered(stream: DataFrame, key: list[str], order: list[str], lateness: int) -> DataFrame:
+    """Rows in event order, although they come up to ``lateness`` late; later ones aside."""
+    return reordered(stream, key, order, [c for c in stream.columns if c not in (*key, *order)], lateness)
+
+
+def stream_presence(stream: DataFrame, site: str, key: str, scan: str, order: list[str], value: str) -> DataFrame:
+    """The change log of a scanned bus, tombstones included, as a stream.
+
+    A finished scan is a row without ``key``, with the scan's number and time; a reading is
+    a row with it. Readings may come in any order before the row that finishes their scan.
+    Then each is logged that differs from the one remembered, and every sensor remembered
+    that did not answer gets a row without a value at the time of the scan and is
+    forgotten. State is one row per site: its open readings, and the sensors of its bus.
+    """
+    types = dict(stream.dtypes)
+    fields = [scan, key, *order, value]
+
+    def step(values: tuple, held: tuple):
+        number, sensor, *_ = values
+        opened, live = held[: len(fields)], held[len(fields) :]
+        if sensor is not None:
+            return None, (*[[*xs, x] for xs, x in zip(opened, values)], *live)
+        rows = list(zip(*opened))
+        here = sorted((r for r in rows if r[0] == number), key=lambda r: r[2:4])
+        known, out = dict(zip(*live)), []
+        for _, k, *stamp, x in here:
+            if k not in known or known[k] != x:
+                out.append((k, *stamp, x))
+            known[k] = x
+        answered = {r[1] for r in here}
+        for k in sorted(set(known) - answered):
+            out.append((k, *values[2 : 2 + len(order)], None))
+            del known[k]
+        rest = [r for r in rows if r[0] != number]
+        left = [list(c) for c in zip(*rest)] if rest else [[] for _ in fields]
+        return (([list(c) for c in zip(*out)]) if out else None), (*left, list(known), list(known.values()))
+
+    # Readings of a scan come before its end.
+    rows = stream.withColumn("__end", F.col(key).isNull().cast("bigint"))
+    names = [key, *order, value]
+    state = ", ".join(f"`__{c}` array<{types[c]}>" for c in fields)
+    state += f", __live array<{types[key]}>, __last array<{types[value]}>"
+    out = ", ".join(f"`__{c}` array<{types[c]}>" for c in names)
+    place = [scan, "__end", *order, "__row"]
+    rows = rows.withColumn("__row", F.coalesce(F.col(key), F.lit(0)).cast("bigint"))
+    done = ordered(rows, [site], place, fields, step, ([],) * (len(fields) + 2), state, out)
+    cells = F.arrays_zip(*[F.col(f"__{c}").alias(c) for c in names])
+    return done.filter("NOT late").select(site, F.inline(cells))
 
 
 def stream_route(stream: DataFrame, topic: str, payload: str) -> DataFrame:

@@ -18,8 +18,8 @@ HEARTBEAT_S = 5
 STALL_S = 15
 
 _OUT = "sensor_key bigint, event string, sec bigint"
-# ``open`` holds the seconds that may still get samples, as "sec:recorded" words.
-_STATE = "beat bigint, last bigint, warned int, open string"
+# The seconds that may still get samples, and whether one of theirs was recorded.
+_STATE = "beat bigint, last bigint, warned int, open_sec array<bigint>, open_recorded array<boolean>"
 
 
 def step(seconds: list[tuple[int, bool]], beat: int | None, last: int | None, warned: int):
@@ -50,10 +50,10 @@ def silence(now: int, last: int | None, warned: int) -> list[tuple[str, int]]:
 
 def _advance(lateness: int):
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState):
-        beat, last, warned, words = state.get if state.exists else (-1, -1, 0, "")
+        beat, last, warned, *lists = state.get if state.exists else (-1, -1, 0, [], [])
         beat, last = (None if x < 0 else x for x in (beat, last))
         # One entry per second, whatever the sample rate: bounded by the clock.
-        open_ = {int(s): r == "1" for s, r in (w.split(":") for w in words.split())}
+        open_ = dict(zip(*lists))
         late = {}
         now = state.getCurrentWatermarkMs() // 1000
         if state.hasTimedOut:
@@ -74,8 +74,8 @@ def _advance(lateness: int):
             due = silence(now, last, warned)
             events, warned = events + due, warned + len(due)
         if open_ or last is not None:
-            words = " ".join(f"{s}:{int(r)}" for s, r in sorted(open_.items()))
-            state.update((-1 if beat is None else beat, -1 if last is None else last, warned, words))
+            held = (-1 if x is None else int(x) for x in (beat, last))
+            state.update((*held, warned, list(open_), list(open_.values())))
             # When the watermark reaches the end of a second, or of the allowed silence.
             ends = [s * 1000 - 1 for s in open_]
             if last is not None and warned < 2:

@@ -47,14 +47,15 @@ def test_csv_export(spark, tmp_path):
 
 def test_w1_dumps(spark, tmp_path):
     ok, no = "50 05 4b 46 : crc=1c YES\n50 05 4b 46 t=%d\n", "00 : crc=1c NO\n00 t=1000\n"
-    for serial, text in (("28-01", ok % 21_567), ("28-02", no), ("28-03", ok % 85_000), ("28-04", "\n"), ("28-05", "x YES\ny\n")):
+    for serial, text in (("28-01", ok % 21_567), ("28-02", no), ("28-03", ok % 85_000), ("28-04", ""), ("28-05", "x YES\ny\n"), ("28-06", "\n")):
         folder = tmp_path / serial
         folder.mkdir()
         (folder / "w1_slave").write_text(text)
-    good, bad = onewire.parse_w1(onewire.read_w1(spark, str(tmp_path / "*" / "w1_slave")), "text")
-    assert {r.serial_code: r.temp for r in good.collect()} == {"28-01": 2156}
-    got = {r.serial_code: r.reason for r in bad.collect()}
-    assert got == {"28-02": "crc", "28-03": "power_on", "28-04": "crc", "28-05": "unreadable"}
+    got = onewire.parse_w1(onewire.read_w1(spark, str(tmp_path / "*" / "w1_slave")), "text").collect()
+    assert {r.serial_code: (r.temp, r.reason) for r in got} == {
+        "28-01": (2156, None), "28-02": (None, "crc"), "28-03": (None, "power_on"),
+        "28-04": (None, "empty"), "28-05": (None, "unreadable"), "28-06": (None, "crc"),
+    }
 
 
 def test_frames_there_and_back(spark):

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from holdline.operators import changelog, scan
 from holdline.streaming import live, liveness
-from holdline.streaming.state import read_stream, results, versions
+from holdline.streaming.keyed import read_stream
+from holdline.streaming.snapshots import versions
 
 NOW = {"availableNow": True}
 KEY, ORDER = ["k"], ["t", "seq"]
@@ -24,13 +25,20 @@ def rows(seed, n=400, step=4):
     return out
 
 
-def feed(spark, tmp_path, data, cuts, launch):
-    """Run the stream once per slice of ``data``."""
-    source, job = str(tmp_path / "in"), str(tmp_path / "job")
+def feed(spark, tmp_path, data, cuts, make, schema=SCHEMA, name="job"):
+    """Run the stream once per slice of ``data``; what it wrote."""
+    source, job = str(tmp_path / f"{name}-in"), str(tmp_path / name)
     for a, b in zip([0, *cuts], [*cuts, len(data)]):
-        spark.createDataFrame(data[a:b], SCHEMA).write.mode("append").parquet(source)
-        launch(read_stream(spark, source, SCHEMA), job).awaitTermination()
-    return job
+        spark.createDataFrame(data[a:b], schema).write.mode("append").parquet(source)
+        run(make(read_stream(spark, source, schema)), job)
+    return spark.read.parquet(f"{job}/out")
+
+
+def run(stream, job):
+    query = stream.writeStream.format("parquet").option("path", f"{job}/out")
+    query = query.option("checkpointLocation", f"{job}/checkpoint").trigger(**NOW).start()
+    query.awaitTermination()
+    return query
 
 
 def same(a, b):
@@ -38,47 +46,117 @@ def same(a, b):
     assert sorted(map(tuple, a.select(columns).collect())) == sorted(map(tuple, b.select(columns).collect()))
 
 
+def taken(df):
+    return df.filter("NOT late").drop("late")
+
+
 @pytest.mark.parametrize("seed", [1, 2])
-def test_hysteresis(spark, tmp_path, split, seed):
+def test_hysteresis(spark, tmp_path, seed):
     data = rows(seed, n=300, step=2 + 5 * seed)
-    cuts = [1, 40, 43, 200]
-    job = feed(spark, tmp_path, data, cuts,
-               lambda s, p: live.stream_hysteresis(s, p, KEY, ORDER, ["x", "y"], **NOW))
-    same(results(spark, job), scan.compound_record(spark.createDataFrame(data, SCHEMA), KEY, ORDER, ["x", "y"]))
+    data = [(k, t, s, None if s % 17 == 0 else x, y) for k, t, s, x, y in data]
+    out = feed(spark, tmp_path, data, [1, 40, 43, 200], lambda s: live.stream_hysteresis(s, KEY, ORDER, ["x", "y"]))
+    same(taken(out), scan.compound_record(spark.createDataFrame(data, SCHEMA), KEY, ORDER, ["x", "y"]))
 
 
 def test_changes(spark, tmp_path):
-    data = [(k, t, s, x // 6, y // 3) for k, t, s, x, y in rows(3)]
-    job = feed(spark, tmp_path, data, [10, 200],
-               lambda s, p: live.stream_changes(s, p, KEY, ORDER, ["x", "y"], **NOW))
-    batch = changelog.change_only(spark.createDataFrame(data, SCHEMA), KEY, ["x", "y"], order=ORDER)
-    same(results(spark, job), batch)
+    data = [(k, t, s, x // 6, None if y % 5 == 0 else y // 3) for k, t, s, x, y in rows(3)]
+    out = feed(spark, tmp_path, data, [10, 200], lambda s: live.stream_changes(s, KEY, ORDER, ["x", "y"]))
+    same(taken(out), changelog.change_only(spark.createDataFrame(data, SCHEMA), KEY, ["x", "y"], order=ORDER))
+
 
+@pytest.mark.parametrize("seed", ["zero", "first"])
+def test_ema(spark, tmp_path, seed):
+    data = rows(7, n=200)
+    out = feed(spark, tmp_path, data, [30, 90], lambda s: live.stream_ema(s, KEY, ORDER, "x", 0.9, seed))
+    batch = scan.ema(spark.createDataFrame(data, SCHEMA), KEY, ORDER, "x", 0.9, seed)
+    values = lambda df: {r.seq: r.ema for r in df.collect()}
+    assert values(taken(out)) == pytest.approx(values(batch))
 
-def test_late_rows_are_kept_aside(spark, tmp_path):
+
+def test_rows_of_the_past_are_told_apart(spark, tmp_path):
     data = rows(4, n=90)
     moved = data[:30] + data[60:] + data[30:60]
-    job = feed(spark, tmp_path, moved, [30, 60], lambda s, p: live.stream_ordered(s, p, KEY, ORDER, **NOW))
-    late = {r.seq for r in results(spark, job, "late").collect()}
+    out = feed(spark, tmp_path, moved, [30, 60], lambda s: live.stream_changes(s, KEY, ORDER, ["x", "y", "seq"]))
+    late = {r.seq for r in out.filter("late").collect()}
     last = {}
-    for r in data[60:]:
+    for r in data[:30] + data[60:]:
         last[r[0]] = max(last.get(r[0], -1), r[2])
     assert late == {r[2] for r in data[30:60] if last.get(r[0], -1) >= r[2]}
-    assert results(spark, job).count() + len(late) == len(data)
+    assert out.count() == len(data)
+
+
+@pytest.mark.parametrize("cuts", [[], [40], [10, 11, 12, 40, 77]])
+def test_rows_are_put_in_order(spark, tmp_path, cuts):
+    rng = random.Random(8)
+    data = sorted(rows(8, n=120), key=lambda r: r[1] + rng.randint(0, 9))  # up to ten late
+    out = feed(spark, tmp_path, data, cuts, lambda s: live.stream_ordered(s, KEY, ORDER, 10))
+    newest = {}
+    for r in data:
+        newest[r[0]] = max(newest.get(r[0], 0), r[1])
+    want = {}
+    for r in sorted(data, key=lambda r: r[:3]):
+        if r[1] <= newest[r[0]] - 10:
+            want.setdefault(r[0], []).append(r)
+    got = sorted(tuple(r) for r in out.filter("NOT late").select("k", "place", "t", "seq", "x", "y").collect())
+    assert got == sorted((k, i, *r[1:]) for k, rs in want.items() for i, r in enumerate(rs, 1))
+    assert out.filter("late").count() == 0
+
+
+def test_rows_beyond_the_lateness_come_aside(spark, tmp_path):
+    data = [(1, 100, 0, 1, 1), (1, 95, 1, 2, 2), (1, 89, 2, 3, 3), (1, 90, 3, 4, 4), (2, 5, 4, 5, 5), (1, 200, 5, 6, 6)]
+    out = feed(spark, tmp_path, data, [1, 4], lambda s: live.stream_ordered(s, KEY, ORDER, 10))
+    assert sorted(r.seq for r in out.filter("late").collect()) == [2, 3]
+    assert [r.seq for r in out.filter("NOT late").orderBy("k", "place").collect()] == [1, 0]
+
+
+def test_a_trigger_reads_the_state_of_its_own_keys(spark, tmp_path):
+    """The engine updates one row of state when one key is active, however many are idle."""
+    many = [(k, 1, k, 5, 5) for k in range(300)]
+    source, job = str(tmp_path / "in"), str(tmp_path / "job")
+    updated = []
+    for part in (many, [(7, 2, 900, 6, 6)]):
+        spark.createDataFrame(part, SCHEMA).write.mode("append").parquet(source)
+        query = run(live.stream_hysteresis(read_stream(spark, source, SCHEMA), KEY, ORDER, ["x"]), job)
+        # A last batch without rows may follow.
+        states = [p["stateOperators"][0] for p in map(dict, query.recentProgress) if p["numInputRows"]]
+        updated.append((states[-1]["numRowsUpdated"], states[-1]["numRowsTotal"]))
+    assert updated == [(300, 300), (1, 300)]
 
 
 def test_a_rerun_batch_gives_the_same(spark, tmp_path):
     """As after a failure between writing the output and committing the batch."""
     data = rows(5, n=120)
-    launch = lambda s, p: live.stream_ema(s, p, KEY, ORDER, "x", 0.9, **NOW)
-    job = feed(spark, tmp_path, data, [50], launch)
-    before = sorted(map(tuple, results(spark, job).select("seq", "ema").collect()))
-    (tmp_path / "job" / "checkpoint" / "commits" / "1").unlink()
-    crc = tmp_path / "job" / "checkpoint" / "commits" / ".1.crc"
-    crc.unlink(missing_ok=True)
-    launch(read_stream(spark, str(tmp_path / "in"), SCHEMA), job).awaitTermination()
-    assert sorted(map(tuple, results(spark, job).select("seq", "ema").collect())) == before
-    assert versions(spark, f"{job}/state") == [0, 1]
+    make = lambda s: live.stream_ema(s, KEY, ORDER, "x", 0.9)
+    out = feed(spark, tmp_path, data, [50], make)
+    before = sorted(map(tuple, out.select("seq", "ema").collect()))
+    commits = tmp_path / "job" / "checkpoint" / "commits"
+    last = max(int(p.name) for p in commits.iterdir() if p.name.isdigit())
+    (commits / str(last)).unlink()
+    (commits / f".{last}.crc").unlink(missing_ok=True)
+    run(make(read_stream(spark, str(tmp_path / "job-in"), SCHEMA)), str(tmp_path / "job"))
+    again = spark.read.parquet(str(tmp_path / "job" / "out"))
+    assert sorted(map(tuple, again.select("seq", "ema").collect())) == before
+
+
+def test_presence_equals_the_batch_log(spark, tmp_path):
+    rng = random.Random(9)
+    schema = "site long, sensor_id long, day long, sec long, cs long, temp long"
+    readings, scans = [], []
+    for site in (1, 2):
+        live_now = set()
+        for day in range(12):
+            for k in range(4):
+                if rng.random() < 0.4:
+                    live_now ^= {k}
+            readings += [(site, 4 * site + k, day, 100 * day + k, 0, rng.randint(0, 1)) for k in sorted(live_now)]
+            scans.append((site, None, day, 100 * day + 99, 0, None))
+    both = sorted([*readings, *scans], key=lambda r: (r[2], r[1] is None, rng.random()))
+    out = feed(spark, tmp_path, both, [5, 17, 30], lambda s: live.stream_presence(s, "site", "sensor_id", "day", ["sec", "cs"], "temp"), schema)
+    batch = changelog.presence_log(
+        spark.createDataFrame(readings, schema), spark.createDataFrame(scans, schema).drop("sensor_id", "temp"),
+        "site", "sensor_id", "day", ["temp"],
+    )
+    same(out, batch)
 
 
 def test_snapshot(spark, tmp_path):

@@ -51,9 +51,10 @@ def test_time_texts_ignore_the_session_zone(spark):
 
 def test_temperature_rules(spark):
     df = spark.createDataFrame([(85_000,), (125_001,), (-55_000,), (-15,), (None,)], "m int")
-    good, bad = views.valid_temperature(df, "m")
-    assert {r.m: r.temp for r in good.collect()} == {-55_000: -5500, -15: -2}
-    assert {r.m: r.reason for r in bad.collect()} == {85_000: "power_on", 125_001: "range", None: "unreadable"}
+    got = {r.m: (r.temp, r.reason) for r in views.valid_temperature(df, "m").collect()}
+    assert got == {
+        -55_000: (-5500, None), -15: (-2, None), 85_000: (None, "power_on"), 125_001: (None, "range"), None: (None, "unreadable"),
+    }
 
 
 def test_furnace_state_has_three_values(spark):
@@ -71,12 +72,14 @@ def test_power_factor_without_load(spark):
 
 
 def test_humidity_chip_range(spark):
-    raw = spark.createDataFrame([(0, 0, 0x81, 0, 0, 0x81), (255, 255, 0xAC, 255, 255, 0xAC), (0, 0, 0x80, 0, 0, 0x81)],
+    zero = (0, 0, 0x81, 0, 0, 0x81)
+    missing = [tuple(None if i == k else b for i, b in enumerate(zero)) for k in range(6)]
+    raw = spark.createDataFrame([zero, (255, 255, 0xAC, 255, 255, 0xAC), (0, 0, 0x80, 0, 0, 0x81), *missing],
                                 "b0 int, b1 int, b2 int, b3 int, b4 int, b5 int")
-    good, bad = calibrate.sht31(raw)
+    got = calibrate.sht31(raw).collect()
     # In quarter hundredths: -45 and 130 degrees, past the reach of 32-bit products.
-    assert sorted(r.temp for r in good.collect()) == [-18_000, 52_000]
-    assert [r.reason for r in bad.collect()] == ["crc"]
+    assert sorted(r.temp for r in got if r.reason is None) == [-18_000, 52_000]
+    assert [(r.temp, r.hum, r.reason) for r in got[2:]] == [(None, None, "crc")] * 7
 
 
 def test_signed_registers(spark):
@@ -173,9 +176,10 @@ def test_heartbeats_follow_the_chain(spark):
 
 
 def test_tombstones_of_failed_readings(spark):
-    good = spark.createDataFrame([(1, 1, 40), (1, 3, 40), (1, 4, 40), (1, 7, 80)], "k int, t int, x int")
-    bad = spark.createDataFrame([(1, 0), (1, 2), (1, 5), (1, 6)], "k int, t int")
-    got = [(r.t, r.x) for r in scan.record_log(good, bad, ["k"], ["t"], ["x"]).orderBy("t").collect()]
+    good = [(1, 1, 40, None), (1, 3, 40, None), (1, 4, 40, None), (1, 7, 80, None)]
+    bad = [(1, t, None, "crc") for t in (0, 2, 5, 6)]
+    rows = spark.createDataFrame(good + bad, "k int, t int, x int, reason string")
+    got = [(r.t, r.x) for r in scan.record_log(rows, ["k"], ["t"], ["x"]).orderBy("t").collect()]
     assert got == [(1, 10), (2, None), (3, 10), (5, None), (7, 20)]
 
 
@@ -185,3 +189,59 @@ def test_bursts_need_whole_cycles(spark):
                                "b int, i int, raw int")
     got = {r.b: (r.ok, r.rms) for r in calibrate.burst_rms(df, ["b"], "i", scale=1.0).collect()}
     assert got == {1: (True, pytest.approx(12.5**0.5)), 2: (False, 0.0)}
+
+
+def refused_sessions(sessions):
+    """One after the other: (session, first, last) of a key."""
+    top, out = None, set()
+    for session, first, last in sorted(sessions):
+        if top is not None and first < top:
+            out.add(session)
+        else:
+            top = last
+    return out
+
+
+def test_clock_guard_depends_on_what_was_accepted(spark):
+    import random
+
+    rng = random.Random(12)
+    data = {}
+    for k in range(60):
+        at, sessions = 1000, []
+        for i in range(rng.choice([1, 2, 3, 9, 70])):
+            at += rng.randint(0, 40)
+            first = at + rng.choice([0, 0, 0, -30, -90, 60, 400, 5000])
+            sessions.append((i, first, first + rng.randint(0, 50)))
+        data[k] = sessions
+    # An hour ahead once refuses all that follow, until the time is reached.
+    data[99] = [(0, 10, 20), (1, 3600, 3700), (2, 30, 40), (3, 3690, 3695), (4, 3700, 3701), (5, 50, 60)]
+    rows = [(k, s, t, 0) for k, xs in data.items() for s, a, b in xs for t in {a, b}]
+    df = spark.createDataFrame(rows, "k int, session int, sec long, cs int")
+    got = changelog.clock_guard(df, ["k"], "session").collect()
+    assert len(got) == len(rows)
+    assert {(r.k, r.session) for r in got if r.refused} == {(k, s) for k, xs in data.items() for s in refused_sessions(xs)}
+    assert refused_sessions(data[99]) == {2, 3, 5}
+
+
+def test_stamps_move_over_the_second(spark):
+    rows = [(1, 7, 118, i) for i in range(5)] + [(1, 8, 0, 9), (2, 7, 118, 0)]
+    df = spark.createDataFrame(rows, "k int, sec long, cs int, i int")
+    got = sorted((r.k, r.i, r.sec, r.cs, r.dropped) for r in scan.uniquify_stamps(df, ["k"], ["i"], 4).collect())
+    assert got == [
+        (1, 0, 7, 118, False), (1, 1, 7, 119, False), (1, 2, 8, 0, False), (1, 3, 8, 1, False), (1, 4, 7, 118, True),
+        (1, 9, 8, 2, False), (2, 0, 7, 118, False),
+    ]
+
+
+def test_presence_log_and_reads_of_it(spark):
+    scans = spark.createDataFrame([(1, n, 10 * n + 9, 0) for n in range(1, 6)], "site int, scan int, sec long, cs int")
+    # Sensor 4 is missing from scans 2 and 3; sensor 5 answers in the first only; nothing does in scan 3.
+    rows = [(1, 4, 1, 11, 0, 20), (1, 4, 4, 41, 0, 20), (1, 4, 5, 51, 0, 20), (1, 5, 1, 12, 0, 7), (1, 6, 2, 21, 0, 1)]
+    readings = spark.createDataFrame(rows, "site int, k int, scan int, sec long, cs int, temp int")
+    log = changelog.presence_log(readings, scans, "site", "k", "scan", ["temp"])
+    got = sorted((r.k, r.sec, r.temp) for r in log.collect())
+    assert got == [(4, 11, 20), (4, 29, None), (4, 41, 20), (5, 12, 7), (5, 29, None), (6, 21, 1), (6, 39, None)]
+    probes = spark.createDataFrame([(4, 28, 0, 1), (4, 35, 0, 2), (4, 60, 0, 3)], "k int, sec long, cs int, probe_id int")
+    found = changelog.asof(log.select("k", "sec", "cs", "temp"), probes, ["k"], ["temp"])
+    assert sorted((r.probe_id, r.temp) for r in found.collect()) == [(1, 20), (2, None), (3, 20)]
