@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
 from holdline.functions.scalars import idiv
-from holdline.functions.times import client_text, event_us, split_event_time
+from holdline.functions.times import client_text, event_us, local_day, split_event_time
 from holdline.operators import changelog, latest, views
 from holdline.plans.registry import query, sql
 from holdline.plans.tables import LABELS, Tables
@@ -29,6 +30,22 @@ def s1(t: Tables):
     return t.log("bme680").select("sensor_key", "sec", "cs", "temp", "pres", "hum", "gas", "event_us")
 
 
+@query(
+    "s1_stored_log",
+    sql(
+        """SELECT sensor_key, event_us, temp FROM sht31
+        WHERE sec // 86400 BETWEEN (SELECT min(sec) // 86400 + 3 FROM ev) AND (SELECT min(sec) // 86400 + 12 FROM ev)"""
+    ),
+)
+def s1_stored(t: Tables):
+    """Ten days of a log that was written to files by day."""
+    folder = f"{shared_dir(t.spark)}/log-{uuid.uuid4().hex}"
+    logs.write_log(t.log("sht31"), folder, "sht31")
+    first = t.events().agg(F.min(local_day("sec"))).first()[0]
+    since, until = first + timedelta(days=3), first + timedelta(days=12)
+    return logs.read_log(t.spark, folder, "sht31", str(since), str(until)).select("sensor_key", "event_us", "temp")
+
+
 @query(
     "s2_config_typed",
     sql("SELECT site, count(*) AS n, 1482::BIGINT AS elevation, 0.59::DOUBLE AS gas_cost FROM ev GROUP BY site"),

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from holdline.functions.scalars import crc1w, crc8_word, idiv
-from holdline.operators import calibrate, scan
+from holdline.functions.times import local_day
+from holdline.operators import calibrate, recalibrate, scan
 from holdline.plans.basics import rounded
 from holdline.plans.histories import ema_walk, hysteresis_walk
 from holdline.plans.registry import query, sql
 from holdline.plans.tables import Tables
+from holdline.session import shared_dir
+from holdline.sources.logs import read_log
 
 
 def _crc1w_sql(data: list[str]) -> str:
@@ -128,6 +133,67 @@ def c4_log(t: Tables):
     return scan.record_log(rows, ["sensor_key"], order, ["temp", "hum"]).select("event_id", "temp", "hum")
 
 
+# Days whose samples a wrong offset was applied to, by the day of the month.
+_WRONG_DAYS = (8, 12)
+
+
+def _archive(t: Tables):
+    """Raw words by day. Stamps are coarse, so that records collide."""
+    raw = _sht_raw(t.events()).withColumns({"sec": idiv("sec", 7200) * 7200, "cs": F.lit(0)})
+    folder = f"{shared_dir(t.spark)}/archive-{uuid.uuid4().hex}"
+    raw.withColumn("day", local_day("sec")).write.partitionBy("day").parquet(folder)
+    return t.spark.read.parquet(folder)
+
+
+def _coarse_sht31(offset=None):
+    def decode(raw):
+        rows = calibrate.sht31(raw)
+        wrong = F.when(F.dayofmonth("day").between(*_WRONG_DAYS), offset or 0).otherwise(0)
+        return rows.withColumns({"temp": idiv("temp", 100) + wrong, "hum": idiv("hum", 50)})
+
+    return decode
+
+
+@query(
+    "r_sht31_recalibrated",
+    sql(
+        """SELECT sensor_key, s // 120 AS sec, CAST(s % 120 AS INTEGER) AS cs, temp, hum, CAST(NULL AS VARCHAR) AS reason
+          FROM slots JOIN arrivals USING (sensor_key, rn) WHERE kept
+        UNION ALL SELECT sensor_key, sec, cs, NULL, NULL, 'crc' FROM words WHERE bad""",
+        words=_SHT.replace("sec, cs,", "sec // 7200 * 7200 AS sec, 0 AS cs,"),
+        samples=f"""SELECT sensor_key, sec, cs, event_id, temp // 100 AS temp, hum // 50 AS hum,
+          row_number() OVER (PARTITION BY sensor_key ORDER BY sec, cs, event_id) AS rn FROM ({_SHT_GOOD})""",
+        **_joint_walk("sensor_key", ["temp", "hum"]),
+        steps="""SELECT s.sensor_key, s.sec, s.cs, s.event_id, true AS ok, a.mem // 4 AS temp, b.mem // 4 AS hum,
+            a.mem // 4 <> a.old // 4 OR b.mem // 4 <> b.old // 4 AS changed FROM samples s
+          JOIN walk_temp a ON a.sensor_key = s.sensor_key AND a.rn = s.rn JOIN walk_hum b ON b.sensor_key = s.sensor_key AND b.rn = s.rn
+          UNION ALL SELECT sensor_key, sec, cs, event_id, false, NULL, NULL, false FROM words WHERE bad""",
+        arrivals="""SELECT sensor_key, CAST(temp AS INTEGER) AS temp, CAST(hum AS INTEGER) AS hum, sec * 120 + cs AS tick,
+            row_number() OVER (PARTITION BY sensor_key ORDER BY sec, cs, event_id) AS rn
+          FROM (SELECT *, lag(ok) OVER w AS was_ok, coalesce(bool_or(changed) OVER
+              (PARTITION BY sensor_key ORDER BY sec, cs, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS logged
+            FROM steps WINDOW w AS (PARTITION BY sensor_key ORDER BY sec, cs, event_id))
+          WHERE changed OR (logged AND ok <> was_ok)""",
+        slots="""SELECT sensor_key, rn, tick AS s, true AS kept FROM arrivals WHERE rn = 1
+          UNION ALL SELECT a.sensor_key, a.rn, least(greatest(w.s + 1, a.tick), a.tick + 19),
+            least(greatest(w.s + 1, a.tick), a.tick + 19) > w.s
+          FROM arrivals a JOIN slots w ON a.sensor_key = w.sensor_key AND a.rn = w.rn + 1""",
+    ),
+)
+def r_sht31(t: Tables):
+    """A log built with a wrong offset on some days, and put right on these alone."""
+    raw, folder = _archive(t), f"{shared_dir(t.spark)}/calibrated-{uuid.uuid4().hex}"
+    recalibrate.recalibrate(raw, folder, recalibrate.Job("sht31", _coarse_sht31(30), "event_id"))
+    wrong = raw.filter(F.dayofmonth("day").between(*_WRONG_DAYS)).select("day").distinct()
+    job = recalibrate.Job("sht31", _coarse_sht31(), "event_id")
+    recalibrate.recalibrate(raw, folder, job, [r["day"] for r in wrong.collect()])
+    log = read_log(t.spark, f"{folder}/log", "sht31").withColumn("reason", F.lit(None).cast("string"))
+    bad = recalibrate.Tables(t.spark, folder, job, raw).read("quarantine")
+    bad = bad.withColumns({c: F.lit(None).cast("int") for c in ("temp", "hum")})
+    columns = ["sensor_key", "sec", "cs", "temp", "hum", "reason"]
+    return log.select(columns).unionByName(bad.select(columns))
+
+
 _GROUPED = """row_number() OVER (PARTITION BY sensor_key, session ORDER BY event_id) AS rn"""
 
 

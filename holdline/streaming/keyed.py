@@ -65,9 +65,10 @@ def ordered(
     initial: tuple,
     state: str,
     out: str | None = None,
+    repeats: bool = False,
 ) -> DataFrame:
     """Apply ``step`` to the values ``cols`` of every key's rows, in ``order`` (numbers,
-    unique within a key).
+    unique within a key, or with ``repeats`` equal for rows that may come in any order).
 
     ``initial`` is what is remembered before the first row, of the types ``state``.
     Output: key, order, the columns ``out`` (by default those that came in) and ``late``;
@@ -90,7 +91,7 @@ def ordered(
         rows = [r for f in frames for r in zip(plain(f, order, whole), plain(f, cols, whole))]
         done = []
         for stamp, values in sorted(rows, key=lambda r: r[0]):
-            if mark is not None and stamp <= mark:
+            if mark is not None and (stamp < mark if repeats else stamp <= mark):
                 given = [values[came[c]] if c in came else None for c in names]
                 done.append((*at, *stamp, *given, True))
                 continue

@@ -115,14 +115,17 @@ def stream_presence(stream: DataFrame, site: str, key: str, scan: str, order: li
     """
     types = dict(stream.dtypes)
     fields = [scan, key, *order, value]
+    n = len(fields)
 
     def step(values: tuple, held: tuple):
         number, sensor, *_ = values
-        opened, live = held[: len(fields)], held[len(fields) :]
+        opened, live, ended = held[:n], held[n : n + 2], held[-1]
         if sensor is not None:
-            return None, (*[[*xs, x] for xs, x in zip(opened, values)], *live)
+            return None, (*[[*xs, x] for xs, x in zip(opened, values)], *live, ended)
+        if number == ended:  # told twice
+            return None, held
         rows = list(zip(*opened))
-        here = sorted((r for r in rows if r[0] == number), key=lambda r: r[2:4])
+        here = sorted((r for r in rows if r[0] == number), key=lambda r: r[2 : 2 + len(order)])
         known, out = dict(zip(*live)), []
         for _, k, *stamp, x in here:
             if k not in known or known[k] != x:
@@ -132,19 +135,18 @@ def stream_presence(stream: DataFrame, site: str, key: str, scan: str, order: li
         for k in sorted(set(known) - answered):
             out.append((k, *values[2 : 2 + len(order)], None))
             del known[k]
-        rest = [r for r in rows if r[0] != number]
-        left = [list(c) for c in zip(*rest)] if rest else [[] for _ in fields]
-        return (([list(c) for c in zip(*out)]) if out else None), (*left, list(known), list(known.values()))
+        rest = [list(c) for c in zip(*[r for r in rows if r[0] != number])] or [[] for _ in fields]
+        found = tuple(list(c) for c in zip(*out)) if out else None
+        return found, (*rest, list(known), list(known.values()), number)
 
-    # Readings of a scan come before its end.
     rows = stream.withColumn("__end", F.col(key).isNull().cast("bigint"))
     names = [key, *order, value]
     state = ", ".join(f"`__{c}` array<{types[c]}>" for c in fields)
-    state += f", __live array<{types[key]}>, __last array<{types[value]}>"
+    state += f", __live array<{types[key]}>, __values array<{types[value]}>, __ended {types[scan]}"
     out = ", ".join(f"`__{c}` array<{types[c]}>" for c in names)
-    place = [scan, "__end", *order, "__row"]
-    rows = rows.withColumn("__row", F.coalesce(F.col(key), F.lit(0)).cast("bigint"))
-    done = ordered(rows, [site], place, fields, step, ([],) * (len(fields) + 2), state, out)
+    start = (*[[] for _ in range(n + 2)], None)
+    # The readings of a scan, in any order, come before its end.
+    done = ordered(rows, [site], [scan, "__end"], fields, step, start, state, out, repeats=True)
     cells = F.arrays_zip(*[F.col(f"__{c}").alias(c) for c in names])
     return done.filter("NOT late").select(site, F.inline(cells))
 

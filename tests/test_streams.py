@@ -76,7 +76,7 @@ def test_ema(spark, tmp_path, seed):
 def test_rows_of_the_past_are_told_apart(spark, tmp_path):
     data = rows(4, n=90)
     moved = data[:30] + data[60:] + data[30:60]
-    out = feed(spark, tmp_path, moved, [30, 60], lambda s: live.stream_changes(s, KEY, ORDER, ["x", "y", "seq"]))
+    out = feed(spark, tmp_path, moved, [30, 60], lambda s: live.stream_changes(s.withColumn("z", F.col("seq")), KEY, ORDER, ["z"]))
     late = {r.seq for r in out.filter("late").collect()}
     last = {}
     for r in data[:30] + data[60:]:
