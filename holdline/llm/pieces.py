@@ -4,6 +4,10 @@ Byte-level tokenizers, and those that drop white space, split a text at white sp
 before they merge, so the ids of a text are those of its pieces in order. A worker
 encodes each piece once and remembers it; texts in which a cut at a space could change
 the result are encoded whole, as are all texts of tokenizers with other rules.
+
+A tokenizer that drops white space also cuts words at the borders of letters, digits and
+marks. Texts of characters whose class and lower case are beyond doubt are cut there, which
+leaves far fewer different pieces, and these skip its normaliser and pattern.
 """
 
 from __future__ import annotations
@@ -39,6 +43,36 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=4)
+def load_for_atoms(path: str):
+    """The tokenizer for atoms (see there) with white space between them: each is lower
+    case and one token of its pattern, so that both steps can be left out."""
+    from tokenizers import normalizers, pre_tokenizers
+
+    out = load.__wrapped__(path)
+    out.normalizer = normalizers.Sequence([])
+    bytes_ = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    out.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), bytes_])
+    return out
+
+
+# Letters whose lower case is one letter, and marks that no rule changes, beside ASCII.
+_LETTERS, _MARKS = "a-zß-öø-ÿ", "‘-”–—…«»§€©®"
+_DOUBTFUL = re.compile(rf"[^\t-\r -~À-ÖØ-öø-ÿ{_MARKS}]")
+_SAFE_BYTES = bytes([*range(0x09, 0x0E), *range(0x20, 0x7F)])
+# What the word pattern (below) finds in them once they are lower case.
+_ATOMS = re.compile(rf"[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^{_LETTERS}0-9\t-\r ]+")
+
+
+def atoms(text: str) -> list[str] | None:
+    """The pieces that a tokenizer with the word pattern makes of ``text``, lower case;
+    None if it has characters that this does not know enough of."""
+    rest = text.encode().translate(None, _SAFE_BYTES)
+    if _SPECIAL in text or rest and _DOUBTFUL.search(rest.decode()):
+        return None
+    return _ATOMS.findall(text.lower())
+
+
 class Memo:
     """Values of pieces, made of their ids by ``of`` and put together with ``+``.
 
@@ -49,12 +83,17 @@ class Memo:
 
     def __init__(self, path: str, separator: str, of: Callable, fold: bool):
         self.tokenizer, self.separator, self.of, self.fold = load(path), separator, of, fold
+        if fold:
+            self.for_atoms = load_for_atoms(path)
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends_word[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
         self.mark = separator.strip(" ")
         (self.mark_id,) = self._ids(separator)
         self.known, self.old = {}, {}
 
-    def _ids(self, text: str) -> np.ndarray:
-        (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+    def _ids(self, text: str, by=None) -> np.ndarray:
+        (found,) = (by or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)
         return np.array(found.ids, "<u4")
 
     def _parts(self, piece: str) -> tuple[str, ...]:
@@ -74,10 +113,22 @@ class Memo:
             ends = np.append(np.nonzero(ids == self.mark_id)[0], len(ids))
             if len(ends) == len(some):
                 starts = np.append(0, ends[:-1] + 1)
-                out.update((p, self.of(ids[a:b])) for p, a, b in zip(some, starts, ends))
+                out.update((p, self.of(ids[a:b])) for p, a, b in zip(some, starts.tolist(), ends.tolist()))
         out.update((p, self.of(self._ids(p))) for p in pieces if p not in out)
         return out
 
+    def _encode_atoms(self, pieces: list[str]) -> dict:
+        """The last token of every word is one that ends words, so they need no mark."""
+        out = {}
+        for i in range(0, len(pieces), _TOGETHER):
+            some = pieces[i : i + _TOGETHER]
+            ids = self._ids(" ".join(some), self.for_atoms)
+            ends = (np.nonzero(self.ends_word[ids])[0] + 1).tolist()
+            if len(ends) != len(some):
+                raise ValueError("a word without an end")
+            out.update((p, self.of(ids[a:b])) for p, a, b in zip(some, [0, *ends], ends))
+        return out
+
     def _learn(self, pieces: set[str]) -> None:
         known, old = self.known, self.old
         known.update((p, old[p]) for p in pieces if p in old)
@@ -88,15 +139,23 @@ class Memo:
         for p, (x, *more) in parts.items():
             known[p] = known[x] + known[more[0]] if more else known[x]
 
-    def values(self, texts: list[list[str]]) -> list[list]:
-        """The value of every piece of every text."""
+    def values(self, texts: list[list[str]], of_atoms: list[list[str]] = []) -> tuple[list[list], list[list]]:
+        """The value of every piece of every text, and of every atom of those that
+        consist of atoms."""
         if len(self.known) > MEMORY // 2:
             self.known, self.old = {}, self.known
-        known = self.known
+        known, old = self.known, self.old
+        single = set().union(*of_atoms).difference(known)
+        if single:
+            known.update((p, old[p]) for p in single if p in old)
+            known.update(self._encode_atoms([p for p in single if p not in known]))
         fresh = set().union(*texts).difference(known)
         if fresh:
             self._learn(fresh)
-        out = [list(map(known.__getitem__, text)) for text in texts]
+        out = tuple([list(map(known.__getitem__, text)) for text in some] for some in (texts, of_atoms))
+        for p in single:
+            if len(p) > LONGEST:
+                known.pop(p, None)
         for p in fresh:
             if len(p) > LONGEST:
                 for x in {p, *self._parts(p)}:
@@ -125,6 +184,7 @@ def bare_pieces(text: str) -> list[str]:
 _BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _WORD_RULES = ["NFC", "Replace", "Lowercase"]
+_WORD_END = "</w>"
 
 
 @lru_cache(maxsize=4)
@@ -144,6 +204,7 @@ def kind(path: str) -> str:
         [n["type"] for n in (normal or {}).get("normalizers", [])] == _WORD_RULES
         and (first.get("pattern") or {}).get("Regex") == _WORD_PATTERN
         and (first.get("behavior"), first.get("invert")) == ("Removed", True)
+        and rules["model"].get("end_of_word_suffix") == _WORD_END
     ):
         return "bare"
     return "whole"
@@ -159,8 +220,13 @@ def _values(path: str, of: Callable, texts: list[str]) -> list[list]:
     if kind(path) == "whole":
         found = load(path).encode_batch_fast(texts, add_special_tokens=False)
         return [[of(np.array(e.ids, "<u4"))] for e in found]
-    cut = leading_space_pieces if kind(path) == "spaced" else bare_pieces
-    return _memo(path, of).values([cut(t) for t in texts])
+    memo = _memo(path, of)
+    if kind(path) == "spaced":
+        return memo.values([leading_space_pieces(t) for t in texts])[0]
+    found = [atoms(t) for t in texts]
+    rest = [bare_pieces(t) for t, cut in zip(texts, found) if cut is None]
+    by_space, by_atom = (iter(x) for x in memo.values(rest, [cut for cut in found if cut is not None]))
+    return [next(by_space if cut is None else by_atom) for cut in found]
 
 
 def count_all(path: str, texts: list[str]) -> list[int]:

@@ -32,6 +32,23 @@ def test_pieces_give_what_whole_texts_give():
     assert pieces.count_all(WORDS, texts) == [len(x) // 4 for x in whole(WORDS, texts)]
 
 
+def test_words_cut_at_their_borders():
+    rng = random.Random(12)
+    marks = ["'s", "'S", "'t", "'re", "'", "''", ".", ",", "|", "||", "-", "<", "<<|", "\t", "\n", " ", " ", "7", "42", "”", "—", "§", "©"]
+    letters = ["a", "Zq", "é", "É", "ß", "ÿ", "Þ", "Ø", "œ", "ª", "²", "µ", "\x7f", "\x00", "\xa0", "\xad", "×", "÷", "ẞ"]
+    texts = ["".join(rng.choice(rng.choice((marks, letters))) for _ in range(rng.randrange(16))) for _ in range(8000)]
+    assert pieces.ids_all(WORDS, texts) == whole(WORDS, texts)
+    every = [f"{chr(c)} a{chr(c)}b 's{chr(c)}t" for c in range(0x2100) if not 0xD800 <= c < 0xE000]
+    assert pieces.ids_all(WORDS, every) == whole(WORDS, every)
+    assert sum(pieces.atoms(t) is not None for t in every) > 170
+
+
+def test_one_very_long_word():
+    texts = ["x" * 300_000, "é" * 100_000, "!" * 100_000, "1" * 100_000, "ab'" * 50_000]
+    assert pieces.ids_all(WORDS, texts) == whole(WORDS, texts)
+    assert pieces.count_all(BYTES, texts[3:]) == [len(x) // 4 for x in whole(BYTES, texts[3:])]
+
+
 def test_other_rules_are_encoded_whole(tmp_path):
     from tokenizers import normalizers
 
