@@ -6,6 +6,17 @@ the value, not on how it is written: the same card number, with spaces or withou
 the same digits in every document, so records stay linked, and the key turns them back.
 Kinds whose valid values are not a plain range (telephone numbers, dates, addresses) are
 permuted again until the result is valid, which is still a permutation of the valid ones.
+
+Values of unlimited length (passwords, addresses) are permuted as one number up to
+``LONG`` letters and digits. Longer ones are cut in pieces, each permuted under a tweak
+that holds all that is left of it, and then once more under one that holds all that is
+right of it: a permutation too, in which every place depends on all others, at a cost that
+grows with the length.
+
+Words that are as often something else need their context: hexadecimal digits are a secret
+after the name of one and a sign (``token = "…"``), not as the digest of a commit or file;
+four numbers with dots are no address after the word version, and a year first with dots
+is a date after the word date or born only.
 """
 
 from __future__ import annotations
@@ -25,6 +36,8 @@ from pyspark.sql import functions as F
 from holdline.llm import common
 
 ROUNDS = 10
+# Letters and digits that are permuted as one number, and those of a piece beyond it.
+LONG, PIECE = 64, 32
 # Dates that are recognised and given out: 1900 to 2099.
 _FIRST, _LAST = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 _MONTHS = {name.lower(): i for i, name in enumerate(month_name) if name}
@@ -64,16 +77,17 @@ _IBAN_SIZES = {
 _POSSIBLE = re.compile(r"[0-9@]|AKIA|password=")
 
 
-def feistel(x: int, size: int, key: bytes, kind: str, back: bool = False) -> int:
-    """The place of ``x`` in a permutation of ``range(size)`` that key and kind choose."""
+def feistel(x: int, size: int, key: bytes, kind: str, back: bool = False, tweak: bytes = b"") -> int:
+    """The place of ``x`` in a permutation of ``range(size)`` that key, kind and tweak
+    choose."""
     left = max(1, isqrt(size - 1) + 1)
     right = -(-size // left)
     width = (left.bit_length() + 7) // 8 + 8
 
     def f(r: int, half: int, mod: int) -> int:
-        data = r.to_bytes(1, "big") + half.to_bytes((half.bit_length() + 7) // 8, "big")
+        data = tweak + r.to_bytes(1, "big") + half.to_bytes((half.bit_length() + 7) // 8, "big")
         out = b"".join(
-            blake2b(data + bytes([i]), key=key, person=kind.encode()[:16]).digest() for i in range(-(-width // 64))
+            blake2b(data + i.to_bytes(4, "big"), key=key, person=kind.encode()[:16]).digest() for i in range(-(-width // 64))
         )
         return int.from_bytes(out[:width], "big") % mod
 
@@ -179,26 +193,44 @@ def _iban(text: str, *how) -> str | None:
     return "".join(c if c == " " else next(places) for c in text)
 
 
-def _letters(text: str, *how) -> str:
-    """Letters and digits permuted as one number, each place within its own kind."""
-    size, x = 1, 0
-    kinds = []
-    for c in text:
-        base, first = (10, "0") if "0" <= c <= "9" else (26, "a" if "a" <= c <= "z" else "A")
-        if not (c.isascii() and c.isalnum()):
-            kinds.append((0, c))
-            continue
-        kinds.append((base, first))
-        size, x = size * base, x * base + ord(c) - ord(first)
-    x = feistel(x, size, *how)
-    out = []
-    for base, first in reversed(kinds):
-        if base:
+def _pieces(values: list[tuple[int, int]], key: bytes, kind: str, back: bool = False) -> list[int]:
+    """``values``, pairs of a number and the size of its range, permuted together."""
+    x = [v for v, _ in values]
+    forth = range(len(x))
+
+    def chain(places, offset: bytes, undo: bool) -> None:
+        # What a piece's tweak holds is the result of all pieces before it in the chain.
+        seen = blake2b(offset + len(x).to_bytes(8, "big"), key=key, person=kind.encode()[:16]).digest()
+        for i in places:
+            given = x[i]
+            x[i] = feistel(given, values[i][1], key, kind, undo, seen)
+            told = (given if undo else x[i]).to_bytes((values[i][1].bit_length() + 7) // 8, "big")
+            seen = blake2b(seen + told, key=key, person=kind.encode()[:16]).digest()
+
+    steps = [(forth, b"left"), (forth[::-1], b"right")]
+    for places, offset in steps[:: -1 if back else 1]:
+        chain(places, offset, back)
+    return x
+
+
+def _letters(text: str, key: bytes, kind: str, back: bool = False) -> str:
+    """Letters and digits permuted, each place within its own kind; others stay."""
+    places = [i for i, c in enumerate(text) if c.isascii() and c.isalnum()]
+    bases = [(10, "0") if text[i].isdigit() else (26, "a" if text[i].islower() else "A") for i in places]
+    step = PIECE if len(places) > LONG else max(1, len(places))
+    values = []
+    for at in range(0, len(places), step):
+        size, x = 1, 0
+        for i, (base, first) in zip(places[at : at + step], bases[at : at + step]):
+            size, x = size * base, x * base + ord(text[i]) - ord(first)
+        values.append((x, size))
+    new = _pieces(values, key, kind, back) if len(values) > 1 else [feistel(x, n, key, kind, back) for x, n in values]
+    out = list(text)
+    for at, x in zip(range(0, len(places), step), new):
+        for i, (base, first) in reversed(list(zip(places[at : at + step], bases[at : at + step]))):
             x, d = divmod(x, base)
-            out.append(chr(ord(first) + d))
-        else:
-            out.append(first)
-    return "".join(reversed(out))
+            out[i] = chr(ord(first) + d)
+    return "".join(out)
 
 
 def _email(text: str, *how) -> str:
@@ -303,12 +335,26 @@ def _kind(m: re.Match) -> str:
 
 
 _EACH = {k: re.compile(p) for k, p in _PATTERNS.items()}
+# What has to stand before a match of a kind, or must not, in so many characters.
+_BEFORE = 48
+_NAMED = re.compile(r"""(?:token|secret|key|pass(?:word|wd|phrase)|pwd|auth|credential)[\w.-]{0,20}["']?\s{0,3}(?:=>|[:=])\s{0,3}["']?$""", re.I)
+_DATED = re.compile(r"(?:date|dated|born|birth|birthday|dob|on)[\s:=]{1,3}$", re.I)
+_VERSION = re.compile(r"(?:\bv|version|release|build)[\s.:=]{0,3}$", re.I)
+
+
+def _in_context(kind: str, text: str, m: re.Match) -> bool:
+    before = text[max(0, m.start() - _BEFORE) : m.start()]
+    if kind == "secret":
+        return bool(_NAMED.search(before))
+    if kind == "ip":
+        return not _VERSION.search(before)
+    return kind != "iso_date" or "." not in m[0] or bool(_DATED.search(before))
 
 
 def _checked(kind: str, text: str, m: re.Match, key: bytes) -> tuple[str | None, re.Match]:
     """What replaces the match, or the longest part of it up to a space that passes the
     checks; of an IBAN first the part that is as long as its country's."""
-    parts = [m]
+    parts = [m] if _in_context(kind, text, m) else []
     if kind in _OPEN:
         ends = [i for i in range(m.end() - 1, m.start(), -1) if text[i] == " "]
         parts += [p for end in ends if (p := _EACH[kind].fullmatch(text, m.start(), end))]
