@@ -15,6 +15,7 @@ from holdline.session import materialize
 
 ORDER = ["sec", "cs"]
 DAY = 86_400
+BLOCK_DAYS = 256
 
 
 def is_known(cols: list[str]) -> Column:
@@ -236,8 +237,8 @@ def idle_heartbeats(samples: DataFrame, key: list[str], period: int = 5) -> Data
     ``samples`` has ``sec`` and ``recorded`` (the reading changed and was logged).
     NULL when no heartbeat followed the last record. A heartbeat chain depends on
     its start only through how many seconds ago that was, so each day of distinct
-    seconds (at most 86,400) is folded once per possible start, and the days of a
-    key are chained afterwards.
+    seconds (at most 86,400) is folded once per possible start; so are blocks of 256 days,
+    and then the blocks of a key, of which 179 idle years have 256.
     """
     recs = samples.filter("recorded").groupBy(*key).agg(F.max("sec").alias("__rec"))
     idle = join_on(samples.select(*key, "sec"), recs, key, "inner").filter(F.col("sec") > F.col("__rec"))
@@ -249,14 +250,23 @@ def idle_heartbeats(samples: DataFrame, key: list[str], period: int = 5) -> Data
         return F.aggregate("__secs", start, lambda h, t: F.when(t - h > period, t).otherwise(h))
 
     after = F.array(*[beat(origin - age) for age in range(1, period + 2)])
-    maps = days.select(*key, "__rec", F.struct(origin.alias("o"), after.alias("after")).alias("__map"))
-    per_key = maps.groupBy(*key, "__rec").agg(F.sort_array(F.collect_list("__map")).alias("__maps"))
+    maps = days.select(*key, "__rec", "__day", F.struct(origin.alias("o"), after.alias("after")).alias("__map"))
 
     def chain(h: Column, m: Column) -> Column:
         age = F.least(m["o"] - h, F.lit(period + 1)).cast("int")
         ended = F.get(m["after"], age - 1)
         return F.when(ended >= m["o"], ended).otherwise(h)
 
+    # Days in a row make up one map as well: what each start has become after them.
+    def joint(a: Column, m: Column) -> Column:
+        return F.struct(a["o"].alias("o"), F.transform(a["after"], lambda h: chain(h, m)).alias("after"))
+
+    blocks = maps.groupBy(*key, "__rec", F.expr(f"__day div {BLOCK_DAYS}")).agg(
+        F.sort_array(F.collect_list("__map")).alias("__maps")
+    )
+    joined = F.aggregate(F.slice("__maps", 2, BLOCK_DAYS), F.get("__maps", F.lit(0)), joint)
+    blocks = blocks.select(*key, "__rec", joined.alias("__map"))
+    per_key = blocks.groupBy(*key, "__rec").agg(F.sort_array(F.collect_list("__map")).alias("__maps"))
     last = F.aggregate("__maps", F.col("__rec"), chain)
     beats = per_key.select(*key, F.when(last > F.col("__rec"), last).alias("sec"))
     return join_on(recs.select(*key), beats, key, "left")

@@ -94,19 +94,21 @@ def time_weighted(log: DataFrame, key: list[str], col: str, bucket_s: int, horiz
     bucket (``bucket`` is its start in epoch seconds); the last value holds until
     ``horizon_us``."""
     _known(horizon_us)
-    spans = intervals(log, key, [col], horizon_us).filter(F.col("end_us") > F.col("start_us"))
     width = bucket_s * US
-    first = idiv("start_us", width)
-    last = idiv(F.col("end_us") - 1, width)
-    cut = spans.withColumn("__b", F.explode(F.sequence(first, last)))
+    first, last = idiv("start_us", width), idiv(F.col("end_us") - 1, width)
+    spans = intervals(log, key, [col], horizon_us).filter(F.col("end_us") > F.col("start_us"))
+    spans = spans.withColumns({"__lo": idiv(F.col("start_us") + (width - 1), width), "__hi": idiv("end_us", width) - 1})
+    # At most two buckets are cut; those between belong to this value alone.
+    ends = F.array(F.when(first < F.col("__lo"), first), F.when(last > F.col("__hi"), last))
+    cut = spans.withColumn("__b", F.explode(F.array_distinct(F.array_compact(ends))))
     dt = F.least("end_us", (F.col("__b") + 1) * width) - F.greatest("start_us", F.col("__b") * width)
-    out = cut.groupBy(*key, "__b").agg(
+    parts = cut.groupBy(*key, "__b").agg(
         F.sum(F.col(col).cast("double") * dt).alias("__vt"),
         F.sum(dt).alias("__t"),
         F.min(col).alias("min"),
         F.max(col).alias("max"),
     )
-    return out.select(
+    parts = parts.select(
         *key,
         (F.col("__b") * bucket_s).alias("bucket"),
         (F.col("__vt") / F.col("__t")).alias("mean"),
@@ -114,6 +116,27 @@ def time_weighted(log: DataFrame, key: list[str], col: str, bucket_s: int, horiz
         "max",
         (F.col("__t") / F.lit(float(width))).alias("coverage"),
     )
+    whole = _expanded(spans.filter("__lo <= __hi"), "__lo", "__hi", "__b").select(
+        *key,
+        (F.col("__b") * bucket_s).alias("bucket"),
+        F.col(col).cast("double").alias("mean"),
+        F.col(col).alias("min"),
+        F.col(col).alias("max"),
+        F.lit(1.0).alias("coverage"),
+    )
+    return parts.unionByName(whole)
+
+
+def _expanded(df: DataFrame, low: str, high: str, name: str) -> DataFrame:
+    """A row for every number from ``low`` to ``high``, in three levels, so that no array
+    has more than 1,024 elements for a range of a billion."""
+    at = low
+    for level, step in enumerate((1 << 20, 1 << 10, 1)):
+        end = F.col(high) if at == low else F.least(F.col(at) + (step << 10) - 1, F.col(high))
+        new = name if step == 1 else f"__level{level}"
+        df = df.withColumn(new, F.explode(F.sequence(F.col(at), end, F.lit(step).cast("bigint"))))
+        at = new
+    return df
 
 
 def correlate(a: DataFrame, b: DataFrame, on: list[str], by: list[str]) -> DataFrame:

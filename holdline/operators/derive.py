@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdline.functions.scalars import to_fahrenheit
-from holdline.operators.changelog import intervals
+from holdline.operators.changelog import intervals, stall_spans
 from holdline.operators.history import History
 from holdline.operators.scan import ema_over
 from holdline.operators.views import LUMENS_PER_WATT, MICRO
@@ -161,3 +161,43 @@ def actuator_state(routed: DataFrame, key: list[str], horizon_us: int | None = N
     h = History.of(events, [*key, "field"], ["event_us"]).previous("__was", F.struct("state"))
     changed = F.col("__was").isNull() | ~F.col("state").eqNullSafe(F.col("__was.state"))
     return intervals(h.filter(changed).drop("__was").rows(), [*key, "field"], ["state"], horizon_us)
+
+
+# The fields that a lost connection makes unknown.
+LOST_FIELDS = ("vent", "swamp_pump", "swamp")
+
+
+def known_states(
+    routed: DataFrame, key: list[str], now_us: Column | int, seconds: int = 15, swamp: Column | None = None
+) -> DataFrame:
+    """Intervals in which an actuator's state, or the temperature of the sensor ``swamp``
+    (a node), is known: from the message that tells it to the next one, less the stalls, in
+    which no message of the site came for over ``seconds``. The command sent to an actuator
+    stays known in a stall.
+
+    State changes and both ends of the stalls are put in one order per field, and every
+    stretch between two of them is known or not.
+    """
+    arrivals = routed.withColumnRenamed("arrival_us", "event_us")
+    events = actuator_events(arrivals).select(*key, "event_us", "field", F.col("state").cast("bigint").alias("state"))
+    if swamp is not None:
+        data = arrivals.filter((F.col("kind") == "data") & (F.col("node") == swamp))
+        told = F.col("payload").try_cast("bigint").alias("state")
+        events = events.unionByName(data.select(*key, "event_us", F.lit("swamp").alias("field"), told))
+    h = History.of(events, [*key, "field"], ["event_us"]).previous("__was", F.struct("state"))
+    changed = F.col("__was").isNull() | ~F.col("state").eqNullSafe(F.col("__was.state"))
+    states = h.filter(changed).rows().select(*key, "field", "event_us", F.lit(1).alias("__kind"), F.struct("state").alias("__state"))
+    stalls = stall_spans(arrivals.select(*key, "event_us").distinct(), key, now_us, seconds)
+    ends = F.array(
+        F.struct(F.col("start_us").alias("event_us"), F.lit(2).alias("__kind")),
+        F.struct(F.col("end_us").alias("event_us"), F.lit(0).alias("__kind")),
+    )
+    ends = stalls.select(*key, F.inline(ends)).filter(F.col("event_us").isNotNull())
+    ends = ends.select(*key, F.explode(F.array(*[F.lit(f) for f in LOST_FIELDS])).alias("field"), "event_us", "__kind")
+    both = History.of(states.unionByName(ends, allowMissingColumns=True), [*key, "field"], ["event_us", "__kind"])
+    both = both.carry("__now", F.col("__state")).carry("__mark", F.when(F.col("__kind") != 1, F.col("__kind")))
+    both = both.following("end_us", F.col("event_us"))
+    state = F.col("__now.state")
+    known = state.isNotNull() & F.coalesce(F.col("__mark") != 2, F.lit(True))
+    rows = both.filter(known & (F.col("end_us").isNull() | (F.col("end_us") > F.col("event_us")))).rows()
+    return rows.select(*key, "field", F.col("event_us").alias("start_us"), "end_us", state.alias("state"))

@@ -209,6 +209,41 @@ def g14(t: Tables):
     return derive.actuator_state(routed, ["site"])
 
 
+@query(
+    "g14_known_states",
+    sql(
+        """SELECT site, field, t AS start_us, next AS end_us, state FROM (
+          SELECT p.*, m.state, s.start_us, s.end_us FROM (
+            SELECT *, lead(t) OVER (PARTITION BY site, field ORDER BY t) AS next FROM points) p
+          ASOF LEFT JOIN moves m ON m.site = p.site AND m.field = p.field AND m.event_us <= p.t
+          ASOF LEFT JOIN stalls s ON s.site = p.site AND s.start_us <= p.t)
+        WHERE state IS NOT NULL AND (field = 'vent_sys' OR start_us IS NULL OR t >= end_us)""",
+        messages=MESSAGES,
+        told=f"""SELECT site, event_us, 'vent_sys' AS field, CASE payload WHEN 'V' THEN 1 ELSE 0 END AS state
+            FROM messages WHERE topic = 'act/node1' AND payload IN ('V', 'v')
+          UNION ALL SELECT site, event_us, split_part(topic, '/', 2), CAST(payload AS BIGINT)
+            FROM messages WHERE topic IN ('sensors/vent', 'sensors/swamp_pump')
+          UNION ALL SELECT site, event_us, 'swamp', TRY_CAST(payload AS BIGINT) FROM messages
+            WHERE topic = 'sensors/28-' || lpad(lower(to_hex(site)), 12, '0') || '/data'""",
+        moves="""SELECT * FROM (SELECT *, lag(coalesce(state, -999999), 1, -888888) OVER (PARTITION BY site, field ORDER BY event_us) AS was
+          FROM told) WHERE coalesce(state, -999999) <> was""",
+        # A stall that lasts in the end has a far one.
+        stalls="""SELECT site, event_us AS start_us, coalesce(next, 9000000000000000) AS end_us FROM (
+            SELECT site, event_us, lead(event_us) OVER (PARTITION BY site ORDER BY event_us) AS next FROM messages)
+          WHERE coalesce(next, (SELECT max(sec) FROM ev) * 1000000) - event_us > 86400000000""",
+        points="""SELECT site, field, event_us AS t FROM moves
+          UNION SELECT site, f, start_us FROM stalls, (VALUES ('vent'), ('swamp_pump'), ('swamp')) x(f)
+          UNION SELECT site, f, end_us FROM stalls, (VALUES ('vent'), ('swamp_pump'), ('swamp')) x(f) WHERE end_us < 9000000000000000""",
+    ),
+)
+def g14_known(t: Tables):
+    # Events are hours apart: a day without a message is a stall.
+    routed = route_messages(message_rows(t.events()), "topic", "payload")
+    routed = routed.select("site", F.col("event_us").alias("arrival_us"), "kind", "node", "payload")
+    swamp = F.concat(F.lit("28-"), F.lpad(F.lower(F.hex("site")), 12, "0"))
+    return derive.known_states(routed, ["site"], t.now() * 1_000_000, 86_400, swamp)
+
+
 # -- runtime, energy, statistics ------------------------------------------------------
 
 _END = 1_706_745_600  # 2024-02-01, the end of the data's month

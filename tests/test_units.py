@@ -245,3 +245,39 @@ def test_presence_log_and_reads_of_it(spark):
     probes = spark.createDataFrame([(4, 28, 0, 1), (4, 35, 0, 2), (4, 60, 0, 3)], "k int, sec long, cs int, probe_id int")
     found = changelog.asof(log.select("k", "sec", "cs", "temp"), probes, ["k"], ["temp"])
     assert sorted((r.probe_id, r.temp) for r in found.collect()) == [(1, 20), (2, None), (3, 20)]
+
+
+def test_long_silences_make_no_long_arrays(spark):
+    from holdline.operators import cost
+
+    year = 700_000  # 4 of them are more than two levels of 1,024
+    log = spark.createDataFrame([(1, 500_000, 5), (1, 4 * year * 1_000_000 + 250_000, 9)], "k int, event_us long, x int")
+    out = cost.time_weighted(log, ["k"], "x", 1, 4 * year * 1_000_000 + 750_000)
+    total = out.agg(F.count("*"), F.sum("coverage"), F.sum(F.col("mean") * F.col("coverage"))).first()
+    assert tuple(total) == (4 * year + 1, 4 * year + 0.25, 5.0 * (4 * year - 0.25) + 9 * 0.5)
+    cut = {r.bucket: tuple(r) for r in out.filter(f"bucket IN (0, 1, {4 * year})").collect()}
+    assert cut[0] == (1, 0, 5.0, 5, 5, 0.5) and cut[1] == (1, 1, 5.0, 5, 5, 1.0)
+    assert cut[4 * year] == (1, 4 * year, pytest.approx((0.25 * 5 + 0.5 * 9) / 0.75), 5, 9, 0.75)
+
+
+def test_heartbeats_over_many_years(spark):
+    """Blocks of days are chained as days are."""
+    import random
+
+    rng = random.Random(3)
+    secs = sorted({rng.randrange(200 * 365) * 86_400 + rng.choice([0, 86_397, 86_399, 3, 7]) for _ in range(3000)})
+    beat = secs[0]
+    for s in secs[1:]:
+        beat = s if s - beat > 5 else beat
+    df = spark.createDataFrame([(1, s, i == 0) for i, s in enumerate(secs)], "k int, sec long, recorded boolean")
+    assert changelog.idle_heartbeats(df, ["k"]).first().sec == beat
+
+
+def test_a_stall_hides_what_was_known(spark):
+    minute = 60_000_000
+    rows = [(1, 0, "vent", None, "1"), (1, minute, "act", "n", "V"), (1, 2 * minute, "hb", "n", "1"), (1, 9 * minute, "hb", "n", "2"),
+            (1, 10 * minute, "vent", None, "0"), (1, 11 * minute, "data", "s1", "2050"), (1, 12 * minute, "data", "s1", "offline")]
+    routed = spark.createDataFrame(rows, "site int, arrival_us long, kind string, node string, payload string")
+    out = derive.known_states(routed, ["site"], 13 * minute, 90, F.lit("s1"))
+    got = sorted((r.field, r.start_us // minute, r.end_us and r.end_us // minute, r.state) for r in out.collect())
+    assert got == [("swamp", 11, 12, 2050), ("vent", 0, 2, 1), ("vent", 9, 10, 1), ("vent", 10, None, 0), ("vent_sys", 1, None, 1)]
