@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from holdline.llm import common
 
-# Rates above this are split: as many whole copies as fit, and a draw for the rest.
+# A sum of independent draws has the Poisson distribution of the summed rates, so rates
+# above this are drawn as several equal ones.
 LARGEST_DRAW = 8.0
 # The draw ends here: at the largest rate, the chance of more is below 2^-52.
 _TERMS = 48
@@ -31,22 +32,30 @@ def uniform(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint").cast("double") / _UNIT
 
 
-def poisson(rate: Column, u: Column) -> Column:
-    """The number of terms of the distribution, in order, whose sum is at most ``u``."""
-    start = F.struct(
-        F.exp(-rate).alias("term"), F.exp(-rate).alias("sum"), F.lit(0).cast("bigint").alias("n")
-    )
+def cumulative(rate: Column) -> Column:
+    """The distribution of a draw with ``rate``: the chances of at most 0, 1, 2, ..."""
+    none = F.exp(-rate)
+    start = F.struct(none.alias("term"), F.array(none).alias("upto"))
 
     def step(state, k):
         term = state["term"] * rate / k.cast("double")
-        return F.struct(
-            term.alias("term"),
-            (state["sum"] + term).alias("sum"),
-            (state["n"] + F.when(u >= state["sum"], 1).otherwise(0).cast("bigint")).alias("n"),
-        )
+        upto = F.array_append(state["upto"], F.element_at(state["upto"], -1) + term)
+        return F.struct(term.alias("term"), upto.alias("upto"))
 
-    terms = F.sequence(F.lit(1), F.lit(_TERMS))
-    return F.aggregate(terms, start, step, lambda s: s["n"])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(_TERMS - 1)), start, step, lambda s: s["upto"])
+
+
+def poisson(draws: Column, upto: Column, seed: int, *parts: Column) -> Column:
+    """The sum of ``draws`` inversions of the distribution ``upto``, each at a number of
+    its own that seed and ``parts`` make."""
+
+    def drawn(u: Column) -> Column:
+        return F.size(F.filter(upto, lambda chance: u >= chance)).cast("bigint")
+
+    first = drawn(uniform(seed, *parts))
+    more = F.sequence(F.lit(1), draws.cast("int") - 1)
+    rest = F.aggregate(more, F.lit(0).cast("bigint"), lambda n, j: n + drawn(uniform(seed, *parts, j)))
+    return F.when(draws > 1, first + rest).otherwise(first)
 
 
 def rates(
@@ -56,7 +65,8 @@ def rates(
     source_col: str = "source",
     default: float = 0.0,
 ) -> DataFrame:
-    """(mix_source, mix_rate): copies wanted of each row on average.
+    """(mix_source, mix_rate, mix_draws, mix_upto): copies wanted of each row on average,
+    in how many draws, and the distribution of one.
 
     ``factor`` is the size wanted, in characters of the present total. Weights are
     divided by the sum of those of the sources that are there with some text. Sources
@@ -76,7 +86,9 @@ def rates(
     rate = F.lit(factor) * F.col("weight") / F.col("weights") * F.col("total") / F.col("size")
     # One row each, so these are no joins of rows with rows.
     rows = rows.crossJoin(F.broadcast(share)).crossJoin(F.broadcast(total))
-    return rows.select("mix_source", rate.alias("mix_rate"))
+    rows = rows.select("mix_source", rate.alias("mix_rate"))
+    rows = rows.withColumn("mix_draws", F.greatest(F.lit(1.0), F.ceil(F.col("mix_rate") / LARGEST_DRAW).cast("double")))
+    return rows.withColumn("mix_upto", cumulative(F.col("mix_rate") / F.col("mix_draws")))
 
 
 def mixed(
@@ -102,40 +114,45 @@ def mixed(
     rows = docs.select(F.struct(*docs.columns).alias("row"))
     rows = rows.join(given, F.col("row").getField(source_col).eqNullSafe(F.col("mix_source")))
     own_id = F.col("row").getField("doc_id")
-    whole = F.floor(F.greatest(F.col("mix_rate") - LARGEST_DRAW, F.lit(0.0)))
-    drawn = poisson(F.col("mix_rate") - whole, uniform(seed, own_id))
-    rows = rows.withColumn("mix_copies", whole.cast("bigint") + drawn).filter("mix_copies > 0")
+    drawn = poisson(F.col("mix_draws"), F.col("mix_upto"), seed, own_id)
+    rows = rows.withColumn("mix_copies", drawn).filter("mix_copies > 0")
     rows = rows.select("row", F.explode(F.expr("sequence(0L, mix_copies - 1)")).alias("copy"))
     rows = rows.withColumn("position", uniform(seed + 1, own_id, F.col("copy")))
-    rows = rows.repartitionByRange("position").sortWithinPartitions("position", own_id, "copy")
+    # Positions are spread evenly, so equal ranges of them need no sample of the rows.
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionById(n, F.floor(F.col("position") * n).cast("int"))
+    rows = rows.sortWithinPartitions("position", own_id, "copy")
     return rows.select("row.*", "copy", "position")
 
 
-def mixed_sql(weights: Mapping[str, float], factor: float, seed: int, columns: str, docs: str = "documents") -> str:
-    """SQL that gives the same rows as ``mixed``."""
-    values = ", ".join(f"('{k}', CAST({v!r} AS DOUBLE))" for k, v in weights.items() if v > 0)
+def mixed_sql(
+    weights: Mapping[str, float], factor: float, seed: int, columns: str, docs: str = "documents", default: float = 0.0
+) -> str:
+    """SQL that gives the same rows as ``mixed``, where ids are there and name a row each."""
+    values = ", ".join(f"('{k}', CAST({v!r} AS DOUBLE))" for k, v in weights.items())
     unit = "CAST(CAST('0x' || substr(md5({}), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0"
+    own = f"'{seed}|' || doc_id || CASE WHEN j = 0 THEN '' ELSE '|' || j END"
     return f"""WITH RECURSIVE docs AS (SELECT * FROM {docs}),
-    wanted(source, weight) AS (VALUES {values}),
+    wanted(name, given) AS (VALUES {values}),
     sizes AS (SELECT source, sum(length(coalesce(text, ''))) AS size FROM docs GROUP BY source),
+    weighted AS (SELECT source, size, coalesce(given, CAST({default!r} AS DOUBLE)) AS weight
+      FROM sizes LEFT JOIN wanted ON source = name WHERE size > 0),
     rated AS (
-      SELECT source, size, CAST({factor!r} AS DOUBLE) * weight / sum(weight) OVER ()
+      SELECT source, CAST({factor!r} AS DOUBLE) * weight / sum(weight) OVER ()
         * CAST((SELECT sum(size) FROM sizes) AS BIGINT) / CAST(size AS BIGINT) AS rate
-      FROM sizes JOIN wanted USING (source) WHERE size > 0),
-    parts AS (SELECT source, floor(greatest(rate - 8.0, 0.0)) AS whole,
-      rate - floor(greatest(rate - 8.0, 0.0)) AS rest FROM rated),
-    terms(source, whole, rest, k, term, upto) AS (
-      SELECT source, whole, rest, 0, exp(-rest), exp(-rest) FROM parts
+      FROM weighted WHERE weight > 0),
+    parts AS (SELECT source, greatest(1, ceil(rate / 8.0)) AS draws, rate / greatest(1, ceil(rate / 8.0)) AS rest FROM rated),
+    terms(source, rest, k, term, upto) AS (
+      SELECT source, rest, 0, exp(-rest), exp(-rest) FROM parts
       UNION ALL
-      SELECT source, whole, rest, k + 1, term * rest / CAST(k + 1 AS DOUBLE),
-        upto + term * rest / CAST(k + 1 AS DOUBLE)
+      SELECT source, rest, k + 1, term * rest / CAST(k + 1 AS DOUBLE), upto + term * rest / CAST(k + 1 AS DOUBLE)
       FROM terms WHERE k < 47),
+    draws AS (SELECT doc_id, d.source, unnest(range(CAST(p.draws AS BIGINT))) AS j
+      FROM docs d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source),
     drawn AS (
-      SELECT d.doc_id, any_value(t.whole) + count(*) FILTER (WHERE d.u >= t.upto) AS copies
-      FROM (SELECT DISTINCT doc_id, source,
-              {unit.format(f"'{seed}|' || coalesce(CAST(doc_id AS VARCHAR), '\\N')")} AS u FROM docs) d
-      JOIN terms t USING (source) GROUP BY d.doc_id, d.source),
-    copies AS (SELECT doc_id, unnest(range(CAST(copies AS BIGINT))) AS copy FROM drawn)
-    SELECT {columns}, copy,
-      {unit.format(f"'{seed + 1}|' || coalesce(CAST(doc_id AS VARCHAR), '\\N') || '|' || copy")} AS position
+      SELECT doc_id, count(*) FILTER (WHERE u >= t.upto) AS copies
+      FROM (SELECT *, {unit.format(own)} AS u FROM draws) d
+      JOIN terms t ON d.source IS NOT DISTINCT FROM t.source GROUP BY doc_id),
+    copies AS (SELECT doc_id, unnest(range(copies)) AS copy FROM drawn)
+    SELECT {columns}, copy, {unit.format(f"'{seed + 1}|' || doc_id || '|' || copy")} AS position
     FROM docs JOIN copies USING (doc_id)"""

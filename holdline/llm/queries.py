@@ -36,7 +36,9 @@ def op2_mixing(spark, sf_dir):
     return mixing.mixed(docs, MIX_WEIGHTS, MIX_FACTOR, MIX_SEED, default=MIX_DEFAULT)
 
 
-ORACLES["op2_mixing"] = mixing.mixed_sql(MIX_WEIGHTS, MIX_FACTOR, MIX_SEED, "doc_id, text, lang, source, n_chars")
+ORACLES["op2_mixing"] = mixing.mixed_sql(
+    MIX_WEIGHTS, MIX_FACTOR, MIX_SEED, "doc_id, text, lang, source, n_chars", default=MIX_DEFAULT
+)
 
 
 @_query

@@ -52,14 +52,31 @@ def test_shares(spark):
     assert same == got
 
 
-@pytest.mark.parametrize("rate", [0.1, 1.0, 7.9])
+@pytest.mark.parametrize("rate", [0.1, 1.0, 7.9, 8.1, 30.0, 100.0])
 def test_counts_are_poisson(spark, rate):
     n = 20_000
-    rows = spark.range(n).select(mixing.poisson(F.lit(rate), mixing.uniform(3, F.col("id"))).alias("k"))
+    draws = max(1, math.ceil(rate / mixing.LARGEST_DRAW))
+    rows = spark.range(n).withColumn("mix_draws", F.lit(float(draws)))
+    upto = mixing.cumulative(F.lit(rate / draws))
+    rows = rows.select(mixing.poisson(F.col("mix_draws"), upto, 3, F.col("id")).alias("k"))
     counts = Counter(r["k"] for r in rows.collect())
-    for k in range(4):
-        want = n * math.exp(-rate) * rate**k / math.factorial(k)
+    for k in {*range(4), int(rate) - 5, int(rate), int(rate) + 7}:
+        want = n * math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) if k >= 0 else 0
         assert abs(counts[k] - want) < 5 * math.sqrt(want + 1)
+    mean = sum(k * c for k, c in counts.items()) / n
+    variance = sum((k - mean) ** 2 * c for k, c in counts.items()) / n
+    assert abs(mean - rate) < 5 * math.sqrt(rate / n) and abs(variance / rate - 1) < 0.1
+
+
+def test_default_weight_and_null_source_agree_with_sql(spark, tmp_path):
+    rows = [(i, "x" * (1 + i % 3), ["a", "b", None, "other"][i % 4], "s", i) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    docs.coalesce(1).write.parquet(str(tmp_path / "d"))
+    weights = {"a": 3.0, "b": 0.0}
+    got = mixing.mixed(docs, weights, 2.0, 5, default=0.5).select("doc_id", "copy", "position").collect()
+    sql = mixing.mixed_sql(weights, 2.0, 5, "doc_id", default=0.5)
+    _, want = sql_rows(sql, documents=str(tmp_path / "d" / "*.parquet"))
+    assert sorted(map(tuple, got)) == sorted(want) and {r["doc_id"] % 4 for r in got} == {0, 2, 3}
 
 
 def test_odd_rows(spark):
