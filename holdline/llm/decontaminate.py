@@ -163,15 +163,20 @@ class Index:
 
 
 def _indexes(benchmark: DataFrame, threshold: float):
-    """An index for each slice of the items, in the order of a hash of their ids."""
+    """For each slice of the items, in the order of a hash of their ids: its index, shared
+    with the executors until the next one is, and whether it is the last."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").dropna()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = size // SLICE_BYTES + 1
     for k in range(slices):
         some = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k)
         index = Index([(r["item_id"], r["text"]) for r in some.collect()], threshold)
+        last = k == slices - 1
         if index.sizes:
-            yield items.sparkSession.sparkContext.broadcast(index)
+            shared = items.sparkSession.sparkContext.broadcast(index)
+            yield shared, last
+            if not last:
+                shared.unpersist()
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -199,8 +204,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY
         return run
 
     out = docs.sparkSession.createDataFrame([], ddl)
-    for shared in _indexes(benchmark, threshold):
-        out = out.unionByName(docs.mapInArrow(found_with(shared), ddl))
+    for shared, last in _indexes(benchmark, threshold):
+        found = docs.mapInArrow(found_with(shared), ddl)
+        out = out.unionByName(found if last else common.written(found, "benchmark-slice"))
     return out
 
 
@@ -216,6 +222,7 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, threshold: float =
 
         return run
 
-    for shared in _indexes(benchmark, threshold):
+    for shared, last in _indexes(benchmark, threshold):
         out = out.mapInArrow(clean_with(shared), docs.schema)
+        out = out if last else common.bounded_batches(common.written(out, "benchmark-slice"))
     return out
