@@ -12,14 +12,15 @@ from holdline.llm import common
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node ties its larger neighbours to the smallest of itself and all."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+    # Written: a join splits a frequent key only if it stands on two plain shuffles.
+    least = common.written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
     larger = both.filter("b > a").join(least, "a")
     return larger.select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node ties itself and its smaller neighbours to the smallest of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = common.written(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
     own = least.select("a", F.col("m").alias("b"))
     others = edges.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return own.unionByName(others).distinct()

@@ -358,7 +358,8 @@ def _block_links(percent: int):
 
 def _group_links(docs: DataFrame, groups: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Edges among members of groups that are not all in one component yet."""
-    mixed = _apart(groups, found).select("a").distinct()
+    # Written: a join splits a frequent key only if it stands on two plain shuffles.
+    mixed = common.written(_apart(groups, found).select("a").distinct(), "mixed-groups")
     members = groups.join(mixed, "a", "left_semi").unionByName(mixed.select("a", F.col("a").alias("b")))
     members = _labelled(members, found, "a", "b").select(
         "a", F.col("b").alias("id"), (F.col("a_component") == F.col("b_component")).alias("inside")
