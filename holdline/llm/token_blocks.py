@@ -178,13 +178,15 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
     document, as segments in ``folder``.
 
     A null text is an empty one and has the end id alone. Null ids come first, rows
-    with equal ids in the order of their texts; other columns are ignored.
+    with equal ids in the order of a digest of their texts; other columns are ignored.
     """
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
     # The texts are dealt out, not the ids: sampling the ranges would encode them twice.
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # With a digest, so that rows without an id, or with one id, are dealt out as well.
+    digest = F.xxhash64("text")
+    rows = rows.repartitionByRange(F.col("doc_id"), digest).sortWithinPartitions("doc_id", digest, "text")
     common.bounded_batches(rows).mapInArrow(_segments(tokenizer), SEGMENT_DDL).write.parquet(folder)
 
 
