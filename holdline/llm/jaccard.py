@@ -21,7 +21,9 @@ compared with its first one only, and the links found make components. Then memb
 one list that are still in different components are compared too. In lists of a rare
 token, which are short, these are pairs, less those whose distances to the first member
 differ by over 1 - t (Jaccard distance is a metric, so they cannot link). The lists of
-frequent pairs that have the same first member are one group, which may be large: its
+frequent pairs, and any longer ones of rare tokens (with many more words than counters
+the rarest are not that rare), that have the same first member are one group, which may
+be large: its
 members that are not in the first one's component are compared with all, block by block,
 and what leaves a task is an edge per member, never a row per pair. So a group of near
 copies that link costs comparisons in proportion to its size.
@@ -40,6 +42,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +57,10 @@ _CHUNK = 1 << 14
 # A token is frequent if its counter is this far above the mean counter, and by as
 # many standard deviations of a counter.
 FREQUENT, DEVIATIONS = 256, 8
+# Lists of rare tokens with more members are compared in blocks too.
+LONG_LIST = 512
+# Tables of tasks are merged so many at a time.
+_FAN = 64
 
 _SCAN = pa.schema(
     [
@@ -61,10 +68,13 @@ _SCAN = pa.schema(
         ("n", pa.int64()),
         ("content", pa.binary()),
         ("chunk", pa.int32()),
-        ("counts", pa.binary()),
+        ("task", pa.int32()),
+        ("data", pa.binary()),
     ]
 )
-_SCAN_DDL = "id long, n long, content binary, chunk int, counts binary"
+_SCAN_DDL = "id long, n long, content binary, chunk int, task int, data binary"
+_CHUNKS = pa.schema([("chunk", pa.int32()), ("task", pa.int32()), ("data", pa.binary())])
+_CHUNKS_DDL = "chunk int, task int, data binary"
 # Bits and keys of the filter that picks the documents whose sets are made; of a fixed
 # size too, as documents that pass it by chance are dropped by a join afterwards.
 _FILTER_BITS, _FILTER_KEYS = 26, 2
@@ -106,35 +116,54 @@ def _scan(batches):
                 "n": [len(s) for s in sets],
                 "content": [xxhash.xxh3_128_digest(s) if len(s) else None for s in sets],
                 "chunk": blank,
-                "counts": blank,
+                "task": blank,
+                "data": blank,
             },
             _SCAN,
         )
-    for i, part in enumerate(counts.reshape(-1, _CHUNK)):
+    for rows in _chunks(counts):
+        yield common.batch({"id": [None], "n": [None], "content": [None], **rows}, _SCAN)
+
+
+def _chunks(table: np.ndarray):
+    """The chunks of a task's table that are not all zero, one by one."""
+    task = TaskContext.get().partitionId()
+    for i, part in enumerate(table.reshape(-1, _CHUNK)):
         if part.any():
-            data = zlib.compress(part.astype("<i8").tobytes(), 1)
-            yield common.batch({"id": [None], "n": [None], "content": [None], "chunk": [i], "counts": [data]}, _SCAN)
+            yield {"chunk": [i], "task": [task], "data": [zlib.compress(part.tobytes(), 1)]}
 
 
-def _added(key, rows):
-    total = sum(np.frombuffer(zlib.decompress(x), "<i8") for x in rows["counts"])
-    rows = rows.iloc[:1].copy()
-    rows["counts"] = [zlib.compress(total.tobytes(), 1)]
-    return rows
+def _merged(parts: DataFrame, merge: np.ufunc, table: np.ndarray) -> np.ndarray:
+    """``table`` (all zero) with the chunks of all tasks merged, a bounded number at a
+    time however many tasks there were."""
+
+    kind = table.dtype
+
+    def some(key, rows):
+        total = np.zeros(_CHUNK, kind)
+        for x in rows["data"]:
+            merge(total, np.frombuffer(zlib.decompress(x), kind), out=total)
+        rows = rows.iloc[:1].copy()
+        rows["data"] = [zlib.compress(total.tobytes(), 1)]
+        return rows
+
+    most = parts.agg(F.max("task")).first()[0] or 0
+    while True:
+        parts = parts.withColumn("task", F.expr(f"int(task div {_FAN})"))
+        parts = parts.groupBy("chunk", "task").applyInPandas(some, _CHUNKS_DDL)
+        most //= _FAN
+        if not most:
+            break
+    chunks = table.reshape(-1, _CHUNK)
+    for row in parts.toLocalIterator():
+        chunks[row["chunk"]] = np.frombuffer(zlib.decompress(bytes(row["data"])), kind)
+    return table
 
 
 def _sketch(scan: DataFrame) -> np.ndarray:
-    """The counters of all rows, added up in two steps; 8 MB at any scale."""
-    part = scan.filter("chunk IS NOT NULL").select(
-        "chunk", "counts", F.pmod(F.xxhash64("counts"), F.lit(64)).cast("int").alias("some")
-    )
-    ddl = "chunk int, counts binary, some int"
-    part = part.groupBy("chunk", "some").applyInPandas(_added, ddl)
-    part = part.groupBy("chunk").applyInPandas(_added, ddl)
-    counts = np.zeros((COUNTERS // _CHUNK, _CHUNK), np.int64)
-    for row in part.toLocalIterator():
-        counts[row["chunk"]] = np.frombuffer(zlib.decompress(bytes(row["counts"])), "<i8")
-    return counts.reshape(-1)
+    """The counters of all rows; 8 MB at any scale."""
+    parts = scan.filter("chunk IS NOT NULL").select("chunk", "task", "data")
+    return _merged(parts, np.add, np.zeros(COUNTERS, np.int64))
 
 
 def index_keys(tokens: np.ndarray, counts: np.ndarray, frequent: float, percent: int):
@@ -216,18 +245,14 @@ def _marked(batches):
     for (ids,) in common.columns_of(batches, "id"):
         for places in _places(np.array(ids, np.int64)):
             np.bitwise_or.at(mine, places >> 3, np.uint8(1) << (places & 7).astype(np.uint8))
-    at = np.nonzero(mine)[0]
-    schema = pa.schema([("at", pa.int32()), ("bits", pa.int32())])
-    yield common.batch({"at": at, "bits": mine[at]}, schema)
+    for rows in _chunks(mine):
+        yield common.batch(rows, _CHUNKS)
 
 
 def _filter(ids: DataFrame) -> np.ndarray:
-    """A filter that all of ``ids`` pass: 8 MB at any scale."""
-    parts = common.bounded_batches(ids).mapInArrow(_marked, "at int, bits int")
-    out = np.zeros(1 << (_FILTER_BITS - 3), np.uint8)
-    found = parts.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out[found["at"].to_numpy()] = found["bits"].to_numpy()
-    return out
+    """A filter that all of ``ids`` pass: 8 MB at any scale, here too."""
+    parts = common.bounded_batches(ids).mapInArrow(_marked, _CHUNKS_DDL)
+    return _merged(common.written(parts, "filter"), np.bitwise_or, np.zeros(1 << (_FILTER_BITS - 3), np.uint8))
 
 
 def _sets(shared):
@@ -265,8 +290,9 @@ def _postings(keys: DataFrame, name: str) -> DataFrame:
 
 
 def _rare_lists(keys: DataFrame) -> DataFrame:
-    """(key, a, b, finds): every member b of a list with its first member a, the
-    smallest that finds. Lists in which none does hold no pair."""
+    """(key, a, b, finds, size): every member b of a list with its first member a, the
+    smallest that finds, and the length of the list. Lists in which none does hold no
+    pair."""
     first = Window.partitionBy("key").orderBy(F.desc("finds"), "id")
     rows = _postings(keys, "rare").select(
         "key",
@@ -274,6 +300,7 @@ def _rare_lists(keys: DataFrame) -> DataFrame:
         F.first("finds").over(first).alias("first_finds"),
         F.col("id").alias("b"),
         "finds",
+        F.count("*").over(Window.partitionBy("key")).alias("size"),
     )
     return rows.filter("first_finds AND a <> b").drop("first_finds")
 
@@ -285,7 +312,7 @@ def _pair_groups(keys: DataFrame) -> DataFrame:
     firsts = rows.groupBy("key").agg(F.min(F.when(F.col("finds"), F.col("id"))).alias("a"), F.count("*").alias("size"))
     firsts = common.written(firsts.filter("a IS NOT NULL AND size > 1").drop("size"), "list-heads")
     rows = rows.join(firsts, "key").select("a", F.col("id").alias("b"))
-    return rows.filter("a <> b").distinct()
+    return rows.filter("a <> b")
 
 
 def _both(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
@@ -487,7 +514,9 @@ def _similar(docs: DataFrame, percent: int) -> DataFrame:
     lists = common.written(lists, "shingle-lists")
     # Few sets reach frequent tokens, so their copies go before the lists are made.
     paired = keys.filter(F.size("pairs") > 0).join(nodes.select("id"), "id", "left_semi")
-    groups = common.written(_pair_groups(paired), "pair-groups")
+    long = lists.filter(F.col("size") > LONG_LIST).select("a", "b")
+    groups = common.written(_pair_groups(paired).unionByName(long).distinct(), "pair-groups")
+    lists = lists.filter(F.col("size") <= LONG_LIST).drop("size")
     found = _links(docs, keys, lists, groups, percent)
 
     named = nodes.join(found, "id", "left").select(
@@ -507,8 +536,9 @@ def without_near_copies(docs: DataFrame, percent: int = 75) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
     if _ids_repeat(rows):
-        first = _similar_texts(rows, percent).filter("own = keeper").select(F.col("own").alias("__own")).distinct()
-        kept = docs.withColumn("__own", _own("doc_id")).join(first, "__own", "left_semi").dropDuplicates(["doc_id", "text"])
+        own = common.free_name(docs, "own")
+        first = _similar_texts(rows, percent).filter("own = keeper").select(F.col("own").alias(own)).distinct()
+        kept = docs.withColumn(own, _own("doc_id")).join(first, own, "left_semi").dropDuplicates(["doc_id", "text"])
         return kept.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
     found = similar_documents(docs.select("doc_id", "text"), percent=percent)
     first = found.filter("doc_id = component_id").select("doc_id").distinct()

@@ -7,6 +7,7 @@ import pytest
 from helpers import groups, shingles, similar_pairs
 from holdline.llm import components, jaccard, queries
 from holdline.llm.shingles import shingle_set
+from pyspark.sql import functions as F
 
 
 def check(rows, docs):
@@ -52,6 +53,16 @@ def test_rare_and_frequent_classes(spark, monkeypatch, frequent):
     check(jaccard.similar_documents(df).collect(), docs)
 
 
+def test_long_lists_of_rare_tokens(spark, monkeypatch):
+    """Compared in blocks, of a few rows here; tables of twelve tasks merged two at a time."""
+    monkeypatch.setattr(jaccard, "LONG_LIST", 3)
+    monkeypatch.setattr(jaccard, "_BLOCK_ROWS", 4)
+    monkeypatch.setattr(jaccard, "_FAN", 2)
+    docs = families(11)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(12)
+    check(jaccard.similar_documents(df).collect(), docs)
+
+
 def test_similar_sets_meet_in_a_key():
     """The argument about prefixes, on random pairs at and around the threshold."""
     rng = np.random.default_rng(3)
@@ -105,6 +116,8 @@ def test_texts_of_a_repeated_id_are_nodes_of_their_own(spark):
     near, clean, other, blank = (" ".join(f"{c}{i}" for i in range(40)) for c in "abcd")
     rows = [(5, near), (7, near + " z"), (7, clean), (8, clean + " z"), (9, other), (9, other + " z"), (9, other), (10, " "), (10, blank), (None, near)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marked = docs.withColumns({"own": F.lit(1), "OWN_": F.lit(2), "id": F.lit("x")})
+    assert {tuple(r)[2:] for r in jaccard.without_near_copies(marked).collect()} == {(1, 2, "x")}
     got = sorted((tuple(r) for r in jaccard.similar_documents(docs).collect()), key=str)
     want = [(5, 36, 5), (7, 37, 5), (7, 36, 7), (8, 37, 7), (9, 36, 9), (9, 37, 9), (9, 36, 9), (10, 0, 10), (10, 36, 10), (None, 36, None)]
     assert got == sorted(want, key=str)
