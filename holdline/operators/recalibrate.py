@@ -94,7 +94,9 @@ def _seeds(state: DataFrame, job: Job) -> DataFrame:
 
 def _worked(raw: DataFrame, state: DataFrame, job: Job) -> DataFrame:
     """The samples with what becomes of them; the one pass over the raw rows."""
-    rows = job.decode(raw).withColumn(job.seq, F.col(job.seq).cast("bigint"))
+    decoded = job.decode(raw)
+    more = [c for c in (*job.channels, "reason") if c not in raw.columns]
+    rows = decoded.select(*raw.columns, *more).withColumn(job.seq, F.col(job.seq).cast("bigint"))
     rows = rows.withColumns({c: F.col(c).cast("bigint") for c in job.channels})
     rows = rows.withColumns(
         {
@@ -132,8 +134,16 @@ def _log(worked: DataFrame, spilled: DataFrame, job: Job) -> DataFrame:
 
 def _ends(worked: DataFrame, job: Job) -> DataFrame:
     """The state of every key at the end of every day with samples of it."""
-    state = worked.withColumnsRenamed({c: f"{c}_x" for c in job.channels} | {"__ok": "ok"})
-    state = state.withColumn("places", F.least("places", F.lit(job.warmup + 1)))
+    state = worked.select(
+        *job.key,
+        "day",
+        *job.order,
+        *[F.col(c).alias(f"{c}_x") for c in job.channels],
+        *[f"{c}_{n}" for c in job.channels for n in ("rise", "up")],
+        F.col("__ok").alias("ok"),
+        "logged",
+        F.least("places", F.lit(job.warmup + 1)).alias("places"),
+    )
     last = F.max_by(F.struct(*job.state_fields), F.struct(*job.order)).alias("s")
     return state.groupBy(*job.key, "day").agg(last).select(*job.key, "day", "s.*")
 

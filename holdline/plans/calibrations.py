@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
+from functools import partial
 
 from pyspark.sql import functions as F
 
@@ -137,21 +139,74 @@ def c4_log(t: Tables):
 _WRONG_DAYS = (8, 12)
 
 
-def _archive(t: Tables):
-    """Raw words by day. Stamps are coarse, so that records collide."""
-    raw = _sht_raw(t.events()).withColumns({"sec": idiv("sec", 7200) * 7200, "cs": F.lit(0)})
+def _archive(t: Tables, raw):
+    """Raw samples by day. Stamps are coarse, so that records collide."""
+    raw = raw.withColumns({"sec": idiv("sec", 7200) * 7200, "cs": F.lit(0)})
     folder = f"{shared_dir(t.spark)}/archive-{uuid.uuid4().hex}"
     raw.withColumn("day", local_day("sec")).write.partitionBy("day").parquet(folder)
     return t.spark.read.parquet(folder)
 
 
-def _coarse_sht31(offset=None):
-    def decode(raw):
-        rows = calibrate.sht31(raw)
-        wrong = F.when(F.dayofmonth("day").between(*_WRONG_DAYS), offset or 0).otherwise(0)
-        return rows.withColumns({"temp": idiv("temp", 100) + wrong, "hum": idiv("hum", 50)})
+def _coarse_sht31(raw):
+    rows = calibrate.sht31(raw)
+    return rows.withColumns({"temp": idiv("temp", 100), "hum": idiv("hum", 50)})
 
-    return decode
+
+def _off(decode, channel: str, by: int):
+    """A decoder that is wrong on some days."""
+
+    def run(raw):
+        wrong = F.when(F.dayofmonth("day").between(*_WRONG_DAYS), by).otherwise(0)
+        return decode(raw).withColumn(channel, F.col(channel) + wrong)
+
+    return run
+
+
+def _put_right(t: Tables, raw, job: recalibrate.Job, channel: str, by: int):
+    """Log and quarantine of a log built with a wrong offset on some days, and put right on
+    these alone."""
+    folder = f"{shared_dir(t.spark)}/calibrated-{uuid.uuid4().hex}"
+    recalibrate.recalibrate(raw, folder, replace(job, decode=_off(job.decode, channel, by)))
+    wrong = raw.filter(F.dayofmonth("day").between(*_WRONG_DAYS)).select("day").distinct()
+    recalibrate.recalibrate(raw, folder, job, [r["day"] for r in wrong.collect()])
+    log = read_log(t.spark, f"{folder}/log", job.family).withColumn("reason", F.lit(None).cast("string"))
+    bad = recalibrate.Tables(t.spark, folder, job, raw).read("quarantine")
+    bad = bad.withColumns({c: F.lit(None).cast(dict(log.dtypes)[c]) for c in job.channels})
+    columns = ["sensor_key", "sec", "cs", *job.channels, "reason"]
+    return log.select(columns).unionByName(bad.select(columns))
+
+
+def _recalibrated_sql(
+    words: str, scaled: dict[str, str], stored: dict[str, str], reason: str, warmup: int = 0, **ctes: str
+) -> str:
+    """Log and quarantine of all ``words`` (grp, sensor_key, sec, cs, event_id, bad and what
+    ``scaled`` needs) by rows, ``stored`` of what is held in ``<channel>.mem``."""
+    held = ", ".join(f"CAST({e} AS INTEGER) AS {c}" for c, e in stored.items())
+    nulls = ", ".join(f"NULL AS {c}" for c in scaled)
+    emits = " OR ".join(f"{c}.mem // 4 <> {c}.old // 4" for c in scaled)
+    walks = " ".join(f"JOIN walk_{c} {c} ON {c}.grp = s.grp AND {c}.rn = s.rn" for c in scaled)
+    return sql(
+        f"""SELECT sensor_key, s // 120 AS sec, CAST(s % 120 AS INTEGER) AS cs, {", ".join(scaled)}, CAST(NULL AS VARCHAR) AS reason
+          FROM slots JOIN arrivals USING (sensor_key, rn) WHERE kept
+        UNION ALL SELECT sensor_key, sec, cs, {nulls}, '{reason}' FROM words WHERE bad""",
+        **ctes,
+        words=words,
+        samples=f"""SELECT grp, sensor_key, sec, cs, event_id, {", ".join(f"{e} AS {c}" for c, e in scaled.items())},
+          row_number() OVER (PARTITION BY grp ORDER BY sec, cs, event_id) AS rn FROM words WHERE NOT bad""",
+        **_joint_walk("grp", list(scaled)),
+        steps=f"""SELECT s.grp, s.sensor_key, s.sec, s.cs, s.event_id, true AS ok, {held}, {emits} AS moved FROM samples s {walks}
+          UNION ALL SELECT grp, sensor_key, sec, cs, event_id, false, {nulls}, false FROM words WHERE bad""",
+        placed=f"""SELECT *, lag(ok) OVER w AS was_ok, moved AND row_number() OVER w > {warmup} AS changed FROM steps
+          WINDOW w AS (PARTITION BY grp ORDER BY sec, cs, event_id)""",
+        arrivals="""SELECT *, sec * 120 + cs AS tick, row_number() OVER (PARTITION BY sensor_key ORDER BY sec, cs, event_id) AS rn
+          FROM (SELECT *, coalesce(bool_or(changed) OVER (PARTITION BY grp ORDER BY sec, cs, event_id
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS logged FROM placed)
+          WHERE changed OR (logged AND ok <> was_ok)""",
+        slots="""SELECT sensor_key, rn, tick AS s, true AS kept FROM arrivals WHERE rn = 1
+          UNION ALL SELECT a.sensor_key, a.rn, least(greatest(w.s + 1, a.tick), a.tick + 19),
+            least(greatest(w.s + 1, a.tick), a.tick + 19) > w.s
+          FROM arrivals a JOIN slots w ON a.sensor_key = w.sensor_key AND a.rn = w.rn + 1""",
+    )
 
 
 @query(
@@ -181,17 +236,90 @@ def _coarse_sht31(offset=None):
     ),
 )
 def r_sht31(t: Tables):
-    """A log built with a wrong offset on some days, and put right on these alone."""
-    raw, folder = _archive(t), f"{shared_dir(t.spark)}/calibrated-{uuid.uuid4().hex}"
-    recalibrate.recalibrate(raw, folder, recalibrate.Job("sht31", _coarse_sht31(30), "event_id"))
-    wrong = raw.filter(F.dayofmonth("day").between(*_WRONG_DAYS)).select("day").distinct()
-    job = recalibrate.Job("sht31", _coarse_sht31(), "event_id")
-    recalibrate.recalibrate(raw, folder, job, [r["day"] for r in wrong.collect()])
-    log = read_log(t.spark, f"{folder}/log", "sht31").withColumn("reason", F.lit(None).cast("string"))
-    bad = recalibrate.Tables(t.spark, folder, job, raw).read("quarantine")
-    bad = bad.withColumns({c: F.lit(None).cast("int") for c in ("temp", "hum")})
-    columns = ["sensor_key", "sec", "cs", "temp", "hum", "reason"]
-    return log.select(columns).unionByName(bad.select(columns))
+    raw = _archive(t, _sht_raw(t.events()))
+    return _put_right(t, raw, recalibrate.Job("sht31", _coarse_sht31, "event_id"), "temp", 30)
+
+
+_AVERAGES = """SELECT event_id, CAST(CASE WHEN vr >= 32768 THEN vr - 65536 ELSE vr END AS DOUBLE) * 1.25e0 / 1e3 * 4.746e0 * 2e0 * 1.11e0 + 0.6e0 AS vrms,
+  CAST(CASE WHEN pr >= 32768 THEN pr - 65536 ELSE pr END AS DOUBLE) * 10e0 / 1e3 * 4.746e0 * 2e0 AS p
+  FROM (SELECT event_id, (v * 7) % 65536 AS vr, (v * 11 + k) % 65536 AS pr FROM ev)"""
+
+
+@query(
+    "r_bme680_recalibrated",
+    _recalibrated_sql(
+        """SELECT event_id, sensor_key, sensor_key * 1000 + session AS grp, sec // 7200 * 7200 AS sec, 0 AS cs, v, k,
+          event_id % 19 = 0 AS bad FROM sessions""",
+        {
+            "temp": "(v - 5000) // 50 * 4 // 10",
+            "pres": "(84000 + k * 10) * 4 // 10",
+            "hum": "v * 2 * 4 // 100",
+            "gas": "k * 100000 * 4 // 100000",
+        },
+        {"temp": "temp.mem * 10 // 4", "pres": "pres.mem // 4", "hum": "hum.mem // 4", "gas": "gas.mem * 100 // 4"},
+        "missing",
+        warmup=2,
+    ),
+)
+def r_bme680(t: Tables):
+    """With a warm-up of each session, which may cross a day."""
+    v, k = F.col("v"), F.col("k")
+    raw = t.sessions().select(
+        "event_id", "sensor_key", "session", "sec", "cs",
+        idiv(v - 5000, 50).alias("temperature"),
+        (k * 10 + 84_000).alias("pressure"),
+        (v * 2).alias("humidity"),
+        F.when(F.col("event_id") % 19 != 0, k * 100_000).alias("gas_resistance"),
+    )
+    stored = {c: partial(calibrate.air_stored, c) for c in calibrate.AIR_STORED}
+    job = recalibrate.Job(
+        "bme680", calibrate.bme680_judged, "event_id", key=("sensor_key", "session"), warmup=2, unscale=stored
+    )
+    return _put_right(t, _archive(t, raw), job, "hum", 30)
+
+
+# Samples of a burst, too few for two whole cycles of a slow current.
+_BURST = 24
+_BURST_OFFSET = 0.00037
+
+
+def _measure_ina260(raw):
+    """Archived measurements, each with its burst of current samples."""
+    bursts = raw.select("event_id", F.posexplode("burst").alias("seq", "raw"))
+    rms = calibrate.burst_rms(bursts, ["event_id"], "seq", offset=_BURST_OFFSET).withColumnRenamed("rms", "irms")
+    return calibrate.ina260_judged(calibrate.ina260_average(raw).join(rms, "event_id"))
+
+
+@query(
+    "r_ina260_recalibrated",
+    _recalibrated_sql(
+        """SELECT e.event_id, sensor_key, sensor_key AS grp, sec // 7200 * 7200 AS sec, 0 AS cs, vrms, p, sqrt(ms) AS irms, r.c < 3 AS bad
+          FROM ev e JOIN averages a ON a.event_id = e.event_id JOIN rms r ON r.event_id = e.event_id""",
+        {
+            "vrms": "CAST(trunc(vrms * 4e0) AS BIGINT)",
+            "irms": "CAST(trunc(irms * 4e0 * 1e2) AS BIGINT)",
+            "pmean": "CAST(trunc((p + coalesce(p * 0.6e0 / nullif(vrms, 0), 0)) * 4e0) AS BIGINT)",
+        },
+        {"vrms": "vrms.mem // 4", "irms": "irms.mem // 4", "pmean": "pmean.mem // 4"},
+        "cycle",
+        averages=_AVERAGES,
+        bursts=f"""SELECT event_id, i, (v + i * (5 + k % 60)) % 200 - 100 AS raw FROM ev, range({_BURST}) r(i)""",
+        cycles="""SELECT event_id, raw * (1.25e0 / 1e3) + 0.00037e0 AS x, sum(CASE WHEN before <= 0 AND raw > 0 THEN 1 ELSE 0 END)
+          OVER (PARTITION BY event_id ORDER BY i) AS c
+          FROM (SELECT *, lag(raw) OVER (PARTITION BY event_id ORDER BY i) AS before FROM bursts)""",
+        rms="""SELECT event_id, max(c) AS c, avg(x * x) FILTER (WHERE c BETWEEN 1 AND 2) AS ms FROM cycles GROUP BY event_id""",
+    ),
+)
+def r_ina260(t: Tables):
+    """Measurements whose burst holds no two whole cycles leave tombstones."""
+    v, k = F.col("v"), F.col("k")
+    sample = lambda i: ((v + i * (k % 60 + 5)) % 200 - 100).cast("int")
+    raw = t.events().select(
+        "event_id", "sensor_key", "sec", "cs",
+        ((v * 7) % 65536).alias("v_raw"), ((v * 11 + k) % 65536).alias("p_raw"),
+        F.transform(F.sequence(F.lit(0), F.lit(_BURST - 1)), sample).alias("burst"),
+    )
+    return _put_right(t, _archive(t, raw), recalibrate.Job("ina260", _measure_ina260, "event_id"), "vrms", 40)
 
 
 _GROUPED = """row_number() OVER (PARTITION BY sensor_key, session ORDER BY event_id) AS rn"""
@@ -301,11 +429,6 @@ def c8(t: Tables):
     return calibrate.flux(raw, t.cfg(), warmup=2).select(F.col("seq").alias("event_id"), "flux")
 
 
-_AVERAGES = """SELECT event_id, CAST(CASE WHEN vr >= 32768 THEN vr - 65536 ELSE vr END AS DOUBLE) * 1.25e0 / 1e3 * 4.746e0 * 2e0 * 1.11e0 + 0.6e0 AS vrms,
-  CAST(CASE WHEN pr >= 32768 THEN pr - 65536 ELSE pr END AS DOUBLE) * 10e0 / 1e3 * 4.746e0 * 2e0 AS p
-  FROM (SELECT event_id, (v * 7) % 65536 AS vr, (v * 11 + k) % 65536 AS pr FROM ev)"""
-
-
 def _averages(t: Tables):
     v, k = F.col("v"), F.col("k")
     raw = t.events().select(
