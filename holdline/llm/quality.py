@@ -130,7 +130,8 @@ def training_sample(
     docs: DataFrame, labels: DataFrame, texts: int = SAMPLE_TEXTS, size: int = SAMPLE_BYTES
 ) -> tuple[list[tuple[bytes, int]], float]:
     """Labelled texts outside the held-out fold, and the share of good ones among all
-    such labels. A document with both labels counts as bad."""
+    such labels. A document with both labels counts as bad; of an id with several texts,
+    each text counts, once. At most ``texts`` texts and ``size`` bytes of each class."""
     labels = labels.select("doc_id", "quality").dropna().filter(~held_out())
     labels = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     share = labels.agg(F.avg("quality")).first()[0]
@@ -139,17 +140,19 @@ def training_sample(
     for q in (0, 1):
         order = F.xxhash64("doc_id")
         ids = labels.filter(F.col("quality") == q).orderBy(order, "doc_id").limit(texts).select("doc_id")
-        found = docs.join(F.broadcast(ids), "doc_id")
-        sizes = found.select("doc_id", order.alias("h"), F.octet_length("text").alias("n")).collect()
-        sizes.sort(key=lambda r: (r["h"], r["doc_id"]))
+        found = docs.join(F.broadcast(ids), "doc_id").withColumn("content", F.xxhash64("text"))
+        sizes = found.select(order.alias("h"), "doc_id", "content", F.octet_length("text").alias("n")).distinct()
+        # An id may stand for any number of texts.
+        sizes = sizes.orderBy("h", "doc_id", "content").limit(texts).collect()
         total, wanted = 0, []
         for row in sizes:
             if total + row["n"] <= size:
                 total += row["n"]
-                wanted.append((row["doc_id"],))
+                wanted.append((row["doc_id"], row["content"]))
         if wanted:
-            ids = docs.sparkSession.createDataFrame(wanted, "doc_id long").distinct()
-            rows = found.join(F.broadcast(ids), "doc_id", "left_semi").select(order.alias("h"), "text").collect()
+            ids = docs.sparkSession.createDataFrame(wanted, "doc_id long, content long")
+            rows = found.join(F.broadcast(ids), ["doc_id", "content"], "left_semi").dropDuplicates(["doc_id", "content"])
+            rows = rows.select(order.alias("h"), "text").collect()
             out += [(bytes(r["text"]), q) for r in sorted(rows, key=lambda r: (r["h"], bytes(r["text"])))]
     return out, share
 

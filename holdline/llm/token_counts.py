@@ -63,11 +63,15 @@ def count_tokens(
     keyed = docs.select(F.col(id_col), text.alias("text"))
     keyed = keyed.withColumn("content", F.unhex(F.sha2("text", 256)))
 
-    # One text per digest and task before the shuffle, so copies don't meet in one task.
-    misses = keyed.groupBy("content").agg(F.first("text").alias("text"))
     stored = stored_counts(spark, cache_dir, version)
+    missed = keyed
     if stored is not None:
-        misses = misses.join(stored, "content", "left_anti")
+        # Digests alone meet the cache; texts are fetched for those not in it, whose table
+        # Spark knows the size of: where few are new, no text is shuffled.
+        new = common.written(keyed.select("content").distinct().join(stored, "content", "left_anti"), "new-digests")
+        missed = keyed.join(new, "content", "left_semi")
+    # One text per digest and task before the shuffle, so copies don't meet in one task.
+    misses = missed.groupBy("content").agg(F.first("text").alias("text"))
     counted = common.bounded_batches(misses).mapInArrow(_encode(tokenizer), "content binary, n_tokens long")
     counted.withColumn("tokenizer", F.lit(version)).write.mode("append").parquet(cache_dir)
 

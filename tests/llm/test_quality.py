@@ -1,9 +1,11 @@
 """The compression classifier: held-out accuracy and odd input."""
 
-from holdline.llm import common, quality, queries
-
+import math
 import zlib
 
+import zstandard
+from holdline.llm import common, quality, queries
+
 
 def test_op5(spark, sf_dir, texts):
     rows = queries.op5_quality(spark, sf_dir).collect()
@@ -53,3 +55,35 @@ def test_sample_is_bounded_and_leaves_the_fold_out(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(300)] * 2, "doc_id long, quality int")
     sample, share = quality.training_sample(docs, labels, texts=50, size=2000)
     assert len(sample) == 40 and 0.4 < share < 0.6  # twenty of 100 bytes in each class
+    # A labelled id that stands for many rows and for many texts.
+    many = docs.unionByName(docs.selectExpr("2L AS doc_id", "concat('t', doc_id) AS text")).unionByName(docs)
+    sample, _ = quality.training_sample(many, labels, texts=50, size=2000)
+    assert len(sample) <= 100 and all(sum(len(t) for t, q in sample if q == k) <= 2000 for k in (0, 1))
+    one = docs.filter("doc_id IN (2, 3)")
+    assert quality.training_sample(one, labels) == quality.training_sample(one.unionByName(one), labels)
+
+
+def score_again(model, text):
+    """The score of one text by a compressor made for it alone."""
+
+    def size(data=b"", trained=False):
+        kind = zstandard.DICT_TYPE_FULLDICT if trained else zstandard.DICT_TYPE_RAWCONTENT
+        known = zstandard.ZstdCompressionDict(data, dict_type=kind) if data else None
+        if known:
+            known.precompute_compress(level=3)
+        press = zstandard.ZstdCompressor(level=3, dict_data=known, write_content_size=False, write_dict_id=False)
+        return sum(len(press.compress(text[at : at + 1024])) for at in range(0, len(text), 1024))
+
+    (bad, good), (a, b, c) = model.dictionaries, model.weights
+    gain = 10 * (size(*bad) - size(*good)) / (len(text) + 50)
+    plain = min(1.0, size() / len(text)) if text else 1.0
+    return 1 / (1 + math.exp(-(a * gain + b * plain + c)))
+
+
+def test_scores_by_the_formula(spark, sf_dir):
+    """Every score of the query from the model's parts, computed row by row."""
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels)
+    want = {r["doc_id"]: score_again(model, (r["text"] or "").encode()) for r in docs.collect()}
+    got = {r["doc_id"]: r["score"] for r in queries.op5_quality(spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-9
