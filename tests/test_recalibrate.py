@@ -34,7 +34,8 @@ def archive(spark, seed, days=12, keys=3):
     crc = crc8_word("b0", "b1")
     df = df.withColumns({"b2": F.when(F.col("broken"), crc.bitwiseXOR(F.lit(1))).otherwise(crc), "b5": crc8_word("b3", "b4")})
     day = F.date_add(F.lit(FIRST), F.expr(f"int((sec - {SEC0}) div {DAY})"))
-    return df.drop("broken").withColumn("day", day).cache()
+    # Columns named like those of the state are the samples' own.
+    return df.withColumnRenamed("broken", "ok").withColumn("day", day).cache()
 
 
 def decode(offset=0, days=()):
