@@ -29,7 +29,7 @@ from holdline.functions.scalars import idiv, join_on
 from holdline.functions.times import TICKS_PER_SECOND, day_start_sec
 from holdline.model import FAMILIES
 from holdline.operators.history import History
-from holdline.operators.scan import HYSTERESIS_SCALE, compound_over, state_samples, uniquify_stamps
+from holdline.operators.scan import HYSTERESIS_SCALE, compound_over, ema_resumed, state_samples, uniquify_stamps
 from holdline.session import materialize
 
 # Sorts before any sample; rows that bring a key into its state get it.
@@ -37,6 +37,18 @@ BEFORE = -1
 _SEEDS = 3
 
 
+@dataclass(frozen=True)
+class Smoothing:
+    """Exponential smoothing before the hysteresis. ``decode`` adds ``value`` in place of
+    the channels; it is smoothed with ``alpha`` from zero along a key, and ``channels`` are
+    made of what comes out, but for the first ``warmup`` values of a key."""
+
+    value: str
+    alpha: float
+    channels: dict[str, Callable[[Column], Column]]
+    warmup: int = 0
+
+
 @dataclass(frozen=True)
 class Job:
     """How samples of ``family`` become log rows.
@@ -45,7 +57,8 @@ class Job:
     ``reason`` to samples without them. Samples have ``key``, ``day``, ``sec``, ``cs`` and,
     after these in order, ``seq``. Records of the first ``warmup`` samples of a key are
     dropped; with a session in ``key`` that is its warm-up. ``unscale`` turns held values
-    into stored ones where that is not a division by the scale.
+    into stored ones where that is not a division by the scale. With ``smooth`` the state
+    holds that of the smoothing too.
     """
 
     family: str
@@ -54,6 +67,7 @@ class Job:
     key: tuple[str, ...] = ("sensor_key",)
     warmup: int = 0
     unscale: dict[str, Callable[[Column], Column]] = field(default_factory=dict)
+    smooth: Smoothing | None = None
 
     @property
     def channels(self) -> list[str]:
@@ -70,7 +84,8 @@ class Job:
 
     @property
     def state_fields(self) -> list[str]:
-        return [f"{c}_{n}" for c in self.channels for n in ("x", "rise", "up")] + ["ok", "logged", "places"]
+        held = [f"{c}_{n}" for c in self.channels for n in ("x", "rise", "up")] + ["ok", "logged", "places"]
+        return held + [f"smooth_{n}" for n in ("n", "s", "tail") if self.smooth]
 
 
 def _seeds(state: DataFrame, job: Job) -> DataFrame:
@@ -92,11 +107,26 @@ def _seeds(state: DataFrame, job: Job) -> DataFrame:
     )
 
 
-def _worked(raw: DataFrame, state: DataFrame, job: Job) -> DataFrame:
-    """The samples with what becomes of them; the one pass over the raw rows."""
-    decoded = job.decode(raw)
-    more = [c for c in (*job.channels, "reason") if c not in raw.columns]
+def _smoothed(rows: DataFrame, state: DataFrame, job: Job) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with the channels of their smoothed values, and the tails of blocks."""
+    how = job.smooth
+    held = state.select(*job.key, *[F.col(f"smooth_{n}").alias(f"__smooth_{n}") for n in ("n", "s", "tail")])
+    rows = rows.withColumn("__value", F.when(F.col("reason").isNull(), F.col(how.value)))
+    rows, tails = ema_resumed(rows, held, list(job.key), job.order, "__value", "__smooth", how.alpha)
+    warm = F.col("__smooth_n") > how.warmup
+    cells = {c: F.when(warm, make(F.col("__smooth"))) for c, make in how.channels.items()}
+    return rows.withColumns(cells).drop("__value", "__smooth"), tails
+
+
+def _worked(raw: DataFrame, state: DataFrame, job: Job) -> tuple[DataFrame, DataFrame | None]:
+    """The samples with what becomes of them; the one pass over the raw rows. With
+    smoothing also the tails of blocks, by key and block."""
+    decoded, tails = job.decode(raw), None
+    added = [job.smooth.value] if job.smooth else job.channels
+    more = [c for c in (*added, "reason") if c not in raw.columns]
     rows = decoded.select(*raw.columns, *more).withColumn(job.seq, F.col(job.seq).cast("bigint"))
+    if job.smooth:
+        rows, tails = _smoothed(rows, state, job)
     rows = rows.withColumns({c: F.col(c).cast("bigint") for c in job.channels})
     rows = rows.withColumns(
         {
@@ -116,7 +146,7 @@ def _worked(raw: DataFrame, state: DataFrame, job: Job) -> DataFrame:
     logged = F.coalesce("__logged", F.lit(False))
     turned = logged & (F.col("__ok") != F.col("__before")) & ~F.col("__seed")
     h = h.with_columns(__emit=F.col("changed") | turned, logged=logged | F.col("changed") | F.col("__was_logged"))
-    return materialize(h.rows().filter(~F.col("__seed")))
+    return materialize(h.rows().filter(~F.col("__seed"))), tails
 
 
 def _log(worked: DataFrame, spilled: DataFrame, job: Job) -> DataFrame:
@@ -132,8 +162,10 @@ def _log(worked: DataFrame, spilled: DataFrame, job: Job) -> DataFrame:
     return stamped.filter(F.col(job.seq) != BEFORE).drop("dropped", job.seq)
 
 
-def _ends(worked: DataFrame, job: Job) -> DataFrame:
+def _ends(worked: DataFrame, tails: DataFrame | None, job: Job) -> DataFrame:
     """The state of every key at the end of every day with samples of it."""
+    smooth = {f"smooth_{n}": F.col(f"__smooth_{n}") for n in ("n", "s", "b") if job.smooth}
+    held = [f for f in job.state_fields if not f.startswith("smooth_")]
     state = worked.select(
         *job.key,
         "day",
@@ -143,9 +175,16 @@ def _ends(worked: DataFrame, job: Job) -> DataFrame:
         F.col("__ok").alias("ok"),
         "logged",
         F.least("places", F.lit(job.warmup + 1)).alias("places"),
+        *[c.alias(n) for n, c in smooth.items()],
     )
-    last = F.max_by(F.struct(*job.state_fields), F.struct(*job.order)).alias("s")
-    return state.groupBy(*job.key, "day").agg(last).select(*job.key, "day", "s.*")
+    last = F.max_by(F.struct(*held, *smooth), F.struct(*job.order)).alias("s")
+    ends = state.groupBy(*job.key, "day").agg(last).select(*job.key, "day", "s.*")
+    if job.smooth:
+        tails = tails.withColumnsRenamed({"__smooth_b": "smooth_b", "__smooth_tail": "smooth_tail"})
+        ends = join_on(ends, tails, [*job.key, "smooth_b"], "left")
+        none = F.array().cast("array<double>")
+        ends = ends.withColumn("smooth_tail", F.coalesce("smooth_tail", none)).drop("smooth_b")
+    return ends
 
 
 class Tables:
@@ -156,6 +195,8 @@ class Tables:
         types = dict(raw.dtypes)
         keys = ", ".join(f"`{k}` {types[k]}" for k in job.key)
         cells = ", ".join(f"{c}_x bigint, {c}_rise boolean, {c}_up boolean" for c in job.channels)
+        if job.smooth:
+            cells += ", smooth_n bigint, smooth_s double, smooth_tail array<double>"
         kinds = dict(FAMILIES[job.family].channels)
         channels = ", ".join(f"{c} {kinds[c].simpleString()}" for c in job.channels)
         left = ", ".join(f"`{c}` {t}" for c, t in raw.dtypes if c != "day")
@@ -237,11 +278,11 @@ def recalibrate(raw: DataFrame, path: str, job: Job, days: list[date] | None = N
             part, state = (join_on(x, only, sensor, "left_semi") for x in (part, state))
         if behind:
             old = [materialize(x) for x in (tables.last_states(first, last), tables.tops(behind[0]))]
-        worked = _worked(part, state, job)
+        worked, tails = _worked(part, state, job)
         new = {
             "log": _log(worked, spilled, job),
             "quarantine": worked.filter(F.col("reason").isNotNull()).select(*raw.columns, "reason"),
-            "state": _ends(worked, job),
+            "state": _ends(worked, tails, job),
         }
         for name, rows in new.items():
             if only is not None:

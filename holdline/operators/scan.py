@@ -295,6 +295,22 @@ def uniquify_stamps(
 # What a row's weight falls to over one block.
 _BLOCK_WEIGHT = 1e-4
 
+
+def _block_size(alpha: float) -> int:
+    return max(1, math.ceil(math.log(_BLOCK_WEIGHT) / math.log(alpha)))
+
+
+def _composed_blocks(ends: DataFrame, over, decay: float) -> tuple[DataFrame, int]:
+    """``__c`` of each block's end with all blocks before it, and how many blocks back
+    that reaches: those further off weigh nothing in doubles."""
+    factor, blocks = decay, 1
+    while factor > 0:
+        before = F.coalesce(F.lag("__c", blocks).over(over), F.lit(0.0))
+        ends = ends.withColumn("__c", F.col("__c") + before * F.lit(factor))
+        blocks, factor = 2 * blocks, factor * factor
+    return ends, blocks
+
+
 def ema_over(h: History, col: str, out: str, alpha: float, seed: str = "zero") -> History:
     """Add ``out``: ``y = alpha * y + (1 - alpha) * x`` over non-NULL samples,
     starting from zero or (``seed="first"``) from the first sample.
@@ -309,7 +325,7 @@ def ema_over(h: History, col: str, out: str, alpha: float, seed: str = "zero") -
         raise ValueError("alpha must lie between 0 and 1")
     if seed not in ("zero", "first"):
         raise ValueError("seed must be 'zero' or 'first'")
-    size = max(1, math.ceil(math.log(_BLOCK_WEIGHT) / math.log(alpha)))
+    size = _block_size(alpha)
     decay = alpha**size
     h = h.number("__i")
     h = h.with_columns(__b=idiv(F.col("__i") - 1, size), __r=(F.col("__i") - 1) % size)
@@ -337,12 +353,7 @@ def ema_over(h: History, col: str, out: str, alpha: float, seed: str = "zero") -
             df = df.withColumn("__x0", first)
     else:
         ends = h.df.select(*h.key, "__b", end.alias("__c")).filter(F.col("__c").isNotNull())
-        over = Window.partitionBy(*h.key).orderBy("__b")
-        factor, blocks = decay, 1
-        while factor > 0:
-            before = F.coalesce(F.lag("__c", blocks).over(over), F.lit(0.0))
-            ends = ends.withColumn("__c", F.col("__c") + before * F.lit(factor))
-            blocks, factor = 2 * blocks, factor * factor
+        ends, _ = _composed_blocks(ends, Window.partitionBy(*h.key).orderBy("__b"), decay)
         ends = ends.select(*h.key, (F.col("__b") + 1).alias("__b"), F.col("__c").alias("__enter"))
         df = join_on(h.df, ends, [*h.key, "__b"], "left")
         if seed == "first":
@@ -359,3 +370,52 @@ def ema(df: DataFrame, key: list[str], order: list[str], col: str, alpha: float,
         out: str = "ema") -> DataFrame:
     """Smoothed rows of ``df``; rows without a sample are left out first."""
     return ema_over(History.of(df.filter(F.col(col).isNotNull()), key, order), col, out, alpha, seed).rows()
+
+
+def ema_resumed(
+    rows: DataFrame, state: DataFrame, key: list[str], order: list[str], col: str, out: str, alpha: float
+) -> tuple[DataFrame, DataFrame]:
+    """Smoothing from zero as :func:`ema_over`, gone on with from a ``state`` by key.
+
+    The state is ``<out>_n``, the number of samples so far, ``<out>_s``, the sum in the
+    last one's block, and ``<out>_tail``, the ends of the blocks before it as far back as
+    they weigh anything, which is a fixed number. All sums are then added in the order in
+    which one run over everything adds them, so the results are the same to the last bit.
+
+    Returns the rows with ``out`` (NULL where there is no sample), ``<out>_n``, ``<out>_s``
+    and ``<out>_b``, their block, and the tails by key and ``<out>_b``. ``order`` must be
+    unique within a key.
+    """
+    size = _block_size(alpha)
+    n, s, b, tail = (f"{out}_{x}" for x in ("n", "s", "b", "tail"))
+    none, at = F.lit(None).cast("double"), idiv(F.col(n) - 1, size)
+
+    def cell(block: Column, end: Column, total: Column, count: Column, place: Column) -> Column:
+        return F.struct(block.alias(b), end.alias("__c"), total.alias("__w"), count.alias("__count"), place.alias("__o"))
+
+    # One row for every known block, the last one with its samples' number and sum.
+    ended = F.transform(
+        tail, lambda c, j: cell(at - F.size(tail) + j, c, none, F.lit(0).cast("bigint"), j - F.size(tail) - 1)
+    )
+    cells = F.concat(ended, F.array(cell(at, none, F.col(s), F.col(n), F.lit(-1))))
+    x, a = F.col(col).cast("double"), F.lit(alpha)
+    rows = rows.withColumns({"__o": F.lit(0), "__count": x.isNotNull().cast("bigint")})
+    rows = rows.unionByName(state.select(*key, F.inline(cells)), allowMissingColumns=True)
+    df = History.of(rows, key, ["__o", *order]).running_sum(n, F.col("__count")).rows()
+    df = df.withColumns({b: F.coalesce(b, at), "__r": (F.col(n) - 1) % size})
+    df = df.withColumn("__w", F.coalesce("__w", x * F.lit(1 - alpha) * F.pow(a, -F.col("__r"))))
+    # Rows without a sample come after the one whose place they share.
+    block = Window.partitionBy(*key, b).orderBy("__r", F.col("__w").isNull())
+    df = df.withColumn(s, F.sum("__w").over(block.rowsBetween(Window.unboundedPreceding, 0)))
+    full = (F.col("__r") == size - 1) & F.col("__w").isNotNull()
+    end = F.when(full, F.col(s) * F.lit(alpha ** (size - 1)))
+    df = materialize(df.withColumn("__c", F.coalesce("__c", end)))
+    ends = df.filter(F.col("__c").isNotNull()).select(*key, (F.col(b) + 1).alias(b), "__c", F.col("__c").alias("__own"))
+    over = Window.partitionBy(*key).orderBy(b)
+    ends, reach = _composed_blocks(ends, over, alpha**size)
+    kept = F.collect_list("__own").over(over.rowsBetween(1 - reach, 0))
+    ends = materialize(ends.select(*key, b, F.col("__c").alias("__enter"), kept.alias(tail)))
+    df = join_on(df.filter("__o = 0"), ends.drop(tail), [*key, b], "left")
+    y = F.pow(a, F.col("__r")) * (F.col(s) + a * F.coalesce(F.col("__enter"), F.lit(0.0)))
+    df = df.withColumn(out, F.when(x.isNotNull(), y))
+    return df.drop("__o", "__count", "__r", "__w", "__c", "__enter"), ends.select(*key, b, tail)

@@ -177,11 +177,12 @@ def _put_right(t: Tables, raw, job: recalibrate.Job, channel: str, by: int):
 
 
 def _recalibrated_sql(
-    words: str, scaled: dict[str, str], stored: dict[str, str], reason: str, warmup: int = 0, **ctes: str
+    words: str, scaled: dict[str, str], stored: dict[str, str], reason: str, warmup: int = 0, kind: str = "INTEGER",
+    **ctes: str
 ) -> str:
     """Log and quarantine of all ``words`` (grp, sensor_key, sec, cs, event_id, bad and what
-    ``scaled`` needs) by rows, ``stored`` of what is held in ``<channel>.mem``."""
-    held = ", ".join(f"CAST({e} AS INTEGER) AS {c}" for c, e in stored.items())
+    ``scaled`` needs) by rows, ``stored`` of what is held in ``<channel>.mem``, as ``kind``."""
+    held = ", ".join(f"CAST({e} AS {kind}) AS {c}" for c, e in stored.items())
     nulls = ", ".join(f"NULL AS {c}" for c in scaled)
     emits = " OR ".join(f"{c}.mem // 4 <> {c}.old // 4" for c in scaled)
     walks = " ".join(f"JOIN walk_{c} {c} ON {c}.grp = s.grp AND {c}.rn = s.rn" for c in scaled)
@@ -355,6 +356,8 @@ def c5(t: Tables):
 
 _LIGHT = f"""SELECT event_id, ch, g, least(65535, (v % 3000 + ch * k) * CASE g WHEN 0 THEN 1 WHEN 1 THEN 24 WHEN 2 THEN 400 ELSE 9500 END
   + CASE WHEN k % 20 = 0 THEN 40000 ELSE 0 END) AS n FROM ev, (VALUES (0), (1)) c(ch), (VALUES (0), (1), (2), (3)) q(g)"""
+_PICK = """SELECT l.event_id, l.ch, l.g, l.n FROM light l JOIN (SELECT event_id, ch, coalesce(max(g) FILTER (WHERE n <= 36863), 0) AS g
+  FROM light GROUP BY 1, 2) b ON l.event_id = b.event_id AND l.ch = b.ch AND l.g = b.g"""
 # Literals, so that a wrong constant of the operator would show.
 _GAIN = {
     0: "CASE g0 WHEN 0 THEN 400e0 WHEN 1 THEN 400e0 / 24.5e0 WHEN 2 THEN 1e0 ELSE 400e0 / 9200e0 END",
@@ -362,6 +365,12 @@ _GAIN = {
 }
 
 
+def _light_counts(v, k, ch: int) -> list:
+    """What channel ``ch`` counts at each gain, before it saturates."""
+    bright = F.when(k % 20 == 0, 40_000).otherwise(0)
+    return [(v % 3000 + k * ch) * times + bright for times in (1, 24, 400, 9500)]
+
+
 @query(
     "c6_tsl2591_autorange",
     sql(
@@ -371,34 +380,30 @@ _GAIN = {
           FROM (SELECT p.event_id, p.g AS g0, p.n AS n0, q.g AS g1, q.n AS n1 FROM pick p JOIN pick q
             ON p.event_id = q.event_id WHERE p.ch = 0 AND q.ch = 1))""",
         light=_LIGHT,
-        pick="""SELECT l.event_id, l.ch, l.g, l.n FROM light l JOIN (SELECT event_id, ch, coalesce(max(g) FILTER (WHERE n <= 36863), 0) AS g
-          FROM light GROUP BY 1, 2) b ON l.event_id = b.event_id AND l.ch = b.ch AND l.g = b.g""",
+        pick=_PICK,
     ),
 )
 def c6(t: Tables):
     v, k = F.col("v"), F.col("k")
     cells = F.array(
         *[
-            F.struct(
-                F.lit(ch).alias("channel"),
-                F.lit(g).alias("gain"),
-                F.least(
-                    F.lit(65535), (v % 3000 + k * ch) * times + F.when(k % 20 == 0, 40_000).otherwise(0)
-                ).alias("count"),
-            )
+            F.struct(F.lit(ch).alias("channel"), F.lit(g).alias("gain"), F.least(F.lit(65535), n).alias("count"))
             for ch in (0, 1)
-            for g, times in enumerate((1, 24, 400, 9500))
+            for g, n in enumerate(_light_counts(v, k, ch))
         ]
     )
     raw = t.events().select("event_id", F.inline(cells))
     return rounded(calibrate.tsl2591(raw, ["event_id"]))
 
 
+_UVA = f"CAST(v % 65536 AS DOUBLE) * {1 / 0.93!r}e0 / 1e2 * 4e0 * 1e3"
+_UVB = f"CAST(k * 31 AS DOUBLE) * {1 / 2.1!r}e0 / 1e2 * 4e0 * 1e3"
+
+
 @query(
     "c7_veml6075_raw",
     sql(
-        f"""SELECT event_id, CAST(trunc(CAST(v % 65536 AS DOUBLE) * {1 / 0.93!r}e0 / 1e2 * 4e0 * 1e3) AS BIGINT) AS uva,
-        CAST(trunc(CAST(k * 31 AS DOUBLE) * {1 / 2.1!r}e0 / 1e2 * 4e0 * 1e3) AS BIGINT) AS uvb FROM ev"""
+        f"SELECT event_id, CAST(trunc({_UVA}) AS BIGINT) AS uva, CAST(trunc({_UVB}) AS BIGINT) AS uvb FROM ev"
     ),
 )
 def c7(t: Tables):
@@ -429,6 +434,87 @@ def c8(t: Tables):
     return calibrate.flux(raw, t.cfg(), warmup=2).select(F.col("seq").alias("event_id"), "flux")
 
 
+_COARSE = "sec // 7200 * 7200 AS sec, 0 AS cs"
+
+
+@query(
+    "r_max11201b_recalibrated",
+    _recalibrated_sql(
+        """SELECT event_id, sensor_key, grp, sec, cs, NULL::DOUBLE AS y, true AS bad FROM conversions WHERE bad
+          UNION ALL SELECT g.event_id, g.sensor_key, g.grp, g.sec, g.cs, s.y, false
+          FROM good g JOIN smooth s ON s.grp = g.grp AND s.rn = g.rn WHERE g.rn > 2""",
+        {"flux": "CAST(trunc(y * (3.3e6 / 8388608e0) / 1.21e0 * 4e0) AS BIGINT)"},
+        {"flux": "flux.mem // 4"},
+        "missing",
+        conversions=f"""SELECT event_id, sensor_key, sensor_key * 1000 + session AS grp, {_COARSE}, event_id % 19 = 0 AS bad,
+          CASE WHEN {_FLUX_X} >= 8388608 THEN {_FLUX_X} - 16777216 ELSE {_FLUX_X} END AS x FROM sessions""",
+        good="SELECT *, row_number() OVER (PARTITION BY grp ORDER BY sec, cs, event_id) AS rn FROM conversions WHERE NOT bad",
+        smooth=ema_walk("good", "grp", "0.98e0", "(1e0 - 0.98e0) * x") % "smooth",
+    ),
+)
+def r_max11201b(t: Tables):
+    """Smoothed over each session from zero, also over the end of a day."""
+    raw24 = (F.col("v") * 2111 + F.col("k") * 65_537) % 16_777_216
+    raw = t.sessions().select(
+        "event_id", "sensor_key", "session", "sec", "cs", F.when(F.col("event_id") % 19 != 0, raw24).alias("raw24")
+    )
+    made = {"flux": partial(calibrate.flux_scaled, cfg=t.cfg())}
+    smooth = recalibrate.Smoothing("value", calibrate.FLUX_ALPHA, made, warmup=2)
+    job = recalibrate.Job(
+        "max11201b", calibrate.flux_judged, "event_id", key=("sensor_key", "session"), smooth=smooth
+    )
+    return _put_right(t, _archive(t, raw), job, "value", 400_000)
+
+
+@query(
+    "r_tsl2591_recalibrated",
+    _recalibrated_sql(
+        f"""SELECT e.event_id, e.sensor_key, e.sensor_key AS grp, {_COARSE}, e.event_id % 19 = 0 AS bad,
+          CAST(p.n AS DOUBLE) * {_GAIN[0].replace("g0", "p.g")} / 264.1e0 / 1e2 AS t,
+          CAST(q.n AS DOUBLE) * {_GAIN[1].replace("g1", "q.g")} * (154.1e0 / (154.1e0 + 34.9e0)) / 154.1e0 / 1e2 AS i
+          FROM ev e JOIN pick p ON p.event_id = e.event_id AND p.ch = 0 JOIN pick q ON q.event_id = e.event_id AND q.ch = 1""",
+        {"total": "CAST(trunc(t * 4e0 * 1e6) AS BIGINT)", "ired": "CAST(trunc(i * 4e0 * 1e6) AS BIGINT)"},
+        {"total": "total.mem // 4", "ired": "ired.mem // 4"},
+        "missing",
+        kind="BIGINT",
+        light=_LIGHT,
+        pick=_PICK,
+    ),
+)
+def r_tsl2591(t: Tables):
+    """Measurements that lack a count leave tombstones."""
+    v, k = F.col("v"), F.col("k")
+
+    def counts(ch: int):
+        cells = [F.least(F.lit(65535), n) for n in _light_counts(v, k, ch)]
+        if ch == 1:
+            cells[2] = F.when(F.col("event_id") % 19 != 0, cells[2])
+        return F.array(*cells).alias(f"c{ch}")
+
+    raw = t.events().select("event_id", "sensor_key", "sec", "cs", counts(0), counts(1))
+    job = recalibrate.Job("tsl2591", calibrate.tsl2591_judged, "event_id")
+    return _put_right(t, _archive(t, raw), job, "total", 4_000_000)
+
+
+@query(
+    "r_veml6075_recalibrated",
+    _recalibrated_sql(
+        f"""SELECT event_id, sensor_key, sensor_key AS grp, {_COARSE}, event_id % 19 = 0 AS bad,
+          CAST(trunc({_UVA}) AS BIGINT) AS a, CAST(trunc({_UVB}) AS BIGINT) AS b FROM ev""",
+        {"uva": "a", "uvb": "b"},
+        {"uva": "uva.mem // 4", "uvb": "uvb.mem // 4"},
+        "missing",
+    ),
+)
+def r_veml6075(t: Tables):
+    raw = t.events().select(
+        "event_id", "sensor_key", "sec", "cs", (F.col("v") % 65536).alias("uva_raw"),
+        F.when(F.col("event_id") % 19 != 0, F.col("k") * 31).alias("uvb_raw"),
+    )
+    job = recalibrate.Job("veml6075", calibrate.veml6075_judged, "event_id")
+    return _put_right(t, _archive(t, raw), job, "uva", 400)
+
+
 def _averages(t: Tables):
     v, k = F.col("v"), F.col("k")
     raw = t.events().select(

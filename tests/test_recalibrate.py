@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from holdline.functions.scalars import crc8_word
-from holdline.operators.recalibrate import Job, Tables, recalibrate
+from holdline.operators.recalibrate import Job, Smoothing, Tables, recalibrate
+from holdline.functions.scalars import trunc_int
 from holdline.operators import calibrate
+from holdline.session import MAX_ROWS_CONF
 from holdline.sources.logs import read_log
 
 DAY = 86_400
@@ -101,3 +103,80 @@ def test_a_day_that_loses_its_rows(spark, tmp_path):
 def test_no_samples(spark, tmp_path):
     raw = archive(spark, 5).filter("false")
     assert recalibrate(raw, str(tmp_path), Job("sht31", decode(), "seq")) == []
+
+
+def smoothing_job(alpha, warmup=5, offset=0, days=()):
+    def run(raw):
+        value = F.expr("(b0 * 256 + b1 - 26000) * 40")
+        moved = F.when(F.col("day").isin([FIRST + timedelta(days=d) for d in days]), offset).otherwise(0)
+        judged = raw.withColumn("reason", F.when(F.col("ok"), "missing"))
+        return judged.withColumn("value", F.when(F.col("reason").isNull(), value + moved))
+
+    return Job("max11201b", run, "seq", smooth=Smoothing("value", alpha, {"flux": trunc_int}, warmup))
+
+
+def smoothed_by_rows(raw, alpha, warmup):
+    """Changes of the held value sample by sample, with failures between them: rows of
+    (sensor, value or None), in order."""
+    out = []
+    for k in range(3):
+        rows = raw.filter(F.col("sensor_key") == k).orderBy("sec", "cs", "seq").collect()
+        y, n, mem, up, failed, logged = 0.0, 0, 0, False, None, False
+        for r in rows:
+            if r.ok:
+                if logged and failed is False:
+                    out.append((k, None))
+                failed = True
+                continue
+            y, n = alpha * y + (1 - alpha) * ((r.b0 * 256 + r.b1 - 26_000) * 40), n + 1
+            old = mem
+            if n > warmup:
+                x = int(y)
+                if (x > mem) if up else (x < mem):
+                    mem = x
+                elif (x < mem - 1) if up else (x > mem + 1):
+                    mem, up = x, not up
+            stored = lambda v: int(v / 4)
+            if stored(mem) != stored(old) or (logged and failed):
+                out.append((k, stored(mem)))
+                logged = True
+            failed = False
+    return out
+
+
+@pytest.mark.parametrize("alpha,limit", [(0.9, None), (0.001, None), (0.3, "90")])
+def test_smoothing_goes_on_from_the_state(spark, tmp_path, alpha, limit):
+    """Days again give the same to the last bit: blocks longer than a day, shorter ones, and
+    more of them than the state keeps; the last with keys that are cut in chunks."""
+    raw = archive(spark, 6, days=14, keys=2).filter("sec % 86400 < 86399")
+    right = smoothing_job(alpha)
+    if limit:
+        spark.conf.set(MAX_ROWS_CONF, limit)
+    try:
+        recalibrate(raw, str(tmp_path / "all"), right)
+        recalibrate(raw, str(tmp_path / "some"), smoothing_job(alpha, 5, 900, [11]))
+        want, got = (Tables(spark, str(tmp_path / n), right, raw) for n in ("all", "some"))
+        assert rows_of(want, "log") != rows_of(got, "log")
+        recalibrate(raw, str(tmp_path / "some"), right, [FIRST + timedelta(days=11)])
+    finally:
+        spark.conf.unset(MAX_ROWS_CONF)
+    for name in ("log", "quarantine", "state"):
+        assert rows_of(want, name) == rows_of(got, name)
+    log = want.read("log").orderBy("sensor_key", "sec", "cs").collect()
+    assert [(r.sensor_key, r.flux) for r in log] == smoothed_by_rows(raw, alpha, 5)
+    assert want.read("state").agg(F.max(F.size("smooth_tail"))).first()[0] <= 128
+
+
+def test_smoothing_before_any_sample(spark, tmp_path):
+    """A first day of failures only, then samples: the state holds no sample, the log none
+    of the failures."""
+    raw = archive(spark, 7, days=3)
+    raw = raw.withColumn("ok", F.col("ok") | (F.col("day") == F.lit(FIRST)))
+    job = smoothing_job(0.3)
+    recalibrate(raw, str(tmp_path / "all"), job)
+    for d in range(3):
+        recalibrate(raw, str(tmp_path / "some"), job, [FIRST + timedelta(days=d)])
+    want, got = (Tables(spark, str(tmp_path / n), job, raw) for n in ("all", "some"))
+    for name in ("log", "quarantine", "state"):
+        assert rows_of(want, name) == rows_of(got, name)
+    assert want.read("log").filter(F.col("day") == F.lit(FIRST)).isEmpty()
