@@ -12,17 +12,24 @@ of one key and trigger go through one task, so the size of a trigger (for files,
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 # What an operator does with a row of values: (values, remembered) -> (output, remembered).
 # An output of None means that the row is not passed on.
 Step = Callable[[tuple, tuple], tuple[tuple | None, tuple]]
 
+# The column that holds a whole row.
+ROW = "__row"
+
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = 1000) -> DataFrame:
     """A parquet folder as a stream; the limit bounds the size of a micro-batch."""
@@ -37,23 +44,46 @@ def ddl(df: DataFrame, cols: list[str]) -> str:
     return ", ".join(f"`{c}` {types[c]}" for c in cols)
 
 
-def plain(frame: pd.DataFrame, cols: list[str], whole: set[str]) -> list[tuple]:
-    """Rows as tuples of Python's values, missing ones None. pandas turns integers with
-    missing values into doubles; those of ``whole`` are turned back."""
-    out = []
-    for c in cols:
-        missing = frame[c].isna()
-        values = [None if m else int(v) if c in whole else v for v, m in zip(frame[c].tolist(), missing)]
-        out.append(values)
-    return list(zip(*out)) if out else [()] * len(frame)
+def packed(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The first ``n`` columns, and the others as one: tuples of Python's values, pickled,
+    missing ones and NaN None."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = []
+            for c in batch.columns[n:]:
+                if pa.types.is_floating(c.type):
+                    c = pc.if_else(pc.is_nan(c), pa.scalar(None, c.type), c)
+                lists.append(c.to_pylist())
+            rows = pa.array([pickle.dumps(r) for r in zip(*lists)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], rows], [*batch.schema.names[:n], ROW])
+
+    return run
+
+
+def rows_of(frames: Iterator[pd.DataFrame]) -> list[tuple]:
+    return [pickle.loads(r) for f in frames for r in f[ROW]]
+
+
+def rows_frame(rows: list[tuple], cols: list[str]) -> pd.DataFrame:
+    return pd.DataFrame({ROW: [dict(zip(cols, r)) for r in rows]})
 
-def columns_frame(rows: list[tuple], cols: list[str], whole: set[str]) -> pd.DataFrame:
-    """Tuples as a frame; whole numbers keep their missing values."""
-    lists = list(zip(*rows)) if rows else [[] for _ in cols]
-    return pd.DataFrame(
-        {c: pd.array(list(v), "Int64") if c in whole else pd.Series(list(v), dtype="object") for c, v in zip(cols, lists)}
-    )
+
+def by_key(stream: DataFrame, key: list[str], cols: list[str], run: Callable, out: str, state: str) -> DataFrame:
+    """``run`` over the keys, their rows of ``key`` and ``cols``, and their state.
+
+    The engine turns each column of each key into pandas by itself, which costs more than
+    the work where keys have few rows in a trigger. So a row goes in as one packed column
+    and comes out as one struct; whole numbers in keys go as text, which needs no check for
+    missing values.
+    """
+    whole = {c for c, t in stream.dtypes if t in ("tinyint", "smallint", "int", "bigint")}
+    at = [(F.col(c).cast("string") if c in whole else F.col(c)).alias(f"__key{i}") for i, c in enumerate(key)]
+    flat = stream.select(*at, *key, *cols)
+    rows = flat.mapInArrow(packed(len(at)), StructType(flat.schema.fields[: len(at)]).add(ROW, "binary"))
+    made = StructType().add(ROW, stream.sparkSession.createDataFrame([], out).schema)
+    groups = rows.groupBy(*rows.columns[: len(at)])
+    return groups.applyInPandasWithState(run, made, state, "append", GroupStateTimeout.NoTimeout).select(f"{ROW}.*")
 
 
 def ordered(
@@ -75,43 +105,35 @@ def ordered(
     columns that a late row has no value for are NULL.
     """
     out = out or ddl(stream, cols)
-    # Empty schemas tell the names and types.
-    spark = stream.sparkSession
-    out_fields = spark.createDataFrame([], out).schema.fields
-    whole = {c for c, t in stream.dtypes if t in ("tinyint", "smallint", "int", "bigint")}
-    out_whole = {f.name for f in out_fields if f.dataType.typeName() in ("byte", "short", "integer", "long")}
-    names = [f.name for f in out_fields]
+    # An empty schema tells the names.
+    names = stream.sparkSession.createDataFrame([], out).columns
     came = {c: i for i, c in enumerate(cols)}
-    all_cols, all_whole = [*key, *order, *names, "late"], out_whole | (whole & {*key, *order})
-    n = len(order)
+    all_cols = [*key, *order, *names, "late"]
+    needed = list(dict.fromkeys([*key, *order, *cols]))
+    stamp_of, values_of = ([needed.index(c) for c in some] for some in (order, cols))
+    k, n = len(key), len(order)
 
-    def run(at: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+    def run(_: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         old = held.get if held.exists else None
         mark, remembered = (old[:n], old[n:]) if old else (None, initial)
-        rows = [r for f in frames for r in zip(plain(f, order, whole), plain(f, cols, whole))]
-        done = []
+        given = rows_of(frames)
+        at, done = given[0][:k], []
+        rows = [(tuple(r[i] for i in stamp_of), tuple(r[i] for i in values_of)) for r in given]
         for stamp, values in sorted(rows, key=lambda r: r[0]):
             if mark is not None and (stamp < mark if repeats else stamp <= mark):
-                given = [values[came[c]] if c in came else None for c in names]
-                done.append((*at, *stamp, *given, True))
+                kept = [values[came[c]] if c in came else None for c in names]
+                done.append((*at, *stamp, *kept, True))
                 continue
             result, remembered = step(values, remembered)
             mark = stamp
             if result is not None:
                 done.append((*at, *stamp, *result, False))
         held.update((*mark, *remembered))
-        yield columns_frame(done, all_cols, all_whole)
-
-    return (
-        stream.select(*key, *order, *[F.col(c) for c in cols if c not in (*key, *order)])
-        .groupBy(*key)
-        .applyInPandasWithState(
-            run,
-            f"{ddl(stream, [*key, *order])}, {out}, late boolean",
-            f"{ddl(stream, order)}, {state}",
-            "append",
-            GroupStateTimeout.NoTimeout,
-        )
+        yield rows_frame(done, all_cols)
+
+    return by_key(
+        stream, key, needed[k:], run,
+        f"{ddl(stream, [*key, *order])}, {out}, late boolean", f"{ddl(stream, order)}, {state}",
     )
 
 
@@ -125,15 +147,14 @@ def reordered(stream: DataFrame, key: list[str], order: list[str], cols: list[st
     counts a key's rows in order. What waits is bounded by what comes within ``lateness``.
     """
     types = dict(stream.dtypes)
-    whole = {c for c, t in stream.dtypes if t in ("tinyint", "smallint", "int", "bigint")}
     held_cols = [*order, *cols]
-    out_cols = [*key, *held_cols, "place", "late"]
-    out_whole = (whole & {*key, *held_cols}) | {"place"}
+    out_cols, k = [*key, *held_cols, "place", "late"], len(key)
 
-    def run(at: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def run(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         newest, place, *lists = state.get if state.exists else (None, 0, *[[] for _ in held_cols])
         waiting = list(zip(*lists))
-        done, new = [], [r for f in frames for r in plain(f, held_cols, whole)]
+        given = rows_of(frames)
+        at, done, new = given[0][:k], [], [r[k:] for r in given]
         if newest is not None:
             done = [(*at, *r, None, True) for r in sorted(new, key=lambda r: r[: len(order)]) if r[0] <= newest - lateness]
             new = [r for r in new if r[0] > newest - lateness]
@@ -145,17 +166,10 @@ def reordered(stream: DataFrame, key: list[str], order: list[str], cols: list[st
             done.append((*at, *r, place, False))
         rest = waiting[len(ready) :]
         state.update((newest, place, *[[r[i] for r in rest] for i in range(len(held_cols))]))
-        yield columns_frame(done, out_cols, out_whole)
+        yield rows_frame(done, out_cols)
 
     held = ", ".join(f"`{c}` array<{types[c]}>" for c in held_cols)
-    return (
-        stream.select(*key, *held_cols)
-        .groupBy(*key)
-        .applyInPandasWithState(
-            run,
-            f"{ddl(stream, [*key, *held_cols])}, place bigint, late boolean",
-            f"newest bigint, place bigint, {held}",
-            "append",
-            GroupStateTimeout.NoTimeout,
-        )
+    return by_key(
+        stream, key, held_cols, run, f"{ddl(stream, [*key, *held_cols])}, place bigint, late boolean",
+        f"newest bigint, place bigint, {held}",
     )

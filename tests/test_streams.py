@@ -1,6 +1,9 @@
 """Streams against their batch operators; late rows, reruns and timers."""
 
 import random
+import re
+from datetime import datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +67,37 @@ def test_changes(spark, tmp_path):
     same(taken(out), changelog.change_only(spark.createDataFrame(data, SCHEMA), KEY, ["x", "y"], order=ORDER))
 
 
+@pytest.mark.parametrize("cuts", [[], [2]])
+def test_values_of_all_types_pass_the_state(spark, tmp_path, cuts):
+    """Also whole numbers beyond those of doubles beside missing ones, and keys with NULL."""
+    big, at = 2**60 + 1, datetime(2024, 5, 6, 7, 8, 9, 123456)
+    schema = "k int, name string, t long, seq long, n long, ok boolean, x double, d decimal(9,2), at timestamp_ntz, day date"
+    data = [
+        (1, "a", 1, 0, big, True, 0.1, Decimal("1.25"), at, at.date()),
+        (1, "a", 2, 1, None, None, None, None, None, None),
+        (1, "a", 3, 2, None, None, None, None, None, None),
+        (1, "a", 4, 3, big + 1, False, -0.5, Decimal("-2.50"), at, at.date()),
+        (None, None, 5, 4, big, None, None, None, None, None),
+        (None, "a", 6, 5, None, True, None, None, None, None),
+    ]
+    cols = ["n", "ok", "x", "d", "at", "day"]
+    make = lambda s: live.stream_changes(s, ["k", "name"], ORDER, cols)
+    out = feed(spark, tmp_path, data, cuts, make, schema)
+    got = sorted((tuple(r) for r in taken(out).select("k", "name", *ORDER, *cols).collect()), key=lambda r: r[3])
+    assert got == [data[i] for i in (0, 1, 3, 4, 5)]
+
+
+def test_a_row_goes_through_the_state_as_one_column(spark, tmp_path):
+    """The engine's cost per key is a multiple of the columns, which are many for frames."""
+    source = str(tmp_path / "in")
+    spark.createDataFrame(rows(1, n=9), SCHEMA).write.parquet(source)
+    stream = read_stream(spark, source, SCHEMA)
+    for made in (live.stream_hysteresis(stream, KEY, ORDER, ["x", "y"]), live.stream_ordered(stream, KEY, ORDER, 10)):
+        plan = made._jdf.queryExecution().analyzed().toString()
+        state = next(line for line in plan.splitlines() if "FlatMapGroupsInPandasWithState" in line)
+        assert re.findall(r"__\w+", state.split("run(")[1].split(")")[0]) == ["__key0", "__row"]
+
+
 @pytest.mark.parametrize("seed", ["zero", "first"])
 def test_ema(spark, tmp_path, seed):
     data = rows(7, n=200)
