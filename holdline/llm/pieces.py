@@ -16,14 +16,18 @@ import json
 import os
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
 
 # Pieces a worker remembers; beyond it, those not met since half as many others go. Only
-# speed depends on it. Longer pieces are not remembered.
-MEMORY, LONGEST = 600_000, 48
+# speed depends on it. Longer pieces are not remembered. Workers outlive their tasks and
+# keep it while they do other work: some 50 MB.
+MEMORY, LONGEST = 300_000, 48
+# Texts whose pieces are held at once.
+GROUP = 64
 # Pieces encoded as one text.
 _TOGETHER = 1000
 
@@ -43,17 +47,21 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
-@lru_cache(maxsize=4)
-def load_for_atoms(path: str):
-    """The tokenizer for atoms (see there) with white space between them: each is lower
-    case and one token of its pattern, so that both steps can be left out."""
+@contextmanager
+def for_atoms(tokenizer):
+    """``tokenizer`` set for atoms (see there) with white space between them: each is lower
+    case and one token of its pattern, so that both steps can be left out. Set back
+    afterwards, as a second one would hold vocabulary and merges once more."""
     from tokenizers import normalizers, pre_tokenizers
 
-    out = load.__wrapped__(path)
-    out.normalizer = normalizers.Sequence([])
+    rules = tokenizer.normalizer, tokenizer.pre_tokenizer
     bytes_ = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-    out.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), bytes_])
-    return out
+    try:
+        tokenizer.normalizer = normalizers.Sequence([])
+        tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), bytes_])
+        yield tokenizer
+    finally:
+        tokenizer.normalizer, tokenizer.pre_tokenizer = rules
 
 
 # Letters whose lower case is one letter, and marks that no rule changes, beside ASCII.
@@ -84,7 +92,6 @@ class Memo:
     def __init__(self, path: str, separator: str, of: Callable, fold: bool):
         self.tokenizer, self.separator, self.of, self.fold = load(path), separator, of, fold
         if fold:
-            self.for_atoms = load_for_atoms(path)
             vocabulary = self.tokenizer.get_vocab()
             self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends_word[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
@@ -92,8 +99,8 @@ class Memo:
         (self.mark_id,) = self._ids(separator)
         self.known, self.old = {}, {}
 
-    def _ids(self, text: str, by=None) -> np.ndarray:
-        (found,) = (by or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)
+    def _ids(self, text: str) -> np.ndarray:
+        (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
         return np.array(found.ids, "<u4")
 
     def _parts(self, piece: str) -> tuple[str, ...]:
@@ -122,7 +129,8 @@ class Memo:
         out = {}
         for i in range(0, len(pieces), _TOGETHER):
             some = pieces[i : i + _TOGETHER]
-            ids = self._ids(" ".join(some), self.for_atoms)
+            with for_atoms(self.tokenizer):
+                ids = self._ids(" ".join(some))
             ends = (np.nonzero(self.ends_word[ids])[0] + 1).tolist()
             if len(ends) != len(some):
                 raise ValueError("a word without an end")
@@ -215,8 +223,13 @@ def _memo(path: str, of: Callable) -> Memo:
     return Memo(path, "\n", of, fold=False) if kind(path) == "spaced" else Memo(path, " | ", of, fold=True)
 
 
-def _values(path: str, of: Callable, texts: list[str]) -> list[list]:
-    """The values of each text's pieces."""
+def _values(path: str, of: Callable, texts: list[str]) -> Iterator[list]:
+    """The values of each text's pieces, worked out for some texts at a time."""
+    for i in range(0, len(texts), GROUP):
+        yield from _values_of_some(path, of, texts[i : i + GROUP])
+
+
+def _values_of_some(path: str, of: Callable, texts: list[str]) -> list[list]:
     if kind(path) == "whole":
         found = load(path).encode_batch_fast(texts, add_special_tokens=False)
         return [[of(np.array(e.ids, "<u4"))] for e in found]

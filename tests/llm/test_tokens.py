@@ -147,3 +147,29 @@ def test_op8_odd_rows_and_small_segments(spark, folder, monkeypatch):
     assert got == expected_files(ODD)
     token_blocks.write_tokens(odd_rows(spark).limit(0), WORDS, folder + "2")
     assert token_blocks.read_documents(spark, folder + "2").count() == 0
+
+
+def test_a_worker_holds_one_tokenizer_and_the_pieces_of_few_texts(monkeypatch):
+    import tokenizers
+
+    made, held, values = [], [], pieces.Memo.values
+
+    class Counted:
+        @staticmethod
+        def from_file(path):
+            made.append(path)
+            return Tokenizer.from_file(path)
+
+    def counted(self, texts, of_atoms=[]):
+        held.append(len(texts) + len(of_atoms))
+        return values(self, texts, of_atoms)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counted)
+    monkeypatch.setattr(pieces.Memo, "values", counted)
+    pieces.load.cache_clear()
+    pieces._memo.cache_clear()
+    texts = [f"Some WORDS{i}, 中文 {i}" if i % 3 else f"Plain Words{i}'s" for i in range(500)]
+    assert pieces.ids_all(WORDS, texts) == whole(WORDS, texts)
+    assert made == [WORDS] and max(held) <= 64
+    # Its rules are set back.
+    assert [np.array(pieces.load(WORDS).encode(t).ids, "<u4").tobytes() for t in texts] == whole(WORDS, texts)
