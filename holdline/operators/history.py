@@ -42,9 +42,11 @@ class History:
     edges: int = 0  # at most so many chunks, each key's counted
 
     @classmethod
-    def of(cls, df: DataFrame, key: list[str], order: list[str]) -> History:
+    def of(cls, df: DataFrame, key: list[str], order: list[str], counted: DataFrame | None = None) -> History:
+        """``counted``, where ``df`` costs much to make: rows with the keys of ``df``, about
+        as many of each. They decide only how the work is dealt."""
         limit = max_rows(df.sparkSession)
-        counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
+        counts = (df if counted is None else counted).groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
         small = F.col("__n") <= limit
         keys, rows = counts.agg(F.count_if(~small), F.sum(F.when(~small, F.col("__n")))).first()
         if not keys:

@@ -30,7 +30,7 @@ from holdline.functions.times import TICKS_PER_SECOND, day_start_sec
 from holdline.model import FAMILIES
 from holdline.operators.history import History
 from holdline.operators.scan import HYSTERESIS_SCALE, compound_over, ema_resumed, state_samples, uniquify_stamps
-from holdline.session import materialize
+from holdline.session import materialize, stored
 
 # Sorts before any sample; rows that bring a key into its state get it.
 BEFORE = -1
@@ -137,7 +137,8 @@ def _worked(raw: DataFrame, state: DataFrame, job: Job) -> tuple[DataFrame, Data
         }
     )
     both = rows.unionByName(_seeds(state, job), allowMissingColumns=True)
-    h = History.of(both, list(job.key), job.order)
+    # What is decoded may cost shuffles of its own, and has the samples' keys.
+    h = History.of(both, list(job.key), job.order, counted=raw.select(*job.key).unionByName(state.select(*job.key)))
     h = compound_over(h, job.channels, HYSTERESIS_SCALE, directions=True)
     h = h.running_sum("places", F.col("__count").cast("bigint")).previous("__before", F.col("__ok"))
     counts = F.col("changed") & ~F.col("__seed") & (F.col("places") > job.warmup)
@@ -146,7 +147,7 @@ def _worked(raw: DataFrame, state: DataFrame, job: Job) -> tuple[DataFrame, Data
     logged = F.coalesce("__logged", F.lit(False))
     turned = logged & (F.col("__ok") != F.col("__before")) & ~F.col("__seed")
     h = h.with_columns(__emit=F.col("changed") | turned, logged=logged | F.col("changed") | F.col("__was_logged"))
-    return materialize(h.rows().filter(~F.col("__seed"))), tails
+    return stored(h.rows().filter(~F.col("__seed"))), tails
 
 
 def _log(worked: DataFrame, spilled: DataFrame, job: Job) -> DataFrame:
@@ -289,8 +290,9 @@ def recalibrate(raw: DataFrame, path: str, job: Job, days: list[date] | None = N
                 # The other sensors' rows of these days stay; written elsewhere first, as
                 # what is replaced is read for it.
                 kept = tables.read(name).filter(F.col("day").between(F.lit(first), F.lit(last)))
-                rows = materialize(rows.unionByName(join_on(kept, only, sensor, "left_anti").select(rows.columns)))
-            tables.replace(name, rows, chosen)
+                rows = rows.unionByName(join_on(kept, only, sensor, "left_anti").select(rows.columns))
+            # Once: it is read to find the ranges, for its rows and for its days.
+            tables.replace(name, stored(rows), chosen)
         replaced += chosen
         if not behind:
             break

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from holdline.functions.scalars import crc8_word
 from holdline.operators.recalibrate import Job, Smoothing, Tables, recalibrate
 from holdline.functions.scalars import trunc_int
-from holdline.operators import calibrate
+from holdline.operators import calibrate, history
 from holdline.session import MAX_ROWS_CONF
 from holdline.sources.logs import read_log
 
@@ -180,3 +180,17 @@ def test_smoothing_before_any_sample(spark, tmp_path):
     for name in ("log", "quarantine", "state"):
         assert rows_of(want, name) == rows_of(got, name)
     assert want.read("log").filter(F.col("day") == F.lit(FIRST)).isEmpty()
+
+
+def test_keys_are_counted_without_decoding(spark, tmp_path, monkeypatch):
+    """What is decoded may cost shuffles, so it is worked out once, not for the counts too."""
+    raw = archive(spark, 8, days=2)
+    tried, of = [], history.History.of.__func__
+
+    def counting(cls, df, key, order, counted=None):
+        tried.append(df.columns if counted is None else counted.columns)
+        return of(cls, df, key, order, counted)
+
+    monkeypatch.setattr(history.History, "of", classmethod(counting))
+    recalibrate(raw, str(tmp_path / "all"), Job("sht31", decode(), "seq"))
+    assert tried[0] == ["sensor_key"]
